@@ -87,7 +87,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-s AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> ''))::BIGINT AS size,
+s AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
              -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|mix'), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE)
                / greatest(0.1::DOUBLE, length(regexp_replace(t, '[0-9#*$%&|<>{}=_~^]+', '', 'g'))::DOUBLE / greatest(length(t), 1)::DOUBLE) AS k
       FROM d),
