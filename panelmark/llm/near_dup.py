@@ -140,8 +140,8 @@ def _possible(percent: int):
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document row: doc_id, n_shingles, component_id (smallest id of its component), node (row number) and
-    lead (the node that stands for the component)."""
+    """One row per document row: doc_id, text_hash, n_shingles, component_id (smallest id of its component), node (row
+    number) and lead (the node that stands for the component)."""
     bands, rows = banding(percent)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     numbered = source.withColumn("node", F.monotonically_increasing_id())
@@ -150,8 +150,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     # Classes of equal sets.
     some = sketch.where("digest is not null")
     heads = stored(some.groupBy("digest").agg(F.min("node").alias("head")), "near-heads")
-    member = some.join(heads, "digest").select("node", "doc_id", "n_shingles", "head", F.when(F.col("head") == F.col("node"), F.col("bands")).alias("bands"))
-    empty = sketch.where("digest is null").select("node", "doc_id", "n_shingles", F.col("node").alias("head"), "bands")
+    member = some.join(heads, "digest").select("node", "doc_id", "text_hash", "n_shingles", "head", F.when(F.col("head") == F.col("node"), F.col("bands")).alias("bands"))
+    empty = sketch.where("digest is null").select("node", "doc_id", "text_hash", "n_shingles", F.col("node").alias("head"), "bands")
     member = stored(member.unionByName(empty), "near-member")
     release(docs.sparkSession)
 
@@ -192,7 +192,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
 
     whole = member.drop("bands").join(full.select(F.col("node").alias("head"), "component"), "head", "left").withColumn("component", F.coalesce("component", "head"))
     least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "node"))).node.alias("low"), F.min("node").alias("any"))
-    return whole.join(stored(least, "near-least"), "component").select("doc_id", "node", "n_shingles", "component_id", F.coalesce("low", "any").alias("lead"))
+    whole = whole.join(stored(least, "near-least"), "component")
+    return whole.select("doc_id", "text_hash", "node", "n_shingles", "component_id", F.coalesce("low", "any").alias("lead"))
 
 
 def _candidate_sets(source: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
