@@ -71,9 +71,19 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
+def _grouped(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(owners, the bytes of each owner's values): one row for a text in place of one for each value."""
+    if not len(owner):
+        return owner, []
+    order = np.argsort(owner, kind="stable")
+    owner, values = owner[order], values[order]
+    cuts = np.flatnonzero(owner[1:] != owner[:-1]) + 1
+    return owner[np.append(0, cuts)], [x.tobytes() for x in np.split(values, cuts)]
+
+
 def _seeds_of(length: int, k: int):
-    """(seed, text hash) once for a batch and seed; where several texts of the batch hold it, each text is reported as
-    well and the seed is marked, so that it counts as shared."""
+    """(key, text_hash, packed): a seed once for a batch, with the text that holds it; no text if several of the batch
+    do, for then it is shared already.  Those texts' shared seeds come packed, under keys of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,48 +101,52 @@ def _seeds_of(length: int, k: int):
                 first[1:] = seed[1:] != seed[:-1]
                 count = np.diff(np.append(np.flatnonzero(first), len(seed)))
                 several = np.repeat(count > 1, count)
-                out = first & ~several | several
-                # kind 0: one text of this batch; 1: several texts, this row goes on without a shuffle; 2: its mark.
-                kind = np.where(several[out], 1, 0).astype(np.int8)
-                yield _batch(seed[out], owner[out], kind)
-                marks = first & several
-                yield _batch(seed[marks], owner[marks], np.full(int(marks.sum()), 2, np.int8))
+                yield _batch(seed[first], pa.array(owner[first], pa.int64(), mask=several[first]), pa.nulls(int(first.sum()), pa.binary()))
+                owners, packed = _grouped(owner[several], seed[several])
+                yield _batch(mixed(owners.view(np.uint64)), pa.array(owners, pa.int64()), pa.array(packed, pa.binary()))
 
-    def _batch(seed, owner, kind):
-        return pa.RecordBatch.from_arrays([_signed(seed), pa.array(owner, pa.int64()), pa.array(kind, pa.int8())], ["seed", "text_hash", "kind"])
+    def _batch(key, owner, packed):
+        return pa.RecordBatch.from_arrays([_signed(key), owner, packed], ["key", "text_hash", "packed"])
 
     return run
 
 
 def _shared_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of the seed: keep those whose seed has another row or a mark.  A row waits for the next."""
-    held = None
+    """Rows come in order of the key: keep the seeds with another row or without a text, packed by text.  Of a batch
+    the last row waits for the next."""
+    held: pa.Table | None = None
+    waits_shared = False
+
+    def rows(owner, seeds_):
+        owners, packed = _grouped(owner, seeds_)
+        return pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(packed, pa.binary())], ["text_hash", "seeds"])
+
     for batch in batches:
-        seed, owner, kind = (batch.column(c).to_numpy() for c in ("seed", "text_hash", "kind"))
-        if not len(seed):
+        ready = batch.filter(batch.column("packed").is_valid())
+        yield pa.RecordBatch.from_arrays([ready.column("text_hash"), ready.column("packed")], ["text_hash", "seeds"])
+        single = pa.Table.from_batches([batch.filter(batch.column("packed").is_null())]).select(["key", "text_hash"])
+        table_ = single if held is None else pa.concat_tables([held, single])
+        if not table_.num_rows:
             continue
-        if held is not None:
-            seed, owner, kind = (np.concatenate(([x], y)) for x, y in zip(held[:3], (seed, owner, kind), strict=True))
-            before = held[3]
-        else:
-            before = False
+        seed, marked = table_.column("key").to_numpy(), table_.column("text_hash").is_null().to_numpy()
+        owner = table_.column("text_hash").fill_null(0).to_numpy()
+        shared = marked.copy()
         same = seed[1:] == seed[:-1]
-        shared = np.zeros(len(seed), bool)
         shared[1:] |= same
         shared[:-1] |= same
-        shared |= kind == 2
-        shared[0] |= before
-        keep = shared & (kind == 0)
+        shared[0] |= waits_shared
+        keep = shared & ~marked
         keep[-1] = False
-        held = (seed[-1], owner[-1], kind[-1], bool(shared[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(seed[keep], pa.int64()), pa.array(owner[keep], pa.int64())], ["seed", "text_hash"])
-    if held is not None and held[3] and held[2] == 0:
-        yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], ["seed", "text_hash"])
+        yield rows(owner[keep], seed[keep])
+        held, waits_shared = table_.slice(table_.num_rows - 1), bool(shared[-1])
+    if held is not None and waits_shared and held.column("text_hash")[0].is_valid:
+        yield rows(held.column("text_hash").to_numpy(), held.column("key").to_numpy())
 
 
 def _windows_of(length: int, k: int):
-    """Windows over shared seeds: (window, first, text_hash, start), of each window of a batch the row with the smallest
-    (first, text_hash, start); rows behind it need no shuffle and come out as repeats (window null)."""
+    """Windows over shared seeds: (key, first, text_hash, start, more).  Of each window of a batch one row goes on, that
+    of the text with the smallest (first, text_hash); ``more`` are the text's other starts of the same window.  Starts
+    of later texts are repeats already: they come packed in ``more``, with no start, under keys of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,11 +157,11 @@ def _windows_of(length: int, k: int):
                 for i in range(part.start, part.stop):
                     h = word_hashes(opened(packed[i].as_buffer()).split())
                     chosen = seeds(h, length, k)[0]
-                    wanted = np.sort(np.frombuffer(shared[i].values.to_numpy().tobytes(), np.uint64))
+                    wanted = np.sort(np.frombuffer(b"".join(shared[i].as_py()), np.uint64))
                     place = np.minimum(np.searchsorted(wanted, chosen), len(wanted) - 1)
                     at = np.flatnonzero(wanted[place] == chosen)
                     windows.append(window_hashes(h, length, at))
-                    start.append(at)
+                    start.append(at.astype(np.int32))
                     first.append(np.full(len(at), firsts[i].as_py(), np.int64))
                     owner.append(np.full(len(at), hashes[i].as_py(), np.int64))
                 w, f, o, s = (np.concatenate(x) for x in (windows, first, owner, start))
@@ -155,36 +169,53 @@ def _windows_of(length: int, k: int):
                 w, f, o, s = w[order], f[order], o[order], s[order]
                 new = np.ones(len(w), bool)
                 new[1:] = w[1:] != w[:-1]
-                head = np.repeat(f[new], np.diff(np.append(np.flatnonzero(new), len(w))))
-                yield _rows(w[new], f[new], o[new], s[new], False)
-                # Later texts of the batch are repeats already; other rows of the first text follow their head.
-                late = ~new & (f > head)
-                yield _rows(w[late], f[late], o[late], s[late], True)
-                same = ~new & (f == head)
-                yield _rows(w[same], f[same], o[same], s[same], False)
-
-    def _rows(w, f, o, s, repeat):
-        arrays = [pa.array([None] * len(w), pa.int64()) if repeat else _signed(w), pa.array(f, pa.int64()), pa.array(o, pa.int64()), pa.array(s, pa.int32())]
-        return pa.RecordBatch.from_arrays(arrays, ["window", "first", "text_hash", "start"])
+                heads = np.flatnonzero(new)
+                size = np.diff(np.append(heads, len(w)))
+                late = f > np.repeat(f[heads], size)
+                # One row for each window and text that goes on; the text's other starts of this window travel with it.
+                own = ~late & np.insert((w[1:] != w[:-1]) | (o[1:] != o[:-1]), 0, True)
+                number = np.cumsum(own) - 1
+                again = ~late & ~own
+                more = [None] * int(own.sum())
+                for n, x in zip(*_grouped(number[again], s[again]), strict=True):
+                    more[n] = x
+                yield _rows(w[own], f[own], o[own], pa.array(s[own], pa.int32()), more)
+                ids = {}
+                for a, b in zip(o[late].tolist(), f[late].tolist(), strict=True):
+                    ids[a] = b
+                owners, starts = _grouped(o[late], s[late])
+                yield _rows(mixed(owners.view(np.uint64)), np.array([ids[x] for x in owners.tolist()], np.int64), owners, pa.nulls(len(owners), pa.int32()), starts)
+
+    def _rows(w, f, o, s, more):
+        return pa.RecordBatch.from_arrays([_signed(w), pa.array(f, pa.int64()), pa.array(o, pa.int64()), s, pa.array(more, pa.binary())], ["key", "first", "text_hash", "start", "more"])
 
     return run
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of (window, first): all but those of the window's smallest id are repeats."""
+    """Rows come in order of (key, first): all but those of the window's smallest id are repeats, packed by text."""
     window, head = None, 0
+    names = ["text_hash", "first", "starts"]
     for batch in batches:
-        w, f = batch.column("window").to_numpy(), batch.column("first").to_numpy()
+        ready = batch.filter(batch.column("start").is_null())
+        yield pa.RecordBatch.from_arrays([ready.column(c) for c in ("text_hash", "first", "more")], names)
+        batch = batch.filter(batch.column("start").is_valid())
+        w, f = batch.column("key").to_numpy(), batch.column("first").to_numpy()
         if not len(w):
             continue
         new = np.ones(len(w), bool)
         new[1:] = w[1:] != w[:-1]
-        new[0] = w[0] != window
+        new[0] = window is None or w[0] != window
         at = np.maximum.accumulate(np.where(new, np.arange(len(w)), -1))
         heads = np.where(at >= 0, f[at], head)
         window, head = w[-1], heads[-1]
-        keep = pa.array(f > heads)
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("first", "text_hash", "start")], ["first", "text_hash", "start"])
+        batch = batch.filter(pa.array(f > heads))
+        owner, first = batch.column("text_hash").to_numpy(), batch.column("first").to_numpy()
+        owners, starts = _grouped(owner, batch.column("start").to_numpy())
+        ids = dict(zip(owner.tolist(), first.tolist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array([ids[x] for x in owners.tolist()], pa.int64()), pa.array(starts, pa.binary())], names)
+        longer = batch.filter(batch.column("more").is_valid())
+        yield pa.RecordBatch.from_arrays([longer.column(c) for c in ("text_hash", "first", "more")], names)
 
 
 def spans(starts, length: int) -> list[tuple[int, int]]:
@@ -209,22 +240,18 @@ def repeat_starts(docs: DataFrame, length: int, text: str = "text", doc_id: str
     one, two = identity(F.col(text))
     keyed = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST)).cast("long").alias("id"), F.col(text).alias("text"), one.alias("text_hash"), two.alias("other_hash"))
     texts = stored(keyed.groupBy("text_hash", "other_hash").agg(F.min("id").alias("first")), "repeat-texts")
-    found = keyed.select("text", "text_hash").mapInArrow(_seeds_of(length, k), "seed long, text_hash long, kind byte")
-    found = stored(found, "repeat-seeds")
-    sorted_ = found.where("kind <> 1").repartition("seed").sortWithinPartitions("seed")
-    hits = sorted_.mapInArrow(_shared_seeds, "seed long, text_hash long").unionByName(found.where("kind = 1").select("seed", "text_hash"))
-    wanted = hits.groupBy("text_hash").agg(F.collect_set("seed").alias("seeds"))
+    found = keyed.select("text", "text_hash").mapInArrow(_seeds_of(length, k), "key long, text_hash long, packed binary")
+    hits = found.repartition("key").sortWithinPartitions("key").mapInArrow(_shared_seeds, "text_hash long, seeds binary")
+    wanted = hits.groupBy("text_hash").agg(F.collect_list("seeds").alias("seeds"))
     wanted = stored(texts.join(wanted, "text_hash"), "repeat-wanted")
     release(docs.sparkSession)
 
     packed = keyed.select("id", "text_hash", "other_hash", squeeze("text").alias("packed"))
     on = ["text_hash", "other_hash"]
     chosen = packed.join(wanted, on).where("id = first").select("packed", "first", "text_hash", "seeds")
-    windows = stored(chosen.mapInArrow(_windows_of(length, k), "window long, first long, text_hash long, start int"), "repeat-windows")
-    open_ = windows.where("window is not null").repartition("window").sortWithinPartitions("window", "first")
-    starts = open_.mapInArrow(_repeats, "first long, text_hash long, start int")
-    starts = starts.unionByName(windows.where("window is null").select("first", "text_hash", "start"))
-    repeats = stored(starts.groupBy("text_hash", "first").agg(F.collect_set("start").alias("starts")), "repeat-starts")
+    windows = chosen.mapInArrow(_windows_of(length, k), "key long, first long, text_hash long, start int, more binary")
+    starts = windows.repartition("key").sortWithinPartitions("key", "first").mapInArrow(_repeats, "text_hash long, first long, starts binary")
+    repeats = stored(starts.groupBy("text_hash", "first").agg(F.collect_list("starts").alias("starts")), "repeat-starts")
     release(docs.sparkSession)
     return texts, repeats
 
@@ -246,7 +273,7 @@ def _cut(length: int, names: list[str], text: str):
                 if copy:
                     out = [(0, n)] if n >= length else []
                 else:
-                    out = spans(starts.values.to_numpy() if starts.is_valid else None, length)
+                    out = spans(np.frombuffer(b"".join(starts.as_py()), np.int32) if starts.is_valid else None, length)
                 kept, at = [], 0
                 for begin, end in out:
                     kept += found[at:begin]
