@@ -618,3 +618,24 @@ def _(get):  # noqa: ANN001, ANN202
 @query("u4_common_items", "SELECT domain, item_id FROM [system] s INTERSECT SELECT domain, item_id FROM [human] h INTERSECT SELECT domain, item_id FROM [items] i")
 def _(get):  # noqa: ANN001, ANN202
     return pr.common_items(get("system"), get("human"), get("items"))
+
+
+#: Columns that DuckDB's sums make wider than a long.
+WHOLE = {
+    "p18_disagreement_cases": "votes_high",
+    "a1_panel_vote": "votes_high votes_low",
+    "a14_degenerate_raters": "n",
+    "a15_match_vs_baseline": "match system_high reference_high",
+    "a17_build_gold": "n_high n_low",
+    "a18_agreement_breakdown": "unanimous partial disagreeing",
+    "a19_repeat_stability": "stable",
+    "a23_majority_flips": "flips to_low to_high",
+    "a24_inclusion_sensitivity": "n_flagged",
+    "a25_leave_one_out_fit": "fitting",
+    "a27_missing_label_report": "items_lacking rest_agrees",
+    "a29_split_profile": "unanimous partly all_different",
+    "k4_best_subset": "fitting",
+}
+
+for _name, _columns in WHOLE.items():
+    SQL[_name] = f"SELECT * REPLACE ({', '.join(f'{c}::BIGINT AS {c}' for c in _columns.split())}) FROM ({SQL[_name]}) whole"

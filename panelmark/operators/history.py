@@ -6,23 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BY = W.partitionBy("domain").orderBy("iteration")
-SO_FAR = BY.rowsBetween(W.unboundedPreceding, 0)
+
+def by():  # noqa: ANN201
+    return W.partitionBy("domain").orderBy("iteration")
 
 
 def iteration_delta(history: DataFrame) -> DataFrame:
     """Change to the iteration before; the first changes from 0."""
-    return history.withColumn("delta", F.col("weighted") - F.coalesce(F.lag("weighted").over(BY), F.lit(0.0)))
+    return history.withColumn("delta", F.col("weighted") - F.coalesce(F.lag("weighted").over(by()), F.lit(0.0)))
 
 
 def stagnation_flag(history: DataFrame, rule: str = "code", small: float = 0.02) -> DataFrame:
     """``code``: the last two changes are both smaller than ``small``, from the third point on.  ``paper``: no gain in
     three changes running."""
-    now, one, two = F.col("weighted"), F.lag("weighted").over(BY), F.lag("weighted", 2).over(BY)
+    now, one, two = F.col("weighted"), F.lag("weighted").over(by()), F.lag("weighted", 2).over(by())
     if rule == "code":
         flag = (F.abs(now - one) < small) & (F.abs(one - two) < small)
     elif rule == "paper":
-        three = F.lag("weighted", 3).over(BY)
+        three = F.lag("weighted", 3).over(by())
         flag = (F.round(now - one, 12) <= 0) & (F.round(one - two, 12) <= 0) & (F.round(two - three, 12) <= 0)
     else:
         raise ValueError(f"unknown rule {rule!r}")
@@ -30,7 +31,7 @@ def stagnation_flag(history: DataFrame, rule: str = "code", small: float = 0.02)
 
 
 def best_so_far(history: DataFrame) -> DataFrame:
-    return history.withColumn("best", F.max("weighted").over(SO_FAR))
+    return history.withColumn("best", F.max("weighted").over(by().rowsBetween(W.unboundedPreceding, 0)))
 
 
 def best_iteration(history: DataFrame) -> DataFrame:
@@ -51,8 +52,8 @@ def converged_at(history: DataFrame, tau: float = 0.8) -> DataFrame:
 
 def regression_flag(history: DataFrame, tau: float = 0.8, drop: float = 0.10) -> DataFrame:
     """After convergence, a fall of more than ``drop`` from the iteration before."""
-    before = F.lag("weighted").over(BY)
-    reached = F.max(F.when(F.col("weighted") >= tau, 1).otherwise(0)).over(BY.rowsBetween(W.unboundedPreceding, -1))
+    before = F.lag("weighted").over(by())
+    reached = F.max(F.when(F.col("weighted") >= tau, 1).otherwise(0)).over(by().rowsBetween(W.unboundedPreceding, -1))
     flag = (F.coalesce(reached, F.lit(0)) == 1) & (F.round(before - F.col("weighted"), 12) > drop)
     return history.withColumn("regressed", F.coalesce(flag, F.lit(False)))
 
