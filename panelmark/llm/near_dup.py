@@ -7,10 +7,11 @@ representative of a class goes on.
 
 Representatives that share a band are candidates.  No bucket is expanded into its pairs: first each member meets only
 the best connected member of its bucket, candidates are verified on their full sets, and verified links are contracted
-to components.  Only members of a bucket that are then still in different components meet each other, which finds the
-links that the first round had no reason to try.
+to components.  In a few more rounds members meet neighbours of other components in their buckets; then only members of
+a bucket that are still in different components all meet, which finds the links that no round had a reason to try.
 
-The number of bands is chosen so that a pair exactly at the threshold shares none with a probability under 1e-5.
+The number of bands is chosen so that a pair exactly at the threshold shares none with a probability under 1e-5; the
+signatures' last bits, compared inside the second join, turn such a pair away with one under 1e-7.
 
 Defined results: a document without words or text has no shingles, is linked with nothing and is its own component;
 rows that repeat a doc_id are nodes of their own and share the smallest id of their component; a null doc_id is
@@ -20,17 +21,22 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelmark.llm.common import gram_hashes, mixed, release, stored, table, word_hashes
 
+#: Coordinates of a signature, 256 at most.
 COORDINATES = 240
+#: Rounds in which members meet neighbours of other components before all that are left meet.
+TURNS = 3
 
 
 def banding(percent: int, coordinates: int = COORDINATES, miss: float = 1e-5) -> tuple[int, int]:
@@ -42,6 +48,17 @@ def banding(percent: int, coordinates: int = COORDINATES, miss: float = 1e-5) ->
     return coordinates, 1
 
 
+def most_bits(percent: int, coordinates: int, miss: float = 1e-7) -> int:
+    """Of the signatures' last bits, how many may differ: more do at the threshold with a probability under ``miss``.
+    A bit differs if the coordinate does, half of the time."""
+    p = (1 - percent / 100) / 2
+    tail, d = 1.0, -1
+    while tail >= miss and d < coordinates:
+        d += 1
+        tail -= math.comb(coordinates, d) * p**d * (1 - p) ** (coordinates - d)
+    return d
+
+
 def lower_words(text: str | None) -> list[bytes]:
     """A-Z in lower case, cut at the six bytes of ASCII white space.  Other letters are bytes from 0x80 on."""
     return text.encode().translate(_LOWER).split() if text else []
@@ -76,22 +93,27 @@ def _sketched(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = np.arange(bands, dtype=np.uint64) << np.uint64(32)
         for batch in batches:
-            sizes, digests, keys = [], [], []
+            sizes, digests, keys, bits = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingle_set(text, k)
                 sizes.append(len(found))
                 if not len(found):
                     digests.append(None)
                     keys.append(None)
+                    bits.append(None)
                     continue
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-                sig = signature(found, bands * rows).reshape(bands, rows)
+                sig = signature(found, bands * rows)
+                last = np.zeros(256, np.uint8)
+                last[: len(sig)] = sig & np.uint32(1)
+                bits.append(np.packbits(last).view(np.int64))
+                sig = sig.reshape(bands, rows)
                 key = mixed(numbers + np.uint64(1))
                 for j in range(rows):
                     key = mixed(key + sig[:, j])
                 keys.append(key.view(np.int64))
-            arrays = [batch.column(c) for c in ("node", "doc_id", "text_hash")] + [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["node", "doc_id", "text_hash", "n_shingles", "digest", "bands"])
+            arrays = [batch.column(c) for c in ("node", "doc_id", "text_hash")] + [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["node", "doc_id", "text_hash", "n_shingles", "digest", "bands", "bits"])
 
     return run
 
@@ -145,7 +167,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     bands, rows = banding(percent)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     numbered = source.withColumn("node", F.monotonically_increasing_id())
-    sketch = stored(numbered.mapInArrow(_sketched(k, bands, rows), "node long, doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>"), "near-sketch")
+    sketch = stored(numbered.mapInArrow(_sketched(k, bands, rows), "node long, doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, bits array<long>"), "near-sketch")
 
     # Classes of equal sets.
     some = sketch.where("digest is not null")
@@ -178,17 +200,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
         return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "members_a", "members_b").mapInArrow(_verified(percent), "a long, b long")
 
     links = stored(verified(first), "near-links")
-    half = connected(links, "near-half")
-
-    # What is still apart in a bucket after the first round.
-    at = shared.join(half, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-    apart = at.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("company")).where("low < high and company > 2")
-    open_ = stored(at.join(stored(apart.select("bucket"), "near-apart"), "bucket"), "near-open")
-    left = open_.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = open_.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible(percent)).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = stored(verified(rest), "near-more")
-    full = half if more.isEmpty() else connected(links.unionByName(more), "near-full")
+    full, tried = connected(links, "near-first-components"), first
+    for turn in range(TURNS + 1):
+        # Buckets that still hold several components, and their members.
+        at = shared.join(full, "node", "left").select("bucket", "company", "node", "n", F.coalesce("component", "node").alias("component"))
+        apart = at.where("company > 2").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        open_ = at.join(stored(apart.select("bucket"), "near-apart"), "bucket").join(sketch.select("node", "bits"), "node")
+        open_ = stored(open_.select("bucket", "company", "node", "n", "component", *(F.col("bits")[i].alias(f"bits{i}") for i in range(4))), "near-open")
+        limit = most_bits(percent, bands * rows)
+        pairs = _everyone(open_, percent, limit) if turn == TURNS else _neighbours(open_, percent, limit, turn)
+        pairs = stored(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        if pairs.isEmpty():
+            continue
+        tried = tried.unionByName(pairs)
+        links = stored(links.unionByName(verified(pairs)), "near-links")
+        full = connected(links, "near-components")
 
     whole = member.drop("bands").join(full.select(F.col("node").alias("head"), "component"), "head", "left").withColumn("component", F.coalesce("component", "head"))
     least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "node"))).node.alias("low"), F.min("node").alias("any"))
@@ -196,6 +222,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     return whole.select("doc_id", "text_hash", "node", "n_shingles", "component_id", F.coalesce("low", "any").alias("lead"))
 
 
+def _differ():  # noqa: ANN202
+    """Last bits of the signatures of a and b that differ."""
+    return sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+
+
+def _neighbours(open_: DataFrame, percent: int, limit: int, turn: int) -> DataFrame:
+    """Pairs of different components that stand side by side (or next but one) in an order by hash; another order each
+    turn.  Large buckets are dealt into parts of about a thousand."""
+    mark = F.xxhash64("node", F.lit(turn))
+    parts = open_.withColumns({"mark": mark, "part": F.pmod(F.xxhash64("node", F.lit(turn), F.lit("part")), F.ceil(F.col("company") / 1000)).cast("int")})
+    w = W.partitionBy("bucket", "part").orderBy("mark", "node")
+    out = []
+    for ahead in (1, 2):
+        next_ = {x: F.lead(x, ahead).over(w) for x in ("node", "n", "component", "bits0", "bits1", "bits2", "bits3")}
+        both = parts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), *(F.col(f"bits{i}").alias(f"a{i}") for i in range(4)), next_["node"].alias("b"), next_["n"].alias("nb"), next_["component"].alias("cb"), *(next_[f"bits{i}"].alias(f"b{i}") for i in range(4)))
+        good = both.where(F.col("b").isNotNull() & (F.col("ca") != F.col("cb")) & _possible(percent) & (_differ() <= limit))
+        out.append(good.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return out[0].unionByName(out[1])
+
+
+def _everyone(open_: DataFrame, percent: int, limit: int) -> DataFrame:
+    """All pairs of a bucket that are in different components and whose signatures do not rule them out."""
+    side = lambda x: open_.select("bucket", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), *(F.col(f"bits{i}").alias(f"{x}{i}") for i in range(4)))
+    left, right = side("a"), side("b")
+    return left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible(percent) & (_differ() <= limit))
+
+
 def _candidate_sets(source: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, members) of the wanted nodes: their doc_id and text hash find the texts, the digest of the set confirms
     them.  Only one row per node is left, whatever copies a table holds."""
