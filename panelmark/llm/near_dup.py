@@ -36,7 +36,7 @@ from panelmark.llm.common import gram_hashes, mixed, release, stored, table, wor
 #: Coordinates of a signature, 256 at most.
 COORDINATES = 240
 #: Rounds in which members meet neighbours of other components before all that are left meet.
-TURNS = 3
+TURNS = 1
 
 
 def banding(percent: int, coordinates: int = COORDINATES, miss: float = 1e-5) -> tuple[int, int]:

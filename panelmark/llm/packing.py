@@ -29,12 +29,22 @@ from panelmark.llm.tokens import CHUNK, MEMO, in_steps, loaded, vocabulary
 CAPACITY, END, PART, NEIGHBOURS, ROUNDS = 2048, 0, 20_000, 16, 2
 
 _IDS: dict[str, dict[str, bytes]] = {}
+#: Words of Latin-1 letters and marks that neither normalisation nor contractions nor special tokens touch.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ.,;:!?*%$&#|()-]+")
+_RUNS = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
+#: The characters that stand for bytes in byte-level vocabularies: printable ones themselves, the others from 256 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+def _in_bytes(part: str) -> str:
+    return part if part.isascii() else "".join(_BYTES[b] for b in part.encode())
 
 
 def encoded(path: str, texts: list[str]) -> list[bytes]:
     """Ids of each text as unsigned 32-bit integers, little end first.  As with counts, texts are cut where no
     pre-token can cross and the ids of the pieces are remembered.  Words of plain letters and marks go to the model
-    directly; everything else goes through the whole tokenizer."""
+    run by run; everything else goes through the whole tokenizer."""
     tokenizer, memo, cut = loaded(path), _IDS.setdefault(path, {}), re.compile(CHUNK)
     model = tokenizer.model
     chunks = [cut.findall(t) for t in texts]
@@ -46,8 +56,9 @@ def encoded(path: str, texts: list[str]) -> list[bytes]:
     odd = []
     for chunk in missing:
         word = chunk.strip(" \t\n\r\x0b\x0c")
-        if word.isascii() and word.isalpha():
-            memo[chunk] = packed([t.id for t in model.tokenize(word.lower())])
+        if _PLAIN.fullmatch(word):
+            # Runs of letters and runs of marks are the pre-tokens of such a word.
+            memo[chunk] = b"".join(memo.get(p) or memo.setdefault(p, packed([t.id for t in model.tokenize(_in_bytes(p))])) for p in _RUNS.findall(word.lower()))
         else:
             odd.append(chunk)
     for at in range(0, len(odd), 4096):
