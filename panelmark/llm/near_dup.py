@@ -7,11 +7,13 @@ representative of a class goes on.
 
 Representatives that share a band are candidates.  No bucket is expanded into its pairs: first each member meets only
 the best connected member of its bucket, candidates are verified on their full sets, and verified links are contracted
-to components.  In a few more rounds members meet neighbours of other components in their buckets; then only members of
-a bucket that are still in different components all meet, which finds the links that no round had a reason to try.
+to components.  Buckets that still hold several components join these to families.  The members of a family are dealt
+into blocks of about ``BLOCK`` bytes and every two blocks meet in one task, which compares signatures as a matrix,
+verifies what they leave on the full sets and returns links only.  That finds the links that the first step had no
+reason to try; no pair is written or shuffled as a row.
 
 The number of bands is chosen so that a pair exactly at the threshold shares none with a probability under 1e-5; the
-signatures' last bits, compared inside the second join, turn such a pair away with one under 1e-7.
+signatures' last bits, compared in the blocks, turn such a pair away with one under 1e-7.
 
 Defined results: a document without words or text has no shingles, is linked with nothing and is its own component;
 rows that repeat a doc_id are nodes of their own and share the smallest id of their component; a null doc_id is
@@ -28,15 +30,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelmark.llm.common import gram_hashes, mixed, release, stored, table, word_hashes
 
 #: Coordinates of a signature, 256 at most.
 COORDINATES = 240
-#: Rounds in which members meet neighbours of other components before all that are left meet.
-TURNS = 1
+#: Bytes of full sets in a block; a task holds two blocks.
+BLOCK = 2 << 20
 
 
 def banding(percent: int, coordinates: int = COORDINATES, miss: float = 1e-5) -> tuple[int, int]:
@@ -118,6 +119,14 @@ def _sketched(k: int, bands: int, rows: int):
     return run
 
 
+def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sets of hashes reach the Jaccard similarity."""
+    both = np.concatenate((p, q))
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,10 +134,7 @@ def _verified(percent: int):
             linked = []
             for x, y in zip(batch.column("members_a"), batch.column("members_b"), strict=True):
                 p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.concatenate((p, q))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * common >= percent * (len(both) - common))
+                linked.append(similar(p, q, percent))
             keep = np.flatnonzero(linked)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
@@ -200,21 +206,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
         return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "members_a", "members_b").mapInArrow(_verified(percent), "a long, b long")
 
     links = stored(verified(first), "near-links")
-    full, tried = connected(links, "near-first-components"), first
-    for turn in range(TURNS + 1):
-        # Buckets that still hold several components, and their members.
-        at = shared.join(full, "node", "left").select("bucket", "company", "node", "n", F.coalesce("component", "node").alias("component"))
-        apart = at.where("company > 2").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        open_ = at.join(stored(apart.select("bucket"), "near-apart"), "bucket").join(sketch.select("node", "bits"), "node")
-        open_ = stored(open_.select("bucket", "company", "node", "n", "component", *(F.col("bits")[i].alias(f"bits{i}") for i in range(4))), "near-open")
-        limit = most_bits(percent, bands * rows)
-        pairs = _everyone(open_, percent, limit) if turn == TURNS else _neighbours(open_, percent, limit, turn)
-        pairs = stored(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        if pairs.isEmpty():
-            continue
-        tried = tried.unionByName(pairs)
-        links = stored(links.unionByName(verified(pairs)), "near-links")
-        full = connected(links, "near-components")
+    full = connected(links, "near-first-components")
+
+    # Buckets that still hold several components; the families that these components form.
+    at = shared.where("company > 2").join(full, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    apart = stored(at.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket", "low"), "near-apart")
+    at = at.join(apart, "bucket")
+    family = connected(at.where("low < component").select(F.col("low").alias("a"), F.col("component").alias("b")).distinct(), "near-families")
+    open_ = at.select("node", "n", "component").distinct().join(family.select(F.col("node").alias("component"), F.col("component").alias("family")), "component")
+    open_ = stored(open_, "near-open")
+    found = _blocks(open_).join(sketch.select("node", "bits"), "node").join(sets, "node")
+    more = found.groupBy("family", "low", "high").applyInArrow(_compared(percent, most_bits(percent, bands * rows)), "a long, b long")
+    more = stored(more, "near-more-links")
+    if not more.isEmpty():
+        full = connected(links.unionByName(more), "near-components")
 
     whole = member.drop("bands").join(full.select(F.col("node").alias("head"), "component"), "head", "left").withColumn("component", F.coalesce("component", "head"))
     least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "node"))).node.alias("low"), F.min("node").alias("any"))
@@ -222,31 +227,54 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     return whole.select("doc_id", "text_hash", "node", "n_shingles", "component_id", F.coalesce("low", "any").alias("lead"))
 
 
-def _differ():  # noqa: ANN202
-    """Last bits of the signatures of a and b that differ."""
-    return sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-
+def _blocks(open_: DataFrame) -> DataFrame:
+    """Each member in its block of its family (by hash), once for every pair (low, high) of blocks that this one is in."""
+    parts = open_.groupBy("family").agg(F.ceil(F.sum(F.col("n") * 8) / BLOCK).cast("int").alias("parts"))
+    dealt = open_.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return other.select("family", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "n", "component")
+
+
+def _compared(percent: int, limit: int):
+    """Links between the members of two blocks (or within one) that are in different components and whose signatures do
+    not rule them out.  Components that a link joins are one for the pairs that follow."""
+
+    def run(found: pa.Table) -> pa.Table:
+        found = found.combine_chunks()
+        node, part, n = (found.column(c).to_numpy() for c in ("node", "part", "n"))
+        names, component = np.unique(found.column("component").to_numpy(), return_inverse=True)
+        members = [np.frombuffer(x.as_buffer(), np.uint64) for x in found.column("members")]
+        bits = np.ascontiguousarray(found.column("bits").combine_chunks().flatten().to_numpy().reshape(len(node), -1))
+        signs = np.unpackbits(bits.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+        low = int(found.column("low")[0].as_py())
+        within = low == int(found.column("high")[0].as_py())
+        left = np.flatnonzero(part == low)
+        right = left if within else np.flatnonzero(part != low)
+        root, a, b = list(range(len(names))), [], []
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for start in range(0, len(left), 256):
+            some = left[start : start + 256]
+            differ = (signs.shape[1] - signs[some] @ signs[right].T) / 2
+            p, q = n[some][:, None], n[right]
+            good = (differ <= limit) & (component[some][:, None] != component[right]) & (100 * np.minimum(p, q) >= percent * np.maximum(p, q))
+            if within:
+                good &= some[:, None] < right
+            for i, j in zip(*(x.tolist() for x in np.nonzero(good)), strict=True):
+                x, y = some[i], right[j]
+                cx, cy = top(component[x]), top(component[y])
+                if cx != cy and similar(members[x], members[y], percent):
+                    root[cx] = cy
+                    a.append(node[x])
+                    b.append(node[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-def _neighbours(open_: DataFrame, percent: int, limit: int, turn: int) -> DataFrame:
-    """Pairs of different components that stand side by side (or next but one) in an order by hash; another order each
-    turn.  Large buckets are dealt into parts of about a thousand."""
-    mark = F.xxhash64("node", F.lit(turn))
-    parts = open_.withColumns({"mark": mark, "part": F.pmod(F.xxhash64("node", F.lit(turn), F.lit("part")), F.ceil(F.col("company") / 1000)).cast("int")})
-    w = W.partitionBy("bucket", "part").orderBy("mark", "node")
-    out = []
-    for ahead in (1, 2):
-        next_ = {x: F.lead(x, ahead).over(w) for x in ("node", "n", "component", "bits0", "bits1", "bits2", "bits3")}
-        both = parts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), *(F.col(f"bits{i}").alias(f"a{i}") for i in range(4)), next_["node"].alias("b"), next_["n"].alias("nb"), next_["component"].alias("cb"), *(next_[f"bits{i}"].alias(f"b{i}") for i in range(4)))
-        good = both.where(F.col("b").isNotNull() & (F.col("ca") != F.col("cb")) & _possible(percent) & (_differ() <= limit))
-        out.append(good.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    return out[0].unionByName(out[1])
-
-
-def _everyone(open_: DataFrame, percent: int, limit: int) -> DataFrame:
-    """All pairs of a bucket that are in different components and whose signatures do not rule them out."""
-    side = lambda x: open_.select("bucket", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), *(F.col(f"bits{i}").alias(f"{x}{i}") for i in range(4)))
-    left, right = side("a"), side("b")
-    return left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible(percent) & (_differ() <= limit))
+    return run
 
 
 def _candidate_sets(source: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
