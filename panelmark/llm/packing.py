@@ -14,6 +14,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -52,13 +53,16 @@ def encoded(path: str, texts: list[str]) -> list[bytes]:
     if len(memo) + len(missing) > MEMO:
         memo.clear()
         missing = list({c for cs in chunks for c in cs})
-    packed = lambda ids: np.array(ids, "<u4").tobytes()
+    packed = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
+    run_ids = lambda p: memo.get(p) or memo.setdefault(p, packed([t.id for t in model.tokenize(_in_bytes(p))]))
     odd = []
     for chunk in missing:
         word = chunk.strip(" \t\n\r\x0b\x0c")
-        if _PLAIN.fullmatch(word):
+        if word.isascii() and word.isalpha():
+            memo[chunk] = run_ids(word.lower())
+        elif _PLAIN.fullmatch(word):
             # Runs of letters and runs of marks are the pre-tokens of such a word.
-            memo[chunk] = b"".join(memo.get(p) or memo.setdefault(p, packed([t.id for t in model.tokenize(_in_bytes(p))])) for p in _RUNS.findall(word.lower()))
+            memo[chunk] = b"".join(map(run_ids, _RUNS.findall(word.lower())))
         else:
             odd.append(chunk)
     for at in range(0, len(odd), 4096):
