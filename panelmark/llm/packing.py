@@ -13,6 +13,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -29,46 +30,104 @@ from panelmark.llm.tokens import CHUNK, MEMO, in_steps, loaded, vocabulary
 
 CAPACITY, END, PART, NEIGHBOURS, ROUNDS = 2048, 0, 20_000, 16, 2
 
-_IDS: dict[str, dict[str, bytes]] = {}
-#: Words of Latin-1 letters and marks that neither normalisation nor contractions nor special tokens touch.
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ.,;:!?*%$&#|()-]+")
-_RUNS = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
+#: Characters of a text that are looked at in one go.
+SPAN = 1_000_000
+#: Pre-tokens of lower-case Latin-1 text under the pattern below: among these 256 characters, letters, numbers and white
+#: space of Unicode are the ones listed.
+_LATIN = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+#: The settings of the vocabulary file that the pattern above stands for.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 #: The characters that stand for bytes in byte-level vocabularies: printable ones themselves, the others from 256 on.
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
-def _in_bytes(part: str) -> str:
-    return part if part.isascii() else "".join(_BYTES[b] for b in part.encode())
-
-
-def encoded(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of each text as unsigned 32-bit integers, little end first.  As with counts, texts are cut where no
-    pre-token can cross and the ids of the pieces are remembered.  Words of plain letters and marks go to the model
-    run by run; everything else goes through the whole tokenizer."""
-    tokenizer, memo, cut = loaded(path), _IDS.setdefault(path, {}), re.compile(CHUNK)
-    model = tokenizer.model
-    chunks = [cut.findall(t) for t in texts]
-    missing = list({c for cs in chunks for c in cs if c not in memo})
-    if len(memo) + len(missing) > MEMO:
-        memo.clear()
-        missing = list({c for cs in chunks for c in cs})
-    packed = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
-    run_ids = lambda p: memo.get(p) or memo.setdefault(p, packed([t.id for t in model.tokenize(_in_bytes(p))]))
-    odd = []
-    for chunk in missing:
-        word = chunk.strip(" \t\n\r\x0b\x0c")
-        if word.isascii() and word.isalpha():
-            memo[chunk] = run_ids(word.lower())
-        elif _PLAIN.fullmatch(word):
-            # Runs of letters and runs of marks are the pre-tokens of such a word.
-            memo[chunk] = b"".join(map(run_ids, _RUNS.findall(word.lower())))
-        else:
-            odd.append(chunk)
-    for at in range(0, len(odd), 4096):
-        part = odd[at : at + 4096]
-        memo.update(zip(part, (packed(e.ids) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-    return [b"".join(map(memo.__getitem__, cs)) for cs in chunks]
+def _packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _PreTokens(dict):
+    """Ids of pre-tokens, each given to the model once; emptied when full, so its memory is bounded."""
+
+    def __init__(self, model):  # noqa: ANN001
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        shown = "".join(_BYTES[b] for b in part.encode())
+        ids = self[part] = _packed_ids([t.id for t in self.model.tokenize(shown)])
+        return ids
+
+
+def _spans(text: str) -> Iterator[str]:
+    """The text in pieces of about ``SPAN`` characters, cut before a blank, which no pre-token holds."""
+    start = 0
+    while len(text) - start > SPAN and (end := text.find(" ", start + SPAN)) >= 0:
+        yield text[start:end]
+        start = end
+    yield text[start:] if start else text
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class Encoder:
+    """Ids of texts as unsigned 32-bit integers, little end first.
+
+    Latin-1 text in a vocabulary of the settings above is composed (NFC) already, and its pre-tokens are known without
+    the tokenizer; the model sees each distinct one once.  Other texts are cut where no pre-token can cross, as for
+    counts, and their new pieces go through the whole tokenizer.  So do texts that name a special token."""
+
+    def __init__(self, path: str):
+        self.tokenizer = loaded(path)
+        self.parts, self.chunks, self.cut = _PreTokens(self.tokenizer.model), {}, re.compile(CHUNK)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known = self._known(json.loads(self.tokenizer.to_str()))
+
+    @staticmethod
+    def _known(settings: dict) -> bool:
+        normal = [n["type"] for n in (settings["normalizer"] or {}).get("normalizers", [])]
+        split = (settings["pre_tokenizer"] or {}).get("pretokenizers", [])
+        return normal == _NORMALIZERS and [s["type"] for s in split] == ["Split", "ByteLevel"] and split[0]["pattern"].get("Regex") == _PATTERN and not split[1]["add_prefix_space"] and not split[1]["use_regex"]
+
+    def __call__(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self._whole([text])[0]
+        of = self._of_latin if self.known and _latin(text) else self._of_chunks
+        return b"".join(map(of, _spans(text)))
+
+    def _of_latin(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, _LATIN.findall(text.lower())))
+
+    def _of_chunks(self, text: str) -> bytes:
+        found = self.cut.findall(text)
+        missing = [c for c in set(found) if c not in self.chunks]
+        if len(self.chunks) + len(missing) > MEMO:
+            self.chunks.clear()
+            missing = list(set(found))
+        self.chunks.update(zip(missing, self._whole(missing), strict=True))
+        return b"".join(map(self.chunks.__getitem__, found))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [_packed_ids(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoded(path: str, text: str) -> bytes:
+    """Ids of a text; a worker keeps one encoder for each vocabulary file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path](text)
 
 
 def _pieces(path: str, capacity: int):
@@ -80,8 +139,8 @@ def _pieces(path: str, capacity: int):
             doc_ids = batch.column("doc_id")
             for part in in_steps(texts, len, 1_000_000):
                 owner, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(encoded(path, texts[part]), part.start):
-                    ids += end
+                for i in range(part.start, part.stop):
+                    ids = encoded(path, texts[i]) + end
                     for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
                         owner.append(i)

@@ -97,6 +97,23 @@ def test_packing(spark, docs):
     assert len(by) == packing.lower_bound(np.array([r.length for r in got]), 2048)
 
 
+def test_encoder_gives_the_library_s_ids(monkeypatch):
+    path, rng = tokens.vocabulary("word_bpe_49k.json"), np.random.default_rng(3)
+    signs = [chr(i) for i in range(256)] + list("'''  stredvml\n\t") * 8
+    wide = signs + list("“”—…日本語\u0301\u200b İΣς½Ⅷ") * 6
+    texts = ["".join(rng.choice(x, rng.integers(0, 60))) for x in [signs, wide] * 300] + [a + chr(i) + b for i in range(256) for a, b in (("", ""), ("a", "b"), ("1", "'s"))]
+    texts += ["a <|endoftext|> b", "é<|startoftext|>y z", "日<|endoftext|>", *(t for t in TEXTS if t)]
+    library = tokens.loaded(path).encode_batch(texts, add_special_tokens=False)
+    want = [np.array(e.ids, "<u4").tobytes() for e in library]
+    assert [packing.encoded(path, t) for t in texts] == want
+    monkeypatch.setattr(packing, "SPAN", 5)
+    monkeypatch.setattr(packing, "MEMO", 50)
+    assert [packing.encoded(path, t) for t in texts] == want
+    # A vocabulary of other settings gets no short cut.
+    other = packing.Encoder(tokens.vocabulary("byte_bpe_50k.json"))
+    assert not other.known and other("Don't  stop it's") == np.array(other.tokenizer.encode("Don't  stop it's").ids, "<u4").tobytes()
+
+
 def test_lower_bound_never_exceeds_packing():
     rng = np.random.default_rng(0)
     for high in (300, 900, 2048):
