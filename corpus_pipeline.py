@@ -51,7 +51,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sized = docs.withColumn("mix_words", F.size(words(F.col("text"))).cast("long")).withColumn("mix_weight", quality_weight(F.col("text")))
     mixed = mix(sized, "mix_words", "mix_weight")
     copies = F.col("epochs") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("mix_words")), 1).otherwise(0)
-    return mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).where("mix_copy >= 1").select(*docs.columns)
+    return mixed.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

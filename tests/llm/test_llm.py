@@ -195,3 +195,34 @@ def test_pipeline_stages(spark, docs):
         kept = {r.doc_id for r in rows.collect()}
     assert kept and 9 not in kept
     assert corpus_pipeline.packing(spark, rows, "").agg(F.sum("length")).first()[0] > 0
+
+
+def test_mixing_stage_meets_targets(spark):
+    """Sources above and below their target; each keeps the documents that its keys and its budget ask for."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40 + i % 7)), "en", f"s{i % 3}", 0) for i in range(360)]
+    rows = [r for r in rows if r[3] != "s0" or r[0] < 90]  # the source of weight 5 is small, the one of weight 1 large
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    size, source = {r[0]: len(r[1].split()) for r in rows}, {r[0]: r[3] for r in rows}
+    total = {s: sum(n for i, n in size.items() if source[i] == s) for s in ("s0", "s1", "s2")}
+    weight, left, target = {"s0": 5.0, "s1": 2.0, "s2": 1.0}, 1.5 * sum(total.values()), {}
+    for s in sorted(total, key=lambda s: 2 * total[s] / weight[s]):
+        target[s] = min(2.0 * total[s], left * weight[s] / sum(w for x, w in weight.items() if x not in target))
+        left -= target[s]
+    assert target["s2"] < total["s2"] and target["s0"] == 2 * total["s0"]
+
+    def key(i, text):
+        u = (int(hashlib.md5(f"{i}|mix".encode()).hexdigest()[:8], 16) + 0.5) / 4294967296
+        return -np.log(u) / max(0.1, sum(c not in "0123456789#*$%&|<>{}=_~^" for c in text) / len(text))
+
+    want = collections.Counter()
+    for s in total:
+        whole, place = int(target[s] // total[s]), 0
+        rest = round(target[s] - whole * total[s])
+        for _, i in sorted((key(r[0], r[1]), r[0]) for r in rows if r[3] == s):
+            part = min(size[i], max(0, rest - place))
+            place += size[i]
+            want[i] += whole + (part > 0 and 2 * part >= size[i])
+    got = collections.Counter(r.doc_id for r in corpus_pipeline.mixing(spark, docs, "").collect())
+    assert got == +want
+    for s in total:
+        assert abs(sum(n * size[i] for i, n in got.items() if source[i] == s) - target[s]) <= 46
