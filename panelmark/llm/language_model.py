@@ -1,15 +1,17 @@
 """Scoring texts with a context-tree-weighting model of bytes, beside a unigram base score.
 
 Each byte is coded as eight binary decisions.  A decision's context tree has the bytes before as its depths, up to
-``DEPTH`` = 2; every node keeps a Krichevsky-Trofimov estimate, and the weighted probability mixes all depths: a node
+``DEPTH`` = 6; every node keeps a Krichevsky-Trofimov estimate, and the weighted probability mixes all depths: a node
 mixes its own estimate with its children's product, half and half.  Counts are all that training needs: the KT
-probability of a node depends only on how many zeros and ones it saw.  So training is one aggregation of byte
-(DEPTH + 1)-grams over the corpus; the tree is then weighted bottom-up.
+probability of a node depends only on how many zeros and ones it saw.
 
-With two bytes of context there are at most 256^3 different counts and as many conditional probabilities.  That bound is
-proven, whatever the corpus; so the aggregated counts may go to the driver and the table of probabilities (64 MB) to
-every worker.  Words have no such bound: the base score takes the most frequent ``TOP`` words from a bounded broadcast
-and joins the rest.
+Texts are dealt to blocks.  A block gives its distinct byte (DEPTH + 1)-grams with their counts in training texts, 0 for
+those that only held-out texts have: nodes without counts change no weight and predict 1/2, as contexts do that training
+never saw.  The grams of one three-byte suffix of the context meet in one task, which weights that part of the tree
+bottom-up and mixes each gram's probabilities down to depth 3.  What is above depth 3 has 255 nodes for each two bytes
+at most (256^3 in all, whatever the corpus), so the driver weights it and broadcasts it.  The grams' probabilities then
+return to their blocks.  Words have no such bound: the base score takes the most frequent ``TOP`` words from a bounded
+broadcast and joins the rest.
 
 Texts are lower-cased in A-Z, start in a context of zero bytes and end with one.
 
@@ -25,12 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmark.llm.common import release, stored, table, word_hashes
 
-DEPTH, CELLS = 2, 256**3
+DEPTH = 6
+#: Bytes of text in a block, and rows of grams that are weighted in one go (whole suffixes, so one may exceed it).
+BLOCK, ROWS = 4_000_000, 500_000
 #: Words that go to the workers at most: hash and count, 16 bytes each.
 TOP = 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -41,7 +46,7 @@ def lowered(text: str | None) -> bytes:
 
 
 def grams(raw: list[bytes]) -> np.ndarray:
-    """Index (second last, last, coded byte) of every coded byte of these texts, text by text."""
+    """Index (second last, last, coded byte) of every coded byte of these texts, text by text: the grams of depth 2."""
     joined = np.frombuffer(b"".join(b"\0\0" + x + b"\0" for x in raw), np.uint8)
     index = (joined[:-2].astype(np.int32) << 16) | (joined[1:-1].astype(np.int32) << 8) | joined[2:]
     keep = np.ones(len(index), bool)  # not what crosses from one text to the next
@@ -50,6 +55,25 @@ def grams(raw: list[bytes]) -> np.ndarray:
     return index[keep]
 
 
+def deep_grams(raw: list[bytes]) -> np.ndarray:
+    """The context from the nearest byte to the farthest, then the coded byte, as one integer for every coded byte."""
+    joined = np.frombuffer(b"".join(bytes(DEPTH) + x + b"\0" for x in raw), np.uint8)
+    n = len(joined) - DEPTH
+    keys = joined[DEPTH:].astype(np.int64)
+    for i in range(DEPTH):
+        keys |= joined[DEPTH - 1 - i : DEPTH - 1 - i + n].astype(np.int64) << (8 * (DEPTH - i))
+    keep = np.ones(n, bool)  # not what crosses from one text to the next
+    ends = np.cumsum([len(x) + 1 + DEPTH for x in raw])[:-1]
+    for i in range(1, DEPTH + 1):
+        keep[ends - i] = False
+    return keys[keep]
+
+
+def runs(ordered: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal values."""
+    return np.flatnonzero(np.r_[np.ones(min(len(ordered), 1), bool), ordered[1:] != ordered[:-1]])
+
+
 def steps(raw: list[bytes], most: int = 2_000_000) -> Iterator[list[bytes]]:
     held, size = [], 0
     for x in raw:
@@ -62,32 +86,67 @@ def steps(raw: list[bytes], most: int = 2_000_000) -> Iterator[list[bytes]]:
         yield held
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the rows and deal them to blocks of about ``BLOCK`` bytes."""
+    first = TaskContext.get().partitionId() << 33
+    row, block, size = first, first, 0
+    for batch in batches:
+        blocks = []
+        for n in [len(t or "") + 1 for t in batch.column("text").to_pylist()]:
+            if size >= BLOCK:
+                block, size = block + 1, 0
+            blocks.append(block)
+            size += n
+        rows = np.arange(row, row + len(blocks), dtype=np.int64)
+        row += len(blocks)
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(blocks, pa.int64()), *batch.columns], ["row", "block", *batch.schema.names])
+
+
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+    """(block, texts, which are held out).  A block that two tasks read comes in two parts."""
+    now, raw, held = None, [], []
+    for batch in batches:
+        for block, text, out in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), batch.column("held_out").to_pylist(), strict=True):
+            if block != now and raw:
+                yield now, raw, np.array(held)
+                raw, held = [], []
+            now = block
+            raw.append(lowered(text))
+            held.append(bool(out))
+    if raw:
+        yield now, raw, np.array(held)
+
+
 def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a partition: of grams (kind 0), of word hashes (kind 1), of texts (kind 2)."""
-    cells, texts = np.zeros(CELLS, np.int32), 0
+    """Counts in training texts: of a block's grams (kind 0), of a partition's word hashes (kind 1) and texts (kind 2)."""
+    texts = 0
 
-    def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(kind: int, keys: np.ndarray, n: np.ndarray, block: int = 0) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(keys), 100_000):
             part = slice(at, at + 100_000)
             k = keys[part]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k, pa.int64()), pa.array(n[part], pa.int64())], ["kind", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(np.full(len(k), block)), pa.array(k, pa.int64()), pa.array(n[part], pa.int64())], ["kind", "block", "key", "n"])
 
     found: Counter = Counter()
-    for batch in batches:
-        for raw in steps([lowered(t) for t in batch.column("text").to_pylist()]):
-            texts += len(raw)
-            index, n = np.unique(grams(raw), return_counts=True)
-            cells[index] += n.astype(np.int32)
-            for x in raw:
+    for block, raw, held in by_block(batches):
+        keys = deep_grams(raw)
+        out = np.repeat(held, [len(x) + 1 for x in raw])
+        seen, other = np.sort(keys[~out]), np.sort(keys[out])
+        at = runs(seen)
+        seen, n = seen[at], np.diff(np.r_[at, len(seen)])
+        yield from rows(0, seen, n, block)
+        other = other[runs(other)]
+        if len(seen):
+            other = other[seen[np.minimum(np.searchsorted(seen, other), len(seen) - 1)] != other]
+        yield from rows(0, other, np.zeros(len(other), np.int64), block)
+        texts += int((~held).sum())
+        for x, o in zip(raw, held, strict=True):
+            if not o:
                 found.update(x.split())
-            if len(found) > 500_000:
-                yield from rows(1, *_counted(found))
-                found.clear()
-            if cells.max(initial=0) > 1 << 30:
-                yield from rows(0, np.flatnonzero(cells), cells[cells > 0])
-                cells[:] = 0
+        if len(found) > 500_000:
+            yield from rows(1, *_counted(found))
+            found.clear()
     yield from rows(1, *_counted(found))
-    yield from rows(0, np.flatnonzero(cells), cells[cells > 0])
     yield from rows(2, np.zeros(1, np.int64), np.array([texts]))
 
 
@@ -113,6 +172,24 @@ def kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - np.log(np.pi)
 
 
+_HALVES, _WHOLES = log_gamma(np.arange(1 << 16) + 0.5), log_gamma(np.arange(1 << 16) + 1.0)
+
+
+def kt_counts(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """``kt`` of integers, small ones by tables."""
+    total = zeros + ones
+    low = np.minimum(zeros, 0xFFFF), np.minimum(ones, 0xFFFF), np.minimum(total, 0xFFFF)
+    out = _HALVES[low[0]] + _HALVES[low[1]] - _WHOLES[low[2]] - np.log(np.pi)
+    large = total > 0xFFFF
+    out[large] = kt(zeros[large], ones[large])
+    return out
+
+
+def weighted(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted ln probability, and the weight of a node's own estimate against its children's."""
+    return np.log(0.5) + np.logaddexp(own, below), 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
+
+
 #: For each byte: the decision nodes on its way (heap order) and the bit taken there.
 NODES = np.array([[(1 << d) | (x >> (8 - d)) for d in range(8)] for x in range(256)])
 BITS = np.array([[(x >> (7 - d)) & 1 for d in range(8)] for x in range(256)])
@@ -175,29 +252,158 @@ def weighted_table(index: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _scored(model, top):  # noqa: ANN001
+def subtrees(grams_: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Weight the tree from ``DEPTH`` up to depth 3 over all grams of some three-byte suffixes (distinct, in order).
+
+    Gives each gram's probabilities of its eight bits, mixed from depth 3 on, and the nodes of depth 3: key (suffix and
+    decision node), zeros, ones, weighted ln probability."""
+    rows, count, to = grams_, n, np.arange(len(grams_))
+    p, below, nodes = np.empty((8, len(grams_))), [None] * 8, []
+    for d in range(DEPTH, 2, -1):
+        if d < DEPTH:  # drop the farthest byte
+            up = ((rows >> 16) << 8) | (rows & 255)
+            order = np.argsort(up, kind="stable")
+            at = runs(up[order])
+            back = np.empty(len(up), np.int64)
+            back[order] = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(up)]))
+            rows, count, to = up[order][at], np.add.reduceat(count[order], at), back[to]
+        for k in range(8):
+            starts = runs(rows >> (8 - k))
+            node = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(rows)]))
+            bit = (rows >> (7 - k)) & 1
+            total, ones = np.add.reduceat(count, starts), np.add.reduceat(count * bit, starts)
+            ln, one = kt_counts(total - ones, ones), (ones + 0.5) / (total + 1)
+            taken = np.where(bit == 1, one[node], 1 - one[node])
+            if d == DEPTH:
+                p[k] = taken
+            else:
+                first, deeper = below[k]
+                ln, share = weighted(ln, np.bincount(node[back[first]], weights=deeper, minlength=len(starts)))
+                own = share[node]
+                p[k] = (own * taken)[to] + (1 - own)[to] * p[k]
+            below[k] = starts, ln
+            if d == 3:
+                head = rows[starts]
+                nodes.append((head >> 8 << 8 | 1 << k | (head & 255) >> (8 - k), total - ones, ones, ln))
+    return p, [np.concatenate(x) for x in zip(*nodes, strict=True)]
+
+
+WEIGHED = "key long, p array<float>, blocks array<long>, zeros long, ones long, ln double"
+
+
+def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams in order to their probabilities and blocks, and to the nodes of depth 3 (rows with ``ln``)."""
+    names = [x.split()[0] for x in WEIGHED.split(", ")]
+
+    def done(keys: np.ndarray, blocks: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = runs(keys)
+        p, nodes = subtrees(keys[at], np.add.reduceat(n, at))
+        ends = np.r_[at, len(keys)]
+        for i in range(0, len(at), 50_000):
+            own = slice(i, i + 50_000)
+            some = p[:, own].T.astype(np.float32)
+            span = ends[i : i + len(some) + 1]
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * 8, pa.int32()), pa.array(some.ravel())), pa.ListArray.from_arrays(pa.array(span - span[0], pa.int32()), pa.array(blocks[span[0] : span[-1]]))]
+            nothing = [pa.nulls(len(some), t) for t in (pa.int64(), pa.int64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at[own]]), *lists, *nothing], names)
+        for i in range(0, len(nodes[0]), 100_000):
+            key, zeros, ones, ln = (pa.array(x[i : i + 100_000]) for x in nodes)
+            yield pa.RecordBatch.from_arrays([key, pa.nulls(len(key), pa.list_(pa.float32())), pa.nulls(len(key), pa.list_(pa.int64())), zeros, ones, ln], names)
+
+    held, size = [], 0
+    for batch in batches:
+        held.append([batch.column(x).to_numpy() for x in ("key", "block", "n")])
+        size += batch.num_rows
+        if size >= ROWS:
+            keys, blocks, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            suffix = keys >> 8 * (DEPTH - 2)
+            cut = int(np.searchsorted(suffix, suffix[-1]))
+            if cut:
+                yield from done(keys[:cut], blocks[:cut], n[:cut])
+            held, size = [[keys[cut:], blocks[cut:], n[cut:]]], len(keys) - cut
+    if size:
+        yield from done(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def crown(nodes: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, a, b) of the decision nodes after two bytes: the probability of a one is a + b * what depth 3 gives."""
+    key, zeros, ones, below = (nodes.column(x).to_numpy() for x in ("key", "zeros", "ones", "ln"))
+    order = np.argsort(key)
+    key, zeros, ones, below = key[order], zeros[order], ones[order], below[order]
+    levels, to = [], np.arange(len(key))
+    for d in (2, 1, 0):
+        ln, share = weighted(kt_counts(zeros, ones), below)
+        one = (ones + 0.5) / (zeros + ones + 1)
+        levels.append((share[to], one[to]))
+        if d:
+            keys, back = np.unique(((key if d == 2 else keys) >> 16 << 8) | ((key if d == 2 else keys) & 255), return_inverse=True)
+            zeros, ones = (np.bincount(back, weights=x, minlength=len(keys)).astype(np.int64) for x in (zeros, ones))
+            below, to = np.bincount(back, weights=ln, minlength=len(keys)), back[to]
+    a, b = np.zeros(len(key)), np.ones(len(key))
+    for share, one in levels:  # from depth 2 up
+        a, b = share * one + (1 - share) * a, (1 - share) * b
+    return key, a, b
+
+
+def _dealt(top):  # noqa: ANN001
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, (keys, logs) = model.value, top.value
+        keys, a, b = top.value
         for batch in batches:
-            texts, done = batch.column("text").to_pylist(), 0
-            for raw in steps([lowered(t) for t in texts]):
-                index = grams(raw)
-                starts = np.cumsum([0] + [len(x) + 1 for x in raw])[:-1]
-                score = np.add.reduceat(cells[index].astype(float), starts)
-                tokens, known, base, rare, times = [], [], [], [], []
-                for x in raw:
-                    h, n = np.unique(word_hashes(x.split()).view(np.int64), return_counts=True)
-                    at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-                    hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-                    tokens.append(int(n.sum()))
-                    known.append(int(n[hit].sum()))
-                    base.append(float((n[hit] * logs[at[hit]]).sum()) if hit.any() else 0.0)
-                    rare.append(h[~hit])
-                    times.append(n[~hit].astype(np.int32))
-                rows = batch.slice(done, len(raw))
-                done += len(raw)
-                arrays = [rows.column("doc_id"), rows.column("held_out"), pa.array(score), pa.array([len(x) + 1 for x in raw], pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "score", "n_coded", "words", "known", "logs", "rare", "times"])
+            g = batch.column("key").to_numpy()
+            if not len(g):
+                continue
+            p = batch.column("p").flatten().to_numpy().reshape(-1, 8).astype(float)
+            log, x = np.zeros(len(g)), g & 255
+            for k in range(8):
+                at = np.searchsorted(keys, (g >> 8 * (DEPTH - 1) << 8) | 1 << k | x >> (8 - k))
+                own = np.where((x >> (7 - k)) & 1 == 1, a[at], 1 - b[at] - a[at])
+                log += np.log10(own + b[at] * p[:, k])
+            lists = batch.column("blocks")
+            times = lists.value_lengths().to_numpy()
+            g, log, blocks = np.repeat(g, times), np.repeat(log, times), lists.flatten()
+            for i in range(0, len(g), 100_000):
+                part = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_arrays([blocks[part], pa.array(g[part]), pa.array(log[part])], ["block", "key", "log"])
+
+    return run
+
+
+def _logs(raw: list[bytes], keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """log10 probability of each coded byte, given those of the block's grams."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    logs = logs[order][runs(ordered)]
+    own = deep_grams(raw)
+    order = np.argsort(own)
+    at = runs(own[order])
+    if len(at) != len(logs):
+        raise ValueError("a block and its grams differ")
+    out = np.empty(len(own))
+    out[order] = np.repeat(logs, np.diff(np.r_[at, len(own)]))
+    return out
+
+
+SCORED = "row long, doc_id long, held_out boolean, score double, n_coded long, words long, known long, logs double, rare array<long>, times array<int>"
+
+
+def _scored(top):  # noqa: ANN001
+    def run(block: pa.Table, grams_: pa.Table) -> pa.Table:
+        keys, logs = top.value
+        raw = [lowered(t) for t in block.column("text").to_pylist()]
+        starts = np.cumsum([0] + [len(x) + 1 for x in raw])[:-1]
+        score = np.add.reduceat(_logs(raw, grams_.column("key").to_numpy(), grams_.column("log").to_numpy()), starts)
+        tokens, known, base, rare, times = [], [], [], [], []
+        for x in raw:
+            h, n = np.unique(word_hashes(x.split()).view(np.int64), return_counts=True)
+            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+            hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+            tokens.append(int(n.sum()))
+            known.append(int(n[hit].sum()))
+            base.append(float((n[hit] * logs[at[hit]]).sum()) if hit.any() else 0.0)
+            rare.append(h[~hit])
+            times.append(n[~hit].astype(np.int32))
+        arrays = [block.column("row"), block.column("doc_id"), block.column("held_out"), pa.array(score), pa.array([len(x) + 1 for x in raw], pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))]
+        return pa.Table.from_arrays(arrays, [x.split()[0] for x in SCORED.split(", ")])
 
     return run
 
@@ -223,16 +429,22 @@ def score_texts(docs: DataFrame, training, text: str = "text", doc_id: str = "do
     ``training`` is a condition on ``docs``; the model learns from the rows where it is true and scores all."""
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (~training).alias("held_out"))
-    learnt = stored(source.where("not held_out").select("text").mapInArrow(_learnt, "kind byte, key long, n long"), "lm-learnt")
-    cells = learnt.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # 256^3 rows at most
+    source = stored(source.mapInArrow(_blocks, "row long, block long, doc_id long, text string, held_out boolean"), "lm-blocks")
+    learnt = stored(source.select("block", "text", "held_out").mapInArrow(_learnt, "kind byte, block long, key long, n long"), "lm-learnt")
+    grams_ = learnt.where("kind = 0").select("block", "key", "n").repartition(F.shiftright("key", 8 * (DEPTH - 2))).sortWithinPartitions("key")
+    weighed = stored(grams_.mapInArrow(_weighed, WEIGHED), "lm-weighed")
+    release(spark)
+    node = F.shiftleft(F.shiftright("key", 16), 8).bitwiseOR(F.col("key").bitwiseAND(F.lit(255)))
+    nodes = weighed.where("ln is not null").groupBy(node.alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("ln").alias("ln")).toArrow()  # 256^3 rows at most
     counts = stored(learnt.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "lm-words")
     texts = learnt.where("kind = 2").agg(F.sum("n")).first()[0] or 0
     words, total = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
     train_tokens, distinct = (total or 0) + texts, words + (texts > 0)
-    model = spark.sparkContext.broadcast(weighted_table(cells.column("key").to_numpy(), cells.column("n").to_numpy()))
+    model = spark.sparkContext.broadcast(crown(nodes))
     keys, logs, least = frequent(counts, top)
-    scored = source.mapInArrow(_scored(model, spark.sparkContext.broadcast((keys, logs))), "doc_id long, held_out boolean, score double, n_coded long, words long, known long, logs double, rare array<long>, times array<int>")
-    scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    dealt = weighed.where("ln is null").select("key", "p", "blocks").mapInArrow(_dealt(model), "block long, key long, log double")
+    scored = source.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(_scored(spark.sparkContext.broadcast((keys, logs))), SCORED)
+    scored = stored(scored, "lm-scored")
     release(spark)
     places = scored.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("p")).select("row", F.col("p.rare").alias("key"), F.col("p.times").alias("times"))
     seldom = counts.where(F.col("n") < least).withColumnRenamed("n", "count")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -226,3 +227,50 @@ def test_mixing_stage_meets_targets(spark):
     assert got == +want
     for s in total:
         assert abs(sum(n * size[i] for i, n in got.items() if source[i] == s) - target[s]) <= 46
+
+
+def test_language_model_mixes_all_depths(spark):
+    """Against a recursive tree; contexts longer than three bytes count."""
+    texts = ["the cat sat on the mat", "The cat ate", None, "abcdefgh abcdefgh abcdefxh", "the cat sat on the mat", "qz abcdefgh", "\xe9t\xe9", "", "the cot sat"]
+    learn = [i % 4 != 0 for i in range(len(texts))]
+    counts = collections.defaultdict(lambda: [0, 0])
+
+    def coded(text):
+        b = bytes(lm.DEPTH) + lower(text) + b"\0"
+        for j in range(lm.DEPTH, len(b)):
+            for k in range(8):
+                yield b[j - lm.DEPTH : j][::-1], 1 << k | b[j] >> (8 - k), b[j] >> (7 - k) & 1
+
+    for t, own in zip(texts, learn, strict=True):
+        for context, node, bit in coded(t) if own else ():
+            for d in range(lm.DEPTH + 1):
+                counts[context[:d], node][bit] += 1
+    children = collections.defaultdict(set)
+    for c, v in list(counts):
+        if c:
+            children[c[:-1], v].add(c)
+
+    def own(c, v):
+        z, o = counts[c, v] if (c, v) in counts else (0, 0)
+        return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi), (o + 0.5) / (z + o + 1)
+
+    def parts(c, v):
+        return own(c, v)[0], sum(ln(x, v) for x in children.get((c, v), ()))
+
+    def ln(c, v):
+        a, b = parts(c, v)
+        return a if len(c) == lm.DEPTH else math.log(0.5) + np.logaddexp(a, b)
+
+    def one(context, v, d=0):
+        c = context[:d]
+        if d == lm.DEPTH:
+            return own(c, v)[1]
+        a, b = parts(c, v)
+        share = 1 / (1 + math.exp(b - a))
+        return share * own(c, v)[1] + (1 - share) * one(context, v, d + 1)
+
+    want = [sum(math.log10(p if bit else 1 - p) for context, v, bit in coded(t) for p in [one(context, v)]) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.score for r in lm.score_texts(df, F.col("doc_id") % 4 != 0).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=1e-4)
+    assert lm.DEPTH >= 5 and lm.score_texts(df.limit(0), F.lit(True)).count() == 0
