@@ -24,3 +24,9 @@ def test_intervals_hold_their_value_and_rerun_alike(spark, name):
     assert one and sorted(map(str, one)) == sorted(map(str, registry.QUERIES[name](spark, FOLDER).collect()))
     value = "mean" if "mean" in one[0] else "difference"
     assert all(r.low <= r[value] <= r.high for r in one)
+
+
+def test_differences_of_all_pairs_of_domains(spark):
+    domains = sorted(r.lang for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("lang").distinct().collect())
+    got = registry.QUERIES["r5_difference_ci"](spark, FOLDER).collect()
+    assert sorted((r.a, r.b) for r in got) == [(a, b) for a in domains for b in domains if a < b]
