@@ -451,7 +451,7 @@ def _(get):  # noqa: ANN001, ANN202
 
 @query("a34_reliability_table")
 def _(get):  # noqa: ANN001, ANN202
-    return rf.reliability_table(get("consensus").withColumnRenamed("annotator_id", "rater_id"), get("ratings"), draws=2000)
+    return rf.reliability_table(get("consensus").withColumnRenamed("annotator_id", "rater_id"), get("ratings"))
 
 
 # --- resampling -----------------------------------------------------------------------------------------------------
@@ -469,28 +469,28 @@ def _(get):  # noqa: ANN001, ANN202
 
 @query("r2_cluster_bootstrap_ci")
 def _(get):  # noqa: ANN001, ANN202
-    return rs.both_cis(pr.attach_cluster(matches(get), get("items")), "value", draws=2000)
+    return rs.both_cis(pr.attach_cluster(matches(get), get("items")), "value")
 
 
 @query("r3_bootstrap_ac1_ci")
 def _(get):  # noqa: ANN001, ANN202
-    return rs.bootstrap_ac1_ci(get("nominal"), draws=2000)
+    return rs.bootstrap_ac1_ci(get("nominal"))
 
 
 @query("r4_bootstrap_panel_ci")
 def _(get):  # noqa: ANN001, ANN202
-    return rs.bootstrap_panel_ci(get("ratings"), "weighted", draws=2000)
+    return rs.bootstrap_panel_ci(get("ratings"), "weighted")
 
 
 @query("r5_difference_ci")
 def _(get):  # noqa: ANN001, ANN202
     domains = sorted(r.domain for r in get("ratings").where("domain is not null").select("domain").distinct().collect())  # configuration-sized
-    return rs.difference_ci(get("ratings"), list(combinations(domains, 2)), draws=2000)
+    return rs.difference_ci(get("ratings"), list(combinations(domains, 2)))
 
 
 @query("r6_cohort_shift")
 def _(get):  # noqa: ANN001, ANN202
-    return rs.cohort_shift(get("consensus").withColumnRenamed("annotator_id", "rater_id"), "round", 1, 2, draws=2000)
+    return rs.cohort_shift(get("consensus").withColumnRenamed("annotator_id", "rater_id"), "round", 1, 2)
 
 
 @query("r7_percentile_at", "WITH x AS (SELECT source AS g, n_chars::DOUBLE AS v, row_number() OVER (PARTITION BY source ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT g, max(CASE WHEN i = floor(n * 0.025::DOUBLE) THEN v END) AS low, max(CASE WHEN i = greatest(0, floor(n * 0.975::DOUBLE) - 1) THEN v END) AS high, max(n) AS kept FROM x GROUP BY g")

@@ -30,3 +30,18 @@ def test_differences_of_all_pairs_of_domains(spark):
     domains = sorted(r.lang for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("lang").distinct().collect())
     got = registry.QUERIES["r5_difference_ci"](spark, FOLDER).collect()
     assert sorted((r.a, r.b) for r in got) == [(a, b) for a in domains for b in domains if a < b]
+
+
+@pytest.mark.parametrize("name", ["r3_bootstrap_ac1_ci", "r4_bootstrap_panel_ci", "r5_difference_ci", "r6_cohort_shift", "a34_reliability_table"])
+def test_intervals_come_from_all_draws(spark, name):
+    got = registry.QUERIES[name](spark, FOLDER).collect()
+    assert max(r[c] for r in got for c in got[0].asDict() if c.endswith("kept")) == 10_000
+
+
+def test_cluster_intervals_take_the_default_of_draws(spark):
+    from panelmark.operators import pairs as pr
+    from panelmark.operators import resample as rs
+
+    get = lambda x: registry.fixture(spark, FOLDER, x)
+    want = registry.rounded(rs.both_cis(pr.attach_cluster(registry.matches(get), get("items")), "value", draws=10_000))
+    assert sorted(map(str, registry.QUERIES["r2_cluster_bootstrap_ci"](spark, FOLDER).collect())) == sorted(map(str, want.collect()))
