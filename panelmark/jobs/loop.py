@@ -16,7 +16,7 @@ from panelmark.functions.text import validate_revision
 from panelmark.operators import history as h
 from panelmark.operators.metrics import panel_metrics
 from panelmark.operators.pairs import attach_rubric, exclude_items, pending_calls, plan_calls, top_cases
-from panelmark.operators.votes import panel_vote
+from panelmark.operators.votes import disagreement_cases, panel_vote
 from panelmark.sources.tables import append_calls
 
 #: A rater takes (rater_id, frame of items with rubric columns) and gives a frame with the label fields, row by row.
@@ -84,8 +84,8 @@ def calibrate(items: DataFrame, rubrics: DataFrame, raters: list[str], rater: Ra
         done |= {d for d, a in action.items() if a in ("converged", "stagnated")}
         if iteration == max_iterations or done >= set(values):
             break
-        panel = panel_vote(ratings)
-        cases = top_cases(panel.where(~F.col("all_agree"))).join(active.select("domain", "item_id", F.substring("text", 1, 300).alias("excerpt")), ["domain", "item_id"]).collect()
+        panel = panel_vote(ratings, details=True)
+        cases = disagreement_cases(top_cases(panel.where(~F.col("all_agree"))), active).collect()
         answers = [(d, reviser(d, known[d].asDict(), [c.asDict() for c in cases if c.domain == d])) for d in sorted(values) if d not in done and d in known]
         if not answers:
             continue

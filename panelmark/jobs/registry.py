@@ -166,8 +166,7 @@ def _(get):  # noqa: ANN001, ANN202
 
 @query("p18_disagreement_cases", f"SELECT v.domain, v.item_id, h AS votes_high, substr(i.text, 1, 300) AS excerpt FROM (SELECT domain, item_id, {H} AS h, {L} AS l FROM [ratings] r GROUP BY domain, item_id) v JOIN [items] i ON v.item_id = i.item_id AND v.domain = i.domain WHERE h > 0 AND l > 0")
 def _(get):  # noqa: ANN001, ANN202
-    split = vt.panel_vote(get("ratings")).where(~F.col("all_agree"))
-    return split.join(get("items"), ["domain", "item_id"]).select("domain", "item_id", "votes_high", tx.truncate(F.col("text"), tx.CASE_CHARS).alias("excerpt"))
+    return vt.disagreement_cases(vt.panel_vote(get("ratings"), details=True), get("items")).select("domain", "item_id", "votes_high", "excerpt")
 
 
 # --- joins ----------------------------------------------------------------------------------------------------------

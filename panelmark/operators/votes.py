@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelmark.functions import text as tx
+
 LABELS = ("HIGH", "LOW")
 ITEM = ("domain", "item_id")
 
@@ -74,6 +76,19 @@ def panel_vote(ratings: DataFrame, rule: str = "abs2", item=ITEM, fixed_raters:
     return out.select(*names, *(["individual_results"] if details else []))
 
 
+def disagreement_cases(panel: DataFrame, items: DataFrame, n_text: int = tx.CASE_CHARS, n_quote: int = tx.QUOTE_CHARS, item=ITEM) -> DataFrame:
+    """Split items of a panel with details: excerpt, votes and sanitized quotes by rater.  Several ratings of one rater
+    are joined by commas; a null rater has the key of an empty string."""
+    single = F.col("individual_results")
+    ids = F.array_distinct(F.transform(single, lambda r: F.coalesce(r.rater_id.cast("string"), F.lit(""))))
+    own = lambda i: F.filter(single, lambda r: F.coalesce(r.rater_id.cast("string"), F.lit("")) == i)
+    by_rater = lambda f: F.map_from_arrays(ids, F.transform(ids, lambda i: F.array_join(F.transform(own(i), f), ", ")))
+    quoted = "criterion_quote" in panel.schema["individual_results"].dataType.elementType.names
+    quote = lambda r: tx.sanitize_quote(r.criterion_quote, n_quote) if quoted else F.lit("")
+    split = panel.where(~F.col("all_agree")).withColumns({"votes": by_rater(lambda r: r.label), "quotes": by_rater(quote)}).drop("individual_results")
+    return split.join(items.select(*item, tx.truncate(F.col("text"), n_text).alias("excerpt")), list(item))
+
+
 def majority(ratings: DataFrame, rule: str = "abs2", item=ITEM, order: str = "rater_id") -> DataFrame:
     """The panel's label per item.  ``plurality_first``: any labels, ties to the one seen first in ``order``."""
     if rule != "plurality_first":

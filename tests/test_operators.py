@@ -117,3 +117,23 @@ def test_stream_equals_batch(spark, tmp_path):
     df.where("rater_id = 'r2'").write.mode("append").parquet(str(tmp_path / "in"))
     run()
     assert sorted(map(str, sink.metrics(spark).collect())) == sorted(map(str, metrics.panel_metrics(df).collect()))
+
+
+def test_disagreement_cases_hold_votes_and_quotes(spark, tmp_path):
+    from panelmark.jobs import loop
+    from panelmark.operators.votes import disagreement_cases, panel_vote
+
+    rows = [("d", 1, "a", "HIGH", 'say "x"\\y'), ("d", 1, "b", "LOW", None), ("d", 1, "b", "LOW", "z"), ("d", 2, "a", "HIGH", "q"), ("d", 2, "b", "HIGH", "q")]
+    items = spark.createDataFrame([("d", 1, "some text"), ("d", 2, "other")], "domain string, item_id long, text string")
+    panel = panel_vote(spark.createDataFrame(rows, "domain string, item_id long, rater_id string, label string, criterion_quote string"), details=True)
+    (got,) = disagreement_cases(panel, items, 4, 6).collect()
+    assert (got.item_id, got.excerpt, got.votes, got.quotes) == (1, "some", {"a": "HIGH", "b": "LOW, LOW"}, {"a": "say 'x", "b": "z"})
+
+    def rater(name, frame):
+        return frame.assign(label="HIGH" if name == "a" else "LOW", confidence="HIGH", reason="", criterion_quote=f"by {name}")[list(loop.FIELDS)]
+
+    seen = []
+    rubrics = spark.createDataFrame([("d", "0", "c", ["h"], ["l"], "r")], "domain string, version string, domain_context string, HIGH array<string>, LOW array<string>, conflict_rule string")
+    answer = json.dumps({"updated_HIGH": ["a"], "updated_LOW": ["b"], "updated_conflict_rule": "c"})
+    loop.calibrate(items, rubrics, ["a", "b"], rater, lambda domain, rubric, cases: seen.extend(cases) or answer, str(tmp_path / "log"), tau=1.1, max_iterations=2)
+    assert [(c["votes"], c["quotes"]) for c in seen] == [({"a": "HIGH", "b": "LOW"}, {"a": "by a", "b": "by b"})] * 2
