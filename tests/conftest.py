@@ -9,10 +9,11 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
-    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
+    shared = str(tmp_path_factory.mktemp("shared"))
+    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.checkpoint.dir", shared).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
@@ -28,7 +29,6 @@ def duck():
     con = duckdb.connect()
     for name in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations", "lineitem", "orders", "events"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
-    con.folder = folder if hasattr(con, "__dict__") else None
     return con
 
 
