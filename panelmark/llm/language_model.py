@@ -1,17 +1,19 @@
 """Scoring texts with a context-tree-weighting model of bytes, beside a unigram base score.
 
 Each byte is coded as eight binary decisions.  A decision's context tree has the bytes before as its depths, up to
-``DEPTH`` = 6; every node keeps a Krichevsky-Trofimov estimate, and the weighted probability mixes all depths: a node
-mixes its own estimate with its children's product, half and half.  Counts are all that training needs: the KT
-probability of a node depends only on how many zeros and ones it saw.
-
-Texts are dealt to blocks.  A block gives its distinct byte (DEPTH + 1)-grams with their counts in training texts, 0 for
-those that only held-out texts have: nodes without counts change no weight and predict 1/2, as contexts do that training
-never saw.  The grams of one three-byte suffix of the context meet in one task, which weights that part of the tree
-bottom-up and mixes each gram's probabilities down to depth 3.  What is above depth 3 has 255 nodes for each two bytes
-at most (256^3 in all, whatever the corpus), so the driver weights it and broadcasts it.  The grams' probabilities then
-return to their blocks.  Words have no such bound: the base score takes the most frequent ``TOP`` words from a bounded
-broadcast and joins the rest.
+``DEPTH``; every node keeps a Krichevsky-Trofimov estimate, and the weighted probability mixes all depths: a node mixes
+its own estimate with its children's product, half and half.  Counts are all that training needs: the KT probability of
+a node depends only on how many zeros and ones it saw.
+
+Texts are dealt to blocks.  A block gives its distinct grams (context and coded byte) with their counts in training
+texts, 0 for those that only held-out texts have: nodes without counts change no weight and predict 1/2, as contexts do
+that training never saw.  Grams travel packed, by parts: a part holds all grams of some three-byte suffixes of the
+context, and of one suffix there are 256^3 different ones at most at ``DEPTH`` 5, whatever the corpus.  A task adds up
+the counts of a part, weights that piece of the tree bottom-up and mixes each gram's probabilities down to depth 3.
+What is above depth 3 has 255 nodes for each two bytes at most (256^3 in all), so the driver weights it and broadcasts
+it.  Each part's probabilities then meet the packed grams of the blocks again, one pack after the other, and return to
+the blocks.  Words have no such bound: the base score takes the most frequent ``TOP`` words from a bounded broadcast and
+joins the rest.
 
 Texts are lower-cased in A-Z, start in a context of zero bytes and end with one.
 
@@ -27,15 +29,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmark.llm.common import release, stored, table, word_hashes
+from panelmark.llm.common import discard, mixed, release, stored, table, word_hashes
+from panelmark.llm.tokens import in_steps
 
-DEPTH = 6
-#: Bytes of text in a block, and rows of grams that are weighted in one go (whole suffixes, so one may exceed it).
-BLOCK, ROWS = 4_000_000, 500_000
+#: Bytes of context, 3 to 5: a gram then takes 48 bits at most.
+DEPTH = 5
+#: Characters that a task looks at in one go; characters and distinct grams at which it closes a block.
+STEP, BLOCK, BLOCK_GRAMS = 2_000_000, 32_000_000, 4_000_000
+#: Parts of the tree, and grams that are weighted in one go (whole parts, so one may exceed it).
+PARTS, ROWS = 4096, 500_000
 #: Words that go to the workers at most: hash and count, 16 bytes each.
 TOP = 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -45,26 +52,16 @@ def lowered(text: str | None) -> bytes:
     return (text or "").encode().translate(_LOWER)
 
 
-def grams(raw: list[bytes]) -> np.ndarray:
-    """Index (second last, last, coded byte) of every coded byte of these texts, text by text: the grams of depth 2."""
-    joined = np.frombuffer(b"".join(b"\0\0" + x + b"\0" for x in raw), np.uint8)
-    index = (joined[:-2].astype(np.int32) << 16) | (joined[1:-1].astype(np.int32) << 8) | joined[2:]
-    keep = np.ones(len(index), bool)  # not what crosses from one text to the next
-    ends = np.cumsum([len(x) + 3 for x in raw])[:-1]
-    keep[ends - 2] = keep[ends - 1] = False
-    return index[keep]
-
-
-def deep_grams(raw: list[bytes]) -> np.ndarray:
+def deep_grams(raw: list[bytes], depth: int = DEPTH) -> np.ndarray:
     """The context from the nearest byte to the farthest, then the coded byte, as one integer for every coded byte."""
-    joined = np.frombuffer(b"".join(bytes(DEPTH) + x + b"\0" for x in raw), np.uint8)
-    n = len(joined) - DEPTH
-    keys = joined[DEPTH:].astype(np.int64)
-    for i in range(DEPTH):
-        keys |= joined[DEPTH - 1 - i : DEPTH - 1 - i + n].astype(np.int64) << (8 * (DEPTH - i))
+    joined = np.frombuffer(b"".join(bytes(depth) + x + b"\0" for x in raw), np.uint8)
+    n = len(joined) - depth
+    keys = joined[depth:].astype(np.int64)
+    for i in range(depth):
+        keys |= joined[depth - 1 - i : depth - 1 - i + n].astype(np.int64) << (8 * (depth - i))
     keep = np.ones(n, bool)  # not what crosses from one text to the next
-    ends = np.cumsum([len(x) + 1 + DEPTH for x in raw])[:-1]
-    for i in range(1, DEPTH + 1):
+    ends = np.cumsum([len(x) + 1 + depth for x in raw])[:-1]
+    for i in range(1, depth + 1):
         keep[ends - i] = False
     return keys[keep]
 
@@ -74,85 +71,115 @@ def runs(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[np.ones(min(len(ordered), 1), bool), ordered[1:] != ordered[:-1]])
 
 
-def steps(raw: list[bytes], most: int = 2_000_000) -> Iterator[list[bytes]]:
-    held, size = [], 0
-    for x in raw:
-        held.append(x)
-        size += len(x)
-        if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the rows and deal them to blocks of about ``BLOCK`` bytes."""
-    first = TaskContext.get().partitionId() << 33
-    row, block, size = first, first, 0
-    for batch in batches:
-        blocks = []
-        for n in [len(t or "") + 1 for t in batch.column("text").to_pylist()]:
-            if size >= BLOCK:
-                block, size = block + 1, 0
-            blocks.append(block)
-            size += n
-        rows = np.arange(row, row + len(blocks), dtype=np.int64)
-        row += len(blocks)
-        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(blocks, pa.int64()), *batch.columns], ["row", "block", *batch.schema.names])
-
-
-def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """(block, texts, which are held out).  A block that two tasks read comes in two parts."""
-    now, raw, held = None, [], []
-    for batch in batches:
-        for block, text, out in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), batch.column("held_out").to_pylist(), strict=True):
-            if block != now and raw:
-                yield now, raw, np.array(held)
-                raw, held = [], []
-            now = block
-            raw.append(lowered(text))
-            held.append(bool(out))
-    if raw:
-        yield now, raw, np.array(held)
-
-
-def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts in training texts: of a block's grams (kind 0), of a partition's word hashes (kind 1) and texts (kind 2)."""
-    texts = 0
-
-    def rows(kind: int, keys: np.ndarray, n: np.ndarray, block: int = 0) -> Iterator[pa.RecordBatch]:
+def added(pieces: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    if not pieces:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, n = (np.concatenate(x) for x in zip(*pieces, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = runs(keys)
+    return keys[at], np.add.reduceat(n[order], at) if len(at) else n
+
+
+def counted_grams(raw: list[bytes], held: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct grams of training texts with their counts, and of held-out texts with 0."""
+    keys = deep_grams(raw, depth)
+    out = np.repeat(held, [len(x) + 1 for x in raw])
+    pieces = []
+    for own, learn in ((keys[~out], 1), (keys[out], 0)):
+        own.sort()
+        at = runs(own)
+        pieces.append((own[at], np.diff(np.r_[at, len(own)]) * learn))
+    return pieces
+
+
+def part_of(keys: np.ndarray, depth: int) -> np.ndarray:
+    return (mixed((keys >> 8 * (depth - 2)).astype(np.uint64)) % np.uint64(PARTS)).astype(np.int32)
+
+
+def packed(keys: np.ndarray, values: np.ndarray) -> bytes:
+    """Keys in order with their values (of one 4-byte type, any number for each key)."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(keys, prepend=0).tobytes() + values.tobytes())
+
+
+def unpacked(blob, kind, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = len(raw) // (8 + 4 * width)
+    return np.cumsum(np.frombuffer(raw, np.int64, n)), np.frombuffer(raw, kind, n * width, 8 * n)
+
+
+def by_part(keys: np.ndarray, values: np.ndarray, depth: int) -> tuple[list[int], list[bytes]]:
+    """(parts, packs) of keys in order and their values."""
+    parts = part_of(keys, depth)
+    order = np.argsort(parts, kind="stable")
+    at = runs(parts[order])
+    return parts[order][at].tolist(), [packed(keys[own], values[own]) for own in np.split(order, at[1:])] if len(keys) else []
+
+
+CHUNK = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.binary())])
+
+
+def chunk(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, CHUNK, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+LEARNT = "kind byte, block long, part int, key long, n long, blob binary"
+
+
+def _learnt(depth: int):
+    """What a task learns, by kind: packed grams of a block and part (0), word hashes with counts in training texts (1),
+    the number of these texts (2), and a block's texts in chunks (3)."""
+
+    def rows(kind: int, block: int, size: int, **columns) -> pa.RecordBatch:
+        kinds = {"part": pa.int32(), "key": pa.int64(), "n": pa.int64(), "blob": pa.binary()}
+        arrays = [pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in kinds.items()]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int8)), pa.array(np.full(size, block, np.int64)), *arrays], ["kind", "block", *kinds])
+
+    def closed(block: int, pieces) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+        keys, n = added(pieces)
+        parts, blobs = by_part(keys, n.astype(np.uint32), depth)
+        if parts:
+            yield rows(0, block, len(parts), part=parts, blob=blobs)
+
+    def counted(found: Counter) -> Iterator[pa.RecordBatch]:
+        keys, n = word_hashes(list(found)).view(np.int64), np.fromiter(found.values(), np.int64, len(found))
         for at in range(0, len(keys), 100_000):
-            part = slice(at, at + 100_000)
-            k = keys[part]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(np.full(len(k), block)), pa.array(k, pa.int64()), pa.array(n[part], pa.int64())], ["kind", "block", "key", "n"])
-
-    found: Counter = Counter()
-    for block, raw, held in by_block(batches):
-        keys = deep_grams(raw)
-        out = np.repeat(held, [len(x) + 1 for x in raw])
-        seen, other = np.sort(keys[~out]), np.sort(keys[out])
-        at = runs(seen)
-        seen, n = seen[at], np.diff(np.r_[at, len(seen)])
-        yield from rows(0, seen, n, block)
-        other = other[runs(other)]
-        if len(seen):
-            other = other[seen[np.minimum(np.searchsorted(seen, other), len(seen) - 1)] != other]
-        yield from rows(0, other, np.zeros(len(other), np.int64), block)
-        texts += int((~held).sum())
-        for x, o in zip(raw, held, strict=True):
-            if not o:
-                found.update(x.split())
-        if len(found) > 500_000:
-            yield from rows(1, *_counted(found))
-            found.clear()
-    yield from rows(1, *_counted(found))
-    yield from rows(2, np.zeros(1, np.int64), np.array([texts]))
-
-
-def _counted(found: Counter) -> tuple[np.ndarray, np.ndarray]:
-    keys = word_hashes(list(found)).view(np.int64)
-    return keys, np.fromiter(found.values(), np.int64, len(found))
+            own = slice(at, at + 100_000)
+            yield rows(1, 0, len(keys[own]), key=keys[own], n=n[own])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = block = TaskContext.get().partitionId() << 33
+        texts, found, pieces, size = 0, Counter(), [], 0
+        for batch in batches:
+            all_ = batch.column("text").to_pylist()
+            for part in in_steps(all_, lambda t: len(t or "") + 1, STEP):
+                raw = [lowered(t) for t in all_[part]]
+                own = batch.slice(part.start, len(raw))
+                held = own.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+                arrays = [pa.array(np.arange(row, row + len(raw))), own.column("doc_id"), own.column("held_out"), pa.array(raw, pa.binary())]
+                yield rows(3, block, 1, blob=[chunk(pa.RecordBatch.from_arrays(arrays, schema=CHUNK))])
+                row += len(raw)
+                pieces = [added([*pieces, *counted_grams(raw, held, depth)])]
+                texts += int((~held).sum())
+                for x, o in zip(raw, held, strict=True):
+                    if not o:
+                        found.update(x.split())
+                if len(found) > 500_000:
+                    yield from counted(found)
+                    found.clear()
+                size += sum(map(len, raw))
+                if size >= BLOCK or len(pieces[0][0]) >= BLOCK_GRAMS:
+                    yield from closed(block, pieces)
+                    block, pieces, size = block + 1, [], 0
+        yield from closed(block, pieces)
+        yield from counted(found)
+        yield rows(2, 0, 1, n=[texts])
+
+    return run
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -190,77 +217,15 @@ def weighted(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.log(0.5) + np.logaddexp(own, below), 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
 
 
-#: For each byte: the decision nodes on its way (heap order) and the bit taken there.
-NODES = np.array([[(1 << d) | (x >> (8 - d)) for d in range(8)] for x in range(256)])
-BITS = np.array([[(x >> (7 - d)) & 1 for d in range(8)] for x in range(256)])
-
-
-def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(zeros, ones) of the 256 decision nodes (0 is unused) from counts of the 256 bytes, row by row."""
-    zeros, ones = (np.zeros((len(counts), 256)) for _ in range(2))
-    level = counts.astype(float)
-    for d in range(7, -1, -1):
-        zeros[:, 1 << d : 2 << d], ones[:, 1 << d : 2 << d] = level[:, 0::2], level[:, 1::2]
-        level = level[:, 0::2] + level[:, 1::2]
-    return zeros, ones
-
-
-def by_byte(one: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte from each node's probability of a one."""
-    out = np.zeros((len(one), 256))
-    for d in range(8):
-        p = one[:, NODES[:, d]]
-        out += np.log10(np.where(BITS[:, d] == 1, p, 1 - p))
-    return out
-
-
-def weighted_table(index: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """log10 P(byte | two bytes before) for all 256^3 cells, from gram counts."""
-    two, row = np.unique(index >> 8, return_inverse=True)
-    deep = np.zeros((len(two), 256), np.int64)
-    deep[row, index & 255] = n
-    one, parent = np.unique(two & 255, return_inverse=True)
-    middle = np.zeros((len(one), 256), np.int64)
-    np.add.at(middle, parent, deep)
-    top = middle.sum(axis=0, keepdims=True)
-
-    def node(counts):
-        zeros, ones = decisions(counts)
-        return kt(zeros, ones), (ones + 0.5) / (zeros + ones + 1)
-
-    def mixed(own, below):
-        """Weighted ln probability, and the weight of a node's own estimate against its children's."""
-        return np.log(0.5) + np.logaddexp(own, below), 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
-
-    ln2, p2 = node(deep)
-    ln1, p1 = node(middle)
-    ln0, p0 = node(top)
-    below = np.zeros_like(ln1)
-    np.add.at(below, parent, ln2)
-    w1, share1 = mixed(ln1, below)
-    _, share0 = mixed(ln0, w1.sum(axis=0, keepdims=True))
-    at1 = lambda p: share1 * p1 + (1 - share1) * p
-    at0 = lambda share, own, p: share * own + (1 - share) * p
-    seen = at0(share0, p0, share1[parent] * p1[parent] + (1 - share1[parent]) * p2)
-    # A context that training never saw is 1/2 from its depth on.
-    half = at0(share0, p0, at1(0.5))
-    never = at0(share0, p0, np.full((1, 256), 0.5))
-    shallow = np.tile(by_byte(never), (256, 1))
-    shallow[one] = by_byte(half)
-    out = np.tile(shallow.astype(np.float32), (256, 1, 1)).reshape(65536, 256)
-    out[two] = by_byte(seen)
-    return out.reshape(-1)
-
-
-def subtrees(grams_: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Weight the tree from ``DEPTH`` up to depth 3 over all grams of some three-byte suffixes (distinct, in order).
+def subtrees(grams: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Weight the tree from ``depth`` up to depth 3 over all grams of some three-byte suffixes (distinct, in order).
 
     Gives each gram's probabilities of its eight bits, mixed from depth 3 on, and the nodes of depth 3: key (suffix and
     decision node), zeros, ones, weighted ln probability."""
-    rows, count, to = grams_, n, np.arange(len(grams_))
-    p, below, nodes = np.empty((8, len(grams_))), [None] * 8, []
-    for d in range(DEPTH, 2, -1):
-        if d < DEPTH:  # drop the farthest byte
+    rows, count, to = grams, n, np.arange(len(grams))
+    p, below, nodes = np.empty((8, len(grams))), [None] * 8, []
+    for d in range(depth, 2, -1):
+        if d < depth:  # drop the farthest byte
             up = ((rows >> 16) << 8) | (rows & 255)
             order = np.argsort(up, kind="stable")
             at = runs(up[order])
@@ -274,7 +239,7 @@ def subtrees(grams_: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.nda
             total, ones = np.add.reduceat(count, starts), np.add.reduceat(count * bit, starts)
             ln, one = kt_counts(total - ones, ones), (ones + 0.5) / (total + 1)
             taken = np.where(bit == 1, one[node], 1 - one[node])
-            if d == DEPTH:
+            if d == depth:
                 p[k] = taken
             else:
                 first, deeper = below[k]
@@ -288,41 +253,43 @@ def subtrees(grams_: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.nda
     return p, [np.concatenate(x) for x in zip(*nodes, strict=True)]
 
 
-WEIGHED = "key long, p array<float>, blocks array<long>, zeros long, ones long, ln double"
+WEIGHED = "part int, blob binary, key long, zeros long, ones long, ln double"
 
 
-def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Grams in order to their probabilities and blocks, and to the nodes of depth 3 (rows with ``ln``)."""
+def _weighed(depth: int):
+    """Packs in order of their parts to the probabilities of each part's grams, packed, and to the nodes of depth 3 (rows
+    with ``ln``)."""
     names = [x.split()[0] for x in WEIGHED.split(", ")]
 
-    def done(keys: np.ndarray, blocks: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at = runs(keys)
-        p, nodes = subtrees(keys[at], np.add.reduceat(n, at))
-        ends = np.r_[at, len(keys)]
-        for i in range(0, len(at), 50_000):
-            own = slice(i, i + 50_000)
-            some = p[:, own].T.astype(np.float32)
-            span = ends[i : i + len(some) + 1]
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * 8, pa.int32()), pa.array(some.ravel())), pa.ListArray.from_arrays(pa.array(span - span[0], pa.int32()), pa.array(blocks[span[0] : span[-1]]))]
-            nothing = [pa.nulls(len(some), t) for t in (pa.int64(), pa.int64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at[own]]), *lists, *nothing], names)
+    def done(pieces) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+        keys, n = added(pieces)
+        p, nodes = subtrees(keys, n, depth)
+        parts, blobs = by_part(keys, p.T.astype(np.float32), depth)
+        nothing = [pa.nulls(len(parts), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary()), *nothing], names)
         for i in range(0, len(nodes[0]), 100_000):
             key, zeros, ones, ln = (pa.array(x[i : i + 100_000]) for x in nodes)
-            yield pa.RecordBatch.from_arrays([key, pa.nulls(len(key), pa.list_(pa.float32())), pa.nulls(len(key), pa.list_(pa.int64())), zeros, ones, ln], names)
-
-    held, size = [], 0
-    for batch in batches:
-        held.append([batch.column(x).to_numpy() for x in ("key", "block", "n")])
-        size += batch.num_rows
-        if size >= ROWS:
-            keys, blocks, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            suffix = keys >> 8 * (DEPTH - 2)
-            cut = int(np.searchsorted(suffix, suffix[-1]))
-            if cut:
-                yield from done(keys[:cut], blocks[:cut], n[:cut])
-            held, size = [[keys[cut:], blocks[cut:], n[cut:]]], len(keys) - cut
-    if size:
-        yield from done(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int32()), pa.nulls(len(key), pa.binary()), key, zeros, ones, ln], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, pieces, size = None, [], 0
+        for batch in batches:
+            for own, blob in zip(batch.column("part").to_pylist(), batch.column("blob"), strict=True):
+                if size >= ROWS:
+                    if own != part:
+                        yield from done(pieces)
+                        pieces, size = [], 0
+                    elif size >= 4 * ROWS and len(pieces) > 1:  # one part of many blocks
+                        pieces = [added(pieces)]
+                        size = len(pieces[0][0])
+                part = own
+                keys, n = unpacked(blob.as_buffer(), np.uint32)
+                pieces.append((keys, n.astype(np.int64)))
+                size += len(keys)
+        if pieces:
+            yield from done(pieces)
+
+    return run
 
 
 def crown(nodes: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -345,53 +312,63 @@ def crown(nodes: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key, a, b
 
 
-def _dealt(top):  # noqa: ANN001
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dealt(top, depth: int):  # noqa: ANN001
+    """Rows in order of (part, kind), a part's probabilities before its packs: the log10 probabilities of each pack."""
+
+    def logs_of(blob) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
         keys, a, b = top.value
+        g, p = unpacked(blob, np.float32, 8)
+        p = p.reshape(-1, 8).astype(float)
+        log, x = np.zeros(len(g)), g & 255
+        for k in range(8):
+            at = np.searchsorted(keys, (g >> 8 * (depth - 1) << 8) | 1 << k | x >> (8 - k))
+            own = np.where((x >> (7 - k)) & 1 == 1, a[at], 1 - b[at] - a[at])
+            log += np.log10(own + b[at] * p[:, k])
+        return g, log.astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = logs = None
         for batch in batches:
-            g = batch.column("key").to_numpy()
-            if not len(g):
-                continue
-            p = batch.column("p").flatten().to_numpy().reshape(-1, 8).astype(float)
-            log, x = np.zeros(len(g)), g & 255
-            for k in range(8):
-                at = np.searchsorted(keys, (g >> 8 * (DEPTH - 1) << 8) | 1 << k | x >> (8 - k))
-                own = np.where((x >> (7 - k)) & 1 == 1, a[at], 1 - b[at] - a[at])
-                log += np.log10(own + b[at] * p[:, k])
-            lists = batch.column("blocks")
-            times = lists.value_lengths().to_numpy()
-            g, log, blocks = np.repeat(g, times), np.repeat(log, times), lists.flatten()
-            for i in range(0, len(g), 100_000):
-                part = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([blocks[part], pa.array(g[part]), pa.array(log[part])], ["block", "key", "log"])
+            blocks, blobs = [], []
+            for kind, block, blob in zip(batch.column("kind").to_pylist(), batch.column("block").to_pylist(), batch.column("blob"), strict=True):
+                if kind < 0:
+                    grams, logs = logs_of(blob.as_buffer())
+                    continue
+                keys, _ = unpacked(blob.as_buffer(), np.uint32)
+                blocks.append(block)
+                blobs.append(packed(keys, logs[np.searchsorted(grams, keys)]))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(blobs, pa.binary())], ["block", "blob"])
 
     return run
 
 
-def _logs(raw: list[bytes], keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """log10 probability of each coded byte, given those of the block's grams."""
-    order = np.argsort(keys)
-    ordered = keys[order]
-    logs = logs[order][runs(ordered)]
-    own = deep_grams(raw)
-    order = np.argsort(own)
-    at = runs(own[order])
-    if len(at) != len(logs):
-        raise ValueError("a block and its grams differ")
+def looked_up(own: np.ndarray, keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Value of each gram.  65,536 at a time are sorted together with their places (48 and 16 bits of one integer), so
+    that the search walks through the table."""
     out = np.empty(len(own))
-    out[order] = np.repeat(logs, np.diff(np.r_[at, len(own)]))
+    for at in range(0, len(own), 1 << 16):
+        some = own[at : at + (1 << 16)].astype(np.uint64) << np.uint64(16)
+        some |= np.arange(len(some), dtype=np.uint64)
+        some.sort()
+        want = (some >> np.uint64(16)).astype(np.int64)
+        place = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        if not np.array_equal(keys[place], want):
+            raise ValueError("a block and its grams differ")
+        out[at + (some & np.uint64(0xFFFF)).astype(np.int64)] = logs[place]
     return out
 
 
 SCORED = "row long, doc_id long, held_out boolean, score double, n_coded long, words long, known long, logs double, rare array<long>, times array<int>"
 
 
-def _scored(top):  # noqa: ANN001
-    def run(block: pa.Table, grams_: pa.Table) -> pa.Table:
+def _scored(top, depth: int):  # noqa: ANN001
+    names = [x.split()[0] for x in SCORED.split(", ")]
+
+    def scored(own: pa.RecordBatch, grams: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
         keys, logs = top.value
-        raw = [lowered(t) for t in block.column("text").to_pylist()]
+        raw = own.column("text").to_pylist()
         starts = np.cumsum([0] + [len(x) + 1 for x in raw])[:-1]
-        score = np.add.reduceat(_logs(raw, grams_.column("key").to_numpy(), grams_.column("log").to_numpy()), starts)
+        score = np.add.reduceat(looked_up(deep_grams(raw, depth), grams, values), starts)
         tokens, known, base, rare, times = [], [], [], [], []
         for x in raw:
             h, n = np.unique(word_hashes(x.split()).view(np.int64), return_counts=True)
@@ -402,8 +379,17 @@ def _scored(top):  # noqa: ANN001
             base.append(float((n[hit] * logs[at[hit]]).sum()) if hit.any() else 0.0)
             rare.append(h[~hit])
             times.append(n[~hit].astype(np.int32))
-        arrays = [block.column("row"), block.column("doc_id"), block.column("held_out"), pa.array(score), pa.array([len(x) + 1 for x in raw], pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))]
-        return pa.Table.from_arrays(arrays, [x.split()[0] for x in SCORED.split(", ")])
+        arrays = [own.column("row"), own.column("doc_id"), own.column("held_out"), pa.array(score), pa.array([len(x) + 1 for x in raw], pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(arrays, names)
+
+    def run(chunks: pa.Table, packs: pa.Table) -> pa.Table:
+        pieces = [unpacked(x.as_buffer(), np.float32) for x in packs.column("blob")]
+        grams, values = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        del pieces
+        order = np.argsort(grams)
+        grams, values = grams[order], values[order]
+        done = [scored(own, grams, values) for blob in chunks.column("blob") for own in pa.ipc.open_stream(blob.as_buffer())]
+        return pa.Table.from_batches(done)
 
     return run
 
@@ -423,16 +409,17 @@ def frequent(counts: DataFrame, top: int) -> tuple[np.ndarray, np.ndarray, int]:
     return keys[order], np.log10(n[order] + 1.0), least
 
 
-def score_texts(docs: DataFrame, training, text: str = "text", doc_id: str = "doc_id", top: int = TOP) -> DataFrame:  # noqa: ANN001
+def score_texts(docs: DataFrame, training, text: str = "text", doc_id: str = "doc_id", top: int = TOP, depth: int = DEPTH) -> DataFrame:  # noqa: ANN001
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     ``training`` is a condition on ``docs``; the model learns from the rows where it is true and scores all."""
+    if not 3 <= depth <= 5:
+        raise ValueError("depth is 3 to 5")
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (~training).alias("held_out"))
-    source = stored(source.mapInArrow(_blocks, "row long, block long, doc_id long, text string, held_out boolean"), "lm-blocks")
-    learnt = stored(source.select("block", "text", "held_out").mapInArrow(_learnt, "kind byte, block long, key long, n long"), "lm-learnt")
-    grams_ = learnt.where("kind = 0").select("block", "key", "n").repartition(F.shiftright("key", 8 * (DEPTH - 2))).sortWithinPartitions("key")
-    weighed = stored(grams_.mapInArrow(_weighed, WEIGHED), "lm-weighed")
+    learnt = stored(source.mapInArrow(_learnt(depth), LEARNT), "lm-learnt")
+    packs = learnt.where("kind = 0").select("kind", "part", "block", "blob")
+    weighed = stored(packs.select("part", "blob").repartition("part").sortWithinPartitions("part").mapInArrow(_weighed(depth), WEIGHED), "lm-weighed")
     release(spark)
     node = F.shiftleft(F.shiftright("key", 16), 8).bitwiseOR(F.col("key").bitwiseAND(F.lit(255)))
     nodes = weighed.where("ln is not null").groupBy(node.alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("ln").alias("ln")).toArrow()  # 256^3 rows at most
@@ -442,9 +429,12 @@ def score_texts(docs: DataFrame, training, text: str = "text", doc_id: str = "do
     train_tokens, distinct = (total or 0) + texts, words + (texts > 0)
     model = spark.sparkContext.broadcast(crown(nodes))
     keys, logs, least = frequent(counts, top)
-    dealt = weighed.where("ln is null").select("key", "p", "blocks").mapInArrow(_dealt(model), "block long, key long, log double")
-    scored = source.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(_scored(spark.sparkContext.broadcast((keys, logs))), SCORED)
+    heads = weighed.where("ln is null").select(F.lit(-1).cast("byte").alias("kind"), "part", F.lit(None).cast("long").alias("block"), "blob")
+    dealt = heads.unionByName(packs).repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_dealt(model, depth), "block long, blob binary")
+    chunks = learnt.where("kind = 3").select("block", "blob")
+    scored = chunks.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(_scored(spark.sparkContext.broadcast((keys, logs)), depth), SCORED)
     scored = stored(scored, "lm-scored")
+    discard(learnt, weighed)
     release(spark)
     places = scored.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("p")).select("row", F.col("p.rare").alias("key"), F.col("p.times").alias("times"))
     seldom = counts.where(F.col("n") < least).withColumnRenamed("n", "count")
@@ -462,4 +452,4 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of those whose crc32 of the id leaves no 2 after division by 7."""
     docs = table(spark, sf_dir, "documents")
     training = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
-    return score_texts(docs, training).drop("bits_per_byte")
+    return score_texts(docs, training)

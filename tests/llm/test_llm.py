@@ -150,7 +150,7 @@ def test_exact_search(spark):
     assert search.top_k(df.where("vec_id = 400")).count() == 0
 
 
-def test_language_model_words_and_table(spark, docs):
+def test_language_model_words(spark, docs):
     got = lm.score_texts(docs, F.coalesce("doc_id", F.lit(0)) % 2 == 0, top=3).collect()
     c = collections.Counter()
     for i, t, *_ in ROWS:
@@ -162,11 +162,6 @@ def test_language_model_words_and_table(spark, docs):
         w = [*lower(t).split(), None]
         want[(i, len(w), sum(c[x] > 0 for x in w), round(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w), 6))] += 1
     assert collections.Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
-    index, counts = np.unique(lm.grams([b"abab abba", b"banana band", b""]), return_counts=True)
-    cells = lm.weighted_table(index, counts)
-    assert np.allclose((10.0 ** cells.reshape(65536, 256).astype(float))[::97].sum(axis=1), 1, atol=1e-4)
-    # By a recursive context tree over the same three texts.
-    assert [float(cells[lm.grams([x])].sum()) for x in (b"aba bana", b"xyz", b"")] == pytest.approx([-6.971164, -10.156721, -1.164577], abs=1e-4)
 
 
 def test_license_scan(spark):
