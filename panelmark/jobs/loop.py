@@ -7,6 +7,7 @@ run goes on where it was: calls that the log has are not made again.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +26,11 @@ FIELDS = ("label", "confidence", "reason", "criterion_quote")
 CALLS = "run_tag string, domain string, rubric_version string, item_id long, rater_id string, repeat int, label string, confidence string, reason string, criterion_quote string"
 
 
-def label_items(pending: DataFrame, rater: Rater, partitions: int = 32, salts: int = 16) -> DataFrame:
+def label_items(pending: DataFrame, rater: Rater, calls_per_task: int = 256) -> DataFrame:
     """Run the rater over pending calls (with text and rubric).  Rows are dealt by rater and a salt and sorted by rater,
-    so a worker loads a model once, and few raters still fill many tasks.  A rater that raises gives LOW labels with
-    the error as the reason."""
+    so a worker loads a model once, and few raters still fill many tasks; the number of tasks follows that of the calls
+    (one count of them).  A rater that raises gives LOW labels with the error as the reason."""
+    tasks = max(1, -(-pending.count() // calls_per_task))
 
     def run(frames):  # noqa: ANN001, ANN202
         for frame in frames:
@@ -40,8 +42,8 @@ def label_items(pending: DataFrame, rater: Rater, partitions: int = 32, salts: i
                 keys = part[["run_tag", "domain", "rubric_version", "item_id", "rater_id", "repeat"]].reset_index(drop=True)
                 yield pd.concat([keys, got], axis=1)
 
-    salted = pending.withColumn("_salt", F.pmod(F.xxhash64("item_id"), F.lit(salts)))
-    dealt = salted.repartition(partitions, "rater_id", "_salt").sortWithinPartitions("rater_id", "domain", "item_id").drop("_salt")
+    salted = pending.withColumn("_salt", F.pmod(F.xxhash64("domain", "item_id"), F.lit(tasks)))
+    dealt = salted.repartition(tasks, "rater_id", "_salt").sortWithinPartitions("rater_id", "domain", "item_id").drop("_salt")
     return dealt.mapInPandas(run, CALLS)
 
 
@@ -60,15 +62,64 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CALLS).parquet(path).select(*names)
 
 
-def calibrate(items: DataFrame, rubrics: DataFrame, raters: list[str], rater: Rater, reviser: Callable[[str, dict, list[dict]], str], log: str, tau: float = 0.8, max_iterations: int = 10, run_tag: str = "run", flagged: DataFrame | None = None, split_weight: float = 0.667) -> tuple[DataFrame, DataFrame]:
-    """(history, rubrics of the best iteration).  History: domain, iteration, weighted, all_agree, rubric_version.
+class Calibration(NamedTuple):
+    """history: domain, iteration, weighted, all_agree, rubric_version; rubrics: those of each domain's best iteration;
+    changes: domain, iteration, agreement_before, reasoning; irreducible: domain, item_id; summary: one row per domain."""
 
-    The driver holds one row per domain and iteration and at most eight cases per domain that is revised."""
+    history: DataFrame
+    rubrics: DataFrame
+    changes: DataFrame
+    irreducible: DataFrame
+    summary: DataFrame
+
+
+HISTORY = "domain string, iteration int, weighted double, all_agree double, rubric_version string"
+
+
+def revise(current: DataFrame, asked: dict[str, tuple[dict, list[dict], list[dict]]], reviser, retries: int) -> dict:  # noqa: ANN001
+    """Rows of ``validate_revision`` by domain.  A domain whose answer is not valid, or whose reviser raises, is asked
+    again, ``retries`` times in all; ``attempts`` says how often it was."""
+    spark, done = current.sparkSession, {}
+    for attempt in range(1, retries + 1):
+        answers = []
+        for domain, args in asked.items():
+            if domain in done and done[domain]["success"]:
+                continue
+            try:
+                answers.append((domain, reviser(domain, *args)))
+            except Exception as e:  # noqa: BLE001  a failed call counts as an answer that is not valid
+                answers.append((domain, f"Error: {e}"))
+        if not answers:
+            break
+        given = current.join(spark.createDataFrame(answers, "domain string, response string"), "domain")
+        done |= {r.domain: {**r.asDict(), "attempts": attempt} for r in validate_revision(given).collect()}  # one row per domain
+    return done
+
+
+def calibrate(items: DataFrame, rubrics: DataFrame, raters: list[str], rater: Rater, reviser: Callable[..., str], log: str, tau: float = 0.8, max_iterations: int = 10, run_tag: str = "run", flagged: DataFrame | None = None, split_weight: float = 0.667, drop: float = 0.10, retries: int = 3, close_stagnated: bool = False) -> Calibration:
+    """Label, measure, decide and revise until every domain has converged.
+
+    A domain that reaches ``tau`` is converged: it is measured once more in the next iteration and then skipped, so no
+    further calls are made for it.  If that one measurement is more than ``drop`` below the one before, the domain is
+    open again and revised on.  A stagnated domain is measured on but not revised (``close_stagnated``: skipped too).
+    ``reviser(domain, rubric, cases, changes)`` gets at most eight cases and the last three changes; items that it calls
+    irreducible take no part from then on.
+
+    The driver holds one row per domain and iteration, the cases, and the irreducible items that revisers name."""
     spark = items.sparkSession
-    active = exclude_items(items, flagged) if flagged is not None else items
     names = spark.createDataFrame([(r,) for r in raters], "rater_id string")
-    current, rows, versions, done = rubrics, [], [], set()
+    domains = sorted(r.domain for r in items.select("domain").distinct().collect())  # configuration-sized
+    current, rows, versions, changes, given_up = rubrics, [], [], [], []
+    converged, recheck, closed = set(), set(), set()
+    history = spark.createDataFrame([], HISTORY)
     for iteration in range(1, max_iterations + 1):
+        wanted = [d for d in domains if d not in closed and (d not in converged or d in recheck)]
+        if not wanted:
+            break
+        active = items.where(F.col("domain").isin(wanted))
+        irreducible = spark.createDataFrame(given_up, "domain string, item_id long")
+        for out in [flagged] * (flagged is not None) + [irreducible] * bool(given_up):
+            active = exclude_items(active, out)
         tag = f"{run_tag}-{iteration}"
         plan = plan_calls(active, names, spark.createDataFrame([(str(iteration),)], "rubric_version string"), 1, tag)
         own = read_log(spark, log).where(F.col("run_tag") == tag)
@@ -77,20 +128,38 @@ def calibrate(items: DataFrame, rubrics: DataFrame, raters: list[str], rater: Ra
         ratings = read_log(spark, log).where(F.col("run_tag") == tag)
         values = {r.domain: r for r in panel_metrics(ratings, split_weight=split_weight).collect()}
         known = {r.domain: r for r in current.collect()}
+        before = {r[0]: r[2] for r in rows}
         rows += [(d, iteration, v.weighted, v.all_agree, known[d].version if d in known else None) for d, v in sorted(values.items())]
         versions.append(current)
-        history = spark.createDataFrame(rows, "domain string, iteration int, weighted double, all_agree double, rubric_version string")
-        action = {r.domain: r.action for r in h.loop_action(history, tau, max_iterations).where(F.col("iteration") == iteration).collect()}
-        done |= {d for d, a in action.items() if a in ("converged", "stagnated")}
-        if iteration == max_iterations or done >= set(values):
-            break
-        panel = panel_vote(ratings, details=True)
-        cases = disagreement_cases(top_cases(panel.where(~F.col("all_agree"))), active).collect()
-        answers = [(d, reviser(d, known[d].asDict(), [c.asDict() for c in cases if c.domain == d])) for d in sorted(values) if d not in done and d in known]
-        if not answers:
+        history = spark.createDataFrame(rows, HISTORY)
+        stagnated = {r.domain for r in h.stagnation_flag(history).where((F.col("iteration") == iteration) & F.col("stagnated")).collect()}
+        checked, recheck, open_ = recheck, set(), []
+        for d, v in sorted(values.items()):
+            if d in checked and round(before[d] - v.weighted, 12) > drop:
+                converged.discard(d)
+            elif v.weighted >= tau and d not in converged:
+                converged.add(d)
+                recheck.add(d)
+            if d in converged:
+                continue
+            if d in stagnated:
+                closed |= {d} if close_stagnated else set()
+            else:
+                open_.append(d)
+        if iteration == max_iterations or not open_:
             continue
-        revised = validate_revision(current.join(spark.createDataFrame(answers, "domain string, response string"), "domain", "left")).drop("response", "success")
-        current = spark.createDataFrame(revised.select(*rubrics.columns).collect(), rubrics.schema)  # one row per domain
+        panel = panel_vote(ratings, details=True).where(F.col("domain").isin(open_) & ~F.col("all_agree"))
+        cases = [c.asDict() for c in disagreement_cases(top_cases(panel), active).collect()]
+        own_cases = {d: [c for c in cases if c["domain"] == d] for d in open_ if d in known}
+        asked = {d: (known[d].asDict(), found, [c for c in changes if c["domain"] == d][-3:]) for d, found in own_cases.items() if found}
+        revised = revise(current, asked, reviser, retries)
+        for d, r in sorted(revised.items()):
+            if r["success"]:
+                changes.append({"domain": d, "iteration": iteration, "agreement_before": values[d].weighted, "reasoning": r["reasoning"]})
+                given_up += [(d, x) for x in r["irreducible"] if (d, x) not in given_up]
+        current = spark.createDataFrame([tuple((revised.get(r.domain) or r.asDict())[c] for c in rubrics.columns) for r in known.values()], rubrics.schema)
     best = {r.domain: r.iteration for r in h.best_iteration(history).collect()}
     chosen = [r for i, v in enumerate(versions, 1) for r in v.collect() if best.get(r.domain) == i]
-    return history, spark.createDataFrame(chosen, rubrics.schema)
+    log_ = spark.createDataFrame([tuple(c.values()) for c in changes], "domain string, iteration int, agreement_before double, reasoning string")
+    irreducible = spark.createDataFrame(given_up, "domain string, item_id long")
+    return Calibration(history, spark.createDataFrame(chosen, rubrics.schema), log_, irreducible, h.calibration_summary(history, tau, drop, log_, irreducible))

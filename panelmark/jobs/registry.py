@@ -19,6 +19,7 @@ from panelmark.operators import raters as rt
 from panelmark.operators import reference as rf
 from panelmark.operators import resample as rs
 from panelmark.operators import votes as vt
+from panelmark.sources.shared import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,11 +34,24 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+class LabelSets:
+    """``get(name)`` gives a label set; ``get.path(name)`` a new place in the shared folder."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return fixture(self.spark, self.sf_dir, name)
+
+    def path(self, name: str) -> str:
+        return shared_path(self.spark, name)
+
+
 def query(name: str, sql: str | None = None):  # noqa: ANN201
-    """Register ``f(get)``; ``get(name)`` gives a label set.  In the SQL, [name] stands for the same label set."""
+    """Register ``f(get)``, see ``LabelSets``.  In the SQL, [name] stands for the same label set."""
 
     def add(f):  # noqa: ANN001, ANN202
-        QUERIES[name] = lambda spark, sf_dir: rounded(f(lambda x: fixture(spark, sf_dir, x)))
+        QUERIES[name] = lambda spark, sf_dir: rounded(f(LabelSets(spark, sf_dir)))
         if sql:
             out = sql
             for x in ("items", "ratings", "human", "gappy", "draws", "nominal", "calls", "probes", "corpus", "conversations", "pages", "system", "iterations", "versions", "consensus"):
@@ -149,6 +163,11 @@ def _(get):  # noqa: ANN001, ANN202
     return get("items").select("item_id", tx.content_hash(F.col("text")).alias("hash"))
 
 
+@query("p14_dataset_fingerprint", "SELECT count(*) AS n_rows, coalesce(sum(('0x' || substr(md5(concat_ws(chr(31), coalesce(cluster_id, chr(0)), coalesce(domain, chr(0)), coalesce(item_id::VARCHAR, chr(0)))), 1, 12))::BIGINT::HUGEINT), 0)::VARCHAR AS fingerprint FROM [items] i")
+def _(get):  # noqa: ANN001, ANN202
+    return tx.dataset_fingerprint(get("items").select("item_id", "domain", "cluster_id"))
+
+
 @query("p15_valid_labels", "SELECT domain, item_id, rater_id, label FROM [gappy] g WHERE (domain, item_id) NOT IN (SELECT (domain, item_id) FROM [gappy] b WHERE label IS NULL)")
 def _(get):  # noqa: ANN001, ANN202
     return vt.valid_labels(get("gappy"), missing="drop_item")
@@ -164,9 +183,16 @@ def _(get):  # noqa: ANN001, ANN202
     return tx.word_count_filter(get("items")).select("item_id")
 
 
-@query("p18_disagreement_cases", f"SELECT v.domain, v.item_id, h AS votes_high, substr(i.text, 1, 300) AS excerpt FROM (SELECT domain, item_id, {H} AS h, {L} AS l FROM [ratings] r GROUP BY domain, item_id) v JOIN [items] i ON v.item_id = i.item_id AND v.domain = i.domain WHERE h > 0 AND l > 0")
+QUOTED = "concat(chr(34), rater_id, chr(34), ' of ', cast(item_id as varchar(20)), chr(92))"
+
+
+@query("p18_disagreement_cases", f"""WITH v AS (SELECT domain, item_id, {H} AS votes_high, string_agg(concat(rater_id, '=', label), ',' ORDER BY rater_id) AS votes, string_agg(concat(rater_id, '=', replace(replace({QUOTED}, chr(34), chr(39)), chr(92), '')), ',' ORDER BY rater_id) AS quotes, {L} AS l FROM [ratings] r GROUP BY domain, item_id)
+ SELECT v.domain, v.item_id, votes_high, votes, quotes, substr(i.text, 1, 300) AS excerpt FROM v JOIN [items] i ON v.item_id = i.item_id AND v.domain = i.domain WHERE votes_high > 0 AND l > 0""")
 def _(get):  # noqa: ANN001, ANN202
-    return vt.disagreement_cases(vt.panel_vote(get("ratings"), details=True), get("items")).select("domain", "item_id", "votes_high", "excerpt")
+    r = get("ratings").withColumn("criterion_quote", F.concat(F.lit('"'), "rater_id", F.lit('" of '), F.col("item_id").cast("string"), F.lit("\\")))
+    cases = vt.disagreement_cases(vt.panel_vote(r, details=True), get("items"))
+    text = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda x: F.concat(x.key, F.lit("="), x.value)), ",")
+    return cases.select("domain", "item_id", "votes_high", text("votes").alias("votes"), text("quotes").alias("quotes"), "excerpt")
 
 
 # --- joins ----------------------------------------------------------------------------------------------------------
@@ -212,7 +238,7 @@ def _(get):  # noqa: ANN001, ANN202
 
 @query("j9_link_by_excerpt", "SELECT b.probe_id, min(i.item_id) AS item_id FROM (SELECT probe_id, substr(trim(lower(regexp_replace(text, '\\s+', ' ', 'g'))), 51, 100) AS s FROM [probes] p) b JOIN (SELECT item_id, trim(lower(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM [items] x) i ON contains(i.t, b.s) WHERE length(b.s) > 0 GROUP BY b.probe_id")
 def _(get):  # noqa: ANN001, ANN202
-    return pr.link_by_excerpt(get("probes").withColumn("all", F.lit(1)), get("items").withColumn("all", F.lit(1)), by=("all",))
+    return pr.link_by_excerpt(get("probes"), get("items"), by=())
 
 
 @query("j10_paired_versions", f"WITH w AS (SELECT domain, item_id, rubric_version, CASE WHEN {H} IN (0, 3) THEN 1.0::DOUBLE ELSE 0.667::DOUBLE END AS w FROM [versions] v GROUP BY ALL) SELECT a.domain, a.item_id, a.w AS before, b.w AS after, {r6('b.w - a.w')} AS difference FROM w a JOIN w b ON a.domain = b.domain AND a.item_id = b.item_id WHERE a.rubric_version = 'v0' AND b.rubric_version = 'v1'")
@@ -284,11 +310,17 @@ def _(get):  # noqa: ANN001, ANN202
     return mt.gwet_ac1_panel(get("ratings"))
 
 
-@query("a9_gwet_ac1_nominal", f"""WITH c AS (SELECT domain, item_id, label, count(*)::DOUBLE AS c FROM [nominal] x GROUP BY ALL), n AS (SELECT domain, item_id, sum(c) AS n FROM c GROUP BY ALL HAVING sum(c) >= 2),
- i AS (SELECT domain, count(*) AS k FROM n GROUP BY domain), po AS (SELECT c.domain, sum(c * (c - 1) / (n * (n - 1))) AS s FROM c JOIN n USING (domain, item_id) GROUP BY c.domain),
- pi AS (SELECT c.domain, label, sum(c / n) / any_value(k) AS pi FROM c JOIN n USING (domain, item_id) JOIN i USING (domain) GROUP BY c.domain, label),
- e AS (SELECT domain, count(*) AS q, sum(pi * (1 - pi)) / (count(*) - 1) AS pe FROM pi GROUP BY domain)
- SELECT domain, k AS n_items, q AS categories, {r6('(s / k - pe) / (1 - pe)')} AS ac1 FROM i JOIN po USING (domain) JOIN e USING (domain)""")
+def ac1_sql(source: str, keys: str = "domain", item: str = "item_id") -> str:
+    """AC1 for any labels and items of any size from two labels on."""
+    k = keys
+    return f"""(WITH c AS (SELECT {k}, {item}, label, count(*)::DOUBLE AS c FROM {source} x WHERE label IS NOT NULL GROUP BY ALL), n AS (SELECT {k}, {item}, sum(c) AS n FROM c GROUP BY ALL HAVING sum(c) >= 2),
+ i AS (SELECT {k}, count(*) AS k FROM n GROUP BY {k}), po AS (SELECT {k}, sum(c * (c - 1) / (n * (n - 1))) AS s FROM c JOIN n USING ({k}, {item}) GROUP BY {k}),
+ pi AS (SELECT {k}, label, sum(c / n) / any_value(k) AS pi FROM c JOIN n USING ({k}, {item}) JOIN i USING ({k}) GROUP BY {k}, label),
+ e AS (SELECT {k}, count(*) AS q, sum(pi * (1 - pi)) / nullif(count(*) - 1, 0) AS pe FROM pi GROUP BY {k})
+ SELECT {k}, k AS n_items, q AS categories, (s / k - pe) / nullif(1 - pe, 0) AS ac1 FROM i JOIN po USING ({k}) JOIN e USING ({k}))"""
+
+
+@query("a9_gwet_ac1_nominal", f"SELECT domain, n_items, categories, {r6('ac1')} AS ac1 FROM {ac1_sql('[nominal]')} a")
 def _(get):  # noqa: ANN001, ANN202
     return mt.gwet_ac1_nominal(get("nominal"))
 
@@ -356,6 +388,11 @@ def _(get):  # noqa: ANN001, ANN202
     return rf.stability_summary(rf.repeat_stability(get("draws"), 5))
 
 
+@query("a19_repeat_items", "WITH x AS (SELECT variant, domain, item_id, string_agg(label, '|' ORDER BY repeat) AS labels, list(label ORDER BY repeat) AS ls, count(*) AS draws FROM [draws] d GROUP BY ALL), y AS (SELECT *, len(list_filter(ls, lambda z: z = 'HIGH')) AS h FROM x) SELECT variant, domain, item_id, labels, CASE WHEN 2 * h > draws OR (2 * h = draws AND ls[1] = 'HIGH') THEN 'HIGH' ELSE 'LOW' END AS label, greatest(h, draws - h) AS votes, draws, round(greatest(h, draws - h)::DOUBLE / draws, 6) AS ratio, h IN (0, draws) AS stable, draws = 5 AS complete FROM y")
+def _(get):  # noqa: ANN001, ANN202
+    return rf.repeat_stability(get("draws"), 5).withColumn("labels", F.array_join("labels", "|"))
+
+
 DRAW_PAIRS = f"(SELECT variant, 'majority' AS labels, s.item_id, CASE WHEN h >= 3 THEN 'HIGH' ELSE 'LOW' END AS label_a, m.label AS label_b FROM {STABLE} s JOIN [system] m ON s.item_id = m.item_id AND s.domain = m.domain UNION ALL SELECT variant, 'single', d.item_id, d.label, m.label FROM [draws] d JOIN [system] m ON d.item_id = m.item_id AND d.domain = m.domain WHERE repeat = 0)"
 
 
@@ -404,6 +441,15 @@ def _(get):  # noqa: ANN001, ANN202
     return rt.reinstate_rater(get("ratings"), "r_words", get("ratings").where("rater_id = 'r_len'"))
 
 
+REINSTATED = f"(SELECT a.domain, a.item_id, CASE WHEN h > l THEN 'HIGH' ELSE 'LOW' END AS with_all, CASE WHEN h2 > l2 THEN 'HIGH' ELSE 'LOW' END AS without, s.label AS other FROM (SELECT domain, item_id, {H} AS h, {L} AS l, sum((label = 'HIGH' AND rater_id <> 'r_words')::INT) AS h2, sum((label = 'LOW' AND rater_id <> 'r_words')::INT) AS l2 FROM [ratings] r GROUP BY ALL) a JOIN (SELECT * FROM [ratings] z WHERE rater_id = 'r_len') s ON a.domain = s.domain AND a.item_id = s.item_id)"
+BOTH_SIDES = f"(SELECT domain, 'with_all' AS consensus, with_all AS label_a, other AS label_b FROM {REINSTATED} q UNION ALL SELECT domain, 'without', without, other FROM {REINSTATED} q)"
+
+
+@query("a26_reinstatement_metrics", f"SELECT * FROM {two_sql(BOTH_SIDES, 'domain, consensus')} t")
+def _(get):  # noqa: ANN001, ANN202
+    return rt.reinstatement_metrics(rt.reinstate_rater(get("ratings"), "r_words", get("ratings").where("rater_id = 'r_len'")))
+
+
 @query("a27_missing_label_report", "WITH r AS (SELECT domain, rater_id, count(*) AS n, count(label) AS valid FROM [gappy] g GROUP BY ALL), i AS (SELECT domain, item_id, count(*) - count(label) AS lacking, count(DISTINCT label) AS kinds FROM [gappy] g GROUP BY ALL) SELECT r.domain, rater_id, n, valid, n - valid AS missing, items_lacking, rest_agrees FROM r JOIN (SELECT domain, sum((lacking > 0)::INT) AS items_lacking, sum((lacking > 0 AND kinds = 1)::INT) AS rest_agrees FROM i GROUP BY domain) j USING (domain)")
 def _(get):  # noqa: ANN001, ANN202
     return rt.missing_label_report(get("gappy"))
@@ -497,12 +543,17 @@ def _(get):  # noqa: ANN001, ANN202
     return rs.percentile_at(get("items").select(F.col("cluster_id").alias("g"), F.length("text").cast("double").alias("value")), ["g"], "count")
 
 
+@query("r7_percentile_span", "WITH x AS (SELECT source AS g, n_chars::DOUBLE AS v, row_number() OVER (PARTITION BY source ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT g, max(CASE WHEN i = floor((n - 1) * 0.025::DOUBLE) THEN v END) AS low, max(CASE WHEN i = floor((n - 1) * 0.975::DOUBLE) THEN v END) AS high, max(n) AS kept FROM x GROUP BY g")
+def _(get):  # noqa: ANN001, ANN202
+    return rs.percentile_at(get("items").select(F.col("cluster_id").alias("g"), F.length("text").cast("double").alias("value")), ["g"], "span")
+
+
 @query("r8_hash_bootstrap", f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY item_id) - 1 AS i, count(*) OVER (PARTITION BY domain) AS n FROM {MATCHES} x),
  d AS (SELECT m.domain, b.b, ('0x' || substr(md5(concat('s|', b.b, '|', m.i)), 1, 8))::BIGINT % m.n AS i FROM m CROSS JOIN (SELECT unnest(range(0, 40)) AS b) b),
  v AS (SELECT d.domain, d.b, sum(m.value) / count(*)::DOUBLE AS v FROM d JOIN m ON d.domain = m.domain AND d.i = m.i GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY domain) AS n FROM v)
  SELECT domain, {r6('max(CASE WHEN i = floor(n * 0.025::DOUBLE) THEN v END)')} AS low, {r6('max(CASE WHEN i = greatest(0, floor(n * 0.975::DOUBLE) - 1) THEN v END)')} AS high, max(n) AS kept FROM k GROUP BY domain""")
 def _(get):  # noqa: ANN001, ANN202
-    return rs.hash_bootstrap_mean(matches(get), "value", 40, "s")
+    return rs.md5_ratio_ci(rs.sized(matches(get)), 40, "s").select("domain", "low", "high", "kept")
 
 
 @query("r9_metric_floor", f"WITH g AS (SELECT domain, count(*) AS n, avg(most / n) AS a FROM {SHAPES} s WHERE n = 3 GROUP BY domain) SELECT domain, {r6('a')} AS agreement, {r6('1.0::DOUBLE / 3')} AS floor, greatest(0, ceil(round(n * (0.8::DOUBLE - 1.0::DOUBLE / 3) / (1 - 1.0::DOUBLE / 3), 9)))::BIGINT AS required_unanimous, {r6('(a - 1.0::DOUBLE / 3) / (1 - 1.0::DOUBLE / 3)')} AS normalised FROM g")
@@ -534,6 +585,21 @@ def _(get):  # noqa: ANN001, ANN202
     return hs.stagnation_flag(history(get))
 
 
+PAPER = f"coalesce(round(weighted - lag(weighted) {WIN}, 12) <= 0 AND round(lag(weighted) {WIN} - lag(weighted, 2) {WIN}, 12) <= 0 AND round(lag(weighted, 2) {WIN} - lag(weighted, 3) {WIN}, 12) <= 0, false)"
+#: The history read backwards, in which agreement falls.
+FALLING = f"(SELECT domain, 11 - iteration AS iteration, weighted, all_agree FROM {HISTORY} f)"
+
+
+@query("w2_stagnation_paper", f"SELECT domain, iteration, {W2}, {PAPER} AS stagnated FROM {FALLING} h")
+def _(get):  # noqa: ANN001, ANN202
+    return hs.stagnation_flag(history(get).withColumn("iteration", 11 - F.col("iteration")), "paper")
+
+
+@query("w3_best_labels", f"SELECT i.domain, i.item_id, i.rater_id, i.iteration::BIGINT AS iteration, i.label FROM [iterations] i JOIN (SELECT domain, iteration FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY weighted DESC, iteration) AS k FROM {HISTORY} h) x WHERE k = 1) b ON i.domain = b.domain AND i.iteration = b.iteration")
+def _(get):  # noqa: ANN001, ANN202
+    return hs.best_labels(get("iterations"), history(get))
+
+
 @query("w3_best_iteration", f"SELECT domain, iteration, {W2} FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY weighted DESC, iteration) AS k FROM {HISTORY} h) x WHERE k = 1")
 def _(get):  # noqa: ANN001, ANN202
     return hs.best_iteration(history(get))
@@ -549,17 +615,26 @@ def _(get):  # noqa: ANN001, ANN202
     return hs.converged_at(history(get), 0.95)
 
 
-FALLING = f"(SELECT domain, 11 - iteration AS iteration, weighted, all_agree FROM {HISTORY} f)"
-
-
 @query("w5_regression_flag", f"SELECT domain, iteration, {W2}, coalesce(bool_or(weighted >= 0.9) OVER (PARTITION BY domain ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AND round(lag(weighted) {WIN} - weighted, 12) > 0.005, false) AS regressed FROM {FALLING} h")
 def _(get):  # noqa: ANN001, ANN202
     return hs.regression_flag(history(get).withColumn("iteration", 11 - F.col("iteration")), 0.9, 0.005)
 
 
-@query("w6_calibration_summary", f"SELECT domain, {r6('last(weighted ORDER BY iteration)')} AS final_weighted, {r6('max(weighted)')} AS best_weighted, count(*) AS iterations, bool_or(weighted >= 0.8) AS converged, first((iteration - 1)::VARCHAR ORDER BY weighted DESC, iteration) AS best_version, last((iteration - 1)::VARCHAR ORDER BY iteration) AS final_version FROM {HISTORY} h GROUP BY domain")
+REGRESSED = f"(SELECT *, coalesce(bool_or(weighted >= 0.9) OVER (PARTITION BY domain ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AND round(lag(weighted) {WIN} - weighted, 12) > 0.005, false) AS regressed FROM {FALLING} h)"
+
+
+@query("w6_calibration_summary", f"""WITH h AS (SELECT *, coalesce(max(CASE WHEN weighted >= 0.9 THEN iteration END) OVER (PARTITION BY domain), 0) AS reached, coalesce(max(CASE WHEN regressed THEN iteration END) OVER (PARTITION BY domain), 0) AS fell FROM {REGRESSED} r),
+ x AS (SELECT domain, count(DISTINCT item_id) AS n FROM [human] y WHERE is_attention_check GROUP BY domain)
+ SELECT h.domain, {r6('last(weighted ORDER BY iteration)')} AS final_weighted, {r6('last(all_agree ORDER BY iteration)')} AS final_all_agree, {r6('max(weighted)')} AS best_weighted, first(iteration ORDER BY weighted DESC, iteration) AS best_iteration,
+ string_agg(round(round(weighted, 3) * 1000)::BIGINT::VARCHAR, ',' ORDER BY iteration) AS weighted_history, string_agg(round(round(all_agree, 3) * 1000)::BIGINT::VARCHAR, ',' ORDER BY iteration) AS all_agree_history,
+ max(reached) > 0 AND max(reached) >= max(fell) AS converged, bool_or(regressed) AS regression_detected, count(*) AS iterations, last((10 - iteration)::VARCHAR ORDER BY iteration) AS final_version, first((10 - iteration)::VARCHAR ORDER BY weighted DESC, iteration) AS best_version,
+ coalesce(any_value(x.n), 0) AS irreducible_count, count(*) - 1 AS rubric_changes FROM h LEFT JOIN x ON h.domain = x.domain GROUP BY h.domain""")
 def _(get):  # noqa: ANN001, ANN202
-    return hs.calibration_summary(history(get)).select("domain", "final_weighted", "best_weighted", "iterations", "converged", "best_version", "final_version")
+    flagged = get("human").where("is_attention_check").select("domain", "item_id")
+    backwards = history(get).withColumns({"iteration": 11 - F.col("iteration"), "rubric_version": (F.col("iteration") - 1).cast("string")})
+    out = hs.calibration_summary(backwards, 0.9, 0.005, irreducible=flagged)
+    thousandths = lambda c: F.array_join(F.transform(c, lambda x: F.round(x * 1000).cast("long").cast("string")), ",")
+    return out.withColumns({c: thousandths(c) for c in ("weighted_history", "all_agree_history")})
 
 
 @query("w7_latest_call", "SELECT domain, item_id, ingest_seq, label FROM [calls] c QUALIFY row_number() OVER (PARTITION BY domain, item_id ORDER BY ingest_seq DESC) = 1")
@@ -588,9 +663,9 @@ def _(get):  # noqa: ANN001, ANN202
     return pr.last_changes(history(get)).select("domain", "iteration")
 
 
-@query("k3_ordered_output", "SELECT domain, item_id, label FROM [system] s")
+@query("k3_ordered_output", "SELECT domain, item_id, label, row_number() OVER (ORDER BY domain, item_id) - 1 AS position FROM [system] s")
 def _(get):  # noqa: ANN001, ANN202
-    return vt.majority(get("ratings")).orderBy("domain", "item_id")
+    return vt.with_row_index(vt.majority(get("ratings")), order=["domain", "item_id"], name="position")
 
 
 @query("k4_best_subset", "WITH o AS (SELECT domain, item_id, list_sort(list(label)) AS recorded FROM [ratings] r WHERE rater_id <> 'r_words' GROUP BY ALL), f AS (SELECT r.domain, x.dropped, r.item_id, list_sort(list(r.label)) AS rest FROM [ratings] r CROSS JOIN (SELECT unnest(['r_hash', 'r_len', 'r_words']) AS dropped) x WHERE r.rater_id <> x.dropped GROUP BY ALL), g AS (SELECT f.domain, dropped, count(*) AS n, sum((rest = recorded)::INT) AS fitting FROM f JOIN o ON f.domain = o.domain AND f.item_id = o.item_id GROUP BY ALL) SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY domain ORDER BY fitting DESC, dropped) = 1")

@@ -65,16 +65,25 @@ def loop_action(history: DataFrame, tau: float = 0.8, max_iterations: int = 10,
     return marked.withColumn("action", action).drop("stagnated")
 
 
-def calibration_summary(history: DataFrame, tau: float = 0.8) -> DataFrame:
-    """One row per domain: last and best values, histories rounded to 3 places, flags, latest and best version.
+def calibration_summary(history: DataFrame, tau: float = 0.8, drop: float = 0.10, changes: DataFrame | None = None, irreducible: DataFrame | None = None) -> DataFrame:
+    """One row per domain: last and best values, histories rounded to 3 places, flags, latest and best version, rubric
+    changes and items given up.
 
-    Both versions are reported: the latest rubric need not be the best one."""
+    Both versions are reported: the latest rubric need not be the best one.  ``converged`` is the state at the end: the
+    domain reached ``tau`` and has not fallen by more than ``drop`` after.  Without ``changes`` (domain, iteration) the
+    changes of version in the history count; without ``irreducible`` (domain, item_id) no item is given up."""
     rows = history if "rubric_version" in history.columns else history.withColumn("rubric_version", (F.col("iteration") - 1).cast("string"))
-    points = F.array_sort(F.collect_list(F.struct("iteration", "weighted", "all_agree", "rubric_version")))
+    rows = regression_flag(rows, tau, drop).withColumn("moved", F.coalesce(F.col("rubric_version") != F.lag("rubric_version").over(by()), F.lit(False)))
+    points = F.array_sort(F.collect_list(F.struct("iteration", "weighted", "all_agree", "rubric_version", "regressed", "moved")))
     out = rows.groupBy("domain").agg(points.alias("p"))
     take = lambda f: F.transform("p", lambda x: F.round(x[f], 3))
     last = F.element_at("p", -1)
     best = F.aggregate("p", F.element_at("p", 1), lambda a, x: F.when(x.weighted > a.weighted, x).otherwise(a))
+    state = F.aggregate("p", F.lit(False), lambda a, x: (a & ~x.regressed) | (x.weighted >= tau))
+    counted = lambda df, name: df.groupBy("domain").agg(F.count(F.lit(1)).alias(name))
+    for table, name in ((changes, "rubric_changes"), (irreducible.distinct() if irreducible is not None else None, "irreducible_count")):
+        out = out.join(counted(table, name), "domain", "left") if table is not None else out.withColumn(name, F.lit(None).cast("long"))
+    moved = F.size(F.filter("p", lambda x: x.moved)).cast("long") if changes is None else F.lit(0).cast("long")
     return out.select(
         "domain",
         last.weighted.alias("final_weighted"),
@@ -83,8 +92,11 @@ def calibration_summary(history: DataFrame, tau: float = 0.8) -> DataFrame:
         best.iteration.alias("best_iteration"),
         take("weighted").alias("weighted_history"),
         take("all_agree").alias("all_agree_history"),
-        F.exists("p", lambda x: x.weighted >= tau).alias("converged"),
+        state.alias("converged"),
+        F.exists("p", lambda x: x.regressed).alias("regression_detected"),
         F.size("p").alias("iterations"),
         last.rubric_version.alias("final_version"),
         best.rubric_version.alias("best_version"),
+        F.coalesce("irreducible_count", F.lit(0).cast("long")).alias("irreducible_count"),
+        F.coalesce("rubric_changes", moved).alias("rubric_changes"),
     )

@@ -24,18 +24,26 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def label_counts(ratings: DataFrame, keys=("domain",), item=ITEM) -> DataFrame:
-    """(keys, item, label, c): one row per item and label."""
+    """(keys, item, label, c): one row per item and label.  Rows are dealt by item, which serves a fold of the items that
+    follows as well: one shuffle for both."""
     names = list(dict.fromkeys([*keys, *item]))
-    return ratings.where(F.col("label").isNotNull()).groupBy(*names, "label").agg(F.count(F.lit(1)).alias("c"))
+    return ratings.where(F.col("label").isNotNull()).select(*names, "label").repartition(*names).groupBy(*names, "label").agg(F.count(F.lit(1)).alias("c"))
 
 
 def item_shapes(ratings: DataFrame, keys=("domain",), item=ITEM) -> DataFrame:
-    """Per item: n labels, distinct labels, the largest count, agreeing pairs.  One shuffle on the item."""
+    """Per item: n labels, distinct labels, the largest count, agreeing pairs.  One shuffle, on the item."""
     names = list(dict.fromkeys([*keys, *item]))
     counts = label_counts(ratings, keys, item)
     return counts.groupBy(*names).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("kinds"), F.max("c").alias("most"), F.sum(F.col("c") * (F.col("c") - 1) / 2).cast("long").alias("agreeing"))
 
 
+def label_patterns(ratings: DataFrame, keys=("domain",), item=ITEM) -> DataFrame:
+    """(keys, pattern, items): how many items share a pattern, a sorted array of (label, c)."""
+    names = list(dict.fromkeys([*keys, *item]))
+    folded = label_counts(ratings, keys, item).groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("pattern"))
+    return folded.groupBy(*keys, "pattern").agg(F.count(F.lit(1)).alias("items"))
+
+
 def binary_patterns(ratings: DataFrame, keys=("domain",), item=ITEM) -> DataFrame:
     """(keys, n, h, items): how many items have n valid labels, h of them HIGH."""
     names = list(dict.fromkeys([*keys, *item]))
@@ -102,20 +110,21 @@ def gwet_ac1_panel(ratings: DataFrame, keys=("domain",), item=ITEM) -> DataFrame
 
 def gwet_ac1_nominal(ratings: DataFrame, keys=("domain",), item=ITEM) -> DataFrame:
     """n_items, categories, ac1 for any labels and items of any size from two ratings on.  Categories are those seen in
-    these items; with fewer than two the value is null.  Marginals are means of the items' shares."""
-    names = list(dict.fromkeys([*keys, *item]))
-    counts = label_counts(ratings, keys, item)
-    # Arrays per item are as long as it has labels; one shuffle on the item serves both levels.
-    folded = counts.groupBy(*names).agg(F.sum("c").alias("n"), F.collect_list(F.struct("label", "c")).alias("cs")).where("n >= 2")
-    patterns = folded.groupBy(*keys, "n", F.array_sort("cs").alias("cs")).agg(F.count(F.lit(1)).alias("items"))
-    # Sums over exact counts of each n keep the result independent of the order of rows.
-    shares = patterns.select(*keys, "n", "items", F.explode("cs").alias("x")).groupBy(*keys, "x.label").agg(F.sum(_d(F.col("items") * F.col("x.c")) / _d(F.col("n"))).alias("share"))
-    agree = F.aggregate("cs", F.lit(0).cast("long"), lambda a, x: a + x.c * (x.c - 1))
-    seen = patterns.groupBy(*keys).agg(F.sum("items").alias("n_items"), F.sum(_d(F.col("items") * agree) / _d(F.col("n") * (F.col("n") - 1))).alias("po"))
-    on = shares.join(seen, list(keys)).withColumn("pi", F.col("share") / _d(F.col("n_items")))
-    out = on.groupBy(*keys).agg(F.first("n_items").alias("n_items"), F.count(F.lit(1)).alias("q"), (F.first("po") / _d(F.first("n_items"))).alias("po"), F.sum(F.col("pi") * (1 - F.col("pi"))).alias("spread"))
-    chance = F.col("spread") / _d(F.col("q") - 1)
-    return out.select(*keys, "n_items", F.col("q").alias("categories"), F.when(F.col("q") >= 2, ratio(F.col("po") - chance, 1 - chance)).alias("ac1"))
+    these items; with fewer than two the value is null.  Marginals are means of the items' shares.
+
+    One shuffle on the item; then patterns, then (label, share) rows beside one row of totals per pattern, so that
+    nothing is computed twice or joined."""
+    sized = label_patterns(ratings, keys, item).withColumn("n", F.aggregate("pattern", F.lit(0).cast("long"), lambda a, x: a + x.c)).where("n >= 2")
+    agree = F.aggregate("pattern", F.lit(0).cast("long"), lambda a, x: a + x.c * (x.c - 1))
+    zero, none = F.lit(0.0), F.lit(0).cast("long")
+    shares = F.transform("pattern", lambda x: F.struct(F.lit(False).alias("total"), x.label.alias("label"), (_d(F.col("items") * x.c) / _d(F.col("n"))).alias("share"), none.alias("items"), zero.alias("po")))
+    total = F.struct(F.lit(True).alias("total"), F.lit(None).cast(dict(ratings.dtypes)["label"]).alias("label"), zero.alias("share"), F.col("items").alias("items"), (_d(F.col("items") * agree) / _d(F.col("n") * (F.col("n") - 1))).alias("po"))
+    rows = sized.select(*keys, F.explode(F.concat(shares, F.array(total))).alias("x")).select(*keys, "x.*")
+    labels = rows.groupBy(*keys, "total", "label").agg(F.sum("share").alias("share"), F.sum("items").alias("items"), F.sum("po").alias("po"))
+    out = labels.groupBy(*keys).agg(F.sum("items").alias("n_items"), F.sum(F.when(~F.col("total"), 1).otherwise(0)).alias("q"), F.sum("po").alias("po"), F.sum("share").alias("s1"), F.sum(F.col("share") * F.col("share")).alias("s2"))
+    n = _d(F.col("n_items"))
+    chance = (F.col("s1") / n - F.col("s2") / (n * n)) / _d(F.col("q") - 1)
+    return out.select(*keys, "n_items", F.col("q").alias("categories"), F.when(F.col("q") >= 2, ratio(F.col("po") / n - chance, 1 - chance)).alias("ac1"))
 
 
 def two_rater_sums(pairs: DataFrame, a: str = "label_a", b: str = "label_b") -> list[Column]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelmark.functions.text import normalize_text
+from panelmark.functions.text import let, normalize_text
 from panelmark.operators.votes import ITEM
 
 CALL = ("run_tag", "domain", "rubric_version", "item_id", "rater_id", "repeat")
@@ -68,28 +68,42 @@ def attach_cluster(labels: DataFrame, clusters: DataFrame, on=ITEM) -> DataFrame
     return labels.join(clusters.select(*on, "cluster_id"), list(on))
 
 
-def link_by_excerpt(probes: DataFrame, items: DataFrame, start: int = 50, length: int = 100, by=("domain",), normalized: bool = True, anchor_words: int = 8) -> DataFrame:
+def link_by_excerpt(probes: DataFrame, items: DataFrame, start: int = 50, length: int = 100, by=("domain",), normalized: bool = True, anchor_words: int = 8, anchor_chars: int = 16) -> DataFrame:
     """(probe_id, item_id): the first item of the same group whose text holds a slice of the probe's text.
 
-    Slices and texts meet on hashes of ``anchor_words`` whole words instead of being compared all with all.  A slice
-    cuts words at its ends, so its anchors leave out the first and last piece; a slice with fewer whole words than an
-    anchor is compared with every text of its group, which is right for any slice.  An empty slice never matches."""
+    Slices and texts meet on hashes of whole words, never all with all.  A slice cuts words at its ends, so its anchors
+    leave out the first and last piece; of the others it takes as many as it has, up to ``anchor_words``.  A slice
+    without whole words is anchored by the first characters of its longer piece, which lies inside one word of a text
+    (a slice of one blank by nothing: it meets every text).  Only the anchor lengths that the slices need (one small
+    job over the probes tells) are made from the texts.  (item, anchor) rows carry no text: texts are fetched by item
+    for the pairs that met.  An empty slice never matches."""
     norm = (lambda c: normalize_text(c)) if normalized else (lambda c: c)
     cut = probes.select(*by, "probe_id", F.substring(norm(F.col("text")), start + 1, length).alias("slice")).where(F.length("slice") > 0)
-    texts = items.select(*by, "item_id", norm(F.col("text")).alias("body"))
     pieces = F.split(F.col("slice"), " ")
-    inner = F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0)))
-    cut = cut.withColumn("inner", inner)
-    anchor = lambda words: F.xxhash64(F.array_join(words, " "))
-    anchored = cut.where(F.size("inner") >= anchor_words).withColumn("anchor", anchor(F.slice("inner", 1, anchor_words)))
-    words = F.split(F.col("body"), " ")
-    places = F.sequence(F.lit(1), F.greatest(F.size(words) - anchor_words + 1, F.lit(1)))
-    grams = texts.withColumn("anchor", F.explode(F.array_distinct(F.transform(places, lambda i: anchor(F.slice(words, i, anchor_words))))))
-    hits = grams.join(anchored, [*by, "anchor"])
-    short = texts.join(cut.where(F.size("inner") < anchor_words), list(by))
-    names = ["probe_id", "item_id", "body", "slice"]
-    found = hits.select(*names).unionByName(short.select(*names)).where(F.expr("contains(body, slice)"))
-    return found.groupBy("probe_id").agg(F.min("item_id").alias("item_id"))
+    cut = cut.withColumn("inner", F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))))
+    cut = cut.withColumn("words", F.least(F.size("inner"), F.lit(anchor_words)))
+    cut = cut.withColumn("piece", F.array_max(F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))).x)
+    cut = cut.withColumn("chars", F.when(F.col("words") == 0, F.least(F.length("piece"), F.lit(anchor_chars))).otherwise(0))
+    needed = cut.select("words", "chars").distinct().collect()  # anchor_words + anchor_chars rows at most
+    joined = lambda words: F.xxhash64(F.array_join(words, " "))
+    first = F.when(F.col("words") > 0, joined(F.slice("inner", 1, F.col("words")))).otherwise(F.xxhash64(F.expr("substring(piece, 1, chars)")))
+    anchored = cut.withColumn("anchor", first)
+    texts = items.select(*by, "item_id", norm(F.col("text")).alias("body"))
+
+    def anchors(whole, n_words: int, n_chars: int):  # noqa: ANN001, ANN202
+        if n_words:
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.size(whole) - n_words + 1, F.lit(1))), lambda i: joined(F.slice(whole, i, n_words)))
+        if not n_chars:
+            return F.array(F.xxhash64(F.lit("")))
+        long = F.filter(F.array_distinct(whole), lambda w: F.length(w) >= n_chars)
+        return F.flatten(F.transform(long, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - n_chars + 1), lambda i: F.xxhash64(F.substring(w, i, F.lit(n_chars))))))
+
+    every = lambda whole: F.array_distinct(F.concat(*(anchors(whole, r.words, r.chars) for r in needed)))
+    keys = let(F.split("body", " "), every) if needed else F.array().cast("array<bigint>")
+    grams = texts.select(*by, "item_id", F.explode(keys).alias("anchor"))
+    met = grams.join(anchored.select(*by, "anchor", "probe_id"), [*by, "anchor"]).select(*by, "item_id", "probe_id").distinct()
+    held = met.join(anchored.select("probe_id", "slice"), "probe_id").join(texts, [*by, "item_id"])
+    return held.where(F.expr("contains(body, slice)")).groupBy("probe_id").agg(F.min("item_id").alias("item_id"))
 
 
 def paired_versions(weights: DataFrame, v0: str, v1: str, on=ITEM, value: str = "weight", version: str = "rubric_version") -> DataFrame:

@@ -1,8 +1,16 @@
 """Bootstrap intervals.
 
 Resampling items with replacement is a multinomial draw over the distinct item patterns, so B draws cost B times the
-number of patterns, whatever the number of items.  Spark counts the patterns; numpy draws, one task per group.  Where
-patterns may be many (cluster sums), draws are cut into chunks that run as tasks of their own.
+number of patterns, whatever the number of items.  Spark counts the patterns and numpy draws them.
+
+Means and ratios may have as many patterns as there are clusters.  Their patterns are dealt to blocks of about ``BLOCK``;
+a draw first splits the group's total among the blocks (every task of a group repeats that split from the group's own
+random stream) and then each block's part among its patterns, which together is the same multinomial draw.  A task holds
+one block; sums per draw are added in Spark.  Panel statistics have few patterns (label counts of an item) and take one
+task per group.
+
+``md5_*`` functions draw rows by md5 instead, n of n for each draw: for small tables, and so that any SQL engine can
+repeat a result.
 """
 
 from __future__ import annotations
@@ -15,10 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelmark.operators.metrics import gwet_ac1_nominal, label_patterns, weighted_agreement
 from panelmark.operators.votes import ITEM
 
-#: Draws that one task holds at once.
-CHUNK = 500
+#: Draws that one task holds at once; patterns of a block.
+CHUNK, BLOCK = 500, 4096
 
 
 def percentile_places(n: int, convention: str, low: float = 0.025, high: float = 0.975) -> tuple[int, int]:
@@ -62,16 +71,6 @@ def multinomial_rows(rng: np.random.Generator, counts: np.ndarray, draws: int) -
     return rng.multinomial(int(counts.sum()), counts / counts.sum(), size=draws)
 
 
-def mean_draws(rng, values: np.ndarray, sizes: np.ndarray, counts: np.ndarray, draws: int) -> np.ndarray:
-    """Means of resampled groups that hold ``values`` in sum and ``sizes`` rows each."""
-    out = []
-    for at in range(0, draws, CHUNK):
-        m = multinomial_rows(rng, counts, min(CHUNK, draws - at))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            out.append((m @ values) / (m @ sizes))
-    return np.concatenate(out)
-
-
 def nominal_ac1(counts: np.ndarray, m: np.ndarray) -> np.ndarray:
     """AC1 of draws: counts is patterns x labels, m is draws x patterns.  Draws with one category are NaN."""
     n = counts.sum(axis=1)
@@ -87,33 +86,62 @@ def nominal_ac1(counts: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.where(q >= 2, value, np.nan)
 
 
-def _bootstrap_mean(keys, draws: int, seed: int, convention: str):
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
-        frame = frame.sort_values(["value", "size"])
-        v, s, c = (frame[x].to_numpy(float) for x in ("value", "size", "items"))
-        low, high, kept = _interval(mean_draws(_stream(seed, *key), v, s, c, draws), convention)
-        return pd.DataFrame([[*key, int((s * c).sum()), int(c.sum()), (v * c).sum() / (s * c).sum(), low, high, kept]])
-
-    return run
-
-
 def _types(df: DataFrame, keys) -> str:
     kinds = dict(df.dtypes)
     return ", ".join(f"{k} {kinds[k]}" for k in keys)
 
 
+def ratio_draws(histogram: DataFrame, keys, draws: int, seed: int) -> DataFrame:
+    """(keys, draw, value): ratios of the resampled sums of ``value`` and ``size`` from a histogram (keys, value, size,
+    items)."""
+    keys = list(keys)
+    blocks = histogram.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = histogram.join(blocks, keys).withColumn("block", F.pmod(F.xxhash64("value", "size"), F.col("blocks")).cast("int")).drop("blocks")
+    totals = dealt.groupBy(*keys, "block").agg(F.sum("items").alias("n")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "n"))).alias("totals"))
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
+        left = left.sort_values(["value", "size"])
+        v, s, c = (left[x].to_numpy(float) for x in ("value", "size", "items"))
+        split = right["totals"].iloc[0]
+        at = [int(x["block"]) for x in split].index(int(key[-1]))
+        n = np.array([int(x["n"]) for x in split])
+        top, own = _stream(seed, *key[:-1]), _stream(seed, *key)
+        sums = []
+        for start in range(0, draws, CHUNK):
+            size = multinomial_rows(top, n, min(CHUNK, draws - start))[:, at]
+            for part in np.array_split(size, max(1, len(size) * len(c) >> 22)):
+                m = own.multinomial(part, c / c.sum())
+                sums.append(np.c_[m @ v, m @ s])
+        out = np.concatenate(sums)
+        return pd.DataFrame({**{k: [x] * draws for k, x in zip(keys, key, strict=False)}, "draw": np.arange(draws), "v": out[:, 0], "s": out[:, 1]})
+
+    group = [*keys, "block"]
+    per_block = dealt.select(*group).distinct().join(totals, keys).select(*(F.col(c).alias(f"_{c}") for c in group), "totals")
+    sums = dealt.groupBy(*group).cogroup(per_block.groupBy(*(f"_{c}" for c in group))).applyInPandas(run, f"{_types(histogram, keys)}, draw long, v double, s double")
+    return sums.groupBy(*keys, "draw").agg((F.sum("v") / F.sum("s")).alias("value"))
+
+
+def _ratio_ci(histogram: DataFrame, keys, draws: int, seed: int, convention: str) -> DataFrame:
+    i = F.col("items")
+    point = histogram.groupBy(*keys).agg(F.sum(F.col("size") * i).cast("long").alias("n"), F.sum(i).alias("units"), (F.sum(F.col("value") * i) / F.sum((F.col("size") * i).cast("double"))).alias("mean"))
+    return point.join(percentile_at(ratio_draws(histogram, keys, draws, seed), list(keys), convention), list(keys))
+
+
 def bootstrap_mean_ci(df: DataFrame, value: str, keys=("domain",), draws: int = 10_000, seed: int = 0, convention: str = "count") -> DataFrame:
-    """n, units, mean, low, high, kept per group: percentile interval of a mean of few distinct values (matches, paired
-    differences).  The histogram is what travels."""
-    histogram = df.where(F.col(value).isNotNull()).groupBy(*keys, F.round(F.col(value).cast("double"), 12).alias("value")).agg(F.count(F.lit(1)).alias("items")).withColumn("size", F.lit(1))
-    return histogram.groupBy(*keys).applyInPandas(_bootstrap_mean(keys, draws, seed, convention), f"{_types(df, keys)}, n long, units long, mean double, low double, high double, kept long")
+    """n, units, mean, low, high, kept per group: percentile interval of a mean (matches, paired differences).  The
+    histogram of the values is what travels."""
+    histogram = df.where(F.col(value).isNotNull()).groupBy(*keys, F.round(F.col(value).cast("double"), 12).alias("value")).agg(F.count(F.lit(1)).alias("items")).withColumn("size", F.lit(1).cast("long"))
+    return _ratio_ci(histogram, keys, draws, seed, convention)
+
+
+def cluster_sums(df: DataFrame, value: str, cluster: str = "cluster_id", keys=("domain",)) -> DataFrame:
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, cluster).agg(F.sum(F.col(value).cast("double")).alias("value"), F.count(F.lit(1)).alias("size"))
 
 
 def cluster_bootstrap_ci(df: DataFrame, value: str, cluster: str = "cluster_id", keys=("domain",), draws: int = 10_000, seed: int = 0, convention: str = "count") -> DataFrame:
     """As above with whole clusters resampled: the ratio of sums over the clusters drawn.  ``units`` are clusters."""
-    sums = df.where(F.col(value).isNotNull()).groupBy(*keys, cluster).agg(F.sum(F.col(value).cast("double")).alias("value"), F.count(F.lit(1)).alias("size"))
-    histogram = sums.groupBy(*keys, F.round("value", 12).alias("value"), "size").agg(F.count(F.lit(1)).alias("items"))
-    return histogram.groupBy(*keys).applyInPandas(_bootstrap_mean(keys, draws, seed, convention), f"{_types(df, keys)}, n long, units long, mean double, low double, high double, kept long")
+    histogram = cluster_sums(df, value, cluster, keys).groupBy(*keys, F.round("value", 12).alias("value"), "size").agg(F.count(F.lit(1)).alias("items"))
+    return _ratio_ci(histogram, keys, draws, seed, convention)
 
 
 def both_cis(df: DataFrame, value: str, cluster: str = "cluster_id", keys=("domain",), draws: int = 10_000, seed: int = 0) -> DataFrame:
@@ -125,14 +153,6 @@ def both_cis(df: DataFrame, value: str, cluster: str = "cluster_id", keys=("doma
     return out.withColumns({"item_width": F.col("item_high") - F.col("item_low"), "cluster_width": F.col("cluster_high") - F.col("cluster_low")})
 
 
-def nominal_patterns(ratings: DataFrame, keys=("domain",), item=ITEM) -> DataFrame:
-    """(keys, pattern, items): pattern is a sorted array of (label, count)."""
-    names = list(dict.fromkeys([*keys, *item]))
-    counts = ratings.where(F.col("label").isNotNull()).groupBy(*names, "label").agg(F.count(F.lit(1)).alias("c"))
-    folded = counts.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("pattern"))
-    return folded.groupBy(*keys, "pattern").agg(F.count(F.lit(1)).alias("items"))
-
-
 def _decoded(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(patterns x labels, items of each pattern), in an order that does not depend on the rows'."""
     rows = sorted((tuple((x["label"], int(x["c"])) for x in p), int(n)) for p, n in zip(frame["pattern"], frame["items"], strict=True))
@@ -180,7 +200,7 @@ def bootstrap_panel_ci(ratings: DataFrame, statistic: str, keys=("domain",), dra
         low, high, kept = _interval(pattern_draws(counts, items, statistic, draws, _stream(seed, *key)), convention)
         return pd.DataFrame([[*key, int(items.sum()), None if np.isnan(value) else float(value), low, high, kept]])
 
-    return nominal_patterns(ratings, keys, item).groupBy(*keys).applyInPandas(run, f"{_types(ratings, keys)}, n_items long, value double, low double, high double, kept long")
+    return label_patterns(ratings, keys, item).groupBy(*keys).applyInPandas(run, f"{_types(ratings, keys)}, n_items long, value double, low double, high double, kept long")
 
 
 def bootstrap_ac1_ci(ratings: DataFrame, keys=("domain",), draws: int = 10_000, seed: int = 0, item=ITEM) -> DataFrame:
@@ -197,17 +217,16 @@ def ac1_draws(ratings: DataFrame, group: str = "domain", draws: int = 10_000, se
         out["value"] = out["value"].astype(object).where(~np.isnan(values), None)
         return out
 
-    return nominal_patterns(ratings, (group,), item).groupBy(group).applyInPandas(run, f"{_types(ratings, [group])}, draw long, value double")
+    return label_patterns(ratings, (group,), item).groupBy(group).applyInPandas(run, f"{_types(ratings, [group])}, draw long, value double")
 
 
-def difference_ci(ratings: DataFrame, pairs: list[tuple], group: str = "domain", draws: int = 10_000, seed: int = 0, item=ITEM) -> DataFrame:
-    """(a, b, difference, low, high, kept, excludes_zero) of AC1 between independent groups: draws pair in draw order."""
-    from panelmark.operators.metrics import gwet_ac1_nominal
-
+def difference_ci(ratings: DataFrame, pairs: list[tuple], group: str = "domain", draws: int = 10_000, seed: int = 0, item=ITEM, md5_seed: str | None = None) -> DataFrame:
+    """(a, b, difference, low, high, kept, excludes_zero) of AC1 between independent groups: draws pair in draw order.
+    With ``md5_seed`` the draws are those of ``md5_ac1_draws``."""
     spark = ratings.sparkSession
     kind = dict(ratings.dtypes)[group]
     wanted = spark.createDataFrame(pairs, f"a {kind}, b {kind}")
-    d = ac1_draws(ratings, group, draws, seed, item)
+    d = ac1_draws(ratings, group, draws, seed, item) if md5_seed is None else md5_statistic_draws(ratings, "gwet_ac1_nominal", draws, md5_seed, (group,), item)
     first, second = (d.select(F.col(group).alias(x), "draw", F.col("value").alias(f"v{x}")) for x in "ab")
     both = first.join(wanted, "a").join(second, ["b", "draw"]).withColumn("value", F.col("va") - F.col("vb"))
     bounds = percentile_at(both, ["a", "b"], "span")
@@ -217,29 +236,54 @@ def difference_ci(ratings: DataFrame, pairs: list[tuple], group: str = "domain",
     return out.select("a", "b", "difference", "low", "high", "kept", ((F.col("low") > 0) | (F.col("high") < 0)).alias("excludes_zero"))
 
 
-def cohort_shift(ratings: DataFrame, cohort: str, first, second, keys=("domain",), draws: int = 10_000, seed: int = 0, item=ITEM) -> DataFrame:  # noqa: ANN001
+def cohort_shift(ratings: DataFrame, cohort: str, first, second, keys=("domain",), draws: int = 10_000, seed: int = 0, item=ITEM, md5_seed: str | None = None) -> DataFrame:  # noqa: ANN001
     """AC1 difference of two disjoint cohorts within each group."""
     name = F.concat_ws("|", *(F.col(k).cast("string") for k in keys), F.col(cohort).cast("string"))
     tagged = ratings.where(F.col(cohort).isin(first, second)).withColumn("cohort_group", name)
     groups = [r[0] for r in tagged.select(F.concat_ws("|", *(F.col(k).cast("string") for k in keys))).distinct().collect()]  # one per group
     pairs = [(f"{g}|{first}", f"{g}|{second}") for g in groups]
-    out = difference_ci(tagged, pairs, "cohort_group", draws, seed, item=("cohort_group", *[c for c in item if c not in keys]))
+    out = difference_ci(tagged, pairs, "cohort_group", draws, seed, item=("cohort_group", *[c for c in item if c not in keys]), md5_seed=md5_seed)
     return out.withColumn("group", F.substring_index("a", f"|{first}", 1)).drop("a", "b")
 
 
-def hash_draws(df: DataFrame, draws: int, seed: str, keys=("domain",), order: str = "item_id") -> DataFrame:
-    """(keys, b, row): draw b takes for its i-th place the row md5(seed|b|i) mod n.  Any SQL engine repeats it; for small
-    n, to hold the fast helpers against."""
+def md5_draws(df: DataFrame, draws: int, seed: str, keys=("domain",), order=("item_id",)) -> DataFrame:
+    """(keys, draw, place, row): draw b takes for its i-th place the row md5(seed|b|i) mod n, rows in the given order.
+    Any SQL engine repeats it; for small n, to hold the fast helpers against."""
     group = W.partitionBy(*keys)
-    rows = df.withColumns({"_i": F.row_number().over(group.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(group)})
-    index = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("b").cast("string"), F.col("_i").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("_n")
-    asked = rows.select(*keys, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).withColumn("_at", index).select(*keys, "b", F.col("_at").alias("_i"))
+    rows = df.withColumns({"_i": F.row_number().over(group.orderBy(*order)) - 1, "_n": F.count(F.lit(1)).over(group)})
+    index = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"), F.col("place").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("_n")
+    asked = rows.select(*keys, F.col("_i").alias("place"), "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("_i", index).drop("_n")
     return asked.join(rows.drop("_n"), [*keys, "_i"]).drop("_i")
 
 
-def hash_bootstrap_mean(df: DataFrame, value: str, draws: int, seed: str, keys=("domain",), order: str = "item_id", convention: str = "count") -> DataFrame:
-    means = hash_draws(df, draws, seed, keys, order).groupBy(*keys, "b").agg((F.sum(F.col(value)) / F.count(F.lit(1)).cast("double")).alias("value"))
-    return percentile_at(means, list(keys), convention)
+def md5_ratio_ci(sums: DataFrame, draws: int, seed: str, keys=("domain",), order=("item_id",), convention: str = "count") -> DataFrame:
+    """n, units, mean, low, high, kept per group of rows (value, size): items with a size of 1, or ``cluster_sums``."""
+    size = F.col("size").cast("double")
+    means = md5_draws(sums, draws, seed, keys, order).groupBy(*keys, "draw").agg((F.sum("value") / F.sum(size)).alias("value"))
+    point = sums.groupBy(*keys).agg(F.sum("size").cast("long").alias("n"), F.count(F.lit(1)).alias("units"), (F.sum("value") / F.sum(size)).alias("mean"))
+    return point.join(percentile_at(means, list(keys), convention), list(keys))
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """Rows that count as one each."""
+    return df.withColumn("size", F.lit(1).cast("long"))
+
+
+def md5_statistic_draws(ratings: DataFrame, statistic: str, draws: int, seed: str, keys=("domain",), item=ITEM) -> DataFrame:
+    """(keys, draw, value): a panel statistic over items drawn by md5, all of an item's labels with it."""
+    own = [c for c in item if c not in keys]
+    folded = ratings.where(F.col("label").isNotNull()).groupBy(*keys, *own).agg(F.collect_list("label").alias("labels"))
+    drawn = md5_draws(folded, draws, seed, keys, own).select(*keys, "draw", "place", F.explode("labels").alias("label"))
+    by, unit = (*keys, "draw"), (*keys, "draw", "place")
+    if statistic == "gwet_ac1_nominal":
+        return gwet_ac1_nominal(drawn, by, unit).select(*by, F.col("ac1").alias("value"))
+    if statistic == "weighted":
+        return weighted_agreement(drawn, by, unit).select(*by, F.col("weighted").alias("value"))
+    raise ValueError(f"no md5 draws of {statistic!r}")
+
+
+def md5_panel_ci(ratings: DataFrame, statistic: str, draws: int, seed: str, keys=("domain",), item=ITEM, convention: str = "span") -> DataFrame:
+    return percentile_at(md5_statistic_draws(ratings, statistic, draws, seed, keys, item), list(keys), convention)
 
 
 def value_of(condition: Column) -> Column:

@@ -130,8 +130,18 @@ def round_of(items: DataFrame) -> DataFrame:
 def with_row_index(df: DataFrame, order=None, by=None, name: str = "item_id") -> DataFrame:
     """Position in reading order (``order`` None), or within ``by`` groups in the given order, from 0.
 
-    The two are different keys: a position within a domain must not be joined to a global one."""
-    if by is not None:
-        return df.withColumn(name, (F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
-    schema = df.schema.add(name, "long")
-    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+    The two are different keys: a position within a domain must not be joined to a global one.  Rows are counted by
+    partition, and a row's position is that of its partition plus its own in it: no group and no table has to fit one
+    task.  Ordered rows are kept (``persist``) between the two passes, so that both see the same partitions."""
+    keys = list(by or [])
+    if order is not None or keys:
+        sort = [*keys, *(order or [])]
+        df = df.repartitionByRange(*sort).sortWithinPartitions(*sort).persist()
+    placed = df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    counts = placed.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row per partition (and group in it)
+    offsets = counts.select(F.col("_part").alias("_p"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
+    on = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return placed.join(offsets, on).select(*df.columns, (F.col("_at") + F.col("_offset")).cast("long").alias(name))

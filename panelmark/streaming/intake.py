@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,35 +13,77 @@ from panelmark.operators.votes import ITEM
 
 def stream_intake(stream: DataFrame, path: str, checkpoint: str, key=CALL, event_time: str = "ingest_ts", delay: str = "1 hour") -> StreamingQuery:
     """Append each call once.  Inside the watermark the first write of a key wins, unlike the batch rule (the last one):
-    a stream cannot wait for a later correction."""
+    a stream cannot wait for a later correction.  Keys older than the watermark leave the state."""
     fresh = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(key))
     return fresh.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_panel_votes(stream: DataFrame, sink, checkpoint: str, item=ITEM) -> StreamingQuery:  # noqa: ANN001
-    """Running votes per item; ``sink(batch, id)`` gets the items that a micro-batch changed."""
-    valid = F.col("label").isin("HIGH", "LOW")
-    votes = stream.where(valid).groupBy(*item).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("label") == "HIGH").cast("long")).alias("h"))
-    return votes.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Votes that each micro-batch adds to its items; ``sink(votes, number)`` keeps them.  The running totals live in the
+    sink's table and not in the state of the query, so nothing has to expire and late ratings count."""
+
+    def added(batch: DataFrame, number: int) -> None:
+        valid = batch.where(F.col("label").isin("HIGH", "LOW"))
+        sink(valid.groupBy(*item).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("label") == "HIGH").cast("long")).alias("h")), number)
+
+    return stream.writeStream.foreachBatch(added).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class PanelMetricsTable:
-    """Votes per item kept as a Parquet table of versions: each micro-batch replaces the votes of its items.
+    """Votes per item as a Parquet table of additions, one folder for each micro-batch, so that the metrics equal those
+    of a batch run over all ratings so far.
 
-    A changed item's earlier votes are taken out before the new ones count (the newest version of an item wins), so the
-    metrics equal those of a batch run over all ratings so far."""
+    Every ``compact_every`` batches the folders so far are summed into one ``base``, and what it replaces is deleted: a
+    reader sees the newest complete base and the batches behind it.  A replayed batch overwrites its own folder; one that
+    a base holds already is left out."""
 
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, compact_every: int = 50, item=ITEM) -> None:
+        self.path, self.compact_every, self.item = path.rstrip("/"), compact_every, tuple(item)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        # Overwriting the batch's own folder makes a replayed batch harmless.
-        batch.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+        spark = batch.sparkSession
+        base, _ = self._parts(spark)
+        if base is not None and number <= base:
+            return
+        batch.write.mode("overwrite").parquet(f"{self.path}/batch-{number}")
+        if (number + 1) % self.compact_every == 0:
+            self.compact(spark)
+
+    def _files(self, spark: SparkSession):  # noqa: ANN202
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+    def _parts(self, spark: SparkSession) -> tuple[int | None, list[int]]:
+        """(number of the newest complete base, numbers of the complete batches behind it)."""
+        system, path = self._files(spark)
+        if not system.exists(path):
+            return None, []
+        names = [x.getPath().getName() for x in system.listStatus(path)]
+        whole = [x for x in names if system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}/_SUCCESS"))]
+        of = lambda kind: sorted(int(x.split("-")[1]) for x in whole if x.startswith(f"{kind}-"))
+        bases = of("base")
+        base = bases[-1] if bases else None
+        return base, [n for n in of("batch") if base is None or n > base]
+
+    def votes(self, spark: SparkSession) -> DataFrame | None:
+        """(item, n, h) over all batches; None before the first."""
+        base, batches = self._parts(spark)
+        paths = [f"{self.path}/base-{base}"] * (base is not None) + [f"{self.path}/batch-{n}" for n in batches]
+        if not paths:
+            return None
+        return spark.read.parquet(*paths).groupBy(*self.item).agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
+
+    def compact(self, spark: SparkSession) -> None:
+        base, batches = self._parts(spark)
+        if not batches:
+            return
+        self.votes(spark).write.mode("overwrite").parquet(f"{self.path}/base-{batches[-1]}")
+        system, _ = self._files(spark)
+        for name in [f"base-{base}"] * (base is not None) + [f"batch-{n}" for n in batches]:
+            system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
 
-    def patterns(self, spark, keys=("domain",), item=ITEM) -> DataFrame:  # noqa: ANN001
-        rows = spark.read.parquet(self.path)
-        newest = rows.groupBy(*item).agg(F.max(F.struct("version", "n", "h")).alias("v")).select(*item, "v.n", "v.h")
-        return newest.groupBy(*keys, "n", "h").agg(F.count(F.lit(1)).alias("items"))
+    def patterns(self, spark: SparkSession, keys=("domain",)) -> DataFrame:
+        return self.votes(spark).groupBy(*keys, "n", "h").agg(F.count(F.lit(1)).alias("items"))
 
-    def metrics(self, spark, keys=("domain",)) -> DataFrame:  # noqa: ANN001
+    def metrics(self, spark: SparkSession, keys=("domain",)) -> DataFrame:
         return pattern_metrics(self.patterns(spark, keys), keys)
