@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelmark.functions.text import let  # noqa: F401
+from panelmark.sources.shared import shared_path
+
 #: The white space of the word rules: blank and \t \n \v \f \r.  ``bytes.split()`` cuts at the same six bytes.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -19,22 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.  Where the session names none, a local master
-    gets a temporary folder (driver and tasks are one process there); a cluster is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and spark.sparkContext.master.startswith("local"):
-        found = tempfile.mkdtemp(prefix="panelmark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
@@ -64,20 +49,30 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it as long as ``df`` has a column of that name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def apart(docs: DataFrame, *needed: str, row: str = "row") -> DataFrame:
+    """The needed columns beside a struct of all columns, so that no other name can clash; ``row.*`` has them back."""
+    return docs.select(*needed, F.struct(*(docs[c] for c in docs.columns)).alias(row))
 
 
 class WordHashes(dict):
-    """Memo of 64-bit hashes of words; emptied when full, so its memory is bounded."""
+    """Memo of 64-bit hashes of words of up to ``LONG`` bytes; emptied when full, so its memory is bounded."""
 
-    LIMIT = 400_000
+    LIMIT, LONG = 400_000, 64
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONG:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = value
         return value
 
 

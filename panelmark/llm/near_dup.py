@@ -8,12 +8,15 @@ representative of a class goes on.
 Representatives that share a band are candidates.  No bucket is expanded into its pairs: first each member meets only
 the best connected member of its bucket, candidates are verified on their full sets, and verified links are contracted
 to components.  Buckets that still hold several components join these to families.  The members of a family are dealt
-into blocks of about ``BLOCK`` bytes and every two blocks meet in one task, which compares signatures as a matrix,
-verifies what they leave on the full sets and returns links only.  That finds the links that the first step had no
-reason to try; no pair is written or shuffled as a row.
+into blocks of at most about ``BLOCK`` bytes and ``BLOCK_ROWS`` rows, large components in blocks of their own.  Two blocks
+meet in one task unless both are of one component, so a large group of copies that is linked already is not compared
+with itself.  The task compares signatures as a matrix, verifies what they leave on the full sets and returns links only.
+That finds the links that the first step had no reason to try; no pair is written or shuffled as a row.
 
 The number of bands is chosen so that a pair exactly at the threshold shares none with a probability under 1e-5; the
-signatures' last bits, compared in the blocks, turn such a pair away with one under 1e-7.
+signatures' last bits, compared in the blocks, turn such a pair away with one under 1e-7.  With ``exact`` a document's
+buckets are instead the least hashes of its set, as many as it takes that two similar sets must share one (prefix
+filter); no link is lost then, for more buckets.
 
 Defined results: a document without words or text has no shingles, is linked with nothing and is its own component;
 rows that repeat a doc_id are nodes of their own and share the smallest id of their component; a null doc_id is
@@ -30,14 +33,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelmark.llm.common import gram_hashes, mixed, release, stored, table, word_hashes
+from panelmark.llm.common import discard, gram_hashes, mixed, release, stored, table, word_hashes
 
 #: Coordinates of a signature, 256 at most.
 COORDINATES = 240
-#: Bytes of full sets in a block; a task holds two blocks.
-BLOCK = 2 << 20
+#: Bytes of full sets and rows in a block; a task holds two blocks.
+BLOCK, BLOCK_ROWS = 2 << 20, 512
 
 
 def banding(percent: int, coordinates: int = COORDINATES, miss: float = 1e-5) -> tuple[int, int]:
@@ -90,7 +94,14 @@ def signature(found: np.ndarray, coordinates: int) -> np.ndarray:
     return out
 
 
-def _sketched(k: int, bands: int, rows: int):
+def prefix(found: np.ndarray, percent: int) -> np.ndarray:
+    """The least hashes of a sorted set: two sets of the similarity have one of these in common, for they share at least
+    that percentage of the larger one's members and both keep the same order."""
+    n = len(found)
+    return found[: n - -(-percent * n // 100) + 1]
+
+
+def _sketched(k: int, bands: int, rows: int, percent: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = np.arange(bands, dtype=np.uint64) << np.uint64(32)
         for batch in batches:
@@ -108,6 +119,9 @@ def _sketched(k: int, bands: int, rows: int):
                 last = np.zeros(256, np.uint8)
                 last[: len(sig)] = sig & np.uint32(1)
                 bits.append(np.packbits(last).view(np.int64))
+                if percent is not None:
+                    keys.append(prefix(found, percent).view(np.int64))
+                    continue
                 sig = sig.reshape(bands, rows)
                 key = mixed(numbers + np.uint64(1))
                 for j in range(rows):
@@ -142,18 +156,28 @@ def _verified(percent: int):
 
 
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component) of every node on an edge (a, b), by contraction: each node takes its smallest neighbour if
-    that is smaller, edges move to the nodes so taken, loops and repeats go, until no edge is left."""
+    """(node, component) of every node on an edge (a, b), by contraction: each node points to its smallest neighbour if
+    that is smaller; pointers are followed to their ends by doubling; edges move to these ends, loops and repeats go,
+    until no edge is left.  A chain of n nodes takes about log2(n) doublings, whatever its order."""
     spark = edges.sparkSession
     labels = None
     edges = stored(edges.select("a", "b"), f"{name}-edges")
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")), f"{name}-step")
+        step = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to"), F.lit(True).alias("moved")), f"{name}-step")
+        while True:
+            ahead = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            jumped = stored(step.join(ahead, "to").select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), f"{name}-step")
+            discard(step)
+            step = jumped
+            if step.where("moved").isEmpty():
+                break
         to_a = step.select(F.col("node").alias("a"), F.col("to").alias("ta"))
         to_b = step.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         moved = edges.join(to_a, "a").join(to_b, "b").where("ta <> tb")
-        edges = stored(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), f"{name}-edges")
+        rest = stored(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), f"{name}-edges")
+        discard(edges)
+        edges = rest
         if labels is None:
             labels = step.select("node", F.col("to").alias("component"))
         else:
@@ -167,13 +191,13 @@ def _possible(percent: int):
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", exact: bool = False) -> DataFrame:
     """One row per document row: doc_id, text_hash, n_shingles, component_id (smallest id of its component), node (row
-    number) and lead (the node that stands for the component)."""
+    number) and lead (the node that stands for the component).  ``exact`` finds every link by prefix filter."""
     bands, rows = banding(percent)
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     numbered = source.withColumn("node", F.monotonically_increasing_id())
-    sketch = stored(numbered.mapInArrow(_sketched(k, bands, rows), "node long, doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, bits array<long>"), "near-sketch")
+    sketch = stored(numbered.mapInArrow(_sketched(k, bands, rows, percent if exact else None), "node long, doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, bits array<long>"), "near-sketch")
 
     # Classes of equal sets.
     some = sketch.where("digest is not null")
@@ -216,7 +240,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     open_ = at.select("node", "n", "component").distinct().join(family.select(F.col("node").alias("component"), F.col("component").alias("family")), "component")
     open_ = stored(open_, "near-open")
     found = _blocks(open_).join(sketch.select("node", "bits"), "node").join(sets, "node")
-    more = found.groupBy("family", "low", "high").applyInArrow(_compared(percent, most_bits(percent, bands * rows)), "a long, b long")
+    more = found.groupBy("family", "low", "high").applyInArrow(_compared(percent, bands * rows if exact else most_bits(percent, bands * rows)), "a long, b long")
     more = stored(more, "near-more-links")
     if not more.isEmpty():
         full = connected(links.unionByName(more), "near-components")
@@ -228,10 +252,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
 
 
 def _blocks(open_: DataFrame) -> DataFrame:
-    """Each member in its block of its family (by hash), once for every pair (low, high) of blocks that this one is in."""
-    parts = open_.groupBy("family").agg(F.ceil(F.sum(F.col("n") * 8) / BLOCK).cast("int").alias("parts"))
-    dealt = open_.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    """Each member in its block of its family, once for every pair (low, high) of blocks that this one is in.
+
+    Components above a block's size have blocks of their own (members by hash), numbered from ``first``; smaller ones
+    share the family's first ``shared`` blocks (whole components by hash), which also meet themselves."""
+    full = lambda n, rows: F.ceil(F.greatest(F.sum(n) * 8 / BLOCK, F.sum(rows) / BLOCK_ROWS)).cast("int")
+    size = open_.groupBy("family", "component").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    large = (F.col("n") * 8 >= BLOCK) | (F.col("rows") >= BLOCK_ROWS)
+    shared = size.where(~large).groupBy("family").agg(full("n", "rows").alias("shared"))
+    own = size.where(large).groupBy("family", "component").agg(full("n", "rows").alias("own"))
+    own = own.withColumn("end", F.sum("own").over(W.partitionBy("family").orderBy("component")))  # a row per block's worth of members
+    parts = own.groupBy("family").agg(F.max("end").alias("most"))
+    dealt = open_.join(own, ["family", "component"], "left").join(shared, "family", "left").join(parts, "family", "left")
+    dealt = dealt.withColumns({"shared": F.coalesce("shared", F.lit(0)), "most": F.coalesce("most", F.lit(0))})
+    first = F.col("shared") + F.col("end") - F.col("own")
+    part = F.when(F.col("own").isNotNull(), first + F.pmod(F.xxhash64("node"), F.col("own"))).otherwise(F.pmod(F.xxhash64("component"), F.col("shared")))
+    dealt = dealt.withColumns({"part": part.cast("int"), "first": first, "parts": (F.col("shared") + F.col("most")).cast("int")})
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    other = other.where(F.col("own").isNull() | (F.col("other") < F.col("first")) | (F.col("other") >= F.col("first") + F.col("own")))
     return other.select("family", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "n", "component")
 
 
@@ -250,6 +288,8 @@ def _compared(percent: int, limit: int):
         within = low == int(found.column("high")[0].as_py())
         left = np.flatnonzero(part == low)
         right = left if within else np.flatnonzero(part != low)
+        if not len(right):  # the other block has no member
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         root, a, b = list(range(len(names))), [], []
 
         def top(x: int) -> int:

@@ -2,14 +2,16 @@
 
 Vectors get one more component so that all have the length of the longest; then the largest inner product is the
 smallest distance.  Every vector is keyed by its nearest pivot and its distance to it; each pivot's distances are cut
-into rings.  A query first looks through the ring it lies in, which gives it k candidates and so a bound.  It then
-expands to the other rings, sorted by how near they can come to it (triangle inequality over the ring's least and
-largest distance), and stops at the first that cannot hold a better candidate.  Scores are exact integers; distances
-only decide what is skipped, with a margin for rounding.
+into annuli.  Of an annulus the index knows the least and largest distance of its vectors to every pivot and their
+largest norm, and so a bound on the score that it can hold for a query (triangle inequality, Cauchy-Schwarz).
 
-Pivots and ring bounds come from at most ``SAMPLE`` rows (they change the work, never the result); the index holds every
-row.  Ring and pivot counts are fixed, so the ring table that workers get is bounded.  Rings are cut into blocks of
-about ``BLOCK`` vectors and ``QUERIES`` queries, the unit of a task's memory.
+A query expands its annuli in order of their bounds, in rounds of ``WIDTHS``: after each round its k-th score so far is
+the floor, which only rises, and the query stops at the first annulus whose bound is below it.  Scores are exact
+integers; distances only decide what is skipped, with a margin for rounding.
+
+Pivots and cuts come from at most ``SAMPLE`` rows (they change the work, never the result); the index holds every row.
+Their counts are fixed, so the table of annuli that workers get is bounded.  Annuli are cut into blocks of about
+``BLOCK`` vectors and ``QUERIES`` queries, the unit of a task's memory.
 
 Defined results: vectors that are null or hold a null, NaN or infinite component take no part; shorter vectors count as
 followed by zeros; rows that repeat a vec_id are candidates of their own (also for each other), a query per row; ties
@@ -27,9 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelmark.llm.common import stored, table
+from panelmark.llm.common import discard, stored, table
 
-SAMPLE, PIVOTS, RINGS, BLOCK, QUERIES = 2048, 32, 8, 4096, 1024
+SAMPLE, PIVOTS, RINGS, BLOCK, QUERIES = 2048, 32, 8, 8192, 8192
+#: Annuli that a query expands in each round; the last round takes the rest.
+WIDTHS = (2, 14, 48)
 LAST = (1 << 63) - 1
 ROW = "row long, vec_id long, ring int, near double, norm long, packed binary"
 
@@ -90,24 +94,57 @@ def _keyed(pivots: np.ndarray, cuts: np.ndarray, width: int, most: int):
     return run
 
 
-def _expanded(pivots: np.ndarray, rings: np.ndarray, width: int, most: int, first: bool):
-    """(ring, query) for the rings a query has to look through; rings: (ring, least, largest distance)."""
+def _spread(pivots: np.ndarray, width: int, most: int):
+    """Least and largest distance to every pivot and largest norm, per ring of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column("ring").to_numpy()
-            if first:
-                rows, wanted = np.arange(len(own)), own
-            else:
-                d = distances(lifted(matrix(batch.column("packed").to_pylist(), width), 0), pivots)[:, (rings[:, 0] // RINGS).astype(int)]
-                bound = np.maximum(np.maximum(d - rings[:, 2], rings[:, 1] - d), 0)
-                # No score of the ring exceeds this.
-                best = (batch.column("norm").to_numpy()[:, None] + most - bound**2) / 2
-                best += 1 + 1e-9 * (most + np.abs(best))
-                rows, at = np.nonzero((best >= batch.column("floor").to_numpy()[:, None]) & (rings[:, 0] != own[:, None]))
-                wanted = rings[at, 0]
+            ring, norm = batch.column("ring").to_numpy(), batch.column("norm").to_numpy()
+            d = distances(lifted(matrix(batch.column("packed").to_pylist(), width), most), pivots)
+            order = np.argsort(ring, kind="stable")
+            at = np.flatnonzero(np.r_[np.ones(min(len(ring), 1), bool), np.diff(ring[order]) != 0])
+            if not len(at):
+                continue
+            low, high, norms = np.minimum.reduceat(d[order], at), np.maximum.reduceat(d[order], at), np.maximum.reduceat(norm[order], at)
+            n, p = low.shape
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ring[order][at], p), pa.int32()), pa.array(np.tile(np.arange(p), n), pa.int32()), pa.array(low.ravel()), pa.array(high.ravel()), pa.array(np.repeat(norms, p), pa.int64())], ["ring", "pivot", "low", "high", "norm"])
+
+    return run
+
+
+class Annuli:
+    """Bounds on the scores of the annuli for any queries."""
+
+    def __init__(self, pivots: np.ndarray, rows: list, most: int) -> None:  # noqa: ANN001
+        self.pivots, self.most = pivots, most
+        self.rings = np.array(sorted({r.ring for r in rows}), int)
+        at = {r: i for i, r in enumerate(self.rings.tolist())}
+        self.low, self.high = np.zeros((len(self.rings), len(pivots))), np.zeros((len(self.rings), len(pivots)))
+        self.norm = np.zeros(len(self.rings))
+        for r in rows:
+            self.low[at[r.ring], r.pivot], self.high[at[r.ring], r.pivot], self.norm[at[r.ring]] = r.low, r.high, r.norm
+
+    def best(self, queries: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        """No score of the ring (column) exceeds this for the query (row)."""
+        d = distances(lifted(queries, 0), self.pivots)
+        gap = np.zeros((len(d), len(self.rings)))
+        for p in range(d.shape[1]):
+            own = d[:, p : p + 1]
+            np.maximum(gap, np.maximum(own - self.high[:, p], self.low[:, p] - own), out=gap)
+        score = np.minimum((norm[:, None] + self.most - gap**2) / 2, np.sqrt(norm[:, None] * self.norm))
+        return score + 1 + 1e-9 * (self.most + np.abs(score))
+
+
+def _expanded(annuli: Annuli, width: int, start: int, count: int):
+    """(ring, query) of the annuli at places [start, start + count) of a query's order, as far as the floor allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = annuli.best(matrix(batch.column("packed").to_pylist(), width), batch.column("norm").to_numpy())
+            order = np.argsort(-best, axis=1, kind="stable")[:, start : start + count]
+            rows, at = np.nonzero(np.take_along_axis(best, order, axis=1) >= batch.column("floor").to_numpy()[:, None])
             take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.int32()), *(batch.column(c).take(take) for c in ("row", "packed", "floor"))], ["ring", "query", "packed", "floor"])
+            yield pa.RecordBatch.from_arrays([pa.array(annuli.rings[order[rows, at]], pa.int32()), *(batch.column(c).take(take) for c in ("row", "packed", "floor"))], ["ring", "query", "packed", "floor"])
 
     return run
 
@@ -135,8 +172,10 @@ def _scores(width: int, k: int):
     return run
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every``, against all rows."""
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", embedding: str = "embedding", scored: list | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every``, against all rows.
+
+    ``scored``, a list, gets the number of (query, vector) pairs that each round scored, for one more job a round."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     base = stored(quantised(vectors, vec_id, embedding), "search-vectors")
@@ -145,33 +184,39 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
         return empty
     width, most = max(sizes[0], 1), sizes[1]
     sample = base.orderBy(F.xxhash64("vec_id", "row"), "row").limit(SAMPLE).select("v").collect()
-    packed = [np.array(r.v, np.int64).tobytes() for r in sample]
-    pivots, cuts = pivots_of(lifted(matrix(packed, width), most))
+    pivots, cuts = pivots_of(lifted(matrix([np.array(r.v, np.int64).tobytes() for r in sample], width), most))
     index = stored(base.mapInArrow(_keyed(pivots, cuts, width, most), ROW), "search-index")
-    stats = index.groupBy("ring").agg(F.min("near"), F.max("near"), F.count(F.lit(1)), F.sum(F.when(F.col("vec_id") % every == 0, 1).otherwise(0))).collect()  # PIVOTS x RINGS rows at most
-    rings = np.array([[r[0], r[1], r[2]] for r in stats], float)
-    blocks = F.create_map(*(F.lit(int(x)) for r in stats for x in (r[0], -(-r[3] // BLOCK))))
-    turns = max(1, -(-sum(r[4] for r in stats) // QUERIES))
+    sizes = {r[0]: (r[1], r[2]) for r in index.groupBy("ring").agg(F.count(F.lit(1)), F.sum(F.when(F.col("vec_id") % every == 0, 1).otherwise(0))).collect()}  # PIVOTS x RINGS rows at most
+    spread = index.select("ring", "norm", "packed").mapInArrow(_spread(pivots, width, most), "ring int, pivot int, low double, high double, norm long")
+    annuli = Annuli(pivots, spread.groupBy("ring", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("norm").alias("norm")).collect(), most)  # PIVOTS times as many
+    blocks = F.create_map(*(F.lit(int(x)) for ring, (n, _) in sizes.items() for x in (ring, -(-n // BLOCK))))
+    turns = max(1, -(-sum(q for _, q in sizes.values()) // QUERIES))
     queries = index.where(F.col("vec_id") % every == 0)
-    low = -(1 << 62)
-
-    def looked(asked: DataFrame, first: bool) -> DataFrame:
-        pairs = asked.mapInArrow(_expanded(pivots, rings, width, most, first), "ring int, query long, packed binary, floor long")
+    best = W.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
+    found, start = None, 0
+    for count in (*WIDTHS, len(annuli.rings)):
+        asked = queries.withColumn("floor", F.lit(-(1 << 62)))
+        if found is not None:
+            kth = found.where(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").alias("kth"))
+            asked = queries.join(kth, "row", "left").withColumn("floor", F.coalesce("kth", F.lit(-(1 << 62))))
+        pairs = asked.select("row", "norm", "packed", "floor").mapInArrow(_expanded(annuli, width, start, count), "ring int, query long, packed binary, floor long")
         pairs = pairs.withColumn("turn", F.pmod(F.xxhash64("query"), F.lit(turns)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("ring")) - 1)))
         pairs = stored(pairs, "search-pairs")
+        start += count
         wanted = pairs.select(F.col("ring").alias("wanted"), F.col("turn").alias("wanted_turn")).distinct()
+        if scored is not None:
+            scored.append(sum(r[1] * sizes[r[0]][0] for r in pairs.where("block = 0").groupBy("ring").count().collect()))
         rows = index.join(wanted, F.col("ring") == F.col("wanted")).withColumn("turn", F.col("wanted_turn") + 0).withColumn("block", F.pmod(F.xxhash64("row"), F.element_at(blocks, F.col("ring"))).cast("int"))
         keys = ["ring", "turn", "block"]
-        return rows.select(*keys, "row", "vec_id", "packed").groupBy(*keys).cogroup(pairs.groupBy(*keys)).applyInArrow(_scores(width, k), "query long, row long, vec_id long, score long")
-
-    near = stored(looked(queries.withColumn("floor", F.lit(low)), True), "search-near")
-    best = W.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
-    kth = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").alias("floor"))
-    bounded = queries.join(kth, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(low)))
-    far = looked(bounded.select("row", "vec_id", "ring", "near", "norm", "packed", "floor"), False)
-    ranked = near.unionByName(far).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        hits = rows.select(*keys, "row", "vec_id", "packed").groupBy(*keys).cogroup(pairs.groupBy(*keys)).applyInArrow(_scores(width, k), "query long, row long, vec_id long, score long")
+        known = hits if found is None else found.drop("rank").unionByName(hits)
+        ranked = stored(known.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "search-found")
+        discard(pairs, *([found] if found is not None else []))
+        found = ranked
+        if start >= len(annuli.rings):
+            break
     named = queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
-    return ranked.join(named, "query").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.join(named, "query").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

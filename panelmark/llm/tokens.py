@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmark.llm.common import shared_path, table
+from panelmark.llm.common import table
+from panelmark.sources.shared import shared_path
 
 #: White_Space of Unicode, which the pre-tokenizers mean by \s.
 UNICODE_SPACES = "\t-\r \x85\xa0  -     　"

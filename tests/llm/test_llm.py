@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from panelmark.llm import language_model as lm
 from panelmark.llm import licenses, near_dup, packing, quality, search, substrings, tokens, warc
-from panelmark.llm.common import shared_path
+from panelmark.sources.shared import shared_path
 
 PASSAGE = " ".join(f"p{i}" for i in range(60))
 TEXTS = [
@@ -69,6 +69,63 @@ def test_near_duplicates(spark, docs):
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    """200 nodes in a row, in order of their numbers and at random."""
+    rng, rounds, stored = np.random.default_rng(5), [], near_dup.stored
+    monkeypatch.setattr(near_dup, "stored", lambda df, name: rounds.append(name) or stored(df, name))
+    for order in (np.arange(200), rng.permutation(200)):
+        rounds.clear()
+        edges = spark.createDataFrame([(int(min(a, b)), int(max(a, b))) for a, b in zip(order, order[1:], strict=False)] + [(500, 501)], "a long, b long").coalesce(1)
+        got = {r.node: r.component for r in near_dup.connected(edges).collect()}
+        assert got == {**{i: 0 for i in range(200)}, 500: 500, 501: 500}
+        assert sum(x.endswith("-step") for x in rounds) <= 24 and sum(x.endswith("-edges") for x in rounds) <= 8
+
+
+def near_texts(rng, families, size):
+    """Texts of 60 words; each family's differ in a few words from the one before, so links form chains and clusters."""
+    out = []
+    for f in range(families):
+        w = [f"f{f}w{i}" for i in range(60)]
+        for _ in range(size):
+            w = list(w)
+            for _ in range(int(rng.integers(0, 3))):
+                w[int(rng.integers(0, 60))] = f"x{int(rng.integers(0, 1 << 30))}"
+            out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_near_duplicates_of_families_in_blocks(spark, monkeypatch, exact):
+    """Blocks of few rows: components of every size share and fill blocks; against all pairs."""
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 7)
+    texts = near_texts(np.random.default_rng(2), 4, 30)
+    sets = [{tuple(t.split()[j : j + 3]) for j in range(58)} for t in texts]
+    at = list(range(len(texts)))
+
+    def top(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                low, high = sorted((top(a), top(b)))
+                at[high] = low
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, 3, 85, exact=exact).collect()}
+    assert got == {i: top(i) for i in range(len(texts))} and 4 < len(set(got.values())) < len(texts)
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        p = np.unique(rng.integers(0, 1 << 40, rng.integers(1, 80), dtype=np.uint64))
+        q = np.unique(np.concatenate((p[rng.random(len(p)) > 0.08], rng.integers(0, 1 << 40, rng.integers(0, 6), dtype=np.uint64))))
+        if len(q) and near_dup.similar(p, q, 85):
+            assert set(near_dup.prefix(p, 85).tolist()) & set(near_dup.prefix(q, 85).tolist())
+
+
 def test_token_counts_and_cache(spark, docs):
     path, cache = tokens.vocabulary("byte_bpe_50k.json"), shared_path(spark, "cache")
     t = tokens.loaded(path)
@@ -150,6 +207,23 @@ def test_exact_search(spark):
     assert search.top_k(df.where("vec_id = 400")).count() == 0
 
 
+def test_search_stops_where_vectors_lie_in_clusters(spark):
+    """The same results as by brute force, from a fraction of the pairs."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16)) * 4
+    vs = np.concatenate([c + rng.normal(size=(100, 16)) * 0.2 for c in centres])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vs)], "vec_id long, embedding array<double>").repartition(3)
+    scored = []
+    got = sorted(tuple(r) for r in search.top_k(df, scored=scored).collect())
+    q = np.floor(256 * vs).astype(int)
+    want = []
+    for i in range(0, len(q), 50):
+        order = sorted((-int(q[i] @ q[j]), j) for j in range(len(q)) if j != i)[:5]
+        want += [(i, n, j, -s) for n, (s, j) in enumerate(order, 1)]
+    assert got == sorted(want)
+    assert sum(scored) < 0.4 * len(q) * len(q) / 50 and len(scored) >= 2
+
+
 def test_language_model_words(spark, docs):
     got = lm.score_texts(docs, F.coalesce("doc_id", F.lit(0)) % 2 == 0, top=3).collect()
     c = collections.Counter()
