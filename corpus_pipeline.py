@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmark.llm.common import shared_path, words
+from panelmark.llm.common import words
 from panelmark.llm.mixing import mix, quality_weight
 from panelmark.llm.near_dup import near_duplicates
 from panelmark.llm.packing import pack_documents
 from panelmark.llm.quality import quality_cascade
 from panelmark.llm.substrings import remove_repeats
 from panelmark.llm.tokens import vocabulary
+from panelmark.sources.shared import shared_path
 
 #: Words of a passage that the substring stage removes where it repeats.
 PASSAGE = 50
