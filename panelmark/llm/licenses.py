@@ -1,33 +1,40 @@
 """License scans by diagonal voting.
 
-All rolling word k-grams of the license templates have hashes and positions; the k-grams of the documents are joined to
-them.  A hit at document word p and template word q votes for the diagonal p - q.  Votes are aggregated by diagonal,
-neighbouring diagonals (words put in or left out) merge to a span, and a span stands if the words of its hits, compared
-as words, cover enough of the template.
+All rolling word k-grams of the documents are joined by their hashes to those of the license templates.  A hit at document
+word p and template word q votes for the diagonal p - q.  Votes are aggregated by diagonal, and neighbouring diagonals
+(words put in or left out) merge to a span.  A span is then verified: its words and the template's, compared as words and
+not as hashes, are aligned (longest chain of hits that rises in both), and the span stands if the chain covers enough of
+the template without more words put in than may be missing.  Fragments that lie scattered or in another order do not add
+up to a license.
 
-A worker first drops k-grams with a word that no template has: they could not join.  The templates are fixed texts of
-this module, so broadcasting their positions is bounded.
+The templates are fixed texts of this module, so broadcasting their positions is bounded.  A worker attaches the words
+of a k-gram only where its hash is one of the templates'; all other k-grams meet the join as (row, place, hash).
 
 Base phrases are counted beside: places where the words of a phrase stand in a row.
 
 Defined results: null and empty texts have no words, no labels and a score of 0; repeated rows are scanned each; a null
-doc_id is kept; an empty table gives an empty result.
+doc_id is kept; other columns play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelmark.llm.common import stored, table
+from panelmark.llm.common import gram_hashes, stored, table, word_hashes
+from panelmark.llm.tokens import in_steps
 
 K = 5
-#: Share of a template's k-grams that a span must hold; how far apart diagonals of one span may lie.
+#: Share of a template's words that a span must hold; how far apart diagonals of one span may lie (at most a quarter of
+#: the template's words).
 COVER, DRIFT = 0.6, 8
 
 #: The phrases and labels of the base scan.
@@ -72,60 +79,117 @@ def places(found: list[bytes], phrase: list[bytes]) -> list[int]:
         at += 1
 
 
-def _scan(k: int, vocabulary: frozenset, phrases: dict[str, str]):
+def _scan(k: int, known: np.ndarray, phrases: dict[str, str]):
     split = {label: phrase.encode().split() for phrase, label in phrases.items()}
-
-    def grams(found: list[bytes]) -> list[dict]:
-        out, run = [], 0
-        for i, known in enumerate(map(vocabulary.__contains__, found)):
-            run = run + 1 if known else 0
-            if run >= k:
-                out.append({"at": i - k + 1, "gram": b" ".join(found[i - k + 1 : i + 1]).decode()})
-        return out
+    names = [x.split()[0] for x in SCANNED.split(", ")]
+
+    def step(texts: list[str | None], row: pa.Array, doc_id: pa.Array) -> Iterator[pa.RecordBatch]:
+        base, places_, hashes, owners, words = [], [], [], [], []
+        for i, text in enumerate(texts):
+            found = license_words(text)
+            by_label = {label: places(found, phrase) for label, phrase in split.items()}
+            starts = sorted(p for ps in by_label.values() for p in ps)
+            base.append((len(found), len(starts), starts[0] if starts else None, starts[-1] if starts else None, sorted({x for x, ps in by_label.items() if ps})))
+            g = gram_hashes(word_hashes(found), k)
+            if len(g):
+                hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g).tolist()
+                words += [(len(hashes), at, b" ".join(found[at : at + k]).decode()) for at in hit]
+                places_.append(np.arange(len(g), dtype=np.int32))
+                hashes.append(g)
+                owners.append(i)
+        columns = list(zip(*base, strict=True)) if base else [()] * 5
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.string())]
+        n = len(base)
+        yield pa.RecordBatch.from_arrays([row, doc_id, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names)
+        if not hashes:
+            return
+        sizes = [len(x) for x in hashes]
+        first = np.cumsum([0, *sizes[:-1]])
+        at, n = np.concatenate(places_), sum(sizes)
+        grams = np.full(n, None, object)
+        for slot, place, text in words:
+            grams[first[slot] + place] = text
+        whose = pa.array(np.repeat(owners, sizes))
+        nothing = [pa.nulls(n, t) for t in kinds]
+        yield pa.RecordBatch.from_arrays([row.take(whose), doc_id.take(whose), *nothing, pa.array(at), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(grams, pa.string())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("at", pa.int32()), ("gram", pa.string())]))
         for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                found = license_words(text)
-                by_label = {label: places(found, phrase) for label, phrase in split.items()}
-                starts = sorted(p for ps in by_label.values() for p in ps)
-                rows.append((len(found), len(starts), starts[0] if starts else None, starts[-1] if starts else None, sorted({x for x, ps in by_label.items() if ps}), grams(found)))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), kind]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base", "grams"])
+            texts = batch.column("text").to_pylist()
+            for part in in_steps(texts, lambda t: len(t or ""), 2_000_000):
+                own = batch.slice(part.start, part.stop - part.start)
+                yield from step(texts[part], own.column("row"), own.column("doc_id"))
 
     return run
 
 
-def template_positions(spark: SparkSession, templates: dict[str, str], k: int) -> DataFrame:
+SCANNED = "row long, doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>, p int, hash long, gram string"
+
+
+def template_positions(spark: SparkSession, templates: dict[str, str], k: int) -> tuple[DataFrame, np.ndarray]:
+    """(label, q, template_gram, hash, template_words) of all k-grams of the templates; their hashes in order."""
     rows = []
     for name, text in templates.items():
         found = license_words(text)
-        n = len(found) - k + 1
-        rows += [(name, i, b" ".join(found[i : i + k]).decode(), n) for i in range(n)]
-    return spark.createDataFrame(rows, "label string, q int, template_gram string, grams_all int").withColumn("hash", F.xxhash64("template_gram"))
+        hashes = gram_hashes(word_hashes(found), k).view(np.int64).tolist()
+        rows += [(name, i, b" ".join(found[i : i + k]).decode(), h, len(found)) for i, h in enumerate(hashes)]
+    df = spark.createDataFrame(rows, "label string, q int, template_gram string, hash long, template_words int")
+    return df, np.unique(np.array([r[3] for r in rows], np.int64).view(np.uint64))
+
+
+def chain(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest list of hits (p, q) that rises in both."""
+    hits = sorted(hits, key=lambda x: (x[0], -x[1]))
+    tails, at, before = [], [], []
+    for i, (_, q) in enumerate(hits):
+        n = bisect_left(tails, q)
+        before.append(at[n - 1] if n else -1)
+        tails[n : n + 1] = [q]
+        at[n : n + 1] = [i]
+    out, i = [], at[-1] if at else -1
+    while i >= 0:
+        out.append(hits[i])
+        i = before[i]
+    return out[::-1]
+
+
+def aligned(hits: list[tuple[int, int]], k: int, template_words: int, cover: float) -> tuple[int, int, float] | None:
+    """(begin, end, share of the template covered) of a verified span, else None."""
+    found = chain(hits)
+    here, there = ({x + i for x in xs for i in range(k)} for xs in zip(*found, strict=True))
+    begin, end = min(here), max(here) + 1
+    put_in = end - begin - len(here)
+    share = len(there) / template_words
+    return (begin, end, share) if share >= cover and put_in <= (1 - cover) * template_words else None
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int = K, cover: float = COVER, drift: int = DRIFT) -> tuple[DataFrame, DataFrame]:
     """(rows: row, doc_id, n_words, n_base, first_word, last_word, base; spans: row, label, begin, end, covered)."""
-    spark = docs.sparkSession
-    vocabulary = frozenset(w for t in templates.values() for w in license_words(t))
-    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>, grams array<struct<at:int,gram:string>>"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(k, vocabulary, phrases), schema)
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "license-rows")
-    grams = rows.where(F.size("grams") > 0).select("row", F.explode("grams").alias("g")).select("row", F.col("g.at").alias("p"), F.col("g.gram").alias("gram"), F.xxhash64("g.gram").alias("hash"))
-    hits = grams.join(F.broadcast(template_positions(spark, templates, k)), "hash")
-    diagonal = (F.col("p") - F.col("q")).alias("diagonal")
+    positions, known = template_positions(docs.sparkSession, templates, k)
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scanned = numbered.mapInArrow(_scan(k, known, phrases), SCANNED).join(F.broadcast(positions), "hash", "left")
     # Words are compared as words: a hash alone does not vote.
-    votes = hits.where("gram = template_gram").groupBy("row", "label", diagonal).agg(F.min("p").alias("begin"), F.max("p").alias("end"), F.collect_set("q").alias("qs"), F.first("grams_all").alias("grams_all"))
+    scanned = stored(scanned.where("p is null or gram = template_gram"), "license-scan")
+    rows = scanned.where("p is null").select("row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base")
+    hits = scanned.where("p is not null").select("row", "label", "p", "q", "template_words")
+    votes = hits.groupBy("row", "label", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.collect_list(F.struct("p", "q")).alias("hits"), F.min("p").alias("begin"), F.first("template_words").alias("template_words"))
     near = W.partitionBy("row", "label").orderBy("diagonal", "begin")
-    far = (F.col("diagonal") - F.lag("diagonal").over(near) > drift).cast("int")
+    far = (F.col("diagonal") - F.lag("diagonal").over(near) > F.least(F.lit(drift), F.col("template_words") / 4)).cast("int")
     merged = votes.withColumn("span", F.sum(F.coalesce(far, F.lit(1))).over(near))
-    merged = merged.groupBy("row", "label", "span").agg(F.min("begin").alias("begin"), (F.max("end") + k).alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("covered"), F.first("grams_all").alias("grams_all"))
-    spans = merged.withColumn("covered", F.col("covered") / F.col("grams_all")).where(F.col("covered") >= cover)
-    return rows.drop("grams"), spans.select("row", "label", "begin", "end", "covered")
+    merged = merged.groupBy("row", "label", "span").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.first("template_words").alias("template_words"))
+    merged = merged.where((F.size("hits") + k - 1) >= cover * F.col("template_words"))
+
+    def verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples():
+                found = aligned([(int(h["p"]), int(h["q"])) for h in r.hits], k, int(r.template_words), cover)
+                if found:
+                    out.append((r.row, r.label, *found))
+            yield pd.DataFrame(out, columns=["row", "label", "begin", "end", "covered"])
+
+    spans = merged.select("row", "label", "hits", "template_words").mapInPandas(verified, "row long, label string, begin long, end long, covered double")
+    return rows, spans
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

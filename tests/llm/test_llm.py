@@ -238,16 +238,58 @@ def test_language_model_words(spark, docs):
     assert collections.Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
 
 
-def test_license_scan(spark):
+def brute_license(text, templates, k=5, cover=0.6, drift=8):
+    """Base values and labels of one text by definition: every pair of places, diagonals in order, slow chains."""
+    import re
+
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    base = {label: [i for i in range(len(words)) if words[i : i + len(p.split())] == p.split()] for p, label in licenses.PHRASES.items()}
+    starts = sorted(i for x in base.values() for i in x)
+    labels = {x for x, v in base.items() if v}
+    score = 1.0 if starts else 0.0
+    for name, template in templates.items():
+        t = [w.decode() for w in licenses.license_words(template)]
+        by = collections.defaultdict(list)
+        for p in range(len(words) - k + 1):
+            for q in range(len(t) - k + 1):
+                if words[p : p + k] == t[q : q + k]:
+                    by[p - q].append((p, q))
+        groups, last = [], None
+        for d in sorted(by):
+            if last is None or d - last > min(drift, len(t) / 4):
+                groups.append([])
+            groups[-1] += by[d]
+            last = d
+        for hits in groups:
+            hits.sort()
+            best = []
+            for i, (p, q) in enumerate(hits):
+                best.append(max([best[j] for j in range(i) if hits[j][0] < p and hits[j][1] < q], key=len, default=[]) + [(p, q)])
+            longest = max(map(len, best))
+            for c in [x for x in best if len(x) == longest][:1]:
+                here, there = {p + i for p, _ in c for i in range(k)}, {q + i for _, q in c for i in range(k)}
+                if len(there) >= cover * len(t) and max(here) + 1 - min(here) - len(here) <= (1 - cover) * len(t):
+                    labels.add(name)
+                    score = max(score, len(there) / len(t))
+    return len(words), len(starts), starts[0] if starts else None, starts[-1] if starts else None, ",".join(sorted(x for x, v in base.items() if v)), ",".join(sorted(labels)), round(score, 9)
+
+
+def test_license_scan_against_all_pairs(spark, tmp_path):
     text = licenses.TEMPLATES["mit-text"]
-    words = text.split()
-    rows = [(1, "x y " + text), (2, " ".join(words[:40] + ["really"] + words[40:])), (3, " ".join(words[:12])), (4, "Apache License and GNU General\nPublic License; cc-by cc by"), (None, None), (5, "apachelicense")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    scanned, spans = licenses.license_scan(df)
-    of = {r.row: r.doc_id for r in scanned.collect()}
-    assert {(of[s.row], s.label) for s in spans.collect()} >= {(1, "mit-text"), (2, "mit-text")} and not {of[s.row] for s in spans.collect()} & {3, 4, 5, None}
-    base = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base) for r in scanned.collect()}
-    assert base[4] == (11, 4, 0, 9, ["apache", "cc-by", "gpl"]) and base[None] == (0, 0, None, None, []) and base[5][1] == 0
+    w, line, rng = text.split(), licenses.TEMPLATES["apache-line"], np.random.default_rng(0)
+    spread = " ".join(x for i in range(0, len(w), 6) for x in [*w[i : i + 6], *["und"] * 5])
+    texts = [
+        "x y " + text, " ".join(w[:40] + ["really", "so"] + w[40:]), " ".join(w[:12]), " ".join(w[:20] + w[26:]), " ".join(w[30:] + w[:30]), spread, (line + " ") * 5,
+        "Apache License and GNU General\nPublic License; cc-by cc by", None, "", " \n", "apachelicense", text + " " + text, line.upper(), " ".join(["lorem"] * 3000) + " " + text,
+        " ".join(w[int(i) : int(i) + 7][0] for i in rng.integers(0, len(w), 200)), *(" ".join(x for x in w if rng.random() > 0.03) for _ in range(6)), *TEXTS,
+    ]
+    rows = [(i, t, "z") for i, t in enumerate(texts)] + [(None, text, "z"), (0, texts[0], "z")]
+    spark.createDataFrame(rows, "doc_id long, text string, label string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = collections.Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 9)) for r in licenses.op3_license_scan(spark, str(tmp_path)).collect())
+    assert got == collections.Counter((i, *brute_license(t, licenses.TEMPLATES)) for i, t, _ in rows)
+    of = {r[0]: r[6] for r in got}
+    assert "mit-text" in of[0] and "mit-text" in of[1] and "mit-text" in of[3] and "mit-text" not in of[2] + of[4] + of[5] and "apache-line" in of[6]
+    assert licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string, label string").limit(0))[0].count() == 0
 
 
 def test_quality_cascade_keeps_what_no_rule_rejects(spark, docs):
@@ -255,6 +297,28 @@ def test_quality_cascade_keeps_what_no_rule_rejects(spark, docs):
     assert 10 in kept and 15 in kept and not kept & {0, 1, 2, 3, 5}
     orders = [quality.quality_cascade(docs, tuple(x)).where("failed_rule is null").count() for x in (quality.RULES, quality.RULES[::-1])]
     assert orders[0] == orders[1]
+    assert quality.quality_cascade(docs.limit(0)).count() == 0
+    named = quality.quality_cascade(docs.withColumn("Failed_rule", F.lit(7)))
+    assert named.columns[-2:] == ["Failed_rule", "failed_rule_"] and {r[-2] for r in named.collect()} == {7}
+
+
+def test_quality_cascade_asks_rejected_texts_no_further(spark, monkeypatch):
+    """A statistic that fails on the texts that the first rule rejects is never computed for them."""
+    texts = ["a b"] * 3 + [" ".join(f"w{i}" for i in range(30))] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setitem(quality.STATISTICS, "picky", lambda text, found: F.when(F.size(found) < 20, F.raise_error(F.lit("asked"))).otherwise(F.lit(1)).cast("long"))
+    short, picky = quality.RULES[0], quality.Rule("picky", lambda s: s("picky") < 1)
+    monkeypatch.setattr(quality, "ordered", lambda docs, rules, text: list(rules))
+    assert [r.failed_rule for r in quality.quality_cascade(df, (short, picky)).orderBy("doc_id").collect()] == ["few_words"] * 3 + [None] * 2
+    with pytest.raises(Exception, match="asked"):
+        quality.quality_cascade(df, (picky, short)).collect()
+
+
+def test_quality_order_follows_rejection_per_cost(spark, monkeypatch):
+    rules = quality.RULES[:3]
+    figures = {"few_words": (2.0, 0.2), "repeated_words": (4.0, 0.9), "symbols": (1.0, 0.0)}
+    monkeypatch.setattr(quality, "estimates", lambda *_: figures)
+    assert [r.name for r in quality.ordered(None, rules)] == ["repeated_words", "few_words", "symbols"]
 
 
 def test_pipeline_stages(spark, docs):
