@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelmark.llm.common import table, words
+from panelmark.llm.common import table, unused, words
 
 WEIGHTS = (5, 2, 1)
 BUCKETS = 256
@@ -58,24 +58,24 @@ def quality_weight(text):
 def mix(docs: DataFrame, size: str, weight: str, doc_id: str = "doc_id", source: str = "source", weights=WEIGHTS, total_percent: int = 150, cap: int = 2) -> DataFrame:
     """Add source_size, target, epochs (whole passes), part (words of the fractional pass) and taken.
 
-    ``docs`` should be narrow: every row goes through one shuffle by (source, slice of the keys)."""
-    s = docs.withColumn("mix_source", F.col(source)).withColumn("mix_key", sampling_key(F.col(doc_id), F.col(weight)))
-    slice_ = F.least(F.floor(F.lit(float(BUCKETS)) * (1 - F.exp(-F.col("mix_key")))), F.lit(BUCKETS - 1)).cast("int")
-    s = s.withColumn("mix_slice", slice_)
-    slices = s.groupBy("mix_source", "mix_slice").agg(F.sum(size).alias("mix_size"))
-    targets = source_targets(slices.groupBy(F.col("mix_source").alias("source")).agg(F.sum("mix_size").alias("source_size")), weights, total_percent, cap)
-    before = W.partitionBy("mix_source").orderBy("mix_slice").rowsBetween(W.unboundedPreceding, -1)
-    slices = slices.withColumn("mix_offset", F.coalesce(F.sum("mix_size").over(before), F.lit(0)))
-    plan = slices.join(targets, F.col("mix_source").eqNullSafe(F.col("source"))).select(F.col("mix_source").alias("plan_source"), F.col("mix_slice").alias("plan_slice"), "mix_offset", "source_size", "target")
-    joined = s.join(plan, F.col("mix_source").eqNullSafe(F.col("plan_source")) & (F.col("mix_slice") == F.col("plan_slice")))
-    within = W.partitionBy("mix_source", "mix_slice").orderBy("mix_key", doc_id, size).rowsBetween(W.unboundedPreceding, -1)
-    place = F.col("mix_offset") + F.coalesce(F.sum(size).over(within), F.lit(0))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    joined = joined.withColumn("mix_place", place).withColumn("epochs", epochs)
+    ``docs`` should be narrow: every row goes through one shuffle by (source, slice of the keys).  If it has a column of
+    such a name, the new one gets underscores behind its name."""
+    key = sampling_key(F.col(doc_id), F.col(weight))
+    s = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(source).alias("of"), F.col(doc_id).alias("id"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), key.alias("key"))
+    s = s.withColumn("slice", F.least(F.floor(F.lit(float(BUCKETS)) * (1 - F.exp(-F.col("key")))), F.lit(BUCKETS - 1)).cast("int"))
+    slices = s.groupBy("of", "slice").agg(F.sum("size").alias("slice_size"))
+    targets = source_targets(slices.groupBy(F.col("of").alias("source")).agg(F.sum("slice_size").alias("source_size")), weights, total_percent, cap)
+    before = W.partitionBy("of").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    slices = slices.withColumn("offset", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
+    plan = slices.join(targets, F.col("of").eqNullSafe(F.col("source"))).select(F.col("of").alias("plan_of"), F.col("slice").alias("plan_slice"), "offset", "source_size", "target")
+    joined = s.join(plan, F.col("of").eqNullSafe(F.col("plan_of")) & (F.col("slice") == F.col("plan_slice")))
+    within = W.partitionBy("of", "slice").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    joined = joined.withColumn("place", F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    joined = joined.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     rest = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
-    joined = joined.withColumn("part", F.least(F.col(size), F.greatest(F.lit(0), rest - F.col("mix_place"))).cast("long"))
-    joined = joined.withColumn("taken", (F.col("epochs") * F.col(size) + F.col("part")).cast("long"))
-    return joined.drop("mix_source", "mix_key", "mix_slice", "plan_source", "plan_slice", "mix_offset", "mix_place")
+    joined = joined.withColumn("part", F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("place"))).cast("long"))
+    joined = joined.withColumn("taken", (F.col("epochs") * F.col("size") + F.col("part")).cast("long"))
+    return joined.select("row.*", *(F.col(c).alias(unused(docs, c)) for c in ("source_size", "target", "epochs", "part", "taken")))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

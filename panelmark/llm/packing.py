@@ -3,8 +3,8 @@
 Documents become pieces of at most ``CAPACITY`` tokens.  Partitions of about ``PART`` pieces are packed by best fit
 decreasing.  Dual feasible functions (sizes to shares that no full sequence can exceed) bound from below how many
 sequences a partition needs; where best fit meets the bound, the partition is done.  Partitions with a gap hand their
-least filled sequences to an exchange with their neighbours, where best fit runs again on all that was handed over; the
-result counts only if it needs fewer sequences.  Each round widens the neighbourhood.  Packing sees lengths and row
+least filled sequences to an exchange with their neighbours (certified ones their emptiest), where best fit runs again on
+all that was handed over; the result counts only if it needs fewer sequences.  Each round widens the neighbourhood.  Packing sees lengths and row
 numbers only, never tokens.
 
 Defined results: null and empty texts are one token (the end); repeated rows are packed each; a null doc_id is kept;
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmark.llm.common import stored, table
-from panelmark.llm.tokens import CHUNK, MEMO, in_steps, loaded, vocabulary
+from panelmark.llm.tokens import CHUNK, LONG, MEMO, in_steps, loaded, vocabulary
 
 CAPACITY, END, PART, NEIGHBOURS, ROUNDS = 2048, 0, 20_000, 16, 2
 
@@ -48,17 +48,20 @@ def _packed_ids(ids: list[int]) -> bytes:
 
 
 class _PreTokens(dict):
-    """Ids of pre-tokens, each given to the model once; emptied when full, so its memory is bounded."""
+    """Ids of pre-tokens of up to ``LONG`` characters, each given to the model once; emptied when full, so its memory is
+    bounded."""
 
     def __init__(self, model):  # noqa: ANN001
         super().__init__()
         self.model = model
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
         shown = "".join(_BYTES[b] for b in part.encode())
-        ids = self[part] = _packed_ids([t.id for t in self.model.tokenize(shown)])
+        ids = _packed_ids([t.id for t in self.model.tokenize(shown)])
+        if len(part) <= LONG:
+            if len(self) >= MEMO:
+                self.clear()
+            self[part] = ids
         return ids
 
 
@@ -114,7 +117,11 @@ class Encoder:
             self.chunks.clear()
             missing = list(set(found))
         self.chunks.update(zip(missing, self._whole(missing), strict=True))
-        return b"".join(map(self.chunks.__getitem__, found))
+        out = b"".join(map(self.chunks.__getitem__, found))
+        for c in missing:
+            if len(c) > LONG:
+                del self.chunks[c]
+        return out
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [_packed_ids(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -181,11 +188,13 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     """Sequences that any packing needs: the best bound of two families of dual feasible functions."""
-    if not len(sizes):
-        return 0
-    count = np.bincount(sizes, minlength=capacity + 1)
+    return bound_of(np.bincount(sizes, minlength=capacity + 1), capacity)
+
+
+def bound_of(count: np.ndarray, capacity: int) -> int:
+    """The same from the number of pieces of each length."""
     x = np.arange(capacity + 1)
-    best = -(-int(sizes.sum()) // capacity)
+    best = -(-int((count * x).sum()) // capacity)
     for small in range(1, capacity // 2 + 1, 16):  # large ones count whole, those below ``small`` not at all
         share = np.where(x > capacity - small, capacity, np.where(x < small, 0, x))
         best = max(best, -(-int((count * share).sum()) // capacity))
@@ -197,12 +206,13 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
 
 
 def _handed_over(fill: np.ndarray, gap: int, capacity: int) -> np.ndarray:
-    """Bins to give away: the emptiest, with slack for the bins to save and as much again."""
+    """Bins to give away: the emptiest, with slack for the bins to save and as much again.  A certified partition gives
+    its emptiest one, which may fill up with those of others."""
     out = np.zeros(len(fill), bool)
-    if gap > 0:
-        order = np.argsort(fill, kind="stable")
-        slack = np.cumsum(capacity - fill[order])
-        out[order[: int(np.searchsorted(slack, 2 * gap * capacity)) + 1]] = True
+    order = np.argsort(fill, kind="stable")
+    order = order[fill[order] < capacity]
+    slack = np.cumsum(capacity - fill[order])
+    out[order[: int(np.searchsorted(slack, 2 * gap * capacity)) + 1]] = True
     return out
 
 
@@ -219,8 +229,7 @@ def _packed(capacity: int, last: bool):
             code, old = np.unique(np.c_[frame["part"].to_numpy(), frame["bin"].to_numpy()], axis=0, return_inverse=True)
             if len(code) <= len(fill):
                 bins, offsets, fill = old.ravel(), frame["offset"].to_numpy(np.int64), np.bincount(old.ravel(), weights=sizes).astype(np.int64)
-        gap = 0 if last else len(fill) - lower_bound(sizes, capacity)
-        return pd.DataFrame({"row": frame["row"], "length": sizes, "part": frame["group"].astype("int64"), "bin": bins, "offset": offsets, "open": _handed_over(fill, gap, capacity)[bins]})
+        return pd.DataFrame({"row": frame["row"], "length": sizes, "part": frame["group"].astype("int64"), "bin": bins, "offset": offsets, "open": np.zeros(len(bins), bool) if last else _handed_over(fill, len(fill) - lower_bound(sizes, capacity), capacity)[bins]})
 
     return run
 
@@ -238,6 +247,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART, rou
     return result
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """(sequences of a packing, lower bound on those of any packing of the same pieces)."""
+    lengths = packed.groupBy("length").count().collect()  # ``capacity`` rows at most
+    count = np.zeros(capacity + 1, np.int64)
+    for r in lengths:
+        count[r["length"]] = r["count"]
+    return packed.select("sequence_id").distinct().count(), bound_of(count, capacity)
+
+
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

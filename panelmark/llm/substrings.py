@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelmark.llm.common import gram_hashes, mixed, release, stored, table, word_hashes
+from panelmark.llm.common import gram_hashes, mixed, release, stored, table, unused, word_hashes
 from panelmark.llm.tokens import in_steps
 
 SEED = 5
@@ -262,11 +262,11 @@ def squeeze(texts: pd.Series) -> pd.Series:
     return texts.map(squeezed)
 
 
-def _cut(length: int, names: list[str], text: str):
+def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, digests, kept_texts = [], [], [], []
-            for value, starts, copy, null in zip(batch.column("repeat_packed"), batch.column("repeat_starts"), batch.column("repeat_copy").to_pylist(), batch.column("repeat_null").to_pylist(), strict=True):
+            for value, starts, copy, null in zip(batch.column("packed"), batch.column("starts"), batch.column("copy").to_pylist(), batch.column("null").to_pylist(), strict=True):
                 raw = opened(value.as_buffer())
                 found = raw.split()
                 n = len(found)
@@ -283,10 +283,8 @@ def _cut(length: int, names: list[str], text: str):
                 removed.append(n - len(kept))
                 digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
                 kept_texts.append(None if null else without(raw, out).decode() if out else raw.decode())
-            arrays = {c: batch.column(c) for c in names}
-            arrays[text] = pa.array(kept_texts, pa.string())
-            arrays |= {"repeat_words": pa.array(total, pa.int64()), "repeat_removed": pa.array(removed, pa.int64()), "repeat_sha256": pa.array(digests, pa.string())}
-            yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
+            arrays = [batch.column("row"), pa.array(kept_texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "kept", "repeat_words", "repeat_removed", "repeat_sha256"])
 
     return run
 
@@ -303,18 +301,17 @@ def without(raw: bytes, out: list[tuple[int, int]]) -> bytes:
 
 def remove_repeats(docs: DataFrame, length: int = 50, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with the repeats cut out of their texts, and repeat_words, repeat_removed (words before, words cut) and
-    repeat_sha256 (digest of the kept words, joined by one blank)."""
+    repeat_sha256 (digest of the kept words, joined by one blank).  A column of such a name that ``docs`` has keeps it,
+    and the new one gets underscores behind its name."""
     texts, repeats = repeat_starts(docs, length, text, doc_id)
+    known = stored(texts.join(repeats, ["text_hash", "first"], "left").select("text_hash", "other_hash", "first", "starts"), "repeat-known")
     one, two = identity(F.col(text))
-    rest = [c for c in docs.columns if c != text]
-    keyed = docs.select(*(docs[c] for c in rest), F.col(text).isNull().alias("repeat_null"), one.alias("text_hash"), two.alias("other_hash"), squeeze(text).alias("repeat_packed"))
-    known = texts.join(repeats, ["text_hash", "first"], "left").select("text_hash", "other_hash", F.col("first").alias("repeat_first"), F.col("starts").alias("repeat_starts"))
-    known = stored(known, "repeat-known")
-    joined = keyed.join(known, ["text_hash", "other_hash"])
-    joined = joined.withColumn("repeat_copy", F.coalesce(F.col(doc_id), F.lit(LAST)) > F.col("repeat_first")).drop("text_hash", "other_hash", "repeat_first")
-    types = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in rest) + f", `{text}` string, repeat_words long, repeat_removed long, repeat_sha256 string"
-    return joined.mapInArrow(_cut(length, rest, text), schema).select(*docs.columns, "repeat_words", "repeat_removed", "repeat_sha256")
+    rest = F.struct(F.lit(0).alias("_"), *(docs[c] for c in docs.columns if c != text)).alias("row")
+    keyed = docs.select(rest, F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.col(text).isNull().alias("null"), one.alias("text_hash"), two.alias("other_hash"), squeeze(text).alias("packed"))
+    joined = keyed.join(known, ["text_hash", "other_hash"]).select("row", "packed", "starts", (F.col("id") > F.col("first")).alias("copy"), "null")
+    schema = f"row {joined.schema['row'].dataType.simpleString()}, kept string, repeat_words long, repeat_removed long, repeat_sha256 string"
+    cut = joined.mapInArrow(_cut(length), schema)
+    return cut.select(*(F.col("kept").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns), *(F.col(c).alias(unused(docs, c)) for c in ("repeat_words", "repeat_removed", "repeat_sha256")))
 
 
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

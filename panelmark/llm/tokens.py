@@ -20,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmark.llm.common import table
+from panelmark.llm.common import table, unused
 from panelmark.sources.shared import shared_path
 
 #: White_Space of Unicode, which the pre-tokenizers mean by \s.
 UNICODE_SPACES = "\t-\r \x85\xa0  -     　"
 #: A run of white space with the word behind it; no pre-token of a byte-level vocabulary crosses these cuts.
 CHUNK = f"[{UNICODE_SPACES}]*[^{UNICODE_SPACES}]+|[{UNICODE_SPACES}]+\\Z"
-#: Chunks that a worker remembers.
-MEMO = 600_000
+#: Chunks that a worker remembers, and the characters of one at most.
+MEMO, LONG = 600_000, 64
 
 
 def vocabulary(name: str) -> str:
@@ -75,7 +75,11 @@ def count_tokens(path: str, texts: list[str]) -> list[int]:
     for at in range(0, len(missing), 4096):
         part = missing[at : at + 4096]
         memo.update(zip(part, map(len, encode(part, add_special_tokens=False)), strict=True))
-    return [sum(map(memo.__getitem__, cs)) for cs in chunks]
+    counts = [sum(map(memo.__getitem__, cs)) for cs in chunks]
+    for c in missing:  # unbroken text is not worth its memory
+        if len(c) > LONG:
+            del memo[c]
+    return counts
 
 
 def in_steps(values: list, size, most: int) -> Iterator[slice]:
@@ -114,21 +118,23 @@ def read_cache(spark: SparkSession, cache: str) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, cache: str, tokenizer_path: str, text: str = "text") -> DataFrame:
-    """``docs`` without their text, with n_bytes and n_tokens; the cache gains the counts of texts it lacked."""
+    """``docs`` without their text, with n_bytes and n_tokens; the cache gains the counts of texts it lacked.  A column of
+    such a name that ``docs`` has keeps it, and the new one gets underscores behind its name."""
     spark = docs.sparkSession
     digest = tokenizer_digest(tokenizer_path)
     content = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn("token_content", F.unhex(F.sha2(content, 256)))
+    rest = [F.struct(*(docs[c] for c in docs.columns if c != text)).alias("row")] if len(docs.columns) > 1 else []
+    keyed = docs.select(F.unhex(F.sha2(content, 256)).alias("content"), content.alias("text"), F.octet_length(content).cast("long").alias("n_bytes"), *rest)
     known = read_cache(spark, cache).where(F.col("tokenizer") == digest).select("content", F.lit(True).alias("known"))
-    texts = keyed.select(F.col("token_content").alias("content"), content.alias("text"))
+    texts = keyed.select("content", "text")
     # One text per digest; the partial aggregation drops copies before the shuffle.
     misses = texts.join(known, "content", "left_anti").dropDuplicates(["content"])
     fresh = misses.mapInArrow(_encoded(tokenizer_path), "content binary, n_tokens long")
     fresh.select("content", F.lit(digest).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     # A lost race or a rerun may have appended a digest twice, always with the same count.
     counts = read_cache(spark, cache).where(F.col("tokenizer") == digest).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    narrow = keyed.withColumn("n_bytes", F.octet_length(content).cast("long")).drop(text)
-    return narrow.join(counts, narrow["token_content"] == counts["content"], "left").drop("token_content", "content")
+    counted = keyed.drop("text").join(counts, "content", "left")
+    return counted.select(*(["row.*"] if rest else []), *(F.col(c).alias(unused(docs, c)) for c in ("n_bytes", "n_tokens")))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,14 @@
 """WARC archives of pages, written and read back in splits.
 
 Each record is a gzip member of its own, so a reader can start at any member.  A task gets a byte range, looks for gzip
-magic in it, and takes a place as a member only if its bytes decode to a WARC header; it owns the records that start in
-its range and reads past the range's end for the last one.  Within a member it never searches: it goes on behind it.
+magic in it, and takes a place as a member only if its bytes inflate to a record: a version line, the four mandatory
+headers, a Content-Length that fits the inflated size, and behind the member another magic or the file's end.  A range
+that starts inside a record may find members that this record only stores, so the first place has to be followed by
+``CONFIRM`` more records (or the file's end) before it counts.  A task owns the records that start in its range and reads
+past the range's end for the last one.  Within a member it never searches: it goes on behind it.
+
+Any record type is read (warcinfo, request, response, revisit, resource, metadata, conversion, ...), with any headers
+besides the mandatory ones; only archives whose records are gzip members can be split this way.
 
 Equal payloads of ``least`` bytes or more are stored once, as the response of the largest page_id; the others become
 revisits that name it and keep the HTTP header (with the payload's length) but not the payload.
@@ -19,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,7 +38,8 @@ from panelmark.llm.common import stored, table
 from panelmark.sources.shared import shared_path
 
 MAGIC = b"\x1f\x8b\x08"
-SPLIT, ARCHIVE = 32 << 20, 256 << 20
+#: Bytes of a split and of an archive; records that have to follow the first one found in a split.
+SPLIT, ARCHIVE, CONFIRM = 32 << 20, 256 << 20, 8
 
 
 def file_system(uri: str):
@@ -54,8 +62,19 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     if refers_to is not None:
         lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return member("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def warcinfo(name: str) -> bytes:
+    """The record that an archive begins with."""
+    block = b"software: panelmark\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:archive:{name}>", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return member("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def member(content: bytes) -> bytes:
     deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return deflate.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + deflate.flush()
+    return deflate.compress(content) + deflate.flush()
 
 
 def _written(folder: str, archive_bytes: int):
@@ -66,11 +85,14 @@ def _written(folder: str, archive_bytes: int):
         for batch in batches:
             for page_id, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
                 if out is None:
-                    name, size = f"{uuid.uuid4().hex}.warc.gz", 0
+                    name = f"{uuid.uuid4().hex}.warc.gz"
                     out = system.open_output_stream(f"{root}/{name}", compression=None)
-                member = record(page_id, url, (html or "").encode(), refers_to)
-                out.write(member)
-                size += len(member)
+                    head = warcinfo(name)
+                    out.write(head)
+                    size = len(head)
+                written = record(page_id, url, (html or "").encode(), refers_to)
+                out.write(written)
+                size += len(written)
                 if size >= archive_bytes:
                     out.close()
                     done.append((name, size))
@@ -99,8 +121,38 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, archive_bytes:
     return stored(rows.select("page_id", "url", "html", "refers_to").mapInArrow(_written(folder, archive_bytes), "name string, size long"), "warc-archives")
 
 
-def member_at(source, at: int, size: int, step: int = 1 << 18) -> tuple[bytes, int] | None:
-    """(content, length) of the gzip member at this place if it holds a WARC record, else None."""
+_VERSION = re.compile(rb"WARC/\d+\.\d+\r?\n")
+_NEEDED = {"warc-type", "warc-record-id", "warc-date", "content-length"}
+
+
+def headers_of(content: bytes) -> tuple[dict[str, str], int] | None:
+    """(headers by lower-case name, where the block starts) of a WARC record; None if it is not a whole one."""
+    if not _VERSION.match(content):
+        return None
+    end = content.find(b"\r\n\r\n")
+    if end < 0:
+        return None
+    found = fields_of(content[:end])
+    length = found.get("content-length", "")
+    if not _NEEDED <= found.keys() or not length.isdigit():
+        return None
+    rest = len(content) - (end + 4) - int(length)
+    return (found, end + 4) if 0 <= rest <= 4 and not content[len(content) - rest :].strip(b"\r\n") else None
+
+
+def fields_of(head: bytes) -> dict[str, str]:
+    """Headers behind the first line; folded lines belong to the one before, the first of several of a name counts."""
+    out: dict[str, str] = {}
+    for line in re.sub(rb"\r?\n[ \t]+", b" ", head).splitlines()[1:]:
+        name, colon, value = line.partition(b":")
+        if colon:
+            out.setdefault(name.strip().lower().decode("latin-1"), value.strip().decode(errors="replace"))
+    return out
+
+
+def member_at(source, at: int, size: int, step: int = 1 << 18) -> tuple[bytes, int] | None:  # noqa: ANN001
+    """(content, length) of the gzip member at this place if it holds a WARC record with a member or nothing behind it,
+    else None."""
     inflate, parts, read = zlib.decompressobj(31), [], at
     try:
         while not inflate.eof:
@@ -109,51 +161,86 @@ def member_at(source, at: int, size: int, step: int = 1 << 18) -> tuple[bytes, i
             piece = source.read_at(min(step, size - read), read)
             read += len(piece)
             parts.append(inflate.decompress(piece))
-            if len(parts) == 1 and not parts[0].startswith(b"WARC/") and len(parts[0]) >= 5:
+            if len(parts) == 1 and len(parts[0]) >= 5 and not parts[0].startswith(b"WARC/"):
                 return None
     except zlib.error:
         return None
-    content = b"".join(parts)
-    return (content, read - len(inflate.unused_data) - at) if content.startswith(b"WARC/") else None
-
-
-def records_in(source, size: int, start: int, end: int, step: int = 1 << 20) -> Iterator[bytes]:
+    content, end = b"".join(parts), read - len(inflate.unused_data)
+    behind = inflate.unused_data[: len(MAGIC)]
+    if len(behind) < len(MAGIC):
+        behind = source.read_at(min(len(MAGIC), size - end), end)
+    return (content, end - at) if headers_of(content) and (end == size or behind == MAGIC) else None
+
+
+def confirmed(source, at: int, size: int) -> bool:  # noqa: ANN001
+    """Whether ``CONFIRM`` records follow the one at this place, or as many as the file has."""
+    for _ in range(CONFIRM + 1):
+        if at == size:
+            return True
+        found = member_at(source, at, size)
+        if found is None:
+            return False
+        at += found[1]
+    return True
+
+
+def records_in(source, size: int, start: int, end: int, step: int = 1 << 20) -> Iterator[bytes]:  # noqa: ANN001
     """Contents of the records that start in [start, end)."""
-    at = start
+    at, sure = start, start == 0
     while at < min(end, size):
         window = source.read_at(min(step, size - at), at)
         found = window.find(MAGIC)
         if found < 0:
             if at + len(window) >= size:
                 return
-            at += max(1, len(window) - len(MAGIC) + 1)
+            at, sure = at + max(1, len(window) - len(MAGIC) + 1), False
             continue
+        sure = sure and found == 0
         at += found
         if at >= end:
             return
-        member = member_at(source, at, size)
-        if member is None:
-            at += 1
+        held = member_at(source, at, size)
+        if held is None or not (sure or confirmed(source, at, size)):
+            at, sure = at + 1, False
             continue
-        yield member[0]
-        at += member[1]
+        yield held[0]
+        at, sure = at + held[1], True
 
 
-def parsed(content: bytes) -> dict:
-    """Fields of a record: its headers, and of its HTTP block the length and the payload (null in a revisit)."""
-    head, _, rest = content.partition(b"\r\n\r\n")
-    headers = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    block = rest[: int(headers["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    number = lambda x: int(x) if (x := x.removeprefix("<urn:page:").rstrip(">")) else None
-    revisit = headers["WARC-Type"] == "revisit"
-    if not revisit and (len(payload) != length or base32_sha1(payload) != headers["WARC-Payload-Digest"].removeprefix("sha1:")):
-        raise ValueError(f"payload of {headers['WARC-Record-ID']} does not fit its digest")
-    return {"page_id": number(headers["WARC-Record-ID"]), "url": headers["WARC-Target-URI"], "payload": None if revisit else payload, "payload_bytes": length, "payload_digest": headers["WARC-Payload-Digest"].removeprefix("sha1:"), "record_type": headers["WARC-Type"], "refers_to": number(headers["WARC-Refers-To"]) if revisit else None}
+def number_of(name: str | None) -> int | None:
+    """The page_id of a record that this module wrote; null for any other."""
+    digits = (name or "").strip("<>").removeprefix("urn:page:")
+    return int(digits) if digits.lstrip("-").isdigit() else None
 
 
-KINDS = {"page_id": pa.int64(), "url": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
+def parsed(content: bytes) -> dict:
+    """Fields of a record.  Of an HTTP block the payload is what stands behind its header, else the block; a revisit has
+    none, but the length that its HTTP header names.  ``digest_ok`` is null where there is no SHA-1 to compare."""
+    headers, start = headers_of(content)
+    block = content[start : start + int(headers["content-length"])]
+    kind, http = headers["warc-type"].lower(), headers.get("content-type", "").lower().startswith("application/http")
+    head, _, payload = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+    named = fields_of(head).get("content-length", "") if http else ""
+    revisit = kind == "revisit"
+    algorithm, _, digest = headers.get("warc-payload-digest", "").partition(":")
+    sha1 = digest if algorithm.lower() == "sha1" else None
+    own = None if revisit else base32_sha1(payload)
+    return {
+        "page_id": number_of(headers["warc-record-id"]),
+        "record_id": headers["warc-record-id"].strip("<>"),
+        "record_date": headers["warc-date"],
+        "url": headers.get("warc-target-uri", "").strip("<>") or None,
+        "payload": None if revisit else payload,
+        "payload_bytes": (int(named) if named.isdigit() else None) if revisit else len(payload),
+        "payload_digest": sha1 or own,
+        "digest_ok": None if revisit or sha1 is None else sha1.upper() == own,
+        "record_type": kind,
+        "refers_to": number_of(headers.get("warc-refers-to")) if revisit else None,
+        "refers_to_id": headers.get("warc-refers-to", "").strip("<>") or None,
+    }
+
+
+KINDS = {"page_id": pa.int64(), "record_id": pa.string(), "record_date": pa.string(), "url": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "digest_ok": pa.bool_(), "record_type": pa.string(), "refers_to": pa.int64(), "refers_to_id": pa.string()}
 
 
 def _read(folder: str, fields: list[str]):
@@ -184,7 +271,7 @@ def read_archives(archives: DataFrame, folder: str, fields: list[str] | None = N
     """Records of the archives (name, size), read by byte ranges of ``split_bytes``."""
     spark = archives.sparkSession
     fields = fields or list(KINDS)
-    names = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+    names = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary", pa.bool_(): "boolean"}
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
     splits = archives.where("size > 0").select("name", "size", F.explode(starts).alias("start")).withColumn("end", F.col("start") + split_bytes)
     many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -195,7 +282,10 @@ def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back in splits."""
     folder = shared_path(spark, "warc")
     archives = write_archives(table(spark, sf_dir, "pages"), folder)
-    return read_archives(archives, folder, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], split_bytes=4 << 20)
+    fields = ["page_id", "payload_bytes", "payload_digest", "digest_ok", "record_type", "refers_to"]
+    read = read_archives(archives, folder, fields, split_bytes=4 << 20).where("record_type <> 'warcinfo'")
+    sound = F.when(F.coalesce("digest_ok", F.lit(True)), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a payload does not fit its digest")))
+    return read.withColumn("payload_digest", sound).drop("digest_ok")
 
 
 OP7_SQL = r"""
