@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmark.llm.common import words
+from panelmark.llm.common import unused, words
 from panelmark.llm.mixing import mix, quality_weight
 from panelmark.llm.near_dup import near_duplicates
 from panelmark.llm.packing import pack_documents
@@ -23,40 +23,48 @@ PASSAGE = 50
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
-    return quality_cascade(docs).where(F.col("failed_rule").isNull()).select(*docs.columns)
+    """Documents that no quality rule rejects.  A null or empty text has too few words and goes; an empty table stays
+    empty."""
+    judged = quality_cascade(docs)
+    return judged.where(F.col(judged.columns[-1]).isNull()).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity 0.8): the one with the smallest id.
 
-    Rows are told apart by id and text; of rows equal in both, one stays."""
+    Rows are told apart by id and text; of rows equal in both, one stays.  Documents without words are no duplicates of
+    anything and stay; a null id counts as greater than any other."""
     found = near_duplicates(docs, k=5, percent=80)
-    keep = found.where(F.col("node") == F.col("lead")).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
-    on = docs["doc_id"].eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash"))
+    id_, hash_ = unused(docs, "kept_id"), unused(docs, "kept_hash")
+    keep = found.where(F.col("node") == F.col("lead")).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
+    on = docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(hash_))
     kept = docs.join(keep.distinct(), on, "left_semi")
     repeated = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that an earlier document holds are cut; documents left without a word go."""
+    """Passages of 50 words or more that an earlier document holds are cut; documents left without a word go.  Texts
+    without words stay as they are (null stays null, with its n_chars); a null id is later than any other."""
     cut = remove_repeats(docs, length=PASSAGE)
-    cut = cut.where((F.col("repeat_removed") < F.col("repeat_words")) | (F.col("repeat_words") == 0))
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    n, gone = (F.col(c) for c in cut.columns[-3:-1])
+    length = F.when(gone > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return cut.where((gone < n) | (n == 0)).withColumn("n_chars", length).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source's documents as often as its target asks: whole epochs, then whole documents of the fractional one
-    (the document at the budget's end if at least half of it fits)."""
-    sized = docs.withColumn("mix_words", F.size(words(F.col("text"))).cast("long")).withColumn("mix_weight", quality_weight(F.col("text")))
-    mixed = mix(sized, "mix_words", "mix_weight")
-    copies = F.col("epochs") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("mix_words")), 1).otherwise(0)
-    return mixed.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
+    (the document at the budget's end if at least half of it fits).  Documents without words are taken as often as the
+    whole epochs ask; a null source is a source of its own."""
+    n_words = F.size(words(F.col("text"))).cast("long")
+    sized = docs.select("doc_id", "source", n_words.alias("n_words"), quality_weight(F.col("text")).alias("weight"), F.struct(*docs.columns).alias("whole"))
+    mixed = mix(sized, "n_words", "weight")
+    copies = F.col("epochs") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("n_words")), 1).otherwise(0)
+    return mixed.select("whole", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("copy")).select("whole.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed documents in sequences of at most 2048 tokens."""
+    """The mixed documents in sequences of at most 2048 tokens; a text without words is one token, its end."""
     return pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 
