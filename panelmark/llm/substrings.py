@@ -6,9 +6,12 @@ smaller id.  Three steps, none of which looks at pairs of documents:
 1. Seeds.  Winnowing keeps, of every run of seed-length grams that a window spans, the one with the least hash.  Equal
    windows keep the same seed, so a window that occurs in two texts has a seed that does.  Seeds are joined on their
    hash; only those of two or more texts go on.
-2. Extension.  A text with shared seeds extends each both ways: to every window that chose this seed.  Of equal windows
-   the text with the smallest id comes first; the others' starts are repeats.
-3. Repeats.  The starts of a text merge to maximal spans, which are cut out.
+2. Extension.  A text with shared seeds extends each both ways: to every window that chose this seed, up to a window's
+   length left and right.  Windows meet on 96 bits of hashes of their words, all copies at once and not pair by pair
+   (pairs would grow with the square of a common passage's copies).  Of equal windows the text with the smallest id
+   comes first; the others' starts are repeats.
+3. Repeats.  The starts of a text merge to maximal spans, which are cut out: a longer repeat is one whose windows follow
+   each other.
 
 Equal texts are one text with the smallest id of its rows in steps 1 and 2; their other rows lose every window.  A batch
 passes on one row for a seed or window, however many of its texts hold it, so common passages do not pile up.
@@ -50,13 +53,16 @@ def seeds(h: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     return least, least[:n]
 
 
-def window_hashes(h: np.ndarray, length: int, at: np.ndarray) -> np.ndarray:
-    """Hashes of the windows that start at the given places: a polynomial over well mixed word hashes, mixed again."""
-    out = np.full(len(at), length, np.uint64)
+def window_hashes(h: np.ndarray, length: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows that start at the given places, 64 and 32 bits: polynomials over well mixed word hashes,
+    mixed again.  Among 1e13 windows no two different ones are expected to agree in both (6e-4 pairs)."""
+    out, check = np.full(len(at), length, np.uint64), np.full(len(at), ~length & 0xFFFF, np.uint64)
     for j in range(length):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[at + j]
+        word = h[at + j]
+        out = out * np.uint64(0x9E3779B97F4A7C15) + word
         out ^= out >> np.uint64(32)
-    return mixed(out)
+        check = check * np.uint64(0xD1342543DE82EF95) + (word ^ (word >> np.uint64(29)))
+    return mixed(out), (mixed(check) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def squeezed(text: str | None) -> bytes:
@@ -144,7 +150,7 @@ def _shared_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _windows_of(length: int, k: int):
-    """Windows over shared seeds: (key, first, text_hash, start, more).  Of each window of a batch one row goes on, that
+    """Windows over shared seeds: (key, check, first, text_hash, start, more).  Of each window of a batch one row goes on, that
     of the text with the smallest (first, text_hash); ``more`` are the text's other starts of the same window.  Starts
     of later texts are repeats already: they come packed in ``more``, with no start, under keys of their own."""
 
@@ -153,62 +159,65 @@ def _windows_of(length: int, k: int):
             packed, firsts, hashes, shared = (batch.column(c) for c in ("packed", "first", "text_hash", "seeds"))
             sizes = [len(x.as_buffer()) for x in packed]
             for part in in_steps(sizes, lambda x: 3 * x, 16_000_000):
-                windows, first, owner, start = [], [], [], []
+                windows, checks, first, owner, start = [], [], [], [], []
                 for i in range(part.start, part.stop):
                     h = word_hashes(opened(packed[i].as_buffer()).split())
                     chosen = seeds(h, length, k)[0]
                     wanted = np.sort(np.frombuffer(b"".join(shared[i].as_py()), np.uint64))
                     place = np.minimum(np.searchsorted(wanted, chosen), len(wanted) - 1)
                     at = np.flatnonzero(wanted[place] == chosen)
-                    windows.append(window_hashes(h, length, at))
+                    hashed, check = window_hashes(h, length, at)
+                    windows.append(hashed)
+                    checks.append(check)
                     start.append(at.astype(np.int32))
                     first.append(np.full(len(at), firsts[i].as_py(), np.int64))
                     owner.append(np.full(len(at), hashes[i].as_py(), np.int64))
-                w, f, o, s = (np.concatenate(x) for x in (windows, first, owner, start))
-                order = np.lexsort((s, o, f, w))
-                w, f, o, s = w[order], f[order], o[order], s[order]
+                w, c, f, o, s = (np.concatenate(x) for x in (windows, checks, first, owner, start))
+                order = np.lexsort((s, o, f, c, w))
+                w, c, f, o, s = w[order], c[order], f[order], o[order], s[order]
                 new = np.ones(len(w), bool)
-                new[1:] = w[1:] != w[:-1]
+                new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
                 heads = np.flatnonzero(new)
                 size = np.diff(np.append(heads, len(w)))
                 late = f > np.repeat(f[heads], size)
                 # One row for each window and text that goes on; the text's other starts of this window travel with it.
-                own = ~late & np.insert((w[1:] != w[:-1]) | (o[1:] != o[:-1]), 0, True)
+                own = ~late & (new | np.insert(o[1:] != o[:-1], 0, True))
                 number = np.cumsum(own) - 1
                 again = ~late & ~own
                 more = [None] * int(own.sum())
                 for n, x in zip(*_grouped(number[again], s[again]), strict=True):
                     more[n] = x
-                yield _rows(w[own], f[own], o[own], pa.array(s[own], pa.int32()), more)
+                yield _rows(w[own], c[own], f[own], o[own], pa.array(s[own], pa.int32()), more)
                 ids = {}
                 for a, b in zip(o[late].tolist(), f[late].tolist(), strict=True):
                     ids[a] = b
                 owners, starts = _grouped(o[late], s[late])
-                yield _rows(mixed(owners.view(np.uint64)), np.array([ids[x] for x in owners.tolist()], np.int64), owners, pa.nulls(len(owners), pa.int32()), starts)
+                yield _rows(mixed(owners.view(np.uint64)), np.zeros(len(owners), np.int32), np.array([ids[x] for x in owners.tolist()], np.int64), owners, pa.nulls(len(owners), pa.int32()), starts)
 
-    def _rows(w, f, o, s, more):
-        return pa.RecordBatch.from_arrays([_signed(w), pa.array(f, pa.int64()), pa.array(o, pa.int64()), s, pa.array(more, pa.binary())], ["key", "first", "text_hash", "start", "more"])
+    def _rows(w, c, f, o, s, more):
+        return pa.RecordBatch.from_arrays([_signed(w), pa.array(c, pa.int32()), pa.array(f, pa.int64()), pa.array(o, pa.int64()), s, pa.array(more, pa.binary())], ["key", "check", "first", "text_hash", "start", "more"])
 
     return run
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of (key, first): all but those of the window's smallest id are repeats, packed by text."""
+    """Rows come in order of (key, check, first): all but those of the window's smallest id are repeats, packed by
+    text."""
     window, head = None, 0
     names = ["text_hash", "first", "starts"]
     for batch in batches:
         ready = batch.filter(batch.column("start").is_null())
         yield pa.RecordBatch.from_arrays([ready.column(c) for c in ("text_hash", "first", "more")], names)
         batch = batch.filter(batch.column("start").is_valid())
-        w, f = batch.column("key").to_numpy(), batch.column("first").to_numpy()
+        w, c, f = (batch.column(x).to_numpy() for x in ("key", "check", "first"))
         if not len(w):
             continue
         new = np.ones(len(w), bool)
-        new[1:] = w[1:] != w[:-1]
-        new[0] = window is None or w[0] != window
+        new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
+        new[0] = (w[0], c[0]) != window
         at = np.maximum.accumulate(np.where(new, np.arange(len(w)), -1))
         heads = np.where(at >= 0, f[at], head)
-        window, head = w[-1], heads[-1]
+        window, head = (w[-1], c[-1]), heads[-1]
         batch = batch.filter(pa.array(f > heads))
         owner, first = batch.column("text_hash").to_numpy(), batch.column("first").to_numpy()
         owners, starts = _grouped(owner, batch.column("start").to_numpy())
@@ -249,8 +258,8 @@ def repeat_starts(docs: DataFrame, length: int, text: str = "text", doc_id: str
     packed = keyed.select("id", "text_hash", "other_hash", squeeze("text").alias("packed"))
     on = ["text_hash", "other_hash"]
     chosen = packed.join(wanted, on).where("id = first").select("packed", "first", "text_hash", "seeds")
-    windows = chosen.mapInArrow(_windows_of(length, k), "key long, first long, text_hash long, start int, more binary")
-    starts = windows.repartition("key").sortWithinPartitions("key", "first").mapInArrow(_repeats, "text_hash long, first long, starts binary")
+    windows = chosen.mapInArrow(_windows_of(length, k), "key long, check int, first long, text_hash long, start int, more binary")
+    starts = windows.repartition("key").sortWithinPartitions("key", "check", "first").mapInArrow(_repeats, "text_hash long, first long, starts binary")
     repeats = stored(starts.groupBy("text_hash", "first").agg(F.collect_list("starts").alias("starts")), "repeat-starts")
     release(docs.sparkSession)
     return texts, repeats
