@@ -554,3 +554,134 @@ def test_memos_keep_no_long_pieces():
     assert not [c for c in tokens._COUNTS[path] if len(c) > tokens.LONG]
     common.word_hashes([long.encode(), b"a"])
     assert long.encode() not in common._HASHES and b"a" in common._HASHES
+
+
+def brute_quality(text):
+    """The rules in plain Python; True if the text is kept."""
+    import re
+
+    w = (text or "").encode().split()
+    w = [x.decode() for x in w]
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, chars = len(w), sum(map(len, w))
+    grams = collections.defaultdict(list)
+    for i in range(n - 7):
+        grams[tuple(w[i : i + 8])].append(i)
+    repeated = len({i + o for v in grams.values() if len(v) > 1 for i in v for o in range(8)})
+    symbols, letters = sum(c in "#*$%&|<>" for c in text or ""), sum(any(c.isalpha() for c in x) for x in w)
+    cut = sum(bool(re.search(r"(\.\.\.|…)[\x20\x09-\x0D]*$", x)) for x in lines)
+    bad = n < 20 or 100 * repeated > 30 * n or 100 * symbols > 10 * chars or len(lines) >= 4 and 100 * (len(lines) - len(set(lines))) > 30 * len(lines)
+    bad = bad or chars < 2 * n or chars > 25 * n or 100 * letters < 60 * n or n >= 100 and len(set(w)) ** 2 < 9 * n or len(lines) >= 4 and 100 * cut > 60 * len(lines)
+    return not bad
+
+
+def brute_near(rows):
+    """One row of each group: that with the smallest id; of rows equal in id and text, one."""
+    sets = [frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if (w := lower(t).split()) else frozenset() for _, t, *_ in rows]
+    at = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(rows)):
+            for b in range(a):
+                if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and at[a] != at[b]:
+                    at[a] = at[b] = min(at[a], at[b])
+                    changed = True
+    keep = {}
+    for i, r in enumerate(rows):
+        best = keep.get(at[i])
+        if best is None or (r[0] is not None and (rows[best][0] is None or r[0] < rows[best][0])):
+            keep[at[i]] = i
+    return [rows[i] for i in sorted(keep.values())]
+
+
+def brute_substrings(rows, length=50):
+    import re
+
+    last, first, out = 1 << 62, {}, []
+    for i, t, *_ in rows:
+        w = (t or "").split()
+        for j in range(len(w) - length + 1):
+            key = tuple(w[j : j + length])
+            first[key] = min(first.get(key, last), last if i is None else i)
+    for i, t, lang, source, n in rows:
+        w, gone = (t or "").split(), set()
+        for j in range(len(w) - length + 1):
+            if first[tuple(w[j : j + length])] < (last if i is None else i):
+                gone |= set(range(j, j + length))
+        if w and len(gone) == len(w):
+            continue
+        if gone:
+            places = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] + [len(t)]
+            t = t[: places[0]] + "".join(t[places[k] : places[k + 1]] for k in range(len(w)) if k not in gone)
+            n = len(t)
+        out.append((i, t, lang, source, n))
+    return out
+
+
+def brute_mix(rows):
+    size = lambda t: len((t or "").split())
+    names = sorted({r[3] for r in rows if r[3] is not None}) + [None] * any(r[3] is None for r in rows)
+    total = {s: sum(size(r[1]) for r in rows if r[3] == s) for s in names}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, left, free = {}, 1.5 * sum(total.values()), list(names)
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = [s for s in free if level * weight[s] > 2 * total[s] + 1e-9]
+        for s in over or free:
+            target[s] = 2.0 * total[s] if over else level * weight[s]
+            left -= target[s]
+        free = [s for s in free if s not in target]
+
+    def key(i, t):
+        u = (int(hashlib.md5(f"{'' if i is None else i}|mix".encode()).hexdigest()[:8], 16) + 0.5) / 4294967296
+        return -np.log(u) / max(0.1, sum(c not in "0123456789#*$%&|<>{}=_~^" for c in t or "") / max(1, len(t or "")))
+
+    out = []
+    for s in names:
+        epochs = int(target[s] // total[s]) if total[s] else 0
+        place, rest = 0, round(target[s] - epochs * total[s])
+        for r in sorted((r for r in rows if r[3] == s), key=lambda r: (key(r[0], r[1]), r[0] is not None, r[0] or 0)):
+            part = min(size(r[1]), max(0, rest - place))
+            place += size(r[1])
+            out += [r] * (epochs + (part > 0 and 2 * part >= size(r[1])))
+    return out
+
+
+def pipeline_rows():
+    rng = np.random.default_rng(11)
+    prose = lambda n, tag: " ".join(f"{tag}{''.join(chr(97 + int(c)) for c in rng.integers(0, 26, 4))}" for _ in range(n))
+    passage = prose(70, "p")
+    texts = [prose(int(rng.integers(30, 200)), "w") for _ in range(40)]
+    texts += [texts[3], texts[5] + " tail", " ".join(texts[7].split()[:-1] + ["other"]), texts[3]]
+    texts += [prose(60, "h") + " " + passage + "\n" + prose(40, "t") for _ in range(4)] + [passage, prose(30, "m") + "  " + passage]
+    texts += [None, "", "few words", "ab cd " * 60, "## $$ && " * 30 + prose(20, "s"), "\n".join([prose(6, "l")] * 8), prose(2500, "long"), "1 2 3 4 5 " * 3 + prose(10, "d")]
+    rows = [(i, t, "en", f"s{i % 4}" if i % 9 else None, len(t or "")) for i, t in enumerate(texts)]
+    return [*rows, (None, prose(50, "n"), None, "s1", 3), rows[2], (3, prose(50, "q"), "en", "s2", 9)]
+
+
+def test_pipeline_against_brute_force(spark):
+    """Every stage's rows, each stage on what the one before kept."""
+    rows = pipeline_rows()
+    names, path = "doc_id long, text string, lang string, source string, n_chars int", tokens.vocabulary("word_bpe_49k.json")
+    brute = [lambda x: [r for r in x if brute_quality(r[1])], brute_near, brute_substrings, brute_mix]
+    docs = spark.createDataFrame(rows, names).repartition(3)
+    for (name, stage), slow in zip(corpus_pipeline.STAGES, brute, strict=False):
+        kept = slow(rows)
+        docs = spark.createDataFrame(stage(spark, docs, "").collect(), names).repartition(3)
+        assert collections.Counter(map(tuple, docs.collect())) == collections.Counter(kept), name
+        assert name == "mixing to target weights" or 0 < len(kept) < len(rows), name
+        rows = kept
+    t, want = tokens.loaded(path), collections.Counter()
+    for i, x, *_ in rows:
+        ids = np.array(t.encode(x or "", add_special_tokens=False).ids + [0], "<u4")
+        for n, a in enumerate(range(0, len(ids), 2048)):
+            want[(i, n, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes()))] += 1
+    got = corpus_pipeline.packing(spark, docs, "").collect()
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for v in map(sorted, by.values()):
+        assert v[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(v, v[1:], strict=False)) and sum(v[-1]) <= 2048
+    assert len(by) == packing.lower_bound(np.array([r.length for r in got]), 2048)
