@@ -76,8 +76,7 @@ STAGES = [
     ("best-fit packing", packing),
 ]
 
-#: SQL can't tokenize.  The tests hold the mixing stage's copies against brute force; of the other stages in place, only
-#: columns, dropped copies and totals (their operators have tests of their own).
+#: SQL can't tokenize.  The tests hold every stage's rows against brute force on a small table.
 ORACLE_SQL = None
 
 
