@@ -150,7 +150,7 @@ def _shared_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _windows_of(length: int, k: int):
-    """Windows over shared seeds: (key, check, first, text_hash, start, more).  Of each window of a batch one row goes on, that
+    """Windows over shared seeds: (key, first, text_hash, place, more); a place is the window's check and its start.  Of each window of a batch one row goes on, that
     of the text with the smallest (first, text_hash); ``more`` are the text's other starts of the same window.  Starts
     of later texts are repeats already: they come packed in ``more``, with no start, under keys of their own."""
 
@@ -187,15 +187,15 @@ def _windows_of(length: int, k: int):
                 more = [None] * int(own.sum())
                 for n, x in zip(*_grouped(number[again], s[again]), strict=True):
                     more[n] = x
-                yield _rows(w[own], c[own], f[own], o[own], pa.array(s[own], pa.int32()), more)
+                yield _rows(w[own], f[own], o[own], pa.array((c[own].astype(np.int64) << 32) | s[own], pa.int64()), more)
                 ids = {}
                 for a, b in zip(o[late].tolist(), f[late].tolist(), strict=True):
                     ids[a] = b
                 owners, starts = _grouped(o[late], s[late])
-                yield _rows(mixed(owners.view(np.uint64)), np.zeros(len(owners), np.int32), np.array([ids[x] for x in owners.tolist()], np.int64), owners, pa.nulls(len(owners), pa.int32()), starts)
+                yield _rows(mixed(owners.view(np.uint64)), np.array([ids[x] for x in owners.tolist()], np.int64), owners, pa.nulls(len(owners), pa.int64()), starts)
 
-    def _rows(w, c, f, o, s, more):
-        return pa.RecordBatch.from_arrays([_signed(w), pa.array(c, pa.int32()), pa.array(f, pa.int64()), pa.array(o, pa.int64()), s, pa.array(more, pa.binary())], ["key", "check", "first", "text_hash", "start", "more"])
+    def _rows(w, f, o, place, more):
+        return pa.RecordBatch.from_arrays([_signed(w), pa.array(f, pa.int64()), pa.array(o, pa.int64()), place, pa.array(more, pa.binary())], ["key", "first", "text_hash", "place", "more"])
 
     return run
 
@@ -206,10 +206,11 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     window, head = None, 0
     names = ["text_hash", "first", "starts"]
     for batch in batches:
-        ready = batch.filter(batch.column("start").is_null())
+        ready = batch.filter(batch.column("place").is_null())
         yield pa.RecordBatch.from_arrays([ready.column(c) for c in ("text_hash", "first", "more")], names)
-        batch = batch.filter(batch.column("start").is_valid())
-        w, c, f = (batch.column(x).to_numpy() for x in ("key", "check", "first"))
+        batch = batch.filter(batch.column("place").is_valid())
+        w, c, f = (batch.column(x).to_numpy() for x in ("key", "place", "first"))
+        c = c >> 32
         if not len(w):
             continue
         new = np.ones(len(w), bool)
@@ -220,7 +221,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window, head = (w[-1], c[-1]), heads[-1]
         batch = batch.filter(pa.array(f > heads))
         owner, first = batch.column("text_hash").to_numpy(), batch.column("first").to_numpy()
-        owners, starts = _grouped(owner, batch.column("start").to_numpy())
+        owners, starts = _grouped(owner, (batch.column("place").to_numpy() & 0xFFFFFFFF).astype(np.int32))
         ids = dict(zip(owner.tolist(), first.tolist(), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array([ids[x] for x in owners.tolist()], pa.int64()), pa.array(starts, pa.binary())], names)
         longer = batch.filter(batch.column("more").is_valid())
@@ -258,8 +259,8 @@ def repeat_starts(docs: DataFrame, length: int, text: str = "text", doc_id: str
     packed = keyed.select("id", "text_hash", "other_hash", squeeze("text").alias("packed"))
     on = ["text_hash", "other_hash"]
     chosen = packed.join(wanted, on).where("id = first").select("packed", "first", "text_hash", "seeds")
-    windows = chosen.mapInArrow(_windows_of(length, k), "key long, check int, first long, text_hash long, start int, more binary")
-    starts = windows.repartition("key").sortWithinPartitions("key", "check", "first").mapInArrow(_repeats, "text_hash long, first long, starts binary")
+    windows = chosen.mapInArrow(_windows_of(length, k), "key long, first long, text_hash long, place long, more binary")
+    starts = windows.repartition("key").sortWithinPartitions("key", F.shiftright("place", 32), "first").mapInArrow(_repeats, "text_hash long, first long, starts binary")
     repeats = stored(starts.groupBy("text_hash", "first").agg(F.collect_list("starts").alias("starts")), "repeat-starts")
     release(docs.sparkSession)
     return texts, repeats
