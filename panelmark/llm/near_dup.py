@@ -41,7 +41,7 @@ from panelmark.llm.common import discard, gram_hashes, mixed, release, stored, t
 #: Coordinates of a signature, 256 at most.
 COORDINATES = 240
 #: Bytes of full sets and rows in a block; a task holds two blocks.
-BLOCK, BLOCK_ROWS = 2 << 20, 512
+BLOCK, BLOCK_ROWS = 2 << 20, 256
 
 
 def banding(percent: int, coordinates: int = COORDINATES, miss: float = 1e-5) -> tuple[int, int]:
