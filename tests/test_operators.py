@@ -271,3 +271,18 @@ def test_published_intervals_of_human_ratings(spark):
     assert (pooled.match, pooled.n, pooled.cells_above) == (45, 60, 1) and pooled.baseline == pytest.approx(0.8333, abs=1e-4)
     ci = {r.domain: r for r in resample.bootstrap_ac1_ci(long).collect()}
     assert all(r.low < r.value < r.high and r.kept > 8000 for r in ci.values())
+
+
+def test_texts_stay_out_of_shuffles_and_rubrics_are_broadcast(spark, tmp_path):
+    from panelmark.jobs import queries
+
+    folder = "/root/testdata/sf0.001"
+    plan = queries.QUERIES["a10_panel_metrics"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and not [x for x in plan.splitlines() if "Exchange" in x and "text" in x]
+    linked = pairs.link_by_excerpt(spark.createDataFrame([(1, "x" * 60)], "probe_id long, text string"), spark.createDataFrame([(1, "a b c")], "item_id long, text string"), by=())
+    assert "CartesianProduct" not in linked._jdf.queryExecution().executedPlan().toString()
+    items = spark.createDataFrame([("d", 1, "t")], "domain string, item_id long, text string")
+    rubric = spark.createDataFrame([("d", "c", ["x"], ["z"], "r")], "domain string, domain_context string, HIGH array<string>, LOW array<string>, conflict_rule string")
+    rubric.write.parquet(str(tmp_path / "rubrics"))
+    small = spark.read.parquet(str(tmp_path / "rubrics"))
+    assert "BroadcastHashJoin" in tx.render_prompt(items, small)._jdf.queryExecution().executedPlan().toString()
