@@ -72,7 +72,8 @@ def link_by_excerpt(probes: DataFrame, items: DataFrame, start: int = 50, length
     """(probe_id, item_id): the first item of the same group whose text holds a slice of the probe's text.
 
     Slices and texts meet on hashes of whole words, never all with all.  A slice cuts words at its ends, so its anchors
-    leave out the first and last piece; of the others it takes as many as it has, up to ``anchor_words``.  A slice
+    leave out the first and last piece; of the others it takes ``anchor_words``, or half as many, a quarter, ... down to
+    one, if it has fewer.  A slice
     without whole words is anchored by the first characters of its longer piece, which lies inside one word of a text
     (a slice of one blank by nothing: it meets every text).  Only the anchor lengths that the slices need (one small
     job over the probes tells) are made from the texts.  (item, anchor) rows carry no text: texts are fetched by item
@@ -81,7 +82,8 @@ def link_by_excerpt(probes: DataFrame, items: DataFrame, start: int = 50, length
     cut = probes.select(*by, "probe_id", F.substring(norm(F.col("text")), start + 1, length).alias("slice")).where(F.length("slice") > 0)
     pieces = F.split(F.col("slice"), " ")
     cut = cut.withColumn("inner", F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))))
-    cut = cut.withColumn("words", F.least(F.size("inner"), F.lit(anchor_words)))
+    lengths = [anchor_words >> i for i in range(anchor_words.bit_length())]
+    cut = cut.withColumn("words", F.coalesce(*(F.when(F.size("inner") >= n, n) for n in lengths), F.lit(0)))
     cut = cut.withColumn("piece", F.array_max(F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))).x)
     cut = cut.withColumn("chars", F.when(F.col("words") == 0, F.least(F.length("piece"), F.lit(anchor_chars))).otherwise(0))
     needed = cut.select("words", "chars").distinct().collect()  # anchor_words + anchor_chars rows at most
