@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelmark.llm.common import table, unused, words
+from panelmark.llm.common import stored, table, unused, words
 
 WEIGHTS = (5, 2, 1)
 BUCKETS = 256
@@ -82,7 +82,8 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents; ``taken`` counts the words of the whole epochs and of the fractional one."""
     docs = table(spark, sf_dir, "documents")
     narrow = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), quality_weight(F.col("text")).alias("weight"))
-    return mix(narrow, "size", "weight").select("doc_id", "size", "source_size", "target", "taken")
+    # Stored, so that sizes and weights are taken from the texts once and not for each of the two passes.
+    return mix(stored(narrow, "mix-sizes"), "size", "weight").select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP1_SQL = r"""
