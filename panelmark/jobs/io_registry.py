@@ -77,7 +77,7 @@ def wide(get) -> DataFrame:  # noqa: ANN001
     return vt.panel_vote(get("gappy")).join(labels, ["domain", "item_id"])
 
 
-@query("s4_read_panel_labels", f"SELECT g.domain, g.item_id, g.rater_id, g.label, greatest(h, l) AS most, (h + l > 0 AND (h = 0 OR l = 0)) AS all_agree FROM [gappy] g JOIN {VOTES} v ON g.domain = v.domain AND g.item_id = v.item_id")
+@query("s4_read_panel_labels", f"SELECT g.domain, g.item_id, g.rater_id, g.label, greatest(h, l)::BIGINT AS most, (h + l > 0 AND (h = 0 OR l = 0)) AS all_agree FROM [gappy] g JOIN {VOTES} v ON g.domain = v.domain AND g.item_id = v.item_id")
 def _(get):  # noqa: ANN001, ANN202
     panel = wide(get).withColumnRenamed("item_id", "transcript_index").withColumn("all_agree", F.initcap(F.col("all_agree").cast("string")))
     read = tb.read_panel_labels(get.spark, put_csv(panel, get.path("panel-csv")))
@@ -85,7 +85,7 @@ def _(get):  # noqa: ANN001, ANN202
     return long.join(read.select("domain", "item_id", F.greatest("votes_high", "votes_low").alias("most"), "all_agree"), ["domain", "item_id"])
 
 
-@query("s5_read_human_ratings", "SELECT domain, round, item_id, annotator_id, label FROM [consensus] c")
+@query("s5_read_human_ratings", "SELECT domain, round::BIGINT AS round, item_id, annotator_id, label FROM [consensus] c")
 def _(get):  # noqa: ANN001, ANN202
     title = lambda c: F.initcap(F.col(c).cast("string"))
     h = get("human").select("domain", "round", F.col("item_id").alias("transcript_index"), F.col("item_id").cast("string").alias("item_id"), title("is_attention_check").alias("is_attention_check"), "annotator_id", title("included_in_consensus").alias("included_in_consensus"), "label", F.lit(3).alias("confidence"), F.lit('so "it" is\nhere').alias("justification"))
@@ -107,7 +107,7 @@ def _(get):  # noqa: ANN001, ANN202
     return get.spark.read.parquet(path).select("domain", "item_id", "votes_high", "votes_low", "r_len_label")
 
 
-@query("s8_write_gold", f"SELECT h.domain, h.round, h.item_id, CASE WHEN nh > nl THEN 'HIGH' ELSE 'LOW' END AS human_consensus_label, labels AS annotator_labels, s.label AS system_label FROM (SELECT domain, round, item_id, string_agg(label, '|' ORDER BY annotator_id) AS labels, {H} AS nh, {L} AS nl FROM [consensus] c GROUP BY ALL) h JOIN [system] s ON h.domain = s.domain AND h.item_id = s.item_id")
+@query("s8_write_gold", f"SELECT h.domain, h.round::BIGINT AS round, h.item_id, CASE WHEN nh > nl THEN 'HIGH' ELSE 'LOW' END AS human_consensus_label, labels AS annotator_labels, s.label AS system_label FROM (SELECT domain, round, item_id, string_agg(label, '|' ORDER BY annotator_id) AS labels, {H} AS nh, {L} AS nl FROM [consensus] c GROUP BY ALL) h JOIN [system] s ON h.domain = s.domain AND h.item_id = s.item_id")
 def _(get):  # noqa: ANN001, ANN202
     path = get.path("gold")
     tb.write_gold(rf.build_gold(get("consensus"), get("system")), path)
