@@ -201,13 +201,20 @@ def _windows_of(length: int, k: int):
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of (key, check, first): all but those of the window's smallest id are repeats, packed by
-    text."""
+    """Rows come in order of (key, check, first): all starts but those of the window's smallest id are repeats, a row
+    each, so that rows grow with the repeats alone."""
     window, head = None, 0
-    names = ["text_hash", "first", "starts"]
+
+    def rows(owner, first, start) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(owner), pa.array(first), pa.array(start)], ["text_hash", "first", "start"])
+
+    def unrolled(found: pa.RecordBatch) -> pa.RecordBatch:
+        packs = [np.frombuffer(x.as_buffer(), np.int32) for x in found.column("more")]
+        times = [len(x) for x in packs]
+        return rows(*(np.repeat(found.column(c).to_numpy(), times) for c in ("text_hash", "first")), np.concatenate([*packs, np.zeros(0, np.int32)]))
+
     for batch in batches:
-        ready = batch.filter(batch.column("place").is_null())
-        yield pa.RecordBatch.from_arrays([ready.column(c) for c in ("text_hash", "first", "more")], names)
+        yield unrolled(batch.filter(batch.column("place").is_null()))
         batch = batch.filter(batch.column("place").is_valid())
         w, c, f = (batch.column(x).to_numpy() for x in ("key", "place", "first"))
         c = c >> 32
@@ -220,12 +227,8 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = np.where(at >= 0, f[at], head)
         window, head = (w[-1], c[-1]), heads[-1]
         batch = batch.filter(pa.array(f > heads))
-        owner, first = batch.column("text_hash").to_numpy(), batch.column("first").to_numpy()
-        owners, starts = _grouped(owner, (batch.column("place").to_numpy() & 0xFFFFFFFF).astype(np.int32))
-        ids = dict(zip(owner.tolist(), first.tolist(), strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array([ids[x] for x in owners.tolist()], pa.int64()), pa.array(starts, pa.binary())], names)
-        longer = batch.filter(batch.column("more").is_valid())
-        yield pa.RecordBatch.from_arrays([longer.column(c) for c in ("text_hash", "first", "more")], names)
+        yield rows(batch.column("text_hash").to_numpy(), batch.column("first").to_numpy(), (batch.column("place").to_numpy() & 0xFFFFFFFF).astype(np.int32))
+        yield unrolled(batch.filter(batch.column("more").is_valid()))
 
 
 def spans(starts, length: int) -> list[tuple[int, int]]:
@@ -260,8 +263,8 @@ def repeat_starts(docs: DataFrame, length: int, text: str = "text", doc_id: str
     on = ["text_hash", "other_hash"]
     chosen = packed.join(wanted, on).where("id = first").select("packed", "first", "text_hash", "seeds")
     windows = chosen.mapInArrow(_windows_of(length, k), "key long, first long, text_hash long, place long, more binary")
-    starts = windows.repartition("key").sortWithinPartitions("key", F.shiftright("place", 32), "first").mapInArrow(_repeats, "text_hash long, first long, starts binary")
-    repeats = stored(starts.groupBy("text_hash", "first").agg(F.collect_list("starts").alias("starts")), "repeat-starts")
+    starts = windows.repartition("key").sortWithinPartitions("key", F.shiftright("place", 32), "first").mapInArrow(_repeats, "text_hash long, first long, start int")
+    repeats = stored(starts.groupBy("text_hash", "first").agg(F.collect_list("start").alias("starts")), "repeat-starts")
     release(docs.sparkSession)
     return texts, repeats
 
@@ -283,7 +286,7 @@ def _cut(length: int):
                 if copy:
                     out = [(0, n)] if n >= length else []
                 else:
-                    out = spans(np.frombuffer(b"".join(starts.as_py()), np.int32) if starts.is_valid else None, length)
+                    out = spans(starts.values.to_numpy() if starts.is_valid else None, length)
                 kept, at = [], 0
                 for begin, end in out:
                     kept += found[at:begin]
