@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from panelmark.operators.metrics import gwet_ac1_nominal, label_patterns, weighted_agreement
 from panelmark.operators.votes import ITEM
+from panelmark.sources.shared import written
 
 #: Draws that one task holds at once; patterns of a block.
 CHUNK, BLOCK = 500, 4096
@@ -122,6 +123,7 @@ def ratio_draws(histogram: DataFrame, keys, draws: int, seed: int) -> DataFrame:
 
 
 def _ratio_ci(histogram: DataFrame, keys, draws: int, seed: int, convention: str) -> DataFrame:
+    histogram = written(histogram, "histogram")  # what is behind it is computed once
     i = F.col("items")
     point = histogram.groupBy(*keys).agg(F.sum(F.col("size") * i).cast("long").alias("n"), F.sum(i).alias("units"), (F.sum(F.col("value") * i) / F.sum((F.col("size") * i).cast("double"))).alias("mean"))
     return point.join(percentile_at(ratio_draws(histogram, keys, draws, seed), list(keys), convention), list(keys))
