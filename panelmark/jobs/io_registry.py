@@ -139,6 +139,12 @@ def _(get):  # noqa: ANN001, ANN202
     return vt.with_row_index(get("items").select("domain", "item_id"), order=["item_id"], by=["domain"], name="position")
 
 
+@query("s11_row_index_of_a_scan", "SELECT count(*) AS n, 0::BIGINT AS low, count(*) - 1 AS high, count(*) AS different, sum(item_id)::BIGINT AS ids FROM (SELECT DISTINCT domain, item_id FROM [ratings] r) x")
+def _(get):  # noqa: ANN001, ANN202
+    numbered = vt.with_row_index(get("ratings").groupBy("domain", "item_id").agg(F.count(F.lit(1)).alias("part")), name="position")
+    return numbered.agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("low"), F.max("position").alias("high"), F.count_distinct("position").alias("different"), F.sum("item_id").alias("ids"))
+
+
 # --- prompts, repairs, plug-ins -------------------------------------------------------------------------------------
 ASK = "LABEL: HIGH or LOW\nCONFIDENCE: HIGH, MEDIUM or LOW\nMATCHED_HIGH: numbers\nMATCHED_LOW: numbers\nREASON: one sentence\nCRITERION_QUOTE: the criterion that decided"
 

@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelmark.functions import text as tx
+from panelmark.operators.keys import joined, unused
+from panelmark.sources.shared import written
 
 LABELS = ("HIGH", "LOW")
 ITEM = ("domain", "item_id")
@@ -117,9 +120,10 @@ def loop_weight(split_weight: float = 0.667) -> Column:
 
 
 def latest_call(calls: DataFrame, key, sequence: str = "ingest_seq") -> DataFrame:
-    """The last row of each key."""
-    last = W.partitionBy(*key).orderBy(F.desc(sequence))
-    return calls.withColumn("_rank", F.row_number().over(last)).where("_rank = 1").drop("_rank")
+    """The last row of each key; of rows with one sequence number the one with the largest hash of all its columns."""
+    last = W.partitionBy(*key).orderBy(F.desc(sequence), F.desc(row_hash(calls)))
+    rank = unused(calls, "rank")
+    return calls.withColumn(rank, F.row_number().over(last)).where(F.col(rank) == 1).drop(rank)
 
 
 def round_of(items: DataFrame) -> DataFrame:
@@ -127,21 +131,30 @@ def round_of(items: DataFrame) -> DataFrame:
     return items.withColumn("round", (F.col("item_id") % 2 + 1).cast("int"))
 
 
-def with_row_index(df: DataFrame, order=None, by=None, name: str = "item_id") -> DataFrame:
-    """Position in reading order (``order`` None), or within ``by`` groups in the given order, from 0.
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that can be compared, for an order of ties that does not depend on the run."""
+    return F.xxhash64(F.lit(0), *(df[f.name] for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))))
+
 
-    The two are different keys: a position within a domain must not be joined to a global one.  Rows are counted by
-    partition, and a row's position is that of its partition plus its own in it: no group and no table has to fit one
-    task.  Ordered rows are kept (``persist``) between the two passes, so that both see the same partitions."""
+def with_row_index(df: DataFrame, order=None, by=None, name: str = "item_id") -> DataFrame:
+    """Position in reading order (``order`` None), or within ``by`` groups in the given order, from 0, as column
+    ``name`` (which replaces one of that name).
+
+    The two are different keys: a position within a domain must not be joined to a global one.  Every row is written once
+    to the shared folder with its task's number and its place in the task; counts per task and the rows themselves are
+    then read from that one table, so both agree whatever partitions the plan would choose on another run.  A row's
+    position is the number of rows in earlier tasks (of its group) plus its own place: no group and no table has to fit
+    one task.  Rows with equal ``order`` come by a hash of the whole row, which also spreads them over tasks."""
     keys = list(by or [])
+    kept = [c for c in df.columns if c.lower() != name.lower() or c in keys]
+    part, at, first, n = (unused(df, c) for c in ("part", "place", "first", "rows"))
     if order is not None or keys:
-        sort = [*keys, *(order or [])]
-        df = df.repartitionByRange(*sort).sortWithinPartitions(*sort).persist()
-    placed = df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    counts = placed.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row per partition (and group in it)
-    offsets = counts.select(F.col("_part").alias("_p"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
-    on = F.col("_part") == F.col("_p")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return placed.join(offsets, on).select(*df.columns, (F.col("_at") + F.col("_offset")).cast("long").alias(name))
+        sort = [*(F.col(k) for k in keys), *(F.col(c) if isinstance(c, str) else c for c in order or [])]
+        tie = unused(df, "tie")
+        df = df.withColumn(tie, row_hash(df)).repartitionByRange(*sort, tie).sortWithinPartitions(*sort, tie).drop(tie)
+    placed = written(df.withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()}), "row-index")
+    counts = placed.groupBy(part, *keys).agg(F.count(F.lit(1)).alias(n), F.min(at).alias(first))
+    before = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)  # a row per task (and group in it)
+    offsets = counts.select(part, *keys, (F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(first)).alias(first))
+    out = joined(placed, offsets, [part, *keys])
+    return out.select(*(out[c] for c in kept), (F.col(at) + F.col(first)).cast("long").alias(name))
