@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from panelmark.jobs.registry import MATCHES, ac1_sql, matches, panel_sql, query, r6
 from panelmark.operators import pairs as pr
 from panelmark.operators import reference as rf
@@ -64,7 +66,7 @@ def _(get):  # noqa: ANN001, ANN202
 
 @query("r3_md5_ac1_ci", f"SELECT domain, {r6('low')} AS low, {r6('high')} AS high, kept FROM {ac1_bounds('[nominal]')} b")
 def _(get):  # noqa: ANN001, ANN202
-    return rs.md5_panel_ci(get("nominal"), "gwet_ac1_nominal", DRAWS, "s")
+    return rs.bootstrap_ac1_ci(get("nominal"), draws=DRAWS, md5_seed="s").where("kept > 0").drop("n_items", "value")
 
 
 WEIGHTS = f"(SELECT domain, draw, avg(w) AS value FROM (SELECT domain, draw, place, CASE WHEN count(DISTINCT label) = 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE / 3 END AS w FROM {drawn_labels('[ratings]', 'domain', 'item_id')} q GROUP BY ALL) i GROUP BY domain, draw)"
@@ -72,7 +74,7 @@ WEIGHTS = f"(SELECT domain, draw, avg(w) AS value FROM (SELECT domain, draw, pla
 
 @query("r4_md5_panel_ci", f"SELECT domain, {r6('low')} AS low, {r6('high')} AS high, kept FROM {bounds_sql(WEIGHTS, 'domain', 'span')} b")
 def _(get):  # noqa: ANN001, ANN202
-    return rs.md5_panel_ci(get("ratings"), "weighted", DRAWS, "s")
+    return rs.bootstrap_panel_ci(get("ratings"), "weighted", draws=DRAWS, md5_seed="s").where("kept > 0").drop("n_items", "value")
 
 
 @query("r5_md5_difference_ci", difference_sql("[ratings]", "domain", "item_id", "(SELECT x.lang AS a, y.lang AS b FROM (SELECT DISTINCT lang FROM documents) x JOIN (SELECT DISTINCT lang FROM documents) y ON x.lang < y.lang)"))
@@ -98,4 +100,5 @@ def side_sql(source: str, name: str) -> str:
  {r6('weighted')} AS system_a, {r6('all_agree')} AS system_unanimous, rank() OVER (ORDER BY human_ac1 DESC) AS human_rank, rank() OVER (ORDER BY system_ac1 DESC) AS system_rank
  FROM {side_sql('[consensus]', 'human')} h JOIN {side_sql('[ratings]', 'system')} s ON h.domain = s.domain JOIN {panel_sql('[ratings]', w='(2.0::DOUBLE / 3)')} p ON p.domain = h.domain""")
 def _(get):  # noqa: ANN001, ANN202
-    return rf.reliability_table(get("consensus").withColumnRenamed("annotator_id", "rater_id"), get("ratings"), draws=DRAWS, md5_seed="s")
+    found = rf.reliability_table(get("consensus").withColumnRenamed("annotator_id", "rater_id"), get("ratings"), draws=DRAWS, md5_seed="s")
+    return found.withColumns({c: F.nullif(c, F.lit(0)) for c in ("human_kept", "system_kept")})  # SQL has no row of a group without defined draws

@@ -20,12 +20,13 @@ def joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFra
     """``left.join(right, on, how)`` where null keys equal each other.  For ``inner``, ``left``, ``full``, ``left_semi``
     and ``left_anti``; keys come once, as in a join by names."""
     on = list(on)
-    inner = {k: f"{k}__right" for k in on}
-    other = right.withColumnsRenamed(inner)
-    same: Column = reduce(lambda a, b: a & b, (left[k].eqNullSafe(other[inner[k]]) for k in on))
+    names = {c: unused(left, f"{c}__right") for c in right.columns}
+    other = right.select(*(F.col(f"`{c}`").alias(names[c]) for c in right.columns))
+    col = lambda c: F.col(f"`{c}`")
+    same: Column = reduce(lambda a, b: a & b, (col(k).eqNullSafe(col(names[k])) for k in on))
     out = left.join(other, same, how)
     if how in ("left_semi", "left_anti"):
         return out
-    key = lambda k: (F.coalesce(left[k], other[inner[k]]) if how == "full" else left[k]).alias(k)
-    rest = [left[c] for c in left.columns if c not in on] + [other[c] for c in right.columns if c not in on]
+    key = lambda k: (F.coalesce(col(k), col(names[k])) if how == "full" else col(k)).alias(k)
+    rest = [col(c) for c in left.columns if c not in on] + [col(names[c]).alias(c) for c in right.columns if c not in on]
     return out.select(*(key(k) for k in on), *rest)

@@ -78,10 +78,10 @@ def cost_rollup(calls: DataFrame, prices: DataFrame) -> DataFrame:
 def reliability_table(human: DataFrame, system: DataFrame, draws: int = 10_000, seed: int = 0, md5_seed: str | None = None) -> DataFrame:
     """Per domain: AC1 of people and of raters with intervals, A, unanimous items, and both ranks.  With ``md5_seed`` the
     draws are those that SQL can repeat."""
-    from panelmark.operators.resample import bootstrap_ac1_ci, md5_panel_ci
+    from panelmark.operators.resample import bootstrap_ac1_ci
 
     def side(ratings, name):
-        ci = bootstrap_ac1_ci(ratings, ("domain",), draws=draws, seed=seed) if md5_seed is None else md5_panel_ci(ratings, "gwet_ac1_nominal", draws, md5_seed)
+        ci = bootstrap_ac1_ci(ratings, ("domain",), draws=draws, seed=seed, md5_seed=md5_seed)
         ci = ci.select("domain", F.col("low").alias(f"{name}_low"), F.col("high").alias(f"{name}_high"), F.col("kept").alias(f"{name}_kept"))
         return gwet_ac1_nominal(ratings).select("domain", F.col("n_items").alias(f"{name}_items"), F.col("ac1").alias(f"{name}_ac1")).join(ci, "domain", "left")
 

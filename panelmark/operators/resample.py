@@ -3,14 +3,14 @@
 Resampling items with replacement is a multinomial draw over the distinct item patterns, so B draws cost B times the
 number of patterns, whatever the number of items.  Spark counts the patterns and numpy draws them.
 
-Means and ratios may have as many patterns as there are clusters.  Their patterns are dealt to blocks of about ``BLOCK``;
-a draw first splits the group's total among the blocks (every task of a group repeats that split from the group's own
-random stream) and then each block's part among its patterns, which together is the same multinomial draw.  A task holds
-one block; sums per draw are added in Spark.  Panel statistics have few patterns (label counts of an item) and take one
-task per group.
+There may be as many patterns as there are clusters, or as items of many raters.  They are dealt to blocks of about
+``BLOCK``; a draw first splits the group's total among the blocks (every task of a group repeats that split from the
+group's own random stream) and then each block's part among its patterns, which together is the same multinomial draw.  A
+task holds one block.  Every statistic is a function of sums of vectors (``ratio_patterns``, ``panel_vectors``), so sums
+per draw are added in Spark and the statistic is taken from them.
 
 ``md5_*`` functions draw rows by md5 instead, n of n for each draw: for small tables, and so that any SQL engine can
-repeat a result.
+repeat a result.  Their draws go through the same kernel and the same statistics.
 """
 
 from __future__ import annotations
@@ -23,12 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelmark.operators.metrics import gwet_ac1_nominal, label_patterns, weighted_agreement
+from panelmark.operators.keys import joined, unused
+from panelmark.operators.metrics import label_patterns, ratio
 from panelmark.operators.votes import ITEM
 from panelmark.sources.shared import written
 
-#: Draws that one task holds at once; patterns of a block.
-CHUNK, BLOCK = 500, 4096
+#: Draws that one task holds at once; patterns of a block; labels that are summed at once.
+CHUNK, BLOCK, LABELS = 500, 4096, 256
 
 
 def percentile_places(n: int, convention: str, low: float = 0.025, high: float = 0.975) -> tuple[int, int]:
@@ -60,73 +61,118 @@ def _stream(seed: int, *names) -> np.random.Generator:
     return np.random.default_rng([seed, *(zlib.crc32(str(n).encode()) for n in names)])
 
 
-def _interval(values: np.ndarray, convention: str) -> tuple[float | None, float | None, int]:
-    kept = np.sort(values[~np.isnan(values)])
-    if not len(kept):
-        return None, None, 0
-    low, high = percentile_places(len(kept), convention)
-    return float(kept[low]), float(kept[high]), len(kept)
-
-
 def multinomial_rows(rng: np.random.Generator, counts: np.ndarray, draws: int) -> np.ndarray:
     return rng.multinomial(int(counts.sum()), counts / counts.sum(), size=draws)
 
 
-def nominal_ac1(counts: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """AC1 of draws: counts is patterns x labels, m is draws x patterns.  Draws with one category are NaN."""
-    n = counts.sum(axis=1)
-    ok = n >= 2
-    counts, m, n = counts[ok].astype(float), m[:, ok], n[ok].astype(float)
-    total = m.sum(axis=1)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        po = m @ ((counts * (counts - 1)).sum(axis=1) / (n * (n - 1))) / total
-        pi = m @ (counts / n[:, None]) / total[:, None]
-        q = (m @ (counts > 0) > 0).sum(axis=1)
-        pe = (pi * (1 - pi)).sum(axis=1) / (q - 1)
-        value = (po - pe) / (1 - pe)
-    return np.where(q >= 2, value, np.nan)
-
-
 def _types(df: DataFrame, keys) -> str:
     kinds = dict(df.dtypes)
     return ", ".join(f"{k} {kinds[k]}" for k in keys)
 
 
-def ratio_draws(histogram: DataFrame, keys, draws: int, seed: int) -> DataFrame:
-    """(keys, draw, value): ratios of the resampled sums of ``value`` and ``size`` from a histogram (keys, value, size,
-    items)."""
+def block_sums(m: np.ndarray, total: np.ndarray, labels: list[list[tuple]]) -> tuple[np.ndarray, list, np.ndarray]:
+    """Sums of drawn patterns: m is draws x patterns, ``total`` patterns x values, ``labels`` the (label, values) of each
+    pattern.  Gives draws x values, the labels seen, and labels x draws x values."""
+    names = sorted({x[0] for own in labels for x in own}, key=str)
+    at = {x: i for i, x in enumerate(names)}
+    width = len(labels[0][0][1]) if names else 0
+    by_label = np.zeros((len(names), len(m), width))
+    for i in range(0, len(names), LABELS):  # so many labels at once, whatever a block holds
+        chosen = names[i : i + LABELS]
+        cells = np.zeros((len(labels), len(chosen), width))
+        for row, own in enumerate(labels):
+            for label, values in own:
+                if i <= at[label] < i + LABELS:
+                    cells[row, at[label] - i] = values
+        by_label[i : i + len(chosen)] = (m @ cells.reshape(len(labels), -1)).reshape(len(m), len(chosen), width).transpose(1, 0, 2)
+    return m @ total, names, by_label
+
+
+def drawn_sums(patterns: DataFrame, keys, draws: int, width: int, seed: int = 0, drawn: DataFrame | None = None) -> DataFrame:
+    """(keys, draw, is_total, label, v0, v1, ...): sums of the patterns' vectors over resampled items, and over the items
+    themselves as draw -1.  Written to the shared folder.
+
+    ``patterns``: (keys, pattern string, items, total array<double>, labels array<struct<label, v array<double>>>), with
+    vectors of up to ``width`` values.
+    Patterns are dealt to blocks of about ``BLOCK``.  A draw splits the group's items among the blocks (each task repeats
+    that split from the group's own stream), and a block's part among its patterns: together the same multinomial draw.
+    Sums of the blocks are added in Spark.  ``drawn`` (keys, draw, pattern, m) gives the draws instead, so that the same
+    kernel can be held against draws that SQL repeats."""
     keys = list(keys)
-    blocks = histogram.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = histogram.join(blocks, keys).withColumn("block", F.pmod(F.xxhash64("value", "size"), F.col("blocks")).cast("int")).drop("blocks")
+    patterns = written(patterns.select(*keys, "pattern", F.col("items").cast("long"), "total", "labels"), "patterns")  # read three times
+    blocks = patterns.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_blocks"))
+    dealt = joined(patterns, blocks, keys).withColumn("block", F.pmod(F.xxhash64("pattern"), F.col("n_blocks")).cast("int")).drop("n_blocks")
     totals = dealt.groupBy(*keys, "block").agg(F.sum("items").alias("n")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "n"))).alias("totals"))
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
-        left = left.sort_values(["value", "size"])
-        v, s, c = (left[x].to_numpy(float) for x in ("value", "size", "items"))
-        split = right["totals"].iloc[0]
+    group, given = [*keys, "block"], drawn is not None
+    per_block = joined(dealt.select(*group).distinct(), totals, keys).select(*group, "totals", F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("long").alias("draw"), F.lit(None).cast("long").alias("m"))
+    if given:
+        placed = joined(drawn.select(*keys, "pattern", "draw", "m"), dealt.select(*group, "pattern"), [*keys, "pattern"])
+        per_block = per_block.unionByName(placed.select(*group, F.lit(None).cast(per_block.schema["totals"].dataType).alias("totals"), "pattern", F.col("draw").cast("long").alias("draw"), F.col("m").cast("long").alias("m")))
+    label_type = patterns.schema["labels"].dataType.elementType["label"].dataType.simpleString()
+    values = [f"v{i}" for i in range(width)]
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame):  # noqa: ANN001, ANN202
+        left = left.sort_values("pattern", ignore_index=True)
+        items, total = left["items"].to_numpy(), np.stack(left["total"].to_list())
+        labels = [[(x["label"], x["v"]) for x in own] for own in left["labels"]]
+
+        def rows(m: np.ndarray, start: int) -> pd.DataFrame:
+            sums, names, by_label = block_sums(m.astype(float), total, labels)
+            parts = []
+            for is_total, label, found in [(True, None, sums), *((False, x, by_label[i]) for i, x in enumerate(names))]:
+                head = {k: [x] * len(m) for k, x in zip(keys, key, strict=False)}
+                wide = np.full((len(m), width), np.nan)
+                wide[:, : found.shape[1]] = found
+                parts.append(pd.DataFrame({**head, "draw": np.arange(start, start + len(m)), "is_total": is_total, "label": [label] * len(m), **{v: wide[:, i] for i, v in enumerate(values)}}))
+            return pd.concat(parts, ignore_index=True)
+
+        out = [rows(items[None, :], -1)]
+        if given:
+            asked = right[right["pattern"].notna()]
+            place = {p: i for i, p in enumerate(left["pattern"])}
+            for start in range(0, draws, CHUNK):
+                some = asked[(asked["draw"] >= start) & (asked["draw"] < start + CHUNK)]
+                m = np.zeros((min(CHUNK, draws - start), len(items)))
+                m[(some["draw"] - start).astype(int), some["pattern"].map(place).astype(int)] = some["m"]
+                out.append(rows(m, start))
+            return pd.concat(out, ignore_index=True)
+        split = next(x for x in right["totals"] if x is not None)
         at = [int(x["block"]) for x in split].index(int(key[-1]))
         n = np.array([int(x["n"]) for x in split])
         top, own = _stream(seed, *key[:-1]), _stream(seed, *key)
-        sums = []
         for start in range(0, draws, CHUNK):
             size = multinomial_rows(top, n, min(CHUNK, draws - start))[:, at]
-            for part in np.array_split(size, max(1, len(size) * len(c) >> 22)):
-                m = own.multinomial(part, c / c.sum())
-                sums.append(np.c_[m @ v, m @ s])
-        out = np.concatenate(sums)
-        return pd.DataFrame({**{k: [x] * draws for k, x in zip(keys, key, strict=False)}, "draw": np.arange(draws), "v": out[:, 0], "s": out[:, 1]})
+            out.append(rows(own.multinomial(size, items / items.sum()), start))
+        return pd.concat(out, ignore_index=True)
 
-    group = [*keys, "block"]
-    per_block = dealt.select(*group).distinct().join(totals, keys).select(*(F.col(c).alias(f"_{c}") for c in group), "totals")
-    sums = dealt.groupBy(*group).cogroup(per_block.groupBy(*(f"_{c}" for c in group))).applyInPandas(run, f"{_types(histogram, keys)}, draw long, v double, s double")
-    return sums.groupBy(*keys, "draw").agg((F.sum("v") / F.sum("s")).alias("value"))
+    right_names = [F.col(c).alias(f"{c}__block") for c in group]
+    right = per_block.select(*right_names, "totals", "pattern", "draw", "m")
+    schema = f"{_types(patterns, keys)}, draw long, is_total boolean, label {label_type}, " + ", ".join(f"{v} double" for v in values)
+    sums = dealt.groupBy(*group).cogroup(right.groupBy(*(f"{c}__block" for c in group))).applyInPandas(run, schema)
+    return written(sums.groupBy(*keys, "draw", "is_total", "label").agg(*(F.sum(v).alias(v) for v in values)), "draw-sums")
 
 
-def _ratio_ci(histogram: DataFrame, keys, draws: int, seed: int, convention: str) -> DataFrame:
+def ratio_patterns(histogram: DataFrame, keys) -> DataFrame:
+    """Patterns of a histogram (keys, value, size, items)."""
+    name = F.concat_ws("|", F.col("value").cast("string"), F.col("size").cast("string"))
+    none = F.array().cast("array<struct<label:string,v:array<double>>>")
+    return histogram.select(*keys, name.alias("pattern"), "items", F.array(F.col("value").cast("double"), F.col("size").cast("double")).alias("total"), none.alias("labels"))
+
+
+def ratio_draws(histogram: DataFrame, keys, draws: int, seed: int) -> DataFrame:
+    """(keys, draw, value): ratios of the resampled sums of ``value`` and ``size`` from a histogram (keys, value, size,
+    items)."""
+    sums = drawn_sums(ratio_patterns(histogram, keys), keys, draws, 2, seed)
+    return sums.where("draw >= 0").select(*keys, "draw", ratio(F.col("v0"), F.col("v1")).alias("value"))
+
+
+def _ratio_ci(histogram: DataFrame, keys, draws: int, seed: int, convention: str, drawn: DataFrame | None = None) -> DataFrame:
     histogram = written(histogram, "histogram")  # what is behind it is computed once
     i = F.col("items")
-    point = histogram.groupBy(*keys).agg(F.sum(F.col("size") * i).cast("long").alias("n"), F.sum(i).alias("units"), (F.sum(F.col("value") * i) / F.sum((F.col("size") * i).cast("double"))).alias("mean"))
-    return point.join(percentile_at(ratio_draws(histogram, keys, draws, seed), list(keys), convention), list(keys))
+    point = histogram.groupBy(*keys).agg(F.sum(F.col("size") * i).cast("long").alias("n"), F.sum(i).alias("units"))
+    sums = drawn_sums(ratio_patterns(histogram, keys), keys, draws, 2, seed, drawn).select(*keys, "draw", ratio(F.col("v0"), F.col("v1")).alias("value"))
+    mean = sums.where("draw < 0").select(*keys, F.col("value").alias("mean"))
+    return joined(joined(point, mean, keys), percentile_at(sums.where("draw >= 0"), list(keys), convention), keys)
 
 
 def bootstrap_mean_ci(df: DataFrame, value: str, keys=("domain",), draws: int = 10_000, seed: int = 0, convention: str = "count") -> DataFrame:
@@ -155,115 +201,123 @@ def both_cis(df: DataFrame, value: str, cluster: str = "cluster_id", keys=("doma
     return out.withColumns({"item_width": F.col("item_high") - F.col("item_low"), "cluster_width": F.col("cluster_high") - F.col("cluster_low")})
 
 
-def _decoded(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(patterns x labels, items of each pattern), in an order that does not depend on the rows'."""
-    rows = sorted((tuple((x["label"], int(x["c"])) for x in p), int(n)) for p, n in zip(frame["pattern"], frame["items"], strict=True))
-    labels = sorted({label for p, _ in rows for label, _ in p})
-    counts = np.array([[dict(p).get(label, 0) for label in labels] for p, _ in rows])
-    return counts, np.array([n for _, n in rows])
-
-
-STATISTICS = {"gwet_ac1_nominal": nominal_ac1}
-
-
-def _weighted(counts, m):  # noqa: ANN001
-    return (m @ np.where((counts > 0).sum(axis=1) == 1, 1.0, 2 / 3)) / m.sum(axis=1)
-
-
-def _unanimous(counts, m):  # noqa: ANN001
-    return (m @ ((counts > 0).sum(axis=1) == 1).astype(float)) / m.sum(axis=1)
-
-
-def _pooled(counts, m, kind: str):  # noqa: ANN001
-    n = counts.sum(axis=1)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        po = (m @ (counts * (counts - 1)).sum(axis=1)) / (m @ (n * (n - 1)))
-        p = (m @ counts) / (m @ n)[:, None]
-        if kind == "pairwise":
-            return po
-        pe = (p**2).sum(axis=1) if kind == "kappa" else (p * (1 - p)).sum(axis=1) / max(counts.shape[1] - 1, 1)
-        return np.where(np.isclose(pe, 1), np.nan, (po - pe) / (1 - pe))
-
-
-STATISTICS |= {"weighted": _weighted, "all_agree": _unanimous, "pairwise": lambda c, m: _pooled(c, m, "pairwise"), "fleiss_kappa": lambda c, m: _pooled(c, m, "kappa"), "gwet_ac1": lambda c, m: _pooled(c, m, "ac1")}
+#: Panel statistics as functions of sums over items.
+STATISTICS = ("gwet_ac1_nominal", "weighted", "all_agree", "pairwise", "fleiss_kappa", "gwet_ac1")
+
+
+def panel_vectors(patterns: DataFrame, keys) -> DataFrame:
+    """``label_patterns`` as patterns of ``drawn_sums``.  Total: items, items of two labels or more, their observed
+    agreement, weight, unanimous, agreeing pairs, pairs, labels; per label: its share in items of two or more, such items
+    that have it, its count."""
+    n = F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x.c).cast("double")
+    agreeing = F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x.c * (x.c - 1)).cast("double")
+    ok = F.when(n >= 2, 1.0).otherwise(0.0)
+    one = F.size("own") == 1
+    total = F.array(F.lit(1.0), ok, F.coalesce(ratio(agreeing, n * (n - 1)), F.lit(0.0)), F.when(one, 1.0).otherwise(2 / 3), F.when(one, 1.0).otherwise(0.0), agreeing, n * (n - 1), n)
+    labels = F.transform("own", lambda x: F.struct(x.label.alias("label"), F.array(ok * x.c.cast("double") / n, ok, x.c.cast("double")).alias("v")))
+    return patterns.withColumnRenamed("pattern", "own").select(*keys, F.to_json(F.struct(F.col("own").alias("pattern"))).alias("pattern"), "items", total.alias("total"), labels.alias("labels"))
+
+
+def panel_values(sums: DataFrame, keys, statistic: str) -> DataFrame:
+    """(keys, draw, n_items, value) of a panel statistic, from ``drawn_sums`` of ``panel_vectors``.  Null where it is
+    undefined: fewer than two categories among the items drawn, or a chance agreement of 1."""
+    if statistic not in STATISTICS:
+        raise ValueError(f"unknown statistic {statistic!r}")
+    at = lambda i: F.max(F.when(F.col("is_total"), F.col(f"v{i}")))
+    by_label = lambda c: F.sum(F.when(~F.col("is_total"), c))
+    s0, s2 = F.col("v0"), F.col("v2")
+    names = ("items", "ok", "po", "weight", "same", "agreeing", "pairs", "labels")
+    folded = sums.groupBy(*keys, "draw").agg(
+        *(at(i).alias(f"t_{x}") for i, x in enumerate(names)),
+        by_label(s0).alias("s1"),
+        by_label(s0 * s0).alias("s2"),
+        by_label(F.when(F.col("v1") > 0, 1).otherwise(0)).alias("q"),
+        by_label(s2 * s2).alias("c2"),
+        by_label(F.lit(1)).alias("known"),
+    )
+    t = {x: F.col(f"t_{x}") for x in names}
+    p2 = ratio(F.col("c2"), t["labels"] * t["labels"])
+    po, pairwise = ratio(t["po"], t["ok"]), ratio(t["agreeing"], t["pairs"])
+    chance = {
+        "gwet_ac1_nominal": (F.col("s1") / t["ok"] - F.col("s2") / (t["ok"] * t["ok"])) / (F.col("q") - 1),
+        "fleiss_kappa": p2,
+        "gwet_ac1": (1 - p2) / F.greatest(F.col("known") - 1, F.lit(1)),
+    }
+    if statistic in chance:
+        pe, agreed = chance[statistic], po if statistic == "gwet_ac1_nominal" else pairwise
+        value = F.when(F.abs(1 - pe) > 1e-8, (agreed - pe) / (1 - pe))
+        if statistic == "gwet_ac1_nominal":
+            value = F.when((F.col("q") >= 2) & (t["ok"] > 0), value)
+    else:
+        value = {"weighted": ratio(t["weight"], t["items"]), "all_agree": ratio(t["same"], t["items"]), "pairwise": pairwise}[statistic]
+    return folded.select(*keys, "draw", t["items"].cast("long").alias("n_items"), value.alias("value"))
 
 
-def pattern_draws(counts: np.ndarray, items: np.ndarray, statistic: str, draws: int, rng) -> np.ndarray:  # noqa: ANN001
-    return np.concatenate([STATISTICS[statistic](counts, multinomial_rows(rng, items, min(CHUNK, draws - at))) for at in range(0, draws, CHUNK)])
+def panel_draws(ratings: DataFrame, statistic: str, keys=("domain",), draws: int = 10_000, seed: int = 0, item=ITEM, md5_seed: str | None = None) -> DataFrame:
+    """(keys, draw, n_items, value) of a panel statistic over resampled items; draw -1 are the items themselves.  With
+    ``md5_seed`` the items drawn are those of ``md5_draws``; all that follows is the same."""
+    patterns = panel_vectors(label_patterns(ratings, keys, item), keys)
+    drawn = None if md5_seed is None else md5_pattern_counts(ratings, draws, md5_seed, keys, item)
+    return panel_values(drawn_sums(patterns, keys, draws, 8, seed, drawn), keys, statistic)
 
 
-def bootstrap_panel_ci(ratings: DataFrame, statistic: str, keys=("domain",), draws: int = 10_000, seed: int = 0, convention: str = "span", item=ITEM) -> DataFrame:
+def bootstrap_panel_ci(ratings: DataFrame, statistic: str, keys=("domain",), draws: int = 10_000, seed: int = 0, convention: str = "span", item=ITEM, md5_seed: str | None = None) -> DataFrame:
     """n_items, value, low, high, kept per group for any panel statistic.  Undefined draws are dropped and ``kept`` says
-    how many were not."""
-
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
-        counts, items = _decoded(frame)
-        value = STATISTICS[statistic](counts, items[None, :].astype(float))[0]
-        low, high, kept = _interval(pattern_draws(counts, items, statistic, draws, _stream(seed, *key)), convention)
-        return pd.DataFrame([[*key, int(items.sum()), None if np.isnan(value) else float(value), low, high, kept]])
-
-    return label_patterns(ratings, keys, item).groupBy(*keys).applyInPandas(run, f"{_types(ratings, keys)}, n_items long, value double, low double, high double, kept long")
-
-
-def bootstrap_ac1_ci(ratings: DataFrame, keys=("domain",), draws: int = 10_000, seed: int = 0, item=ITEM) -> DataFrame:
-    return bootstrap_panel_ci(ratings, "gwet_ac1_nominal", keys, draws, seed, "span", item)
-
-
-def ac1_draws(ratings: DataFrame, group: str = "domain", draws: int = 10_000, seed: int = 0, item=ITEM) -> DataFrame:
-    """(group, draw, value): the draws themselves, each group from its own stream; undefined draws are null."""
+    how many were not; a group without any has null bounds."""
+    values = panel_draws(ratings, statistic, keys, draws, seed, item, md5_seed)
+    point = values.where("draw < 0").drop("draw")
+    bounds = percentile_at(values.where("draw >= 0"), list(keys), convention)
+    return joined(point, bounds, keys, "left").fillna(0, ["kept"])
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
-        counts, items = _decoded(frame)
-        values = pattern_draws(counts, items, "gwet_ac1_nominal", draws, _stream(seed, *key))
-        out = pd.DataFrame({group: key[0], "draw": np.arange(draws), "value": values})
-        out["value"] = out["value"].astype(object).where(~np.isnan(values), None)
-        return out
 
-    return label_patterns(ratings, (group,), item).groupBy(group).applyInPandas(run, f"{_types(ratings, [group])}, draw long, value double")
+def bootstrap_ac1_ci(ratings: DataFrame, keys=("domain",), draws: int = 10_000, seed: int = 0, item=ITEM, md5_seed: str | None = None) -> DataFrame:
+    return bootstrap_panel_ci(ratings, "gwet_ac1_nominal", keys, draws, seed, "span", item, md5_seed)
 
 
 def difference_ci(ratings: DataFrame, pairs: list[tuple], group: str = "domain", draws: int = 10_000, seed: int = 0, item=ITEM, md5_seed: str | None = None) -> DataFrame:
     """(a, b, difference, low, high, kept, excludes_zero) of AC1 between independent groups: draws pair in draw order.
-    With ``md5_seed`` the draws are those of ``md5_ac1_draws``."""
+    With ``md5_seed`` the items drawn are those of ``md5_draws``."""
     spark = ratings.sparkSession
     kind = dict(ratings.dtypes)[group]
     wanted = spark.createDataFrame(pairs, f"a {kind}, b {kind}")
-    d = ac1_draws(ratings, group, draws, seed, item) if md5_seed is None else md5_statistic_draws(ratings, "gwet_ac1_nominal", draws, md5_seed, (group,), item)
+    d = written(panel_draws(ratings, "gwet_ac1_nominal", (group,), draws, seed, item, md5_seed), "draw-values")
     first, second = (d.select(F.col(group).alias(x), "draw", F.col("value").alias(f"v{x}")) for x in "ab")
     both = first.join(wanted, "a").join(second, ["b", "draw"]).withColumn("value", F.col("va") - F.col("vb"))
-    bounds = percentile_at(both, ["a", "b"], "span")
-    point = gwet_ac1_nominal(ratings, (group,), item).select(F.col(group).alias("g"), "ac1")
-    at = lambda x: point.select(F.col("g").alias(x), F.col("ac1").alias(f"p{x}"))
-    out = bounds.join(at("a"), "a").join(at("b"), "b").withColumn("difference", F.col("pa") - F.col("pb"))
+    bounds = percentile_at(both.where("draw >= 0"), ["a", "b"], "span")
+    out = bounds.join(both.where("draw < 0").select("a", "b", F.col("value").alias("difference")), ["a", "b"])
     return out.select("a", "b", "difference", "low", "high", "kept", ((F.col("low") > 0) | (F.col("high") < 0)).alias("excludes_zero"))
 
 
 def cohort_shift(ratings: DataFrame, cohort: str, first, second, keys=("domain",), draws: int = 10_000, seed: int = 0, item=ITEM, md5_seed: str | None = None) -> DataFrame:  # noqa: ANN001
-    """AC1 difference of two disjoint cohorts within each group."""
-    name = F.concat_ws("|", *(F.col(k).cast("string") for k in keys), F.col(cohort).cast("string"))
-    tagged = ratings.where(F.col(cohort).isin(first, second)).withColumn("cohort_group", name)
-    groups = [r[0] for r in tagged.select(F.concat_ws("|", *(F.col(k).cast("string") for k in keys))).distinct().collect()]  # one per group
-    pairs = [(f"{g}|{first}", f"{g}|{second}") for g in groups]
+    """AC1 difference of two disjoint cohorts within each group: its keys, joined by bars, as ``group``."""
+    key = F.to_json(F.array(*(F.col(k).cast("string") for k in keys)), {"ignoreNullFields": "false"})
+    tagged = ratings.where(F.col(cohort).isin(first, second)).withColumns({"cohort_key": key, "cohort_group": F.concat(key, F.when(F.col(cohort) == first, "1").otherwise("2"))})
+    groups = [r[0] for r in tagged.select("cohort_key").distinct().collect()]  # one per group
+    pairs = [(f"{g}1", f"{g}2") for g in groups]
     out = difference_ci(tagged, pairs, "cohort_group", draws, seed, item=("cohort_group", *[c for c in item if c not in keys]), md5_seed=md5_seed)
-    return out.withColumn("group", F.substring_index("a", f"|{first}", 1)).drop("a", "b")
+    names = F.from_json(F.expr("left(a, length(a) - 1)"), "array<string>")
+    return out.withColumn("group", F.array_join(names, "|")).drop("a", "b")
 
 
 def md5_draws(df: DataFrame, draws: int, seed: str, keys=("domain",), order=("item_id",)) -> DataFrame:
     """(keys, draw, place, row): draw b takes for its i-th place the row md5(seed|b|i) mod n, rows in the given order.
     Any SQL engine repeats it; for small n, to hold the fast helpers against."""
-    group = W.partitionBy(*keys)
-    rows = df.withColumns({"_i": F.row_number().over(group.orderBy(*order)) - 1, "_n": F.count(F.lit(1)).over(group)})
-    index = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"), F.col("place").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("_n")
-    asked = rows.select(*keys, F.col("_i").alias("place"), "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("_i", index).drop("_n")
-    return asked.join(rows.drop("_n"), [*keys, "_i"]).drop("_i")
+    group, number, size = W.partitionBy(*keys), unused(df, "row_number"), unused(df, "row_count")
+    rows = df.withColumns({number: (F.row_number().over(group.orderBy(*order)) - 1).cast("long"), size: F.count(F.lit(1)).over(group)})
+    index = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"), F.col("place").cast("string"))), 1, 8), 16, 10).cast("long") % F.col(size)
+    asked = rows.select(*keys, F.col(number).alias("place"), size, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    return joined(asked.select(*keys, "place", "draw", index.alias(number)), rows.drop(size), [*keys, number]).drop(number)
 
 
 def md5_ratio_ci(sums: DataFrame, draws: int, seed: str, keys=("domain",), order=("item_id",), convention: str = "count") -> DataFrame:
-    """n, units, mean, low, high, kept per group of rows (value, size): items with a size of 1, or ``cluster_sums``."""
-    size = F.col("size").cast("double")
-    means = md5_draws(sums, draws, seed, keys, order).groupBy(*keys, "draw").agg((F.sum("value") / F.sum(size)).alias("value"))
-    point = sums.groupBy(*keys).agg(F.sum("size").cast("long").alias("n"), F.count(F.lit(1)).alias("units"), (F.sum("value") / F.sum(size)).alias("mean"))
-    return point.join(percentile_at(means, list(keys), convention), list(keys))
+    """n, units, mean, low, high, kept per group of rows (value, size): items with a size of 1, or ``cluster_sums``.  The
+    rows drawn are counted by (value, size) and handed to the kernel of ``ratio_draws``."""
+    value = F.round(F.col("value").cast("double"), 12).alias("value")
+    rows = sums.select(*keys, *order, value, "size")
+    histogram = rows.groupBy(*keys, "value", "size").agg(F.count(F.lit(1)).alias("items"))
+    name = F.concat_ws("|", F.col("value").cast("string"), F.col("size").cast("string"))
+    drawn = md5_draws(rows, draws, seed, keys, order).groupBy(*keys, "draw", name.alias("pattern")).agg(F.count(F.lit(1)).alias("m"))
+    return _ratio_ci(histogram, keys, draws, 0, convention, drawn)
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -271,21 +325,14 @@ def sized(df: DataFrame) -> DataFrame:
     return df.withColumn("size", F.lit(1).cast("long"))
 
 
-def md5_statistic_draws(ratings: DataFrame, statistic: str, draws: int, seed: str, keys=("domain",), item=ITEM) -> DataFrame:
-    """(keys, draw, value): a panel statistic over items drawn by md5, all of an item's labels with it."""
+def md5_pattern_counts(ratings: DataFrame, draws: int, seed: str, keys=("domain",), item=ITEM) -> DataFrame:
+    """(keys, draw, pattern, m): how often an item of a pattern is drawn by md5."""
     own = [c for c in item if c not in keys]
-    folded = ratings.where(F.col("label").isNotNull()).groupBy(*keys, *own).agg(F.collect_list("label").alias("labels"))
-    drawn = md5_draws(folded, draws, seed, keys, own).select(*keys, "draw", "place", F.explode("labels").alias("label"))
-    by, unit = (*keys, "draw"), (*keys, "draw", "place")
-    if statistic == "gwet_ac1_nominal":
-        return gwet_ac1_nominal(drawn, by, unit).select(*by, F.col("ac1").alias("value"))
-    if statistic == "weighted":
-        return weighted_agreement(drawn, by, unit).select(*by, F.col("weighted").alias("value"))
-    raise ValueError(f"no md5 draws of {statistic!r}")
-
-
-def md5_panel_ci(ratings: DataFrame, statistic: str, draws: int, seed: str, keys=("domain",), item=ITEM, convention: str = "span") -> DataFrame:
-    return percentile_at(md5_statistic_draws(ratings, statistic, draws, seed, keys, item), list(keys), convention)
+    names = [*keys, *own]
+    counts = ratings.where(F.col("label").isNotNull()).groupBy(*names, "label").agg(F.count(F.lit(1)).alias("c"))
+    folded = counts.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("pattern"))
+    named = folded.withColumn("pattern", F.to_json(F.struct("pattern")))
+    return md5_draws(named, draws, seed, keys, own).groupBy(*keys, "draw", "pattern").agg(F.count(F.lit(1)).alias("m"))
 
 
 def value_of(condition: Column) -> Column:
