@@ -15,6 +15,7 @@ from panelmark.operators import metrics as mt
 from panelmark.operators import pairs as pr
 from panelmark.operators import reference as rf
 from panelmark.operators import votes as vt
+from panelmark.operators.keys import joined
 from panelmark.sources import tables as tb
 from panelmark.streaming import intake
 
@@ -115,10 +116,10 @@ def _(get):  # noqa: ANN001, ANN202
     return read.drop("n_high", "n_low", "match")
 
 
-@query("s9_append_calls", "SELECT 'run' AS run_tag, domain, 'v0' AS rubric_version, item_id, rater_id, 0::BIGINT AS repeat, label FROM [gappy] g WHERE domain IS NOT NULL")
+@query("s9_append_calls", "SELECT 'run' AS run_tag, domain, 'v0' AS rubric_version, item_id, rater_id, 0::BIGINT AS repeat, label FROM [gappy] g")
 def _(get):  # noqa: ANN001, ANN202
     path, none = get.path("calls"), F.lit(None).cast("string")
-    g = get("gappy").where("domain is not null").select(F.lit("run").alias("run_tag"), "domain", F.lit("v0").alias("rubric_version"), "item_id", "rater_id", F.lit(0).alias("repeat"), "label", none.alias("confidence"), none.alias("reason"), none.alias("criterion_quote"))
+    g = get("gappy").select(F.lit("run").alias("run_tag"), "domain", F.lit("v0").alias("rubric_version"), "item_id", "rater_id", F.lit(0).alias("repeat"), "label", none.alias("confidence"), none.alias("reason"), none.alias("criterion_quote"))
     for half in (0, 1):
         tb.append_calls(g.where(F.pmod("item_id", F.lit(2)) == half), path)
     return loop.read_log(get.spark, path).drop("confidence", "reason", "criterion_quote")
@@ -149,21 +150,30 @@ def _(get):  # noqa: ANN001, ANN202
 ASK = "LABEL: HIGH or LOW\nCONFIDENCE: HIGH, MEDIUM or LOW\nMATCHED_HIGH: numbers\nMATCHED_LOW: numbers\nREASON: one sentence\nCRITERION_QUOTE: the criterion that decided"
 
 
-@query("p2_render_prompt", f"SELECT item_id, sha256(concat('Domain: about ', domain, chr(10), 'HIGH criteria:', chr(10), '1. clear ', domain, chr(10), '2. new', chr(10), 'LOW criteria:', chr(10), '1. thin', chr(10), 'If both match: LOW wins', chr(10), chr(10), 'Transcript:', chr(10), substr(text, 1, 3000), chr(10), chr(10), '{ASK}')) AS prompt FROM [items] i WHERE text IS NOT NULL AND domain IS NOT NULL")
+@query("p2_render_prompt", f"SELECT item_id, sha256('Domain: about ' || domain || chr(10) || 'HIGH criteria:' || chr(10) || '1. clear ' || domain || chr(10) || '2. new' || chr(10) || 'LOW criteria:' || chr(10) || '1. thin' || chr(10) || 'If both match: LOW wins' || chr(10) || chr(10) || 'Transcript:' || chr(10) || substr(text, 1, 3000) || chr(10) || chr(10) || '{ASK}') AS prompt FROM [items] i")
 def _(get):  # noqa: ANN001, ANN202
-    items = get("items").where("text is not null and domain is not null")
-    return tx.render_prompt(items, rubrics(get)).select("item_id", F.sha2("prompt", 256).alias("prompt"))
+    return tx.render_prompt(get("items"), rubrics(get)).select("item_id", F.sha2("prompt", 256).alias("prompt"))
 
 
 def answers() -> Column:
-    """The item's number in an answer that is whole, has a tail, a head and a tail, a quote that is no JSON, or is none."""
+    """The item's number in an answer that is whole, has a tail, a head and a tail, a quote with a bad escape, a quote
+    that holds the text's own words between unescaped quotation marks (last or in the middle), or is none."""
     item = F.col("item_id").cast("string")
     whole = F.concat(F.lit('{"n": '), item, F.lit(', "criterion_quote": "x"}'))
-    kind = F.pmod("item_id", F.lit(5))
-    return F.when(kind == 0, whole).when(kind == 1, F.concat(whole, F.lit(" so be it"))).when(kind == 2, F.concat(F.lit("Well: "), whole, F.lit(" yes"))).when(kind == 3, F.concat(F.lit('{"criterion_quote": "a \\q b", "n": '), item, F.lit("}"))).otherwise(F.concat(F.lit("n is "), item))
+    said = F.translate(F.col("text"), ",}\\\"", "    ")
+    kind = F.pmod("item_id", F.lit(7))
+    return (
+        F.when(kind == 0, whole)
+        .when(kind == 1, F.concat(whole, F.lit(" so be it")))
+        .when(kind == 2, F.concat(F.lit("Well: "), whole, F.lit(" yes")))
+        .when(kind == 3, F.concat(F.lit('{"criterion_quote": "a \\q b", "n": '), item, F.lit("}")))
+        .when(kind == 4, F.concat(F.lit('So {"n": '), item, F.lit(', "criterion_quote": "says "'), said, F.lit('" and more" }.')))
+        .when(kind == 5, F.concat(F.lit('{"criterion_quote" : "says "'), said, F.lit('" here" , "n": '), item, F.lit("}")))
+        .otherwise(F.concat(F.lit("n is "), item))
+    )
 
 
-@query("p8_repair_json", "SELECT item_id, CASE WHEN item_id % 5 < 4 THEN item_id END AS n FROM [items] i")
+@query("p8_repair_json", "SELECT item_id, CASE WHEN item_id % 7 < 4 OR (item_id % 7 < 6 AND text IS NOT NULL) THEN item_id END AS n FROM [items] i")
 def _(get):  # noqa: ANN001, ANN202
     return get("items").select("item_id", F.try_variant_get(tx.repair_json(answers()), "$.n", "bigint").alias("n"))
 
@@ -184,20 +194,20 @@ def _(get):  # noqa: ANN001, ANN202
     return get("items").select("item_id", F.sha2(tx.normalize_text(marked), 256).alias("hash"))
 
 
-@query("j6_attach_rubric", "SELECT i.item_id, i.domain, n::VARCHAR AS version, 'LOW wins' AS conflict_rule FROM [items] i JOIN (SELECT domain, count(*) AS n FROM [items] x GROUP BY domain) d ON i.domain = d.domain")
+@query("j6_attach_rubric", "SELECT i.item_id, i.domain, n::VARCHAR AS version, CASE WHEN n IS NOT NULL THEN 'LOW wins' END AS conflict_rule FROM [items] i LEFT JOIN (SELECT domain, count(*) AS n FROM [items] x GROUP BY domain) d ON i.domain = d.domain")
 def _(get):  # noqa: ANN001, ANN202
-    return pr.attach_rubric(get("items").where("domain is not null"), rubrics(get)).select("item_id", "domain", "version", "conflict_rule")
+    return pr.attach_rubric(get("items"), rubrics(get)).select("item_id", "domain", "version", "conflict_rule")
 
 
 #: Limits of the test double for raters a, b and c.
-RULED = "(SELECT domain, item_id, rater_id, CASE WHEN coalesce(length(text), 0) >= lim THEN 'HIGH' ELSE 'LOW' END AS label FROM [items] i CROSS JOIN (SELECT unnest(['a', 'b', 'c']) AS rater_id, unnest([1000, 1400, 1800]) AS lim) r WHERE domain IS NOT NULL)"
+RULED = "(SELECT domain, item_id, rater_id, CASE WHEN coalesce(length(text), 0) >= lim THEN 'HIGH' ELSE 'LOW' END AS label FROM [items] i CROSS JOIN (SELECT unnest(['a', 'b', 'c']) AS rater_id, unnest([1000, 1400, 1800]) AS lim) r)"
 
 
 @query("f1_label_items", f"SELECT 'run' AS run_tag, domain, item_id, 'v0' AS rubric_version, rater_id, 0::BIGINT AS repeat, label, 'HIGH' AS confidence FROM {RULED} r")
 def _(get):  # noqa: ANN001, ANN202
-    items = get("items").where("domain is not null")
+    items = get("items")
     plan = pr.plan_calls(items, get.spark.createDataFrame([("a",), ("b",), ("c",)], "rater_id string"), get.spark.createDataFrame([("v0",)], "rubric_version string"))
-    return loop.label_items(plan.join(items, ["domain", "item_id"]), loop.rule_rater).drop("reason", "criterion_quote")
+    return loop.label_items(joined(plan, items, ["domain", "item_id"]), loop.rule_rater).drop("reason", "criterion_quote")
 
 
 @query("f2_revise", "SELECT domain, domain <> 'de' AS success, CASE domain WHEN 'de' THEN 3 WHEN 'en' THEN 1 ELSE 2 END::BIGINT AS attempts, (count(*) + (domain <> 'de')::INT)::VARCHAR AS version FROM [items] i WHERE domain IS NOT NULL GROUP BY domain")
@@ -216,10 +226,10 @@ def _(get):  # noqa: ANN001, ANN202
     return get.spark.createDataFrame(rows, "domain string, success boolean, attempts int, version string")
 
 
-@query("f3_calibrate", f"SELECT domain, iteration, {r6('weighted')} AS weighted, {r6('all_agree')} AS all_agree, CASE WHEN converged THEN n WHEN iteration = 3 THEN n + split + split ELSE n + (iteration - 1) * split END::VARCHAR AS rubric_version FROM (SELECT p.domain, weighted, all_agree, p.n, weighted >= 0.9 AS converged, (all_agree < 1)::INT AS split FROM {panel_sql(RULED)} p) x CROSS JOIN (SELECT unnest([1, 2, 3])::BIGINT AS iteration) i WHERE iteration <= 2 OR NOT converged")
+@query("f3_calibrate", f"SELECT domain, iteration, {r6('weighted')} AS weighted, {r6('all_agree')} AS all_agree, CASE WHEN converged THEN n WHEN iteration = 3 THEN n + split + split ELSE n + (iteration - 1) * split END::VARCHAR AS rubric_version FROM (SELECT p.domain, weighted, all_agree, p.n, weighted >= 0.9 AS converged, (all_agree < 1)::INT AS split FROM {panel_sql(RULED)} p WHERE domain IS NOT NULL) x CROSS JOIN (SELECT unnest([1, 2, 3])::BIGINT AS iteration) i WHERE iteration <= 2 OR NOT converged")
 def _(get):  # noqa: ANN001, ANN202
     good = json.dumps({"updated_HIGH": ["a"], "updated_LOW": ["b"], "updated_conflict_rule": "c"})
-    found = loop.calibrate(get("items").where("domain is not null"), rubrics(get), ["a", "b", "c"], loop.rule_rater, lambda *_: good, get.path("loop-calls"), tau=0.9, max_iterations=3)
+    found = loop.calibrate(get("items"), rubrics(get), ["a", "b", "c"], loop.rule_rater, lambda *_: good, get.path("loop-calls"), tau=0.9, max_iterations=3)
     return found.history
 
 

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from panelmark.functions.text import validate_revision
 from panelmark.operators import history as h
+from panelmark.operators.keys import joined, unused
 from panelmark.operators.metrics import panel_metrics
 from panelmark.operators.pairs import attach_rubric, exclude_items, pending_calls, plan_calls, top_cases
 from panelmark.operators.votes import disagreement_cases, panel_vote
+from panelmark.sources.shared import written
 from panelmark.sources.tables import append_calls
 
 #: A rater takes (rater_id, frame of items with rubric columns) and gives a frame with the label fields, row by row.
@@ -26,11 +28,11 @@ FIELDS = ("label", "confidence", "reason", "criterion_quote")
 CALLS = "run_tag string, domain string, rubric_version string, item_id long, rater_id string, repeat int, label string, confidence string, reason string, criterion_quote string"
 
 
-def label_items(pending: DataFrame, rater: Rater, calls_per_task: int = 256) -> DataFrame:
+def label_items(pending: DataFrame, rater: Rater, calls_per_task: int = 256, calls: int | None = None) -> DataFrame:
     """Run the rater over pending calls (with text and rubric).  Rows are dealt by rater and a salt and sorted by rater,
-    so a worker loads a model once, and few raters still fill many tasks; the number of tasks follows that of the calls
-    (one count of them).  A rater that raises gives LOW labels with the error as the reason."""
-    tasks = max(1, -(-pending.count() // calls_per_task))
+    so a worker loads a model once, and few raters still fill many tasks; the number of tasks follows that of the
+    ``calls`` (counted if not given).  A rater that raises gives LOW labels with the error as the reason."""
+    tasks = max(1, -(-(pending.count() if calls is None else calls) // calls_per_task))
 
     def run(frames):  # noqa: ANN001, ANN202
         for frame in frames:
@@ -42,8 +44,9 @@ def label_items(pending: DataFrame, rater: Rater, calls_per_task: int = 256) ->
                 keys = part[["run_tag", "domain", "rubric_version", "item_id", "rater_id", "repeat"]].reset_index(drop=True)
                 yield pd.concat([keys, got], axis=1)
 
-    salted = pending.withColumn("_salt", F.pmod(F.xxhash64("domain", "item_id"), F.lit(tasks)))
-    dealt = salted.repartition(tasks, "rater_id", "_salt").sortWithinPartitions("rater_id", "domain", "item_id").drop("_salt")
+    salt = unused(pending, "salt")
+    salted = pending.withColumn(salt, F.pmod(F.xxhash64("domain", "item_id"), F.lit(tasks)))
+    dealt = salted.repartition(tasks, "rater_id", salt).sortWithinPartitions("rater_id", "domain", "item_id").drop(salt)
     return dealt.mapInPandas(run, CALLS)
 
 
@@ -103,11 +106,12 @@ def calibrate(items: DataFrame, rubrics: DataFrame, raters: list[str], rater: Ra
     further calls are made for it.  If that one measurement is more than ``drop`` below the one before, the domain is
     open again and revised on.  A stagnated domain is measured on but not revised (``close_stagnated``: skipped too).
     ``reviser(domain, rubric, cases, changes)`` gets at most eight cases and the last three changes; items that it calls
-    irreducible take no part from then on.
+    irreducible take no part from then on.  Items without a domain have no rubric and take no part at all.
 
     The driver holds one row per domain and iteration, the cases, and the irreducible items that revisers name."""
     spark = items.sparkSession
     names = spark.createDataFrame([(r,) for r in raters], "rater_id string")
+    items = items.where(F.col("domain").isNotNull())
     domains = sorted(r.domain for r in items.select("domain").distinct().collect())  # configuration-sized
     current, rows, versions, changes, given_up = rubrics, [], [], [], []
     converged, recheck, closed = set(), set(), set()
@@ -123,8 +127,9 @@ def calibrate(items: DataFrame, rubrics: DataFrame, raters: list[str], rater: Ra
         tag = f"{run_tag}-{iteration}"
         plan = plan_calls(active, names, spark.createDataFrame([(str(iteration),)], "rubric_version string"), 1, tag)
         own = read_log(spark, log).where(F.col("run_tag") == tag)
-        todo = pending_calls(plan, own).join(active, ["domain", "item_id"])
-        append_calls(label_items(attach_rubric(todo, current.drop("version")), rater), log)
+        missing = written(pending_calls(plan, own), "pending-calls")  # keys only; counted from its files
+        todo = joined(missing, active, ["domain", "item_id"])
+        append_calls(label_items(attach_rubric(todo, current.drop("version")), rater, calls=missing.count()), log)
         ratings = read_log(spark, log).where(F.col("run_tag") == tag)
         values = {r.domain: r for r in panel_metrics(ratings, split_weight=split_weight).collect()}
         known = {r.domain: r for r in current.collect()}

@@ -109,9 +109,9 @@ def _(get):  # noqa: ANN001, ANN202
     return get("conversations").select("item_id", "turn", tx.truncate(F.col("text"), 150).alias("excerpt"))
 
 
-RESPONSE = "CASE item_id % 5 WHEN 0 THEN concat('REASON: ', substr(text, 1, 40), chr(10), 'LABEL: high', chr(10), 'MATCHED_HIGH: 1, 3,x') WHEN 1 THEN concat('LABEL: LOW', chr(10), 'LABEL: HIGH', chr(10), 'CONFIDENCE: LOW') WHEN 2 THEN concat('I think HIGH', chr(10), 'LABEL: MAYBE') WHEN 3 THEN 'nothing here' ELSE concat('<scratchpad>LABEL: HIGH</scratchpad>', chr(10), 'label: low') END"
+RESPONSE = "CASE item_id % 5 WHEN 0 THEN concat('REASON: ', text, chr(10), 'LABEL: high', chr(10), 'MATCHED_HIGH: 1, 3,x') WHEN 1 THEN concat('LABEL: LOW', chr(10), 'LABEL: HIGH', chr(10), 'CONFIDENCE: LOW') WHEN 2 THEN concat('I think HIGH', chr(10), 'LABEL: MAYBE') WHEN 3 THEN 'nothing here' ELSE concat('<scratchpad>LABEL: HIGH</scratchpad>', chr(10), 'label: low') END"
 #: What the cases above have to give, by hand.
-@query("p3_parse_response", "SELECT item_id, CASE item_id % 5 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'LOW' ELSE 'HIGH' END AS label, CASE item_id % 5 WHEN 1 THEN 'LOW' END AS confidence, CASE item_id % 5 WHEN 0 THEN trim(string_split(substr(text, 1, 40), chr(10))[1]) ELSE '' END AS reason, CASE item_id % 5 WHEN 0 THEN '1,3' ELSE '' END AS matched FROM [items] i")
+@query("p3_parse_response", "SELECT item_id, CASE item_id % 5 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'LOW' ELSE 'HIGH' END AS label, CASE item_id % 5 WHEN 1 THEN 'LOW' END AS confidence, CASE item_id % 5 WHEN 0 THEN trim(coalesce(string_split(text, chr(10))[1], ''), ' ' || chr(9) || chr(13)) ELSE '' END AS reason, CASE item_id % 5 WHEN 0 THEN '1,3' ELSE '' END AS matched FROM [items] i")
 def _(get):  # noqa: ANN001, ANN202
     df = get("items").select("item_id", F.expr(RESPONSE).alias("response"))
     out = tx.parse_response(df)
@@ -139,9 +139,9 @@ def _(get):  # noqa: ANN001, ANN202
     return get("pages").select("item_id", tx.sanitize_quote(F.col("html")).alias("quote"))
 
 
-@query("p9_strip_fences", "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN concat('{', substr(text, 1, 20), '}') ELSE substr(text, 1, 20) END AS body FROM [items] i")
+@query("p9_strip_fences", "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN '{' || text || '}' ELSE text END AS body FROM [items] i")
 def _(get):  # noqa: ANN001, ANN202
-    head = F.substring("text", 1, 20)
+    head = F.col("text")
     fenced = F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("x ```json\n{"), head, F.lit("}\n``` y"))).when(F.col("item_id") % 4 == 2, F.concat(F.lit("```{"), head, F.lit("}```"))).otherwise(head)
     return get("items").select("item_id", tx.strip_fences(fenced).alias("body"))
 
@@ -556,10 +556,10 @@ def _(get):  # noqa: ANN001, ANN202
     return rs.md5_ratio_ci(rs.sized(matches(get)), 40, "s").select("domain", "low", "high", "kept")
 
 
-@query("r9_metric_floor", f"WITH g AS (SELECT domain, count(*) AS n, avg(most / n) AS a FROM {SHAPES} s WHERE n = 3 GROUP BY domain) SELECT domain, {r6('a')} AS agreement, {r6('1.0::DOUBLE / 3')} AS floor, greatest(0, ceil(round(n * (0.8::DOUBLE - 1.0::DOUBLE / 3) / (1 - 1.0::DOUBLE / 3), 9)))::BIGINT AS required_unanimous, {r6('(a - 1.0::DOUBLE / 3) / (1 - 1.0::DOUBLE / 3)')} AS normalised FROM g")
+@query("r9_metric_floor", f"WITH g AS (SELECT domain, n::BIGINT AS k, count(*) AS n, avg(most / n) AS a FROM {SHAPES} s GROUP BY domain, n), f AS (SELECT *, ceil(k / 3.0::DOUBLE) / k::DOUBLE AS floor FROM g) SELECT domain, k, {r6('a')} AS agreement, {r6('floor')} AS floor, CASE WHEN floor < 1 THEN greatest(0, ceil(round(n * (0.8::DOUBLE - floor) / (1 - floor), 9))) ELSE 0 END::BIGINT AS required_unanimous, CASE WHEN floor < 1 THEN {r6('(a - floor) / (1 - floor)')} END AS normalised FROM f")
 def _(get):  # noqa: ANN001, ANN202
-    three = mt.item_shapes(get("nominal")).where("n = 3").groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("most") / F.col("n")).alias("agreement"))
-    return mt.with_metric_floor(three, "agreement", F.lit(3), F.lit(3), 0.8, F.col("n")).drop("n")
+    sized = mt.item_shapes(get("nominal")).groupBy("domain", F.col("n").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("most") / F.col("n")).alias("agreement"))
+    return mt.with_metric_floor(sized, "agreement", F.col("k"), F.lit(3), 0.8, F.col("n")).drop("n")
 
 
 # --- history --------------------------------------------------------------------------------------------------------

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelmark.operators.keys import unused
+
 
 def by():  # noqa: ANN201
     return W.partitionBy("domain").orderBy("iteration")
@@ -37,7 +39,8 @@ def best_so_far(history: DataFrame) -> DataFrame:
 def best_iteration(history: DataFrame) -> DataFrame:
     """The earliest iteration with the highest value, per domain."""
     first = W.partitionBy("domain").orderBy(F.desc("weighted"), "iteration")
-    return history.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
+    rank = unused(history, "rank")
+    return history.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(rank)
 
 
 def best_labels(ratings: DataFrame, history: DataFrame) -> DataFrame:

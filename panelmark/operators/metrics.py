@@ -161,8 +161,9 @@ def metric_floor(k: int, labels: int, tau: float, n: int) -> tuple[float, int]:
 
 
 def with_metric_floor(values: DataFrame, value: str, k: Column, labels: Column, tau: float, n: Column) -> DataFrame:
-    """Add floor, required_unanimous and the floor-normalised value."""
+    """Add floor, required_unanimous and the floor-normalised value (0 and null where the floor is 1: one label an item)."""
     floor = F.ceil(_d(k) / _d(labels)) / _d(k)
     out = values.withColumn("floor", floor)
-    need = F.ceil(F.round(_d(n) * (F.lit(tau) - F.col("floor")) / (1 - F.col("floor")), 9))
-    return out.withColumns({"required_unanimous": F.greatest(F.lit(0), need).cast("long"), "normalised": (F.col(value) - F.col("floor")) / (1 - F.col("floor"))})
+    open_ = F.when(F.col("floor") < 1, 1 - F.col("floor"))
+    need = F.ceil(F.round(_d(n) * (F.lit(tau) - F.col("floor")) / open_, 9))
+    return out.withColumns({"required_unanimous": F.coalesce(F.greatest(F.lit(0), need), F.lit(0)).cast("long"), "normalised": (F.col(value) - F.col("floor")) / open_})

@@ -54,3 +54,73 @@ def test_null_keys_meet(spark, how):
     both, only_a, only_b = {(None, 1, "p", "s"), ("y", None, "r", "t")}, {("x", 2, "q", None)}, {("z", 3, None, "u")}
     want = {"inner": both, "left": both | only_a, "full": both | only_a | only_b, "left_semi": {r[:3] for r in both}, "left_anti": {r[:3] for r in only_a}}
     assert set(map(tuple, keys.joined(a, b, ("k", "i"), how).collect())) == want[how]
+
+
+def test_pending_calls_of_items_without_a_domain_end(spark):
+    from panelmark.operators import pairs
+
+    items = spark.createDataFrame([(None, 1), ("d", 2)], "domain string, item_id long")
+    plan = pairs.plan_calls(items, spark.createDataFrame([("a",)], "rater_id string"), spark.createDataFrame([("v",)], "rubric_version string"))
+    assert pairs.pending_calls(plan, plan.limit(0)).count() == 2 and pairs.pending_calls(plan, plan).count() == 0
+    labels = plan.withColumn("label", F.lit("LOW"))
+    assert pairs.pair_labels(labels, labels).count() == 2 and pairs.exclude_items(items, items).count() == 0
+    text = items.withColumn("text", F.when(F.col("item_id") == 2, "t"))
+    assert pairs.verify_alignment(text, text).count() == 0
+    assert {(r.domain, r.problem) for r in pairs.verify_alignment(text, text.withColumn("text", F.lit("u"))).collect()} == {(None, "text"), ("d", "text")}
+
+
+def test_repairs_of_quotes_that_are_no_strings(spark):
+    from panelmark.functions import text as tx
+
+    given = ['{"criterion_quote": "a "b" c", "n": 1}', 'x {"n": 2, "criterion_quote":"q\\z "w"" } y', '{"criterion_quote" : "end\\\\\\\\", "n": 3}', '{"criterion_quote": "no end', '{"n": 5, "criterion_quote": "a "x", y"}',
+             '[{"criterion_quote": "a "b""}, {"criterion_quote": "\\q", "n": 1}]', '{"criterion_quote": 7, "n": 7 "x"}', None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string")
+    got = {r.i: r.n for r in df.select("i", F.try_variant_get(tx.repair_json(F.col("t")), "$.n", "int").alias("n")).collect()}
+    assert got == {0: 1, 1: 2, 2: 3, 3: None, 4: None, 5: None, 6: None, 7: None, 8: None}
+    emptied = [r[0] for r in df.where("i in (0, 1, 5)").orderBy("i").select(tx.without_quotes(F.col("t"))).collect()]
+    assert emptied == ['{"criterion_quote": "", "n": 1}', 'x {"n": 2, "criterion_quote": "" } y', '[{"criterion_quote": ""}, {"criterion_quote": "", "n": 1}]']
+    numbers = spark.range(1).select(tx.parse_int_list(F.lit("1, 99999999999,x, 2147483647")).alias("n")).first().n
+    assert numbers == [1, 2147483647]
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+@pytest.mark.parametrize("normalized", [False, True])
+def test_excerpts_against_every_text(spark, monkeypatch, few, normalized):
+    """Random words: the first item that holds the slice, with broadcast slices and with shuffled ones; blanks, stop words,
+    cut words, null groups and texts, repeated probes."""
+    import random
+
+    from panelmark.operators import pairs
+
+    monkeypatch.setattr(pairs, "BROADCAST_SLICES", few)
+    rng = random.Random(7)
+    word = lambda: rng.choice(["the", "of", "a", "longwordindeedlonger", "x1", "ab"]) if rng.random() < 0.7 else f"w{rng.randrange(300)}"
+    texts = [(rng.choice(["p", "q", None]), i, " ".join(word() for _ in range(rng.randint(0, 60)))) for i in range(150)] + [("p", 500, None), ("p", 501, "")]
+    probes = []
+    for i in range(60):
+        g, _, t = rng.choice(texts)
+        at = rng.randrange(max(1, len(t or "") - 5))
+        probes.append((g, i, "y" * 50 + (t or "")[at : at + rng.choice([1, 2, 4, 9, 20, 60])]))
+    probes += [("p", 90, "y" * 50 + " "), (None, 91, "y" * 50 + "the"), ("q", 92, "short"), ("q", 93, None), ("p", 94, "y" * 50 + " the "), ("p", 90, "y" * 50 + "  "), ("p", 95, "y" * 50 + "indeedlonge")]
+    clean = (lambda t: " ".join(t.lower().split())) if normalized else (lambda t: t)
+    want = {}
+    for g, i, t in probes:
+        s = clean(t or "")[50:150]
+        held = [k for h, k, x in texts if s and x is not None and h == g and s in clean(x)]
+        if held:
+            want[i] = min([*held, *([want[i]] if i in want else [])])
+    items = spark.createDataFrame(texts, "domain string, item_id long, text string").repartition(3)
+    got = pairs.link_by_excerpt(spark.createDataFrame(probes, "domain string, probe_id long, text string"), items, normalized=normalized)
+    assert {r.probe_id: r.item_id for r in got.collect()} == want and len(want) > 40
+
+
+def test_excerpts_of_common_words_stay_in_their_tasks(spark):
+    """A blank slice, a stop word and a rare phrase against 300,000 items: no shuffle carries a text, nor one row per item."""
+    from panelmark.operators import pairs
+
+    items = spark.range(300_000).select(F.lit("d").alias("domain"), F.col("id").alias("item_id"), F.concat(F.lit("xx the yy "), F.hex(F.xxhash64("id")), F.lit(" zz of ww")).alias("text"))
+    probes = spark.createDataFrame([("d", 1, "y" * 50 + " "), ("d", 2, "y" * 50 + "xx the yy"), ("d", 3, "y" * 50 + "y " + format(0, "x"))], "domain string, probe_id long, text string")
+    got = pairs.link_by_excerpt(probes, items, normalized=False)
+    assert {r.probe_id: r.item_id for r in got.collect()}.items() >= {1: 0, 2: 0}.items()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and ("body" in x or "anchor" in x)]
