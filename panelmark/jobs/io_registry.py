@@ -244,12 +244,22 @@ def _(get):  # noqa: ANN001, ANN202
     return get.spark.read.parquet(path).select("domain", "item_id")
 
 
+@query("x1_stream_latest", "SELECT domain, item_id, ingest_seq, label FROM (SELECT * FROM [calls] c QUALIFY row_number() OVER (PARTITION BY domain, item_id ORDER BY ts DESC, ingest_seq DESC) = 1) l WHERE ts < (SELECT max(ts) FROM [calls] c) - INTERVAL 3 DAY")
+def _(get):  # noqa: ANN001, ANN202
+    source, path = get.path("stream-calls"), get.path("stream-log")
+    calls = get("calls").withColumn("ts", F.col("ts").cast("timestamp"))
+    calls.write.parquet(source)
+    stream = get.spark.readStream.schema(calls.schema).parquet(source)
+    intake.stream_latest(stream, path, get.path("stream-checkpoint"), key=("domain", "item_id"), event_time="ts", delay="3 days", sequence="ingest_seq").awaitTermination()
+    return get.spark.read.schema(calls.schema).parquet(path).select("domain", "item_id", "ingest_seq", "label")
+
+
 @query("x2_stream_panel_metrics", f"SELECT domain, n, {panel_columns()} FROM {panel_sql('[ratings]')} p")
 def _(get):  # noqa: ANN001, ANN202
     source, checkpoint, ratings = get.path("stream-ratings"), get.path("stream-checkpoint"), get("ratings")
-    sink = intake.PanelMetricsTable(get.path("stream-votes"), compact_every=2)
+    sink = intake.PatternTable(get.path("stream-patterns"), compact_every=2)
     for rater in RATERS:  # three arrivals
         ratings.where(F.col("rater_id") == rater).write.mode("append").parquet(source)
         stream = get.spark.readStream.schema(ratings.schema).parquet(source)
-        intake.stream_panel_votes(stream, sink, checkpoint).awaitTermination()
+        intake.stream_panel_patterns(stream, sink, checkpoint).awaitTermination()
     return sink.metrics(get.spark)

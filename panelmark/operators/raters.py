@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelmark.operators.keys import joined
 from panelmark.operators.metrics import item_shapes, panel_metrics, ratio, two_rater_metrics
 from panelmark.operators.pairs import pair_labels, swap_rater
 from panelmark.operators.votes import ITEM, majority
+from panelmark.sources.shared import written
 
 
 def rater_prevalence(ratings: DataFrame, keys=("domain", "rater_id")) -> DataFrame:
@@ -41,28 +43,72 @@ def rater_pair_matrix(ratings: DataFrame, keys=("domain",), item=ITEM) -> DataFr
     return two_rater_values(sums, group)
 
 
+#: Raters of a sweep at most (2 ** MOST_RATERS subsets), and label patterns that one task holds.
+MOST_RATERS, PATTERN_BLOCK = 20, 4096
+
+
+def superset_sums(present: np.ndarray, high: np.ndarray, items: np.ndarray, raters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(subset, HIGH votes in it, items): over all patterns of who rated (``present``) and who said HIGH, as bit masks, the
+    items that all of a subset's raters have rated, by their HIGH votes within the subset.
+
+    One rater after the other is summed out: outside the subset whatever it said, inside it only if it rated.  Rows with
+    one mask of what is left are merged each time, so the work is raters x 2 ** raters at most, not patterns x subsets.
+    A rater's bit in the first mask says "rated" before its turn and "in the subset" after it."""
+    mask, own, votes, n = present.astype(np.int64), (high & present).astype(np.int64), np.zeros(len(items), np.int64), items.astype(np.int64)
+    for r in range(raters):
+        bit = 1 << r
+        rated = (mask & bit) > 0
+        key = np.concatenate([mask & ~bit, mask[rated]])
+        left = np.concatenate([own & ~bit, own[rated] & ~bit])
+        counted = np.concatenate([votes, votes[rated] + ((own[rated] & bit) > 0)])
+        weight = np.concatenate([n, n[rated]])
+        packed = ((key << raters | left) << 5) | counted
+        packed, at = np.unique(packed, return_inverse=True)
+        n = np.zeros(len(packed), np.int64)
+        np.add.at(n, at, weight)
+        votes, own, mask = packed & 31, (packed >> 5) & ((1 << raters) - 1), packed >> (5 + raters)
+    return mask, votes, n
+
+
 def panel_subset_sweep(ratings: DataFrame, raters: list[str], kmin: int = 2, keys=("domain",), item=ITEM) -> DataFrame:
     """For every subset of the named raters: n, A, floor, floor-normalised A*, and its rank by each in its group.
 
-    Distinct label patterns are counted first; subsets are tried on patterns, whose number doesn't grow with the items.
-    Items that lack a label of a subset's rater take no part in that subset."""
-    names = list(dict.fromkeys([*keys, *item]))
-    at = [F.max(F.when(F.col("rater_id") == r, F.col("label"))).alias(f"r{i}") for i, r in enumerate(raters)]
-    patterns = ratings.groupBy(*names).agg(*at).groupBy(*keys, *(f"r{i}" for i in range(len(raters)))).agg(F.count(F.lit(1)).alias("items"))
-    subsets = [s for k in range(kmin, len(raters) + 1) for s in combinations(range(len(raters)), k)]
-    cells = []
-    for s in subsets:
-        columns = [F.col(f"r{i}") for i in s]
-        high = sum((F.when(c == "HIGH", 1).otherwise(0) for c in columns[1:]), F.when(columns[0] == "HIGH", 1).otherwise(0))
-        complete = F.coalesce(*(F.when(c.isNull(), 1) for c in columns), F.lit(0)) == 0
-        cells.append(F.when(complete, F.struct(F.lit("+".join(raters[i] for i in s)).alias("subset"), F.lit(len(s)).alias("k"), high.alias("h"))))
-    long = patterns.select(*keys, "items", F.explode(F.array(*cells)).alias("c")).where("c is not null").select(*keys, "items", "c.*")
-    most = F.greatest(F.col("h"), F.col("k") - F.col("h"))
-    sums = long.groupBy(*keys, "subset", "k").agg(F.sum("items").alias("n"), F.sum(F.col("items") * most).alias("most"))
+    An item's labels are two bit masks, of the raters that gave one and of those that said HIGH.  Items are counted by
+    masks, masks are dealt to blocks of about ``PATTERN_BLOCK``, and each block is summed over all supersets at once.
+    Items that lack a label of a subset's rater take no part in that subset; subsets without items have no row.  Of
+    several ratings of one rater the greatest label counts.  Up to ``MOST_RATERS`` raters."""
+    if len(raters) > MOST_RATERS:
+        raise ValueError(f"{len(raters)} raters, {MOST_RATERS} at most")
+    if not keys:
+        raise ValueError("name at least one key")
+    keys, names, size = list(keys), list(dict.fromkeys([*keys, *item])), len(raters)
+    masks = F.create_map(*(F.lit(x) for i, r in enumerate(raters) for x in (r, 1 << i)))
+    mask = F.try_element_at(masks, F.col("rater_id"))
+    best = ratings.where(F.col("label").isNotNull() & mask.isNotNull()).groupBy(*names, mask.alias("mask")).agg(F.max("label").alias("label"))
+    folded = best.groupBy(*names).agg(F.sum("mask").cast("long").alias("present"), F.sum(F.when(F.col("label") == "HIGH", F.col("mask")).otherwise(0)).cast("long").alias("high"))
+    patterns = folded.groupBy(*keys, "present", "high").agg(F.count(F.lit(1)).alias("items"))
+    patterns = written(patterns, "rater-masks")
+    blocks = patterns.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PATTERN_BLOCK).cast("int").alias("blocks"))
+    dealt = joined(patterns, blocks, keys).withColumn("block", F.pmod(F.xxhash64("present", "high"), F.col("blocks")).cast("int"))
+
+    def swept(key, frame: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
+        subset, votes, n = superset_sums(*(frame[c].to_numpy() for c in ("present", "high", "items")), size)
+        enough = np.bitwise_count(subset) >= kmin
+        out = pd.DataFrame({"subset_mask": subset[enough], "h": votes[enough], "n": n[enough]})
+        for k, value in zip(reversed(keys), reversed(key[:-1]), strict=True):
+            out.insert(0, k, [value] * len(out))
+        return out
+
+    kinds = dict(patterns.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "subset_mask long, h long, n long"])
+    k = F.bit_count("subset_mask")
+    sums = dealt.groupBy(*keys, "block").applyInPandas(swept, schema).groupBy(*keys, "subset_mask").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.greatest(F.col("h"), k - F.col("h"))).alias("most"))
+    named = F.array_join(F.array_compact(F.array(*(F.when(F.col("subset_mask").bitwiseAND(1 << i) > 0, F.lit(r)) for i, r in enumerate(raters)))), "+")
+    sums = sums.select(*keys, named.alias("subset"), k.cast("int").alias("k"), "n", "most")
     floor = F.ceil(F.col("k").cast("double") / 2.0).cast("double") / F.col("k").cast("double")
     out = sums.select(*keys, "subset", "k", "n", ratio(F.col("most"), F.col("n") * F.col("k")).alias("a"), floor.alias("floor"))
     out = out.withColumn("a_star", (F.col("a") - F.col("floor")) / (1 - F.col("floor")))
-    by = lambda c: F.rank().over(W.partitionBy(*keys).orderBy(F.desc(F.round(c, 9))))
+    by = lambda c: F.rank().over(W.partitionBy(*keys).orderBy(F.desc(F.round(c, 9))))  # noqa: E731  one row per subset
     return out.withColumns({"rank_a": by("a"), "rank_a_star": by("a_star")})
 
 
