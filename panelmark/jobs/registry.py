@@ -475,6 +475,16 @@ def _(get):  # noqa: ANN001, ANN202
     return rt.cluster_coverage(get("corpus"))
 
 
+@query("a30_merged_coverage", "SELECT corpus, count(*) AS items, count(DISTINCT concat(cluster_id, '|', item_id % 997)) AS clusters, true AS within FROM [corpus] c GROUP BY corpus")
+def _(get):  # noqa: ANN001, ANN202
+    """Sketches of seven batches, merged, beside the exact number of clusters: within four standard errors of it."""
+    named = get("corpus").select("corpus", "item_id", F.concat("cluster_id", F.lit("|"), (F.col("item_id") % 997).cast("string")).alias("cluster_id"))
+    batches = rt.cluster_sketches(named.withColumn("batch", F.col("item_id") % 7), ("corpus", "batch"))
+    merged = rt.merged_coverage(batches).withColumnRenamed("clusters", "estimate")
+    exact = rt.cluster_coverage(named.where("cluster_id is not null"), ("corpus",)).select("corpus", "clusters")
+    return merged.join(exact, "corpus").select("corpus", "items", "clusters", (F.abs(F.col("estimate") - F.col("clusters")) <= 0.026 * F.col("clusters") + 1).alias("within"))
+
+
 @query("a31_label_distribution", f"WITH x AS (SELECT domain, rater_id, label FROM [ratings] r UNION ALL SELECT domain, 'majority', label FROM [system] s) SELECT domain, rater_id, count(*) AS n, {r6('avg((label = ' + chr(39) + 'HIGH' + chr(39) + ')::INT)')} AS high_rate FROM x GROUP BY domain, rater_id UNION ALL SELECT NULL, rater_id, count(*), {r6('avg((label = ' + chr(39) + 'HIGH' + chr(39) + ')::INT)')} FROM x GROUP BY rater_id")
 def _(get):  # noqa: ANN001, ANN202
     return rt.label_distribution(get("ratings"))

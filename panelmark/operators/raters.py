@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelmark.operators.keys import joined
-from panelmark.operators.metrics import item_shapes, panel_metrics, ratio, two_rater_metrics
+from panelmark.operators.metrics import item_shapes, panel_metrics, ratio, two_rater_metrics, two_rater_values
 from panelmark.operators.pairs import pair_labels, swap_rater
 from panelmark.operators.votes import ITEM, majority
 from panelmark.sources.shared import written
@@ -28,18 +28,28 @@ def degenerate_raters(ratings: DataFrame, min_minor_share: float = 0.0, keys=("d
     return out.select(*keys, "n", ratio(F.col("n") - F.col("most"), F.col("n")).alias("minor_share")).where(F.col("minor_share") <= min_minor_share)
 
 
+#: Raters of an item whose labels meet in one row.
+PAIR_BLOCK = 64
+
+
 def rater_pair_matrix(ratings: DataFrame, keys=("domain",), item=ITEM) -> DataFrame:
-    """Agreement, kappa and AC1 of each pair of raters: pairs come from one sorted array per item, not a self-join."""
+    """Agreement, kappa and AC1 of each pair of raters: pairs come from one sorted array per item, not a self-join.
+
+    Items with equal arrays are counted first.  An array is cut into blocks of ``PAIR_BLOCK``, and each two blocks are a
+    row of their own, so no row holds more than the square of a block, however many raters an item has."""
     names = list(dict.fromkeys([*keys, *item]))
     arrays = ratings.where(F.col("label").isNotNull()).groupBy(*names).agg(F.array_sort(F.collect_set(F.struct("rater_id", "label"))).alias("r"))
     patterns = arrays.groupBy(*keys, "r").agg(F.count(F.lit(1)).alias("items"))
-    pairs = F.flatten(F.transform("r", lambda x, i: F.transform(F.slice("r", i + 2, F.size("r")), lambda y: F.struct(x.rater_id.alias("rater_a"), y.rater_id.alias("rater_b"), x.label.alias("a"), y.label.alias("b")))))
-    p = patterns.select(*keys, "items", F.explode(pairs).alias("p")).select(*keys, "items", "p.*").where("rater_a <> rater_b")
+    last = F.floor((F.size("r") - 1) / PAIR_BLOCK).cast("int")
+    first = patterns.select(*keys, "items", "r", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    both = first.select(*keys, "items", "r", "i", F.explode(F.sequence("i", "last")).alias("j"))
+    block = lambda c: F.slice("r", F.col(c) * PAIR_BLOCK + 1, F.lit(PAIR_BLOCK))
+    both = both.select(*keys, "items", block("i").alias("own"), block("j").alias("other"), (F.col("i") == F.col("j")).alias("same_block"))
+    with_ = lambda x, k: F.transform(F.when(F.col("same_block"), F.slice("other", k + 2, F.lit(PAIR_BLOCK))).otherwise(F.col("other")), lambda y: F.struct(x.rater_id.alias("rater_a"), y.rater_id.alias("rater_b"), x.label.alias("a"), y.label.alias("b")))
+    p = both.select(*keys, "items", F.explode(F.flatten(F.transform("own", with_))).alias("p")).select(*keys, "items", "p.*").where("rater_a <> rater_b")
     one = lambda c: F.sum(F.when(c, F.col("items")).otherwise(0))
     group = [*keys, "rater_a", "rater_b"]
     sums = p.groupBy(*group).agg(F.sum("items").alias("n"), one(F.col("a") == F.col("b")).alias("same"), one(F.col("a") == "HIGH").alias("ha"), one(F.col("b") == "HIGH").alias("hb"))
-    from panelmark.operators.metrics import two_rater_values
-
     return two_rater_values(sums, group)
 
 
@@ -190,6 +200,18 @@ def cluster_coverage(clusters: DataFrame, keys=("corpus",)) -> DataFrame:
     return sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("clusters"), F.max("n").alias("most_items"), F.sum("n").alias("items"))
 
 
+def cluster_sketches(clusters: DataFrame, keys=("corpus",), precision: int = 14) -> DataFrame:
+    """(keys, items, sketch): a HyperLogLog sketch of each group's clusters, to be kept per file or batch.  Sketches of
+    one precision merge without the rows; a null cluster is none."""
+    return clusters.groupBy(*keys).agg(F.count(F.lit(1)).alias("items"), F.hll_sketch_agg("cluster_id", F.lit(precision)).alias("sketch"))
+
+
+def merged_coverage(sketches: DataFrame, keys=("corpus",)) -> DataFrame:
+    """(keys, items, clusters) of sketches from any number of batches.  ``clusters`` is an estimate: its relative standard
+    error is about 0.8 / 2 ** (precision / 2), 0.65 % at 14; ``cluster_coverage`` has the exact number."""
+    return sketches.groupBy(*keys).agg(F.sum("items").alias("items"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("clusters"))
+
+
 def label_distribution(ratings: DataFrame, rule: str = "abs2") -> DataFrame:
     """Share of HIGH of each rater and of the majority, per domain and over all (domain null)."""
     major = majority(ratings, rule).select("domain", F.lit("majority").alias("rater_id"), "label")

@@ -30,6 +30,8 @@ from panelmark.sources.shared import written
 
 #: Draws that one task holds at once; patterns of a block; labels that are summed at once.
 CHUNK, BLOCK, LABELS = 500, 4096, 256
+#: Values of a group that are sorted in one task.
+SORTED_ROWS = 1_000_000
 
 
 def percentile_places(n: int, convention: str, low: float = 0.025, high: float = 0.975) -> tuple[int, int]:
@@ -42,18 +44,53 @@ def percentile_places(n: int, convention: str, low: float = 0.025, high: float =
     raise ValueError(f"unknown convention {convention!r}")
 
 
-def percentile_at(draws: DataFrame, keys, convention: str, value: str = "value") -> DataFrame:
-    """Bounds per group of a table of draws, by position, as the conventions say."""
-    ranked = draws.where(F.col(value).isNotNull())
-    ranked = ranked.withColumns({"_n": F.count(F.lit(1)).over(W.partitionBy(*keys)), "_i": F.row_number().over(W.partitionBy(*keys).orderBy(value)) - 1})
-    n = F.col("_n")
+def _bounds(n: Column, convention: str) -> tuple[Column, Column]:
+    """Zero-based places of both bounds among n sorted values."""
     if convention == "count":
-        low, high = F.floor(n * F.lit(0.025)), F.greatest(F.lit(0), F.floor(n * F.lit(0.975)) - 1)
-    elif convention == "span":
-        low, high = F.floor((n - 1) * F.lit(0.025)), F.floor((n - 1) * F.lit(0.975))
-    else:
-        raise ValueError(f"unknown convention {convention!r}")
-    return ranked.groupBy(*keys).agg(F.max(F.when(F.col("_i") == low, F.col(value))).alias("low"), F.max(F.when(F.col("_i") == high, F.col(value))).alias("high"), F.max("_n").alias("kept"))
+        return F.floor(n * F.lit(0.025)), F.greatest(F.lit(0), F.floor(n * F.lit(0.975)) - 1)
+    if convention == "span":
+        return F.floor((n - 1) * F.lit(0.025)), F.floor((n - 1) * F.lit(0.975))
+    raise ValueError(f"unknown convention {convention!r}")
+
+
+def percentile_at(draws: DataFrame, keys, convention: str, value: str = "value", group_rows: int | None = None) -> DataFrame:
+    """(keys, low, high, kept): bounds per group of a table of values, by position, as the conventions say.
+
+    Equal values of a group are counted first.  Groups of known size (``group_rows``, the draws of a bootstrap) up to
+    ``SORTED_ROWS`` are sorted one by one.  Groups of any size are dealt by ranges of (group, value) and written with their
+    task's number; counts per task and group then tell in which task a bound lies, and only there values are put in
+    order, so no task holds more than its range."""
+    keys = list(keys)
+    counted = draws.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    if group_rows is not None and group_rows <= SORTED_ROWS:
+        return _sorted_groups(counted, keys, convention)
+    dealt = counted.repartitionByRange(*keys, "value")
+    return _range_bounds(written(dealt.withColumn("part", F.spark_partition_id()), "value-ranges"), keys, convention)
+
+
+def _sorted_groups(counted: DataFrame, keys: list[str], convention: str) -> DataFrame:
+    group = W.partitionBy(*keys)
+    ranked = counted.withColumns({"upto": F.sum("c").over(group.orderBy("value")), "n": F.sum("c").over(group)})
+    low, high = _bounds(F.col("n"), convention)
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("value")))
+    return ranked.groupBy(*keys).agg(at(low).alias("low"), at(high).alias("high"), F.max("n").alias("kept"))
+
+
+def _range_bounds(placed: DataFrame, keys: list[str], convention: str) -> DataFrame:
+    """Bounds of (keys, value, c, part), where parts are ranges of (keys, value) in order."""
+    counts = placed.groupBy(*keys, "part").agg(F.sum("c").alias("c"))
+    group = W.partitionBy(*keys)  # a row per task that holds values of the group
+    before = F.coalesce(F.sum("c").over(group.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    known = counts.withColumns({"before": before, "n": F.sum("c").over(group)})
+    low, high = _bounds(F.col("n"), convention)
+    holds = lambda place: (place >= F.col("before")) & (place < F.col("before") + F.col("c"))
+    asked = known.withColumns({"low_at": F.when(holds(low), low - F.col("before")), "high_at": F.when(holds(high), high - F.col("before"))})
+    asked = asked.where("low_at is not null or high_at is not null").select(*keys, "part", "low_at", "high_at", "n")
+    there = joined(placed, asked, [*keys, "part"])
+    upto = F.sum("c").over(W.partitionBy(*keys, "part").orderBy("value"))
+    ranked = there.withColumn("upto", upto)
+    at = lambda place: F.min(F.when(F.col("upto") > F.col(place), F.col("value")))
+    return ranked.groupBy(*keys).agg(at("low_at").alias("low"), at("high_at").alias("high"), F.max("n").alias("kept"))
 
 
 def _stream(seed: int, *names) -> np.random.Generator:
@@ -172,7 +209,7 @@ def _ratio_ci(histogram: DataFrame, keys, draws: int, seed: int, convention: str
     point = histogram.groupBy(*keys).agg(F.sum(F.col("size") * i).cast("long").alias("n"), F.sum(i).alias("units"))
     sums = drawn_sums(ratio_patterns(histogram, keys), keys, draws, 2, seed, drawn).select(*keys, "draw", ratio(F.col("v0"), F.col("v1")).alias("value"))
     mean = sums.where("draw < 0").select(*keys, F.col("value").alias("mean"))
-    return joined(joined(point, mean, keys), percentile_at(sums.where("draw >= 0"), list(keys), convention), keys)
+    return joined(joined(point, mean, keys), percentile_at(sums.where("draw >= 0"), list(keys), convention, group_rows=draws), keys)
 
 
 def bootstrap_mean_ci(df: DataFrame, value: str, keys=("domain",), draws: int = 10_000, seed: int = 0, convention: str = "count") -> DataFrame:
@@ -266,7 +303,7 @@ def bootstrap_panel_ci(ratings: DataFrame, statistic: str, keys=("domain",), dra
     how many were not; a group without any has null bounds."""
     values = panel_draws(ratings, statistic, keys, draws, seed, item, md5_seed)
     point = values.where("draw < 0").drop("draw")
-    bounds = percentile_at(values.where("draw >= 0"), list(keys), convention)
+    bounds = percentile_at(values.where("draw >= 0"), list(keys), convention, group_rows=draws)
     return joined(point, bounds, keys, "left").fillna(0, ["kept"])
 
 
@@ -283,7 +320,7 @@ def difference_ci(ratings: DataFrame, pairs: list[tuple], group: str = "domain",
     d = written(panel_draws(ratings, "gwet_ac1_nominal", (group,), draws, seed, item, md5_seed), "draw-values")
     first, second = (d.select(F.col(group).alias(x), "draw", F.col("value").alias(f"v{x}")) for x in "ab")
     both = first.join(wanted, "a").join(second, ["b", "draw"]).withColumn("value", F.col("va") - F.col("vb"))
-    bounds = percentile_at(both.where("draw >= 0"), ["a", "b"], "span")
+    bounds = percentile_at(both.where("draw >= 0"), ["a", "b"], "span", group_rows=draws)
     out = bounds.join(both.where("draw < 0").select("a", "b", F.col("value").alias("difference")), ["a", "b"])
     return out.select("a", "b", "difference", "low", "high", "kept", ((F.col("low") > 0) | (F.col("high") < 0)).alias("excludes_zero"))
 

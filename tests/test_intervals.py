@@ -190,3 +190,36 @@ def test_point_values_are_those_of_the_metrics(spark):
     df = nominal(spark, ("x", "y"), 50, 5)
     ac1 = {r.domain: r.ac1 for r in metrics.gwet_ac1_nominal(df).collect()}
     assert {r.domain: pytest.approx(r.value) for r in resample.bootstrap_ac1_ci(df, draws=20).collect()} == ac1
+
+
+@pytest.mark.parametrize("convention", ["count", "span"])
+@pytest.mark.parametrize("group_rows", [None, 10])
+def test_bounds_of_groups_of_any_size(spark, convention, group_rows):
+    """Ties, null groups, null values and single values, by ranges and one by one."""
+    rng = random.Random(1)
+    rows = [(g, rng.choice([None, rng.random(), float(rng.randrange(5))])) for g in ["a"] * 500 + ["b"] * 7 + [None] * 90 + ["one"]] + [("one", 2.0), ("ties", 1.0), ("none", None)] + [("ties", 1.0)] * 300
+    df = spark.createDataFrame(rows, "g string, value double").repartition(7)
+    want = {}
+    for g in {g for g, _ in rows}:
+        own = sorted(v for h, v in rows if h == g and v is not None)
+        if own:
+            low, high = resample.percentile_places(len(own), convention)
+            want[g] = own[low], own[high], len(own)
+    got = resample.percentile_at(df, ["g"], convention, group_rows=group_rows)
+    assert {r.g: (r.low, r.high, r.kept) for r in got.collect()} == want
+
+
+def test_bounds_of_ten_million_rows_in_bounded_tasks(spark):
+    """One group, all values different: no task of the range table holds more than a few parts' worth."""
+    s = spark.newSession()
+    s.conf.set("spark.sql.shuffle.partitions", "64")
+    s.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = s.range(10_000_000).select(F.lit("g").alias("g"), ((F.col("id") * 7_919) % 10_000_000).cast("double").alias("value"))
+    kept, written = [], resample.written
+    resample.written = lambda d, name: kept.append(written(d, name)) or kept[-1]
+    try:
+        r = resample.percentile_at(df, ["g"], "count").first()
+    finally:
+        resample.written = written
+    assert (r.low, r.high, r.kept) == (250_000.0, 9_749_999.0, 10_000_000)
+    assert kept[0].groupBy("part").count().agg(F.max("count")).first()[0] < 3 * 10_000_000 / 64

@@ -105,3 +105,32 @@ def test_sweep_of_sixteen_raters(spark, monkeypatch, block):
     assert best.rank_a == 1 and best.a == got.where("domain = 'd'").agg(F.max("a")).first()[0]
     with pytest.raises(ValueError, match="at most"):
         raters.panel_subset_sweep(df, [str(i) for i in range(21)])
+
+
+def test_pairs_of_an_item_with_many_raters(spark, monkeypatch):
+    """Blocks of three against all pairs counted directly; then one item of 5000 raters."""
+    monkeypatch.setattr(raters, "PAIR_BLOCK", 3)
+    rng = random.Random(9)
+    rows = [(d, i, f"r{k:02d}", rng.choice(["HIGH", "LOW", None])) for d in ("d", None) for i in range(12) for k in range(rng.randint(0, 14))]
+    got = raters.rater_pair_matrix(spark.createDataFrame(rows, "domain string, item_id long, rater_id string, label string"))
+    want = {}
+    items = {}
+    for d, i, r, label in rows:
+        if label:
+            items.setdefault((d, i), {})[r] = label
+    for (d, _), own in items.items():
+        for a, b in itertools.combinations(sorted(own), 2):
+            n, same = want.get((d, a, b), (0, 0))
+            want[d, a, b] = n + 1, same + (own[a] == own[b])
+    assert {(r.domain, r.rater_a, r.rater_b): (r.n, round(r.agreement * r.n)) for r in got.collect()} == want
+    monkeypatch.setattr(raters, "PAIR_BLOCK", 64)
+    many = spark.range(5000).select(F.lit("d").alias("domain"), F.lit(1).alias("item_id"), F.format_string("r%04d", "id").alias("rater_id"), F.when(F.col("id") % 3 == 0, "HIGH").otherwise("LOW").alias("label"))
+    r = raters.rater_pair_matrix(many).agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("n") * F.col("agreement")).alias("same")).first()
+    assert r.pairs == 5000 * 4999 // 2 and round(r.same) == 1667 * 1666 // 2 + 3333 * 3332 // 2
+
+
+def test_merged_sketches_keep_their_error(spark):
+    rows = spark.range(200_000).select((F.col("id") % 2).cast("string").alias("corpus"), (F.col("id") % 9).alias("batch"), (F.col("id") % 60_000).cast("string").alias("cluster_id"))
+    for r in raters.merged_coverage(raters.cluster_sketches(rows, ("corpus", "batch"))).collect():
+        assert r["items"] == 100_000 and abs(r.clusters - 30_000) < 4 * 0.0065 * 30_000
+    assert raters.merged_coverage(raters.cluster_sketches(rows.limit(0), ("corpus",))).count() == 0
