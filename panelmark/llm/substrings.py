@@ -39,6 +39,8 @@ from panelmark.llm.common import gram_hashes, mixed, release, stored, table, unu
 from panelmark.llm.tokens import in_steps
 
 SEED = 5
+#: Starts that leave a task as one batch of rows.
+AT_ONCE = 100_000
 LAST = (1 << 63) - 1
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -208,13 +210,16 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(owner, first, start) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(owner), pa.array(first), pa.array(start)], ["text_hash", "first", "start"])
 
-    def unrolled(found: pa.RecordBatch) -> pa.RecordBatch:
+    def unrolled(found: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Packed starts, about ``AT_ONCE`` at a time, however many a batch holds."""
         packs = [np.frombuffer(x.as_buffer(), np.int32) for x in found.column("more")]
-        times = [len(x) for x in packs]
-        return rows(*(np.repeat(found.column(c).to_numpy(), times) for c in ("text_hash", "first")), np.concatenate([*packs, np.zeros(0, np.int32)]))
+        owner, first = (found.column(c).to_numpy() for c in ("text_hash", "first"))
+        for part in in_steps(packs, len, AT_ONCE):
+            times = [len(x) for x in packs[part]]
+            yield rows(np.repeat(owner[part], times), np.repeat(first[part], times), np.concatenate(packs[part]))
 
     for batch in batches:
-        yield unrolled(batch.filter(batch.column("place").is_null()))
+        yield from unrolled(batch.filter(batch.column("place").is_null()))
         batch = batch.filter(batch.column("place").is_valid())
         w, c, f = (batch.column(x).to_numpy() for x in ("key", "place", "first"))
         c = c >> 32
@@ -228,7 +233,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window, head = (w[-1], c[-1]), heads[-1]
         batch = batch.filter(pa.array(f > heads))
         yield rows(batch.column("text_hash").to_numpy(), batch.column("first").to_numpy(), (batch.column("place").to_numpy() & 0xFFFFFFFF).astype(np.int32))
-        yield unrolled(batch.filter(batch.column("more").is_valid()))
+        yield from unrolled(batch.filter(batch.column("more").is_valid()))
 
 
 def spans(starts, length: int) -> list[tuple[int, int]]:
