@@ -13,7 +13,8 @@ Pivots and cuts come from at most ``SAMPLE`` rows (they change the work, never t
 Their counts are fixed, so the table of annuli that workers get is bounded.  Annuli are cut into blocks of about
 ``BLOCK`` vectors and ``QUERIES`` queries, the unit of a task's memory.
 
-Defined results: vectors that are null or hold a null, NaN or infinite component take no part; shorter vectors count as
+Defined results: vectors that are null or hold a null, NaN or infinite component (also one that 256 makes infinite) take
+no part; a score beyond a long is the nearest long, and so a tie; shorter vectors count as
 followed by zeros; rows that repeat a vec_id are candidates of their own (also for each other), a query per row; ties
 go to the smaller vec_id; a null vec_id is no query and, as candidate, the last of its ties; fewer candidates than k
 give fewer rows; an empty table gives an empty result.
@@ -21,7 +22,9 @@ give fewer rows; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,19 +38,53 @@ SAMPLE, PIVOTS, RINGS, BLOCK, QUERIES = 2048, 32, 8, 8192, 8192
 #: Annuli that a query expands in each round; the last round takes the rest.
 WIDTHS = (2, 14, 48)
 LAST = (1 << 63) - 1
-ROW = "row long, vec_id long, ring int, near double, norm long, packed binary"
+ROW = "row long, vec_id long, ring int, near double, norm double, packed binary"
+#: Squared lengths below this have exact scores in doubles.
+EXACT = float(1 << 53)
 
 
 def quantised(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """(row, vec_id, v, norm): integer vectors of the rows that take part."""
     e = F.col(embedding)
     odd = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    v = F.transform(e, lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("long"))
+    times = lambda x: F.lit(256.0) * x.cast("double")
+    v = F.transform(e, lambda x: F.when(F.abs(times(x)) < float(1 << 52), F.floor(times(x)).cast("double")).otherwise(times(x)))
     part = vectors.where(e.isNotNull()).where(~odd).select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
-    norm = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    part = part.where(~F.exists("v", lambda x: F.abs(x) == float("inf")))
     return part.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", norm.alias("norm"))
 
 
+@dataclass(frozen=True)
+class Shape:
+    """Width of the vectors, bytes of a packed component, factor that keeps squares of components small, longest squared
+    length (with the factor), and whether scores are exact in doubles."""
+
+    width: int
+    dtype: str
+    scale: float
+    most: float
+    exact: bool
+
+    @classmethod
+    def of(cls, width: int, largest: float, norm: float) -> Shape:
+        if norm < EXACT:
+            return cls(width, "f4" if largest < 1 << 24 else "f8", 1.0, norm, True)
+        scale = 2.0 ** -math.frexp(largest)[1]
+        return cls(width, "f8", scale, float(width), False)
+
+    def packed(self, v) -> bytes:  # noqa: ANN001
+        return np.asarray(v, self.dtype).tobytes()
+
+    def matrix(self, packed) -> np.ndarray:  # noqa: ANN001
+        """Rows of packed vectors, of one width or shorter, times the factor."""
+        out = np.zeros((len(packed), self.width))
+        for i, x in enumerate(packed):
+            v = np.frombuffer(x, self.dtype)
+            out[i, : len(v)] = v
+        return out * self.scale if self.scale != 1.0 else out
+
+
 def lifted(m: np.ndarray, most: int) -> np.ndarray:
     """With the component that makes all lengths equal."""
     return np.c_[m, np.sqrt(np.maximum(most - (m * m).sum(axis=1), 0))]
@@ -57,15 +94,6 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T, 0))
 
 
-def matrix(packed, width: int) -> np.ndarray:
-    """Rows of int64 bytes, of one width or shorter."""
-    out = np.zeros((len(packed), width))
-    for i, x in enumerate(packed):
-        v = np.frombuffer(x, np.int64)
-        out[i, : len(v)] = v
-    return out
-
-
 def pivots_of(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pivots far from each other, moved once to the mean of their own; quantiles of each pivot's distances."""
     chosen, least = [0], None
@@ -81,11 +109,11 @@ def pivots_of(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pivots, np.array(cuts)
 
 
-def _keyed(pivots: np.ndarray, cuts: np.ndarray, width: int, most: int):
+def _keyed(pivots: np.ndarray, cuts: np.ndarray, shape: Shape):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [np.asarray(x.values.to_numpy(), np.int64).tobytes() for x in batch.column("v")]
-            d = distances(lifted(matrix(packed, width), most), pivots)
+            packed = [shape.packed(x.values.to_numpy()) for x in batch.column("v")]
+            d = distances(lifted(shape.matrix(packed), shape.most), pivots)
             own = d.argmin(axis=1)
             near = d.min(axis=1)
             ring = own * RINGS + (near[:, None] > cuts[own]).sum(axis=1)
@@ -94,20 +122,20 @@ def _keyed(pivots: np.ndarray, cuts: np.ndarray, width: int, most: int):
     return run
 
 
-def _spread(pivots: np.ndarray, width: int, most: int):
+def _spread(pivots: np.ndarray, shape: Shape):
     """Least and largest distance to every pivot and largest norm, per ring of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ring, norm = batch.column("ring").to_numpy(), batch.column("norm").to_numpy()
-            d = distances(lifted(matrix(batch.column("packed").to_pylist(), width), most), pivots)
+            d = distances(lifted(shape.matrix(batch.column("packed").to_pylist()), shape.most), pivots)
             order = np.argsort(ring, kind="stable")
             at = np.flatnonzero(np.r_[np.ones(min(len(ring), 1), bool), np.diff(ring[order]) != 0])
             if not len(at):
                 continue
             low, high, norms = np.minimum.reduceat(d[order], at), np.maximum.reduceat(d[order], at), np.maximum.reduceat(norm[order], at)
             n, p = low.shape
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ring[order][at], p), pa.int32()), pa.array(np.tile(np.arange(p), n), pa.int32()), pa.array(low.ravel()), pa.array(high.ravel()), pa.array(np.repeat(norms, p), pa.int64())], ["ring", "pivot", "low", "high", "norm"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ring[order][at], p), pa.int32()), pa.array(np.tile(np.arange(p), n), pa.int32()), pa.array(low.ravel()), pa.array(high.ravel()), pa.array(np.repeat(norms, p), pa.float64())], ["ring", "pivot", "low", "high", "norm"])
 
     return run
 
@@ -115,8 +143,8 @@ def _spread(pivots: np.ndarray, width: int, most: int):
 class Annuli:
     """Bounds on the scores of the annuli for any queries."""
 
-    def __init__(self, pivots: np.ndarray, rows: list, most: int) -> None:  # noqa: ANN001
-        self.pivots, self.most = pivots, most
+    def __init__(self, pivots: np.ndarray, rows: list, shape: Shape) -> None:  # noqa: ANN001
+        self.pivots, self.most, self.exact = pivots, shape.most, shape.exact
         self.rings = np.array(sorted({r.ring for r in rows}), int)
         at = {r: i for i, r in enumerate(self.rings.tolist())}
         self.low, self.high = np.zeros((len(self.rings), len(pivots))), np.zeros((len(self.rings), len(pivots)))
@@ -126,6 +154,8 @@ class Annuli:
 
     def best(self, queries: np.ndarray, norm: np.ndarray) -> np.ndarray:
         """No score of the ring (column) exceeds this for the query (row)."""
+        if not self.exact:
+            return np.full((len(queries), len(self.rings)), np.inf)
         d = distances(lifted(queries, 0), self.pivots)
         gap = np.zeros((len(d), len(self.rings)))
         for p in range(d.shape[1]):
@@ -135,12 +165,12 @@ class Annuli:
         return score + 1 + 1e-9 * (self.most + np.abs(score))
 
 
-def _expanded(annuli: Annuli, width: int, start: int, count: int):
+def _expanded(annuli: Annuli, shape: Shape, start: int, count: int):
     """(ring, query) of the annuli at places [start, start + count) of a query's order, as far as the floor allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best = annuli.best(matrix(batch.column("packed").to_pylist(), width), batch.column("norm").to_numpy())
+            best = annuli.best(shape.matrix(batch.column("packed").to_pylist()), batch.column("norm").to_numpy())
             order = np.argsort(-best, axis=1, kind="stable")[:, start : start + count]
             rows, at = np.nonzero(np.take_along_axis(best, order, axis=1) >= batch.column("floor").to_numpy()[:, None])
             take = pa.array(rows)
@@ -149,23 +179,45 @@ def _expanded(annuli: Annuli, width: int, start: int, count: int):
     return run
 
 
-def _scores(width: int, k: int):
+def whole_score(a: list[float], b: list[float]) -> int:
+    """Inner product of whole numbers, or the nearest long."""
+    return max(-LAST - 1, min(LAST, sum(int(x) * int(y) for x, y in zip(a, b, strict=False))))
+
+
+def _scores(shape: Shape, k: int):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:  # noqa: ANN001
         names = ["query", "row", "vec_id", "score"]
         out = {c: [] for c in names}
         if left.num_rows and right.num_rows:
-            v, rows, ids = matrix(left.column("packed").to_pylist(), width), left.column("row").to_numpy(), left.column("vec_id").to_pylist()
+            packed = left.column("packed").to_pylist()
+            v, rows, ids = shape.matrix(packed), left.column("row").to_numpy(), left.column("vec_id").to_pylist()
             order_ids = np.array([LAST if x is None else x for x in ids])
+            lengths = np.sqrt((v * v).sum(axis=1))
             for at in range(0, right.num_rows, 256):
                 part = right.slice(at, 256)
-                scores = np.rint(matrix(part.column("packed").to_pylist(), width) @ v.T).astype(np.int64)
-                for q, floor, s in zip(part.column("query").to_pylist(), part.column("floor").to_pylist(), scores, strict=True):
-                    good = np.flatnonzero((rows != q) & (s >= floor))
+                asked = part.column("packed").to_pylist()
+                m = shape.matrix(asked)
+                near = m @ v.T
+                for i, (q, floor) in enumerate(zip(part.column("query").to_pylist(), part.column("floor").to_pylist(), strict=True)):
+                    good = np.flatnonzero(rows != q)
+                    if shape.exact:
+                        s = np.rint(near[i]).astype(np.int64)
+                    else:
+                        error = 1e-12 * np.sqrt((m[i] * m[i]).sum()) * lengths
+                        if len(good) > k:  # what may be among the best, ties of saturated scores included
+                            low = np.sort((near[i] - error)[good])[-k]
+                            last = LAST * shape.scale * shape.scale
+                            if low >= -last:  # else all below a long are ties
+                                good = good[(near[i] + error)[good] >= min(low, last)]
+                        s = np.zeros(len(rows), np.int64)
+                        own = np.frombuffer(asked[i], shape.dtype).tolist()
+                        s[good] = [whole_score(own, np.frombuffer(packed[j], shape.dtype).tolist()) for j in good.tolist()]
+                    good = good[s[good] >= floor]
                     if len(good) > k:
-                        good = good[np.lexsort((rows[good], order_ids[good], -s[good]))[:k]]
+                        good = good[np.lexsort((rows[good], order_ids[good], ~s[good]))[:k]]
                     out["query"] += [q] * len(good)
                     out["row"] += rows[good].tolist()
-                    out["vec_id"] += [ids[i] for i in good]
+                    out["vec_id"] += [ids[j] for j in good]
                     out["score"] += s[good].tolist()
         return pa.table({c: pa.array(out[c], pa.int64()) for c in names})
 
@@ -179,27 +231,27 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     base = stored(quantised(vectors, vec_id, embedding), "search-vectors")
-    sizes = base.agg(F.max(F.size("v")), F.max("norm")).first()
+    sizes = base.agg(F.max(F.size("v")), F.max(F.coalesce(F.array_max(F.transform("v", lambda x: F.abs(x))), F.lit(0.0))), F.max("norm")).first()
     if sizes[0] is None:
         return empty
-    width, most = max(sizes[0], 1), sizes[1]
+    shape = Shape.of(max(sizes[0], 1), sizes[1], sizes[2])
     sample = base.orderBy(F.xxhash64("vec_id", "row"), "row").limit(SAMPLE).select("v").collect()
-    pivots, cuts = pivots_of(lifted(matrix([np.array(r.v, np.int64).tobytes() for r in sample], width), most))
-    index = stored(base.mapInArrow(_keyed(pivots, cuts, width, most), ROW), "search-index")
+    pivots, cuts = pivots_of(lifted(shape.matrix([shape.packed(r.v) for r in sample]), shape.most))
+    index = stored(base.mapInArrow(_keyed(pivots, cuts, shape), ROW), "search-index")
     sizes = {r[0]: (r[1], r[2]) for r in index.groupBy("ring").agg(F.count(F.lit(1)), F.sum(F.when(F.col("vec_id") % every == 0, 1).otherwise(0))).collect()}  # PIVOTS x RINGS rows at most
-    spread = index.select("ring", "norm", "packed").mapInArrow(_spread(pivots, width, most), "ring int, pivot int, low double, high double, norm long")
-    annuli = Annuli(pivots, spread.groupBy("ring", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("norm").alias("norm")).collect(), most)  # PIVOTS times as many
+    spread = index.select("ring", "norm", "packed").mapInArrow(_spread(pivots, shape), "ring int, pivot int, low double, high double, norm double")
+    annuli = Annuli(pivots, spread.groupBy("ring", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("norm").alias("norm")).collect(), shape)  # PIVOTS times as many
     blocks = F.create_map(*(F.lit(int(x)) for ring, (n, _) in sizes.items() for x in (ring, -(-n // BLOCK))))
     turns = max(1, -(-sum(q for _, q in sizes.values()) // QUERIES))
     queries = index.where(F.col("vec_id") % every == 0)
     best = W.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
     found, start = None, 0
     for count in (*WIDTHS, len(annuli.rings)):
-        asked = queries.withColumn("floor", F.lit(-(1 << 62)))
+        asked = queries.withColumn("floor", F.lit(-LAST - 1))
         if found is not None:
             kth = found.where(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").alias("kth"))
-            asked = queries.join(kth, "row", "left").withColumn("floor", F.coalesce("kth", F.lit(-(1 << 62))))
-        pairs = asked.select("row", "norm", "packed", "floor").mapInArrow(_expanded(annuli, width, start, count), "ring int, query long, packed binary, floor long")
+            asked = queries.join(kth, "row", "left").withColumn("floor", F.coalesce("kth", F.lit(-LAST - 1)))
+        pairs = asked.select("row", "norm", "packed", "floor").mapInArrow(_expanded(annuli, shape, start, count), "ring int, query long, packed binary, floor long")
         pairs = pairs.withColumn("turn", F.pmod(F.xxhash64("query"), F.lit(turns)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("ring")) - 1)))
         pairs = stored(pairs, "search-pairs")
         start += count
@@ -208,7 +260,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
             scored.append(sum(r[1] * sizes[r[0]][0] for r in pairs.where("block = 0").groupBy("ring").count().collect()))
         rows = index.join(wanted, F.col("ring") == F.col("wanted")).withColumn("turn", F.col("wanted_turn") + 0).withColumn("block", F.pmod(F.xxhash64("row"), F.element_at(blocks, F.col("ring"))).cast("int"))
         keys = ["ring", "turn", "block"]
-        hits = rows.select(*keys, "row", "vec_id", "packed").groupBy(*keys).cogroup(pairs.groupBy(*keys)).applyInArrow(_scores(width, k), "query long, row long, vec_id long, score long")
+        hits = rows.select(*keys, "row", "vec_id", "packed").groupBy(*keys).cogroup(pairs.groupBy(*keys)).applyInArrow(_scores(shape, k), "query long, row long, vec_id long, score long")
         known = hits if found is None else found.drop("rank").unionByName(hits)
         ranked = stored(known.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "search-found")
         discard(pairs, *([found] if found is not None else []))
@@ -220,6 +272,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest scores of every fiftieth vector among all others."""
     return top_k(table(spark, sf_dir, "embeddings"))
 
 

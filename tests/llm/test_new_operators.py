@@ -3,14 +3,16 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelmark.llm import filter_audit, periodic, pii
+from panelmark.llm import filter_audit, periodic, pii, search
 
 CARD = "4111 1111 1111 1111"
 TEXTS = [
@@ -246,3 +248,23 @@ def test_personal_data_keeps_other_columns(spark, docs):
         assert [f"{s.kind}:{s.start}:{s.end}" for s in r.pii_ if s.base] == brute_spans(r.text)
     assert pii.personal_data(docs.limit(0)).count() == 0
     assert got.where(F.size("pii_") > 0).count() == 1
+
+
+@pytest.mark.parametrize("size", [1.0, 1e4, 1e6, 1e8, 1e17, 1e150, 1e300])
+def test_search_of_vectors_of_any_size(spark, size):
+    """Against Python's integers: sums beyond 2 ** 53, scores beyond a long (the nearest long), ties, one dwarf and giant."""
+    rng = np.random.default_rng(int(np.log10(size)) + 1)
+    vs = (rng.normal(size=(130, 5)) * size).tolist()
+    vs[3], vs[60], vs[61] = vs[50], [256.0] * 5, [-x for x in vs[50]]
+    vs[100] = [1.0, -2.0, 0.5]
+    rows = [(i, v) for i, v in enumerate(vs)] + [(50, vs[50]), (None, vs[2]), (150, [1.7e308] * 5), (200, [])]
+    whole = [[math.floor(256.0 * x) for x in v] for _, v in rows if not any(math.isinf(256.0 * x) for x in v)]
+    ids = [i for i, v in rows if not any(math.isinf(256.0 * x) for x in v)]
+    want = collections.Counter()
+    for n, (i, a) in enumerate(zip(ids, whole, strict=True)):
+        if i is not None and i % 50 == 0:
+            score = lambda b, a=a: max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(a, b, strict=False))))
+            best = sorted((-score(b), (1 << 63) - 1 if j is None else j) for m, (j, b) in enumerate(zip(ids, whole, strict=True)) if m != n)[:5]
+            want.update((i, k, None if j == (1 << 63) - 1 else j, -s) for k, (s, j) in enumerate(best, 1))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert collections.Counter(map(tuple, search.top_k(df).collect())) == want
