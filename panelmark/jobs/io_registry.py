@@ -17,6 +17,7 @@ from panelmark.operators import reference as rf
 from panelmark.operators import votes as vt
 from panelmark.operators.keys import joined
 from panelmark.sources import tables as tb
+from panelmark.sources.calls import CallLog
 from panelmark.streaming import intake
 
 
@@ -125,14 +126,27 @@ def _(get):  # noqa: ANN001, ANN202
     return loop.read_log(get.spark, path).drop("confidence", "reason", "criterion_quote")
 
 
+@query("s9_bucketed_log", f"SELECT domain, item_id, h::BIGINT AS votes_high, l::BIGINT AS votes_low, 2 AS pending FROM {VOTES} v")
+def _(get):  # noqa: ANN001, ANN202
+    """Votes folded from a log of two appends, and how many calls of each item are still to make: two of four raters'."""
+    path, none = get.path("bucketed-calls"), F.lit(None).cast("string")
+    log = CallLog(get.spark, f"calls_{path.rsplit('-', 1)[1]}", path, buckets=8)
+    g = get("gappy").select(F.lit("run").alias("run_tag"), "domain", F.lit("v0").alias("rubric_version"), "item_id", "rater_id", F.lit(0).alias("repeat"), "label", none.alias("confidence"), none.alias("reason"), none.alias("criterion_quote"))
+    log.append(g.where("rater_id = 'r_len'"))
+    log.append(g.where("rater_id <> 'r_len'"))
+    raters = get.spark.createDataFrame([(r,) for r in [*RATERS, "r_new", "r_other"]], "rater_id string")
+    plan = pr.plan_calls(get("items"), raters, get.spark.createDataFrame([("v0",)], "rubric_version string"))
+    left = log.pending(plan).groupBy("domain", "item_id").agg(F.count(F.lit(1)).alias("pending"))
+    return joined(vt.panel_vote(log.read()).select("domain", "item_id", "votes_high", "votes_low"), left, ["domain", "item_id"])
+
+
 @query("s10_write_report", f"SELECT 'cells' AS section, domain, round::BIGINT AS round, n, {r6('match::DOUBLE / n')} AS value FROM {CELLS} c UNION ALL SELECT 'agreement', domain, NULL, n, {r6('weighted')} FROM {panel_sql('[ratings]')} p")
 def _(get):  # noqa: ANN001, ANN202
     path = get.path("report")
     agreement = mt.panel_metrics(get("ratings")).select(F.lit("agreement").alias("section"), "domain", F.lit(None).cast("int").alias("round"), "n", F.col("weighted").alias("value"))
     parts = cells(get).select(F.lit("cells").alias("section"), "domain", "round", "n", F.col("match_rate").alias("value"))
     tb.write_report(parts.unionByName(agreement), path, keys=("domain", "round"))
-    read = get.spark.read.schema("section string, rows array<struct<domain:string,round:int,n:long,value:double>>").json(path)
-    return read.select("section", F.explode("rows").alias("r")).select("section", "r.*")
+    return tb.read_report(get.spark, path, "domain string, round int, n long, value double")
 
 
 @query("s11_with_row_index", "SELECT domain, item_id, row_number() OVER (PARTITION BY domain ORDER BY item_id) - 1 AS position FROM [items] i")

@@ -84,7 +84,13 @@ def append_calls(calls: DataFrame, path: str) -> None:
 
 
 def write_report(parts: DataFrame, path: str, keys=("domain",)) -> None:
-    """One JSON document: an array of the rows per section (``section`` column), sorted by the keys."""
-    rest = [c for c in parts.columns if c not in ("section",)]
-    out = parts.groupBy("section").agg(F.array_sort(F.collect_list(F.struct(*keys, *(c for c in rest if c not in keys)))).alias("rows"))
-    out.coalesce(1).write.mode("overwrite").json(path)
+    """A folder per section (``section`` column) of JSON rows, sorted by the keys over its files in order of their
+    names.  Rows are dealt by ranges, so a section of any size takes as many tasks as it needs."""
+    order = ["section", *keys]
+    parts.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("section").json(path, ignoreNullFields=False)
+
+
+def read_report(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """(section, columns) of a report."""
+    found = spark.read.schema(f"section string, {columns}").json(path)
+    return found.select("section", *(c for c in found.columns if c != "section"))

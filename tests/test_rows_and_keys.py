@@ -124,3 +124,44 @@ def test_excerpts_of_common_words_stay_in_their_tasks(spark):
     assert {r.probe_id: r.item_id for r in got.collect()}.items() >= {1: 0, 2: 0}.items()
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and ("body" in x or "anchor" in x)]
+
+
+def test_bucketed_log_is_read_where_it_lies(spark, tmp_path):
+    """Folds, last calls, rater pairs and pending calls: no exchange above the scan of the log; a second session's table of
+    the same path sees the same rows."""
+    from panelmark.operators import pairs, raters
+    from panelmark.sources.calls import COLUMNS, CallLog
+
+    log = CallLog(spark, "calls_of_a_test", f"{tmp_path}/log", 4)
+    rows = [("run", d, "v", i, r, 0, "HIGH" if i % 2 else "LOW", None, None, None) for i in range(50) for d in ("d", None) for r in ("a", "b")]
+    df = spark.createDataFrame(rows, COLUMNS)
+    log.append(df.where("rater_id = 'a'"))
+    log.append(df.where("rater_id = 'b'"))
+    assert log.read().count() == 200 and CallLog(spark, "calls_again", f"{tmp_path}/log", 4).read().count() == 200
+    plan = pairs.plan_calls(df.select("domain", "item_id").distinct(), spark.createDataFrame([("a",), ("b",), ("c",)], "rater_id string"), spark.createDataFrame([("v",)], "rubric_version string"))
+    left = log.pending(plan)
+    assert sorted(map(str, left.collect())) == sorted(map(str, plan.where("rater_id = 'c'").collect())) and left.columns == plan.columns
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, frame in {"votes": votes.panel_vote(log.read()), "last": votes.latest_call(log.read(), pairs.CALL, "repeat"), "pending": log.pending(spark.createDataFrame(plan.collect(), plan.schema))}.items():
+            plan_text = frame._jdf.queryExecution().executedPlan().toString()
+            assert "Bucketed: true" in plan_text and plan_text.count("Exchange hashpartitioning") == (name == "pending"), plan_text
+        folded = raters.rater_pair_matrix(log.read())._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(domain" in folded and "hashpartitioning(domain#0, item_id" not in folded and "item_id" not in "".join(x for x in folded.splitlines() if "Exchange" in x)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_report_sections_are_sorted_files(spark, tmp_path):
+    from panelmark.sources import tables
+
+    parts = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("section"), F.when(F.col("id") % 7 > 0, F.format_string("d%05d", (F.col("id") * 7919) % 3000)).alias("domain"), F.col("id").alias("n"))
+    tables.write_report(parts.repartition(5), f"{tmp_path}/report")
+    got = tables.read_report(spark, f"{tmp_path}/report", "domain string, n long")
+    assert sorted(map(str, got.collect())) == sorted(map(str, parts.collect()))
+    import json
+
+    for section in ("a", "b"):
+        files = sorted((tmp_path / "report" / f"section={section}").glob("part-*.json"))
+        domains = [json.loads(x)["domain"] or "" for f in files for x in f.read_text().splitlines()]
+        assert domains == sorted(domains) and len(domains) == (1000 if section == "a" else 2000)
