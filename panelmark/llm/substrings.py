@@ -30,12 +30,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelmark.llm.common import gram_hashes, mixed, release, stored, table, unused, word_hashes
+from panelmark.llm.common import mixed, release, stored, table, unused
 from panelmark.llm.tokens import in_steps
 
 SEED = 5
@@ -45,13 +46,76 @@ LAST = (1 << 63) - 1
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+def text_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text, without an object for each: a polynomial over random numbers for the
+    bytes, from differences of running sums, mixed with the length.  Words of more than ``LONG`` bytes are hashed one by
+    one.  Texts are handled about ``TOGETHER`` bytes at once, a longer one alone."""
+    out: list[np.ndarray] = []
+    for part in in_steps(texts, len, TOGETHER):
+        some = texts[part]
+        raw = b"\n".join(some)
+        starts, hashes = _hashes(raw)
+        cuts = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in some]))
+        out += np.split(hashes, cuts[:-1])
+    return out
+
+
+def _hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of each word."""
+    data = np.frombuffer(raw, np.uint8)
+    space = np.empty(len(data) + 2, bool)
+    space[0] = space[-1] = True
+    np.take(_SPACE, data, out=space[1:-1])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + len(_POWERS), side="right")))
+        begin, end = starts[at], ends[to - 1]
+        if end - begin <= len(_POWERS):
+            sums = np.zeros(end - begin + 1, np.uint64)
+            values = _BYTES[data[begin:end]]
+            values *= _POWERS[: end - begin]
+            np.cumsum(values, out=sums[1:])
+            own = starts[at:to] - begin
+            out[at:to] = (sums[ends[at:to] - begin] - sums[own]) * _INVERSES[own]
+        at = to
+    lengths = ends - starts
+    for i in np.flatnonzero(lengths > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]])
+    return starts, mixed(out + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _running(factor: int, n: int) -> np.ndarray:
+    """1, factor, factor ** 2, ... in 64 bits."""
+    return np.cumprod(np.append(np.uint64(1), np.full(n - 1, factor, np.uint64)), dtype=np.uint64)
+
+
+TOGETHER, LONG, _FACTOR = 1 << 20, 1 << 16, 0xD1342543DE82EF95
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTES = np.random.default_rng(5).integers(0, 1 << 64, 256, np.uint64)
+_POWERS, _INVERSES = _running(_FACTOR, 1 << 17), _running(pow(_FACTOR, -1, 1 << 64), 1 << 17)
+
+
+def least_of(x: np.ndarray, width: int) -> np.ndarray:
+    """Least value of each run of ``width``, by minima of runs of powers of two."""
+    n = 1
+    while 2 * n <= width:
+        x, n = np.minimum(x[:-n], x[n:]), 2 * n
+    return np.minimum(x[: len(x) - (width - n)], x[width - n :]) if n < width else x
+
+
 def seeds(h: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the seed that each window chooses, by window start; hashes of the windows)."""
+    """(hash of the seed that each window chooses, by window start; the same)."""
     n = len(h) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    grams = gram_hashes(h, k)
-    least = np.lib.stride_tricks.sliding_window_view(grams, length - k + 1).min(axis=1)
+    grams = np.full(len(h) - k + 1, k, np.uint64)
+    for j in range(k):
+        grams *= np.uint64(0x9E3779B97F4A7C15)
+        grams += h[j : j + len(grams)]
+        grams ^= grams >> np.uint64(32)
+    least = least_of(mixed(grams), length - k + 1)
     return least, least[:n]
 
 
@@ -97,7 +161,7 @@ def _seeds_of(length: int, k: int):
         for batch in batches:
             texts, hashes = batch.column("text").to_pylist(), batch.column("text_hash").to_numpy(zero_copy_only=False)
             for part in in_steps(texts, lambda t: len(t or ""), 32_000_000):
-                found = [np.unique(seeds(word_hashes((t or "").encode().split()), length, k)[0]) for t in texts[part]]
+                found = [np.unique(seeds(h, length, k)[0]) for h in text_hashes([(t or "").encode() for t in texts[part]])]
                 owner = np.repeat(hashes[part].astype(np.int64), [len(x) for x in found])
                 seed = np.concatenate(found) if found else np.zeros(0, np.uint64)
                 order = np.lexsort((owner, seed))
@@ -162,8 +226,8 @@ def _windows_of(length: int, k: int):
             sizes = [len(x.as_buffer()) for x in packed]
             for part in in_steps(sizes, lambda x: 3 * x, 16_000_000):
                 windows, checks, first, owner, start = [], [], [], [], []
-                for i in range(part.start, part.stop):
-                    h = word_hashes(opened(packed[i].as_buffer()).split())
+                hashed_texts = text_hashes([opened(packed[i].as_buffer()) for i in range(part.start, part.stop)])
+                for i, h in zip(range(part.start, part.stop), hashed_texts, strict=True):
                     chosen = seeds(h, length, k)[0]
                     wanted = np.sort(np.frombuffer(b"".join(shared[i].as_py()), np.uint64))
                     place = np.minimum(np.searchsorted(wanted, chosen), len(wanted) - 1)

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelmark.llm import filter_audit, periodic, pii, search
+from panelmark.llm import filter_audit, mixing, periodic, pii, search, substrings
 
 CARD = "4111 1111 1111 1111"
 TEXTS = [
@@ -268,3 +268,31 @@ def test_search_of_vectors_of_any_size(spark, size):
             want.update((i, k, None if j == (1 << 63) - 1 else j, -s) for k, (s, j) in enumerate(best, 1))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     assert collections.Counter(map(tuple, search.top_k(df).collect())) == want
+
+
+@pytest.mark.parametrize("weight", [0.1, 0.5, 1.0, 3.0])
+def test_slices_of_the_mix_are_even(spark, weight):
+    """No slice holds over 2 % of a source, whatever the weight of its documents, and slices stand in order of the keys."""
+    keys = spark.range(50_000).select(mixing.sampling_key(F.col("id"), F.lit(weight)).alias("key"))
+    sliced = keys.groupBy(mixing.key_slice(F.col("key")).alias("slice")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+    rows = sliced.orderBy("slice").collect()
+    assert max(r.n for r in rows) < 0.02 * 50_000 and all(a.high < b.low for a, b in itertools.pairwise(rows))
+
+
+def test_hashes_of_words_without_objects(monkeypatch):
+    """As many hashes as ``split`` finds words, equal for equal words and different for others: texts handled together and
+    alone, words longer than a step, empty texts, zero bytes, white space of all kinds."""
+    rng = random.Random(6)
+    word = lambda: bytes(rng.choice(b"ab\x00\xc3\xa9\x1f!") for _ in range(rng.randint(1, 4)))
+    texts = [b"", b" ", b"a", b"\x0b\x0ca\t\r\n", b"x" * 70_000 + b" y " + b"x" * 70_000, b"q" * 300_000 + b" a", b"w " * 70_000, "é\u2003ß".encode()]
+    texts += [rng.choice([b" ", b"\n", b"  "]).join(word() for _ in range(60)) for _ in range(60)]
+    for together in (1 << 20, 100):
+        monkeypatch.setattr(substrings, "TOGETHER", together)
+        known = {}
+        for t, h in zip(texts, substrings.text_hashes(texts), strict=True):
+            assert len(h) == len(t.split())
+            assert all(known.setdefault(w, x) == x for w, x in zip(t.split(), h.tolist(), strict=True))
+        assert len(set(known.values())) == len(known) > 100
+    x = np.random.default_rng(1).integers(0, 1 << 63, 50, np.uint64)
+    for width in range(1, 12):
+        assert (substrings.least_of(x, width) == np.lib.stride_tricks.sliding_window_view(x, width).min(axis=1)).all()
