@@ -4,8 +4,10 @@ Every document draws an exponential key ``-ln(u) / weight`` from a hash of its i
 Within a source the documents stand in key order and a prefix sum of their sizes meets the source's budget: complete
 epochs of the whole source come first, and the keys decide only who belongs to the last, fractional one.
 
-The prefix sum has two levels so that no source is one group: keys are cut into ``BUCKETS`` slices of their
-distribution, slice totals are summed within the source, and rows are ordered only within (source, slice).
+The prefix sum has two levels so that no source is one group: keys are cut into slices of equal width, ``PER_UNIT`` to
+one, slice totals are summed within the source, and rows are ordered only within (source, slice).  Documents of weight w
+have keys of density w at most, so a slice holds no more than the ``w / PER_UNIT``-th part of a source, whatever the mix
+of weights; keys below 2 ** 32 documents' largest, 23 / w, make a bounded number of slices.
 
 Defined results: null and empty texts have size 0 and take 0; a null source is a source of its own, the last; a null
 doc_id draws the key of an empty string; rows with equal keys stand in order of id and size, so repeated rows get the
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 from panelmark.llm.common import stored, table, unused, words
 
 WEIGHTS = (5, 2, 1)
-BUCKETS = 256
+#: Slices of the keys in an interval of length 1.
+PER_UNIT = 1000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, total_percent: int = 150, cap: int = 2) -> DataFrame:
@@ -48,6 +51,10 @@ def sampling_key(doc_id, weight):
     return -F.log(u) / weight
 
 
+def key_slice(key):
+    return F.floor(key * PER_UNIT).cast("int")
+
+
 def quality_weight(text):
     """Share of the characters that are not digits or markup symbols, at least 0.1."""
     t = F.coalesce(text, F.lit(""))
@@ -62,7 +69,7 @@ def mix(docs: DataFrame, size: str, weight: str, doc_id: str = "doc_id", source:
     such a name, the new one gets underscores behind its name."""
     key = sampling_key(F.col(doc_id), F.col(weight))
     s = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(source).alias("of"), F.col(doc_id).alias("id"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), key.alias("key"))
-    s = s.withColumn("slice", F.least(F.floor(F.lit(float(BUCKETS)) * (1 - F.exp(-F.col("key")))), F.lit(BUCKETS - 1)).cast("int"))
+    s = s.withColumn("slice", key_slice(F.col("key")))
     slices = s.groupBy("of", "slice").agg(F.sum("size").alias("slice_size"))
     targets = source_targets(slices.groupBy(F.col("of").alias("source")).agg(F.sum("slice_size").alias("source_size")), weights, total_percent, cap)
     before = W.partitionBy("of").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
