@@ -67,7 +67,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 class Calibration(NamedTuple):
     """history: domain, iteration, weighted, all_agree, rubric_version; rubrics: those of each domain's best iteration;
-    changes: domain, iteration, agreement_before, reasoning; irreducible: domain, item_id; summary: one row per domain."""
+    changes: domain, iteration, agreement_before, reasoning, diagnosis; irreducible: domain, item_id; summary: one row per domain."""
 
     history: DataFrame
     rubrics: DataFrame
@@ -105,8 +105,8 @@ def calibrate(items: DataFrame, rubrics: DataFrame, raters: list[str], rater: Ra
     A domain that reaches ``tau`` is converged: it is measured once more in the next iteration and then skipped, so no
     further calls are made for it.  If that one measurement is more than ``drop`` below the one before, the domain is
     open again and revised on.  A stagnated domain is measured on but not revised (``close_stagnated``: skipped too).
-    ``reviser(domain, rubric, cases, changes)`` gets at most eight cases and the last three changes; items that it calls
-    irreducible take no part from then on.  Items without a domain have no rubric and take no part at all.
+    ``reviser(domain, rubric, cases, changes)`` gets at most eight cases and the last three changes, and with the rubric
+    the domain's ``agreement_history``, a value per iteration; items that it calls irreducible take no part from then on.  Items without a domain have no rubric and take no part at all.
 
     The driver holds one row per domain and iteration, the cases, and the irreducible items that revisers name."""
     spark = items.sparkSession
@@ -156,15 +156,16 @@ def calibrate(items: DataFrame, rubrics: DataFrame, raters: list[str], rater: Ra
         panel = panel_vote(ratings, details=True).where(F.col("domain").isin(open_) & ~F.col("all_agree"))
         cases = [c.asDict() for c in disagreement_cases(top_cases(panel), active).collect()]
         own_cases = {d: [c for c in cases if c["domain"] == d] for d in open_ if d in known}
-        asked = {d: (known[d].asDict(), found, [c for c in changes if c["domain"] == d][-3:]) for d, found in own_cases.items() if found}
+        measured = {d: [r[2] for r in rows if r[0] == d] for d in own_cases}
+        asked = {d: ({**known[d].asDict(), "agreement_history": measured[d]}, found, [c for c in changes if c["domain"] == d][-3:]) for d, found in own_cases.items() if found}
         revised = revise(current, asked, reviser, retries)
         for d, r in sorted(revised.items()):
             if r["success"]:
-                changes.append({"domain": d, "iteration": iteration, "agreement_before": values[d].weighted, "reasoning": r["reasoning"]})
+                changes.append({"domain": d, "iteration": iteration, "agreement_before": values[d].weighted, "reasoning": r["reasoning"], "diagnosis": r["diagnosis"]})
                 given_up += [(d, x) for x in r["irreducible"] if (d, x) not in given_up]
         current = spark.createDataFrame([tuple((revised.get(r.domain) or r.asDict())[c] for c in rubrics.columns) for r in known.values()], rubrics.schema)
     best = {r.domain: r.iteration for r in h.best_iteration(history).collect()}
     chosen = [r for i, v in enumerate(versions, 1) for r in v.collect() if best.get(r.domain) == i]
-    log_ = spark.createDataFrame([tuple(c.values()) for c in changes], "domain string, iteration int, agreement_before double, reasoning string")
+    log_ = spark.createDataFrame([tuple(c.values()) for c in changes], "domain string, iteration int, agreement_before double, reasoning string, diagnosis string")
     irreducible = spark.createDataFrame(given_up, "domain string, item_id long")
     return Calibration(history, spark.createDataFrame(chosen, rubrics.schema), log_, irreducible, h.calibration_summary(history, tau, drop, log_, irreducible))

@@ -186,13 +186,16 @@ def _(get):  # noqa: ANN001, ANN202
 QUOTED = "concat(chr(34), rater_id, chr(34), ' of ', cast(item_id as varchar(20)), chr(92))"
 
 
-@query("p18_disagreement_cases", f"""WITH v AS (SELECT domain, item_id, {H} AS votes_high, string_agg(concat(rater_id, '=', label), ',' ORDER BY rater_id) AS votes, string_agg(concat(rater_id, '=', replace(replace({QUOTED}, chr(34), chr(39)), chr(92), '')), ',' ORDER BY rater_id) AS quotes, {L} AS l FROM [ratings] r GROUP BY domain, item_id)
- SELECT v.domain, v.item_id, votes_high, votes, quotes, substr(i.text, 1, 300) AS excerpt FROM v JOIN [items] i ON v.item_id = i.item_id AND v.domain = i.domain WHERE votes_high > 0 AND l > 0""")
+@query("p18_disagreement_cases", f"""WITH v AS (SELECT domain, item_id, {H} AS votes_high, string_agg(concat(rater_id, '=', label), ',' ORDER BY rater_id) AS votes, string_agg(concat(rater_id, '=', replace(replace({QUOTED}, chr(34), chr(39)), chr(92), '')), ',' ORDER BY rater_id) AS quotes, string_agg(concat(rater_id, '=', label, ' of ', item_id), ',' ORDER BY rater_id) AS reasons, string_agg(concat(rater_id, '=', item_id % 4, '+', item_id % 9), ',' ORDER BY rater_id) AS matched, {L} AS l FROM [ratings] r GROUP BY domain, item_id)
+ SELECT v.domain, v.item_id, votes_high, votes, quotes, reasons, matched, substr(i.text, 1, 300) AS excerpt FROM v JOIN [items] i ON v.item_id = i.item_id AND v.domain = i.domain WHERE votes_high > 0 AND l > 0""")
 def _(get):  # noqa: ANN001, ANN202
     r = get("ratings").withColumn("criterion_quote", F.concat(F.lit('"'), "rater_id", F.lit('" of '), F.col("item_id").cast("string"), F.lit("\\")))
+    numbers = F.array((F.col("item_id") % 4).cast("int"), (F.col("item_id") % 9).cast("int"))
+    r = r.withColumns({"reason": F.concat("label", F.lit(" of "), F.col("item_id").cast("string")), "matched_high": numbers, "matched_low": F.array().cast("array<int>")})
     cases = vt.disagreement_cases(vt.panel_vote(r, details=True), get("items"))
+    cases = cases.withColumn("matched", F.transform_values("matched_high", lambda _, x: F.array_join(F.transform(x, lambda n: n.cast("string")), "+")))
     text = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda x: F.concat(x.key, F.lit("="), x.value)), ",")
-    return cases.select("domain", "item_id", "votes_high", text("votes").alias("votes"), text("quotes").alias("quotes"), "excerpt")
+    return cases.select("domain", "item_id", "votes_high", text("votes").alias("votes"), text("quotes").alias("quotes"), text("reasons").alias("reasons"), text("matched").alias("matched"), "excerpt")
 
 
 # --- joins ----------------------------------------------------------------------------------------------------------
@@ -498,6 +501,12 @@ def _(get):  # noqa: ANN001, ANN202
     return rt.criterion_counts(r, vt.panel_vote(get("ratings")))
 
 
+@query("a32_quote_counts", f"SELECT domain, rater_id, q AS quote, count(*) AS n FROM (SELECT domain, rater_id, concat(chr(39), label, chr(39), item_id % 5) AS q FROM [ratings] r WHERE (domain, item_id) IN (SELECT (domain, item_id) FROM (SELECT domain, item_id, {H} AS h, {L} AS l FROM [ratings] x GROUP BY ALL) v WHERE h > 0 AND l > 0)) y GROUP BY ALL")
+def _(get):  # noqa: ANN001, ANN202
+    r = get("ratings").withColumn("criterion_quote", F.concat(F.lit('"'), "label", F.lit('"\\'), (F.col("item_id") % 5).cast("string")))
+    return rt.quote_counts(r, vt.panel_vote(r))
+
+
 @query("a33_cost_rollup", f"WITH c AS (SELECT domain AS role, length(text) AS i, turn AS o FROM [conversations] x), g AS (SELECT role, count(*) AS calls, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens FROM c GROUP BY role), p AS (SELECT *, (input_tokens * 1.0::DOUBLE + output_tokens * 5.0::DOUBLE) / 1000000 AS cost FROM g) SELECT role, calls, input_tokens, output_tokens, {r6('cost')} AS cost, {r6('input_tokens::DOUBLE / calls')} AS mean_input, {r6('output_tokens::DOUBLE / calls')} AS mean_output, {r6('cost * 1000 / calls')} AS cost_per_1k, {r6('(cost * 1000 / calls) / min(cost * 1000 / calls) OVER ()')} AS ratio FROM p")
 def _(get):  # noqa: ANN001, ANN202
     calls = get("conversations").select(F.col("domain").alias("role"), F.length("text").alias("input_tokens"), F.col("turn").alias("output_tokens"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelmark.functions.text import QUOTE_CHARS, sanitize_quote
 from panelmark.operators.keys import joined
 from panelmark.operators.metrics import item_shapes, panel_metrics, ratio, two_rater_metrics, two_rater_values
 from panelmark.operators.pairs import pair_labels, swap_rater
@@ -189,11 +190,19 @@ def split_profile(ratings: DataFrame, keys=("domain",), item=ITEM) -> DataFrame:
 def criterion_counts(ratings: DataFrame, panel: DataFrame, item=ITEM) -> DataFrame:
     """How often each rater matched each criterion number on items where the panel disagreed, by side."""
     split = panel.where(~F.col("all_agree")).select(*item)
-    on = ratings.join(split, list(item), "left_semi")
+    on = joined(ratings, split, item, "left_semi")
     sides = [on.select("domain", "rater_id", F.lit(side).alias("side"), F.explode(f"matched_{side.lower()}").alias("criterion")) for side in ("HIGH", "LOW")]
     return sides[0].unionByName(sides[1]).groupBy("domain", "rater_id", "side", "criterion").agg(F.count(F.lit(1)).alias("n"))
 
 
+def quote_counts(ratings: DataFrame, panel: DataFrame, n_quote: int = QUOTE_CHARS, item=ITEM) -> DataFrame:
+    """How often each rater named each quote as the criterion that decided, on items where the panel disagreed.  Quotes
+    are sanitized; null and empty ones are none."""
+    split = panel.where(~F.col("all_agree")).select(*item)
+    quoted = joined(ratings, split, item, "left_semi").select("domain", "rater_id", sanitize_quote(F.col("criterion_quote"), n_quote).alias("quote"))
+    return quoted.where(F.trim("quote") != "").groupBy("domain", "rater_id", "quote").agg(F.count(F.lit(1)).alias("n"))
+
+
 def cluster_coverage(clusters: DataFrame, keys=("corpus",)) -> DataFrame:
     """Clusters of a corpus and the most items that one of them has."""
     sizes = clusters.groupBy(*keys, "cluster_id").agg(F.count(F.lit(1)).alias("n"))

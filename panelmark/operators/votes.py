@@ -80,16 +80,24 @@ def panel_vote(ratings: DataFrame, rule: str = "abs2", item=ITEM, fixed_raters:
 
 
 def disagreement_cases(panel: DataFrame, items: DataFrame, n_text: int = tx.CASE_CHARS, n_quote: int = tx.QUOTE_CHARS, item=ITEM) -> DataFrame:
-    """Split items of a panel with details: excerpt, votes and sanitized quotes by rater.  Several ratings of one rater
-    are joined by commas; a null rater has the key of an empty string."""
+    """Split items of a panel with details: excerpt, and by rater votes, sanitized quotes, reasons, and the numbers of the
+    criteria matched on each side (the latter three where the ratings have them).  Several ratings of one rater are
+    joined by commas; a null rater has the key of an empty string."""
     single = F.col("individual_results")
+    known = panel.schema["individual_results"].dataType.elementType.names
     ids = F.array_distinct(F.transform(single, lambda r: F.coalesce(r.rater_id.cast("string"), F.lit(""))))
     own = lambda i: F.filter(single, lambda r: F.coalesce(r.rater_id.cast("string"), F.lit("")) == i)
     by_rater = lambda f: F.map_from_arrays(ids, F.transform(ids, lambda i: F.array_join(F.transform(own(i), f), ", ")))
-    quoted = "criterion_quote" in panel.schema["individual_results"].dataType.elementType.names
-    quote = lambda r: tx.sanitize_quote(r.criterion_quote, n_quote) if quoted else F.lit("")
-    split = panel.where(~F.col("all_agree")).withColumns({"votes": by_rater(lambda r: r.label), "quotes": by_rater(quote)}).drop("individual_results")
-    return split.join(items.select(*item, tx.truncate(F.col("text"), n_text).alias("excerpt")), list(item))
+    quote = lambda r: tx.sanitize_quote(r.criterion_quote, n_quote) if "criterion_quote" in known else F.lit("")
+    numbers = lambda side: lambda i: F.flatten(F.transform(own(i), lambda r: F.coalesce(r[side], F.array().cast("array<int>"))))
+    found = {"votes": by_rater(lambda r: r.label), "quotes": by_rater(quote)}
+    if "reason" in known:
+        found["reasons"] = by_rater(lambda r: r.reason)
+    for side in ("matched_high", "matched_low"):
+        if side in known:
+            found[side] = F.map_from_arrays(ids, F.transform(ids, numbers(side)))
+    split = panel.where(~F.col("all_agree")).withColumns(found).drop("individual_results")
+    return joined(split, items.select(*item, tx.truncate(F.col("text"), n_text).alias("excerpt")), item)
 
 
 def majority(ratings: DataFrame, rule: str = "abs2", item=ITEM, order: str = "rater_id") -> DataFrame:

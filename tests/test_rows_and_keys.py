@@ -165,3 +165,27 @@ def test_report_sections_are_sorted_files(spark, tmp_path):
         files = sorted((tmp_path / "report" / f"section={section}").glob("part-*.json"))
         domains = [json.loads(x)["domain"] or "" for f in files for x in f.read_text().splitlines()]
         assert domains == sorted(domains) and len(domains) == (1000 if section == "a" else 2000)
+
+
+def test_reviser_gets_history_and_reasons_and_diagnoses_are_kept(spark, tmp_path):
+    import json
+
+    import pandas as pd
+
+    from panelmark.jobs import loop
+
+    items = spark.createDataFrame([("d", i, "t") for i in range(4)], "domain string, item_id long, text string")
+    rubrics = spark.createDataFrame([("d", "0", "c", ["h"], ["l"], "r")], "domain string, version string, domain_context string, HIGH array<string>, LOW array<string>, conflict_rule string")
+    seen = []
+
+    def rater(name, frame):
+        return pd.DataFrame({"label": ["HIGH" if name == "a" else "LOW"] * len(frame), "confidence": "HIGH", "reason": f"so says {name}", "criterion_quote": ""})
+
+    def reviser(domain, rubric, cases, changes):
+        seen.append((rubric["agreement_history"], [c["reasons"] for c in cases], [c["diagnosis"] for c in changes]))
+        return json.dumps({"updated_HIGH": ["a"], "updated_LOW": ["b"], "updated_conflict_rule": "c", "diagnosis": "vague" if len(seen) == 1 else {"d": [1]}})
+
+    found = loop.calibrate(items, rubrics, ["a", "b"], rater, reviser, str(tmp_path / "log"), tau=1.1, max_iterations=3)
+    assert [(len(h), d) for h, _, d in seen] == [(1, []), (2, ["vague"])] and all(abs(x - 0.667) < 1e-9 for x in seen[1][0])
+    assert seen[0][1] == [{"a": "so says a", "b": "so says b"}] * 4
+    assert [r.diagnosis for r in found.changes.orderBy("iteration").collect()] == ["vague", '{"d":[1]}']
