@@ -77,6 +77,8 @@ def attach_cluster(labels: DataFrame, clusters: DataFrame, on=ITEM) -> DataFrame
 BROADCAST_SLICES = 200_000
 #: Parts into which the items of each anchor are dealt where they are shuffled.
 SALTS = 16
+#: Texts in which anchors are counted.
+COUNTED = 4096
 
 
 def _grams(words: Column, by: list[Column], lengths: list[int], body) -> Column:  # noqa: ANN001
@@ -103,8 +105,9 @@ def link_by_excerpt(probes: DataFrame, items: DataFrame, start: int = 50, length
 
     Slices and texts meet on anchors, never all with all: hashes of ``anchor_words`` (a power of two) whole words, or half
     as many, a quarter, ... down to one, if a slice has fewer between its cut ends; a slice without a whole word takes
-    characters of its longest piece, which lies inside one word of a text.  The anchors of all slices are counted in the
-    texts first, and each slice then looks for its rarest only; a slice whose anchor no text has is done.
+    characters of its longest piece, which lies inside one word of a text.  The anchors of all slices are counted in a
+    random sample of about ``COUNTED`` whole texts, and each slice then looks for its rarest only (the sample decides the
+    work, never the result).
 
     Different slices, with their groups, are counted.  Up to ``BROADCAST_SLICES`` of them are broadcast: texts' anchors
     that no slice has are dropped in the scan, texts are compared where they lie, and nothing of them is shuffled, so a
@@ -129,7 +132,7 @@ def link_by_excerpt(probes: DataFrame, items: DataFrame, start: int = 50, length
     cut = written(cut.select(*by, "slice", "words", "chars", F.coalesce(own, letters, F.array().cast("array<bigint>")).alias("anchors")), "excerpt-slices")
     needed = cut.select("words", "chars").distinct().collect()  # as many as there are lengths
     n_words, n_chars = sorted({r.words for r in needed} - {0}), sorted({r.chars for r in needed} - {0})
-    texts = items.select(*by, "item_id", norm(F.col("text")).alias("body")).where("body is not null")
+    bodies = lambda df: df.select(*by, "item_id", norm(F.col("text")).alias("body")).where("body is not null")
 
     def letters_of(found: Column, n: int) -> Column:
         long = F.filter(F.array_distinct(found), lambda w: F.length(w) >= n)
@@ -142,12 +145,15 @@ def link_by_excerpt(probes: DataFrame, items: DataFrame, start: int = 50, length
 
     few = cut.count() <= BROADCAST_SLICES
     held = F.broadcast if few else (lambda df: df)
-    grams = texts.withColumn("anchor", F.explode(let(F.array_remove(F.split("body", " "), ""), anchors)))
+    texts = bodies(items)
+    grams_of = lambda df: bodies(df).withColumn("anchor", F.explode(let(F.array_remove(F.split("body", " "), ""), anchors)))
+    grams = grams_of(items)
     names = ["slice", *(f"slice_{c}" for c in by)]
+    sampled = min(1.0, COUNTED / max(items.count(), 1))
     asked = cut.select("slice", *(F.col(c).alias(f"slice_{c}") for c in by), F.explode(F.array_distinct("anchors")).alias("anchor"))
-    counts = grams.select("anchor").join(held(asked.select("anchor").distinct()), "anchor", "left_semi").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    counts = grams_of(items.sample(fraction=sampled, seed=3) if sampled < 1 else items).select("anchor").join(held(asked.select("anchor").distinct()), "anchor", "left_semi").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
     rarest = asked.join(counts, "anchor", "left").groupBy(*names).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "anchor")).alias("best"))
-    chosen = written(rarest.where("best.n > 0").select(*names, "best.anchor"), "excerpt-anchors")
+    chosen = written(rarest.select(*names, "best.anchor"), "excerpt-anchors")
     same = F.expr("contains(body, slice)")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"slice_{c}"))

@@ -127,7 +127,7 @@ def block_sums(m: np.ndarray, total: np.ndarray, labels: list[list[tuple]]) -> t
 
 def drawn_sums(patterns: DataFrame, keys, draws: int, width: int, seed: int = 0, drawn: DataFrame | None = None) -> DataFrame:
     """(keys, draw, is_total, label, v0, v1, ...): sums of the patterns' vectors over resampled items, and over the items
-    themselves as draw -1.  Written to the shared folder.
+    themselves as draw -1.
 
     ``patterns``: (keys, pattern string, items, total array<double>, labels array<struct<label, v array<double>>>), with
     vectors of up to ``width`` values.
@@ -186,30 +186,44 @@ def drawn_sums(patterns: DataFrame, keys, draws: int, width: int, seed: int = 0,
     right = per_block.select(*right_names, "totals", "pattern", "draw", "m")
     schema = f"{_types(patterns, keys)}, draw long, is_total boolean, label {label_type}, " + ", ".join(f"{v} double" for v in values)
     sums = dealt.groupBy(*group).cogroup(right.groupBy(*(f"{c}__block" for c in group))).applyInPandas(run, schema)
-    return written(sums.groupBy(*keys, "draw", "is_total", "label").agg(*(F.sum(v).alias(v) for v in values)), "draw-sums")
+    return sums.groupBy(*keys, "draw", "is_total", "label").agg(*(F.sum(v).alias(v) for v in values))
 
 
 def ratio_patterns(histogram: DataFrame, keys) -> DataFrame:
     """Patterns of a histogram (keys, value, size, items)."""
     name = F.concat_ws("|", F.col("value").cast("string"), F.col("size").cast("string"))
     none = F.array().cast("array<struct<label:string,v:array<double>>>")
-    return histogram.select(*keys, name.alias("pattern"), "items", F.array(F.col("value").cast("double"), F.col("size").cast("double")).alias("total"), none.alias("labels"))
+    return histogram.select(*keys, name.alias("pattern"), "items", F.array(F.col("value").cast("double"), F.col("size").cast("double"), F.lit(1.0)).alias("total"), none.alias("labels"))
 
 
 def ratio_draws(histogram: DataFrame, keys, draws: int, seed: int) -> DataFrame:
     """(keys, draw, value): ratios of the resampled sums of ``value`` and ``size`` from a histogram (keys, value, size,
     items)."""
-    sums = drawn_sums(ratio_patterns(histogram, keys), keys, draws, 2, seed)
+    sums = drawn_sums(ratio_patterns(histogram, keys), keys, draws, 3, seed)
     return sums.where("draw >= 0").select(*keys, "draw", ratio(F.col("v0"), F.col("v1")).alias("value"))
 
 
+def intervals(values: DataFrame, keys, convention: str, draws: int, point) -> DataFrame:
+    """(keys, point, low, high, kept) of (keys, draw, value, point): ``point`` columns as draw -1 has them.  A group's draws
+    are as many as the caller asked for, so they are put in order as one array; more than ``SORTED_ROWS`` go by ranges."""
+    keys = list(keys)
+    own = [F.max(F.when(F.col("draw") < 0, F.col(c))).alias(c) for c in point]
+    drawn = F.col("draw") >= 0
+    if draws > SORTED_ROWS:
+        values = written(values, "draw-values")
+        return joined(values.groupBy(*keys).agg(*own), percentile_at(values.where(drawn), keys, convention), keys, "left").fillna(0, ["kept"])
+    folded = values.groupBy(*keys).agg(*own, F.sort_array(F.collect_list(F.when(drawn, F.col("value")))).alias("drawn_values"))
+    n = F.size("drawn_values")
+    low, high = (F.get("drawn_values", place.cast("int")) for place in _bounds(n, convention))
+    some = n > 0
+    return folded.select(*keys, *point, F.when(some, low).alias("low"), F.when(some, high).alias("high"), n.cast("long").alias("kept"))
+
+
 def _ratio_ci(histogram: DataFrame, keys, draws: int, seed: int, convention: str, drawn: DataFrame | None = None) -> DataFrame:
-    histogram = written(histogram, "histogram")  # what is behind it is computed once
-    i = F.col("items")
-    point = histogram.groupBy(*keys).agg(F.sum(F.col("size") * i).cast("long").alias("n"), F.sum(i).alias("units"))
-    sums = drawn_sums(ratio_patterns(histogram, keys), keys, draws, 2, seed, drawn).select(*keys, "draw", ratio(F.col("v0"), F.col("v1")).alias("value"))
-    mean = sums.where("draw < 0").select(*keys, F.col("value").alias("mean"))
-    return joined(joined(point, mean, keys), percentile_at(sums.where("draw >= 0"), list(keys), convention, group_rows=draws), keys)
+    sums = drawn_sums(ratio_patterns(histogram, keys), keys, draws, 3, seed, drawn)
+    value = ratio(F.col("v0"), F.col("v1"))
+    values = sums.select(*keys, "draw", value.alias("value"), F.round("v1").cast("long").alias("n"), F.round("v2").cast("long").alias("units"), value.alias("mean"))
+    return intervals(values, keys, convention, draws, ("n", "units", "mean"))
 
 
 def bootstrap_mean_ci(df: DataFrame, value: str, keys=("domain",), draws: int = 10_000, seed: int = 0, convention: str = "count") -> DataFrame:
@@ -302,9 +316,7 @@ def bootstrap_panel_ci(ratings: DataFrame, statistic: str, keys=("domain",), dra
     """n_items, value, low, high, kept per group for any panel statistic.  Undefined draws are dropped and ``kept`` says
     how many were not; a group without any has null bounds."""
     values = panel_draws(ratings, statistic, keys, draws, seed, item, md5_seed)
-    point = values.where("draw < 0").drop("draw")
-    bounds = percentile_at(values.where("draw >= 0"), list(keys), convention, group_rows=draws)
-    return joined(point, bounds, keys, "left").fillna(0, ["kept"])
+    return intervals(values.withColumn("point", F.col("value")), keys, convention, draws, ("n_items", "point")).withColumnRenamed("point", "value")
 
 
 def bootstrap_ac1_ci(ratings: DataFrame, keys=("domain",), draws: int = 10_000, seed: int = 0, item=ITEM, md5_seed: str | None = None) -> DataFrame:
