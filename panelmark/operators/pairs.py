@@ -132,7 +132,15 @@ def link_by_excerpt(probes: DataFrame, items: DataFrame, start: int = 50, length
     cut = written(cut.select(*by, "slice", "words", "chars", F.coalesce(own, letters, F.array().cast("array<bigint>")).alias("anchors")), "excerpt-slices")
     needed = cut.select("words", "chars").distinct().collect()  # as many as there are lengths
     n_words, n_chars = sorted({r.words for r in needed} - {0}), sorted({r.chars for r in needed} - {0})
-    bodies = lambda df: df.select(*by, "item_id", norm(F.col("text")).alias("body")).where("body is not null")
+
+    def bodies(df: DataFrame) -> DataFrame:
+        """Texts without an entity stay clear of Python, and of the queue of rows that wait for it."""
+        if not normalized:
+            return df.select(*by, "item_id", F.col("text").alias("body")).where("body is not null")
+        odd = F.col("text").contains("&")
+        kept = lambda rows, unescape: rows.select(*by, "item_id", normalize_text(F.col("text"), unescape).alias("body"))
+        return kept(df.where(~odd), False).unionByName(kept(df.where(odd), True))
+
 
     def letters_of(found: Column, n: int) -> Column:
         long = F.filter(F.array_distinct(found), lambda w: F.length(w) >= n)
