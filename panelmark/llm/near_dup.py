@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelmark.llm.common import discard, gram_hashes, mixed, release, stored, table, word_hashes
+from panelmark.llm.common import discard, gram_hashes, mixed, release, stored, table
+from panelmark.llm.substrings import text_hashes
 
 #: Coordinates of a signature, 256 at most.
 COORDINATES = 240
@@ -64,17 +65,13 @@ def most_bits(percent: int, coordinates: int, miss: float = 1e-7) -> int:
     return d
 
 
-def lower_words(text: str | None) -> list[bytes]:
-    """A-Z in lower case, cut at the six bytes of ASCII white space.  Other letters are bytes from 0x80 on."""
-    return text.encode().translate(_LOWER).split() if text else []
-
-
+#: A-Z in lower case; other letters are bytes from 0x80 on.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted hashes of the distinct k-word shingles; fewer words are one shingle; no words, none."""
-    h = word_hashes(lower_words(text))
+    h = text_hashes([text.encode().translate(_LOWER)])[0] if text else np.zeros(0, np.uint64)
     return np.unique(gram_hashes(h, min(k, len(h)))) if len(h) else h
 
 
