@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 
 from panelmark.operators.keys import joined, unused
 from panelmark.operators.metrics import label_patterns, ratio
-from panelmark.operators.votes import ITEM
+from panelmark.operators.votes import ITEM, with_row_index
 from panelmark.sources.shared import written
 
 #: Draws that one task holds at once; patterns of a block; labels that are summed at once.
 CHUNK, BLOCK, LABELS = 500, 4096, 256
 #: Values of a group that are sorted in one task.
 SORTED_ROWS = 1_000_000
+#: Rows drawn by md5 that one task makes and joins: at most, and at least where there are fewer than one each core could have.
+DRAWN_ROWS, LEAST_ROWS = 4_000_000, 250_000
 
 
 def percentile_places(n: int, convention: str, low: float = 0.025, high: float = 0.975) -> tuple[int, int]:
@@ -350,12 +352,24 @@ def cohort_shift(ratings: DataFrame, cohort: str, first, second, keys=("domain",
 
 def md5_draws(df: DataFrame, draws: int, seed: str, keys=("domain",), order=("item_id",)) -> DataFrame:
     """(keys, draw, place, row): draw b takes for its i-th place the row md5(seed|b|i) mod n, rows in the given order.
-    Any SQL engine repeats it; for small n, to hold the fast helpers against."""
-    group, number, size = W.partitionBy(*keys), unused(df, "row_number"), unused(df, "row_count")
-    rows = df.withColumns({number: (F.row_number().over(group.orderBy(*order)) - 1).cast("long"), size: F.count(F.lit(1)).over(group)})
-    index = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"), F.col("place").cast("string"))), 1, 8), 16, 10).cast("long") % F.col(size)
-    asked = rows.select(*keys, F.col(number).alias("place"), size, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    return joined(asked.select(*keys, "place", "draw", index.alias(number)), rows.drop(size), [*keys, number]).drop(number)
+    Any SQL engine repeats it; for small n, to hold the fast helpers against.
+
+    Rows are numbered over all groups in order of (keys, ``order``), so that no group has to fit one task, and a draw
+    travels as two numbers: itself and the row's.  Draws are ``draws`` times the rows that Spark counts on their way here,
+    so they must never be broadcast and are dealt to as many tasks as they need."""
+    number, first, size, draw, place, at = (unused(df, c) for c in ("row_number", "first_row", "row_count", "draw", "place", "row_at"))
+    rows = with_row_index(df, order=[*keys, *order], name=number)
+    rows = written(rows, "numbered-rows")  # read three times
+    total = rows.count() * draws
+    tasks = max(1, -(-total // DRAWN_ROWS), min(df.sparkSession.sparkContext.defaultParallelism, total // LEAST_ROWS))
+    groups = rows.groupBy(*keys).agg(F.min(number).alias(first), F.count(F.lit(1)).alias(size))
+    places = joined(rows.select(*keys, number), F.broadcast(groups), keys).select((F.col(number) - F.col(first)).alias(place), first, size)
+    each = places.repartition(tasks, place).withColumn(draw, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    index = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(draw).cast("string"), F.col(place).cast("string"))), 1, 8), 16, 10).cast("long") % F.col(size)
+    target = F.coalesce(F.col(first) + index, F.lit(-1).cast("long"))  # never null, so that no filter computes it once more
+    asked = each.select(draw, place, target.alias(at)).repartition(tasks, at)
+    found = asked.hint("merge").join(rows.repartition(tasks, number), F.col(at) == F.col(number))
+    return found.select(*keys, F.col(place).alias("place"), F.col(draw).alias("draw"), *(c for c in df.columns if c not in keys))
 
 
 def md5_ratio_ci(sums: DataFrame, draws: int, seed: str, keys=("domain",), order=("item_id",), convention: str = "count") -> DataFrame:

@@ -223,3 +223,17 @@ def test_bounds_of_ten_million_rows_in_bounded_tasks(spark):
         resample.written = written
     assert (r.low, r.high, r.kept) == (250_000.0, 9_749_999.0, 10_000_000)
     assert kept[0].groupBy("part").count().agg(F.max("count")).first()[0] < 3 * 10_000_000 / 64
+
+
+def test_draws_by_md5_are_never_broadcast_nor_numbered_by_group(spark):
+    """Draws are far more rows than what Spark has counted before them; groups, one of them null, fit no single task."""
+    rows = [("x" if i % 3 else None, i, f"p{i % 4}") for i in range(60)]
+    df = spark.createDataFrame(rows, "domain string, item_id long, pattern string")
+    found = resample.md5_draws(df, 3, "s")
+    taken = found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Window" not in plan
+    for d in ("x", None):
+        own = [r[1:] for r in rows if r[0] == d]
+        want = [(b, i, *own[int(hashlib.md5(f"s|{b}|{i}".encode()).hexdigest()[:8], 16) % len(own)]) for b in range(3) for i in range(len(own))]
+        assert sorted((r.draw, r.place, r.item_id, r.pattern) for r in taken if r.domain == d) == sorted(want)
