@@ -68,6 +68,18 @@ def test_pattern_table_follows_items_that_move(spark, tmp_path):
     assert sorted(map(str, sink.patterns(spark).collect())) == before
 
 
+def test_state_of_the_pattern_stream_is_kept_by_buckets(spark, tmp_path):
+    """Values of the state are bounded by the buckets of each group, not by the items."""
+    schema = "domain string, item_id long, rater_id string, label string"
+    rows = [("d" if i % 2 else None, i // 2, r, "HIGH" if i % 3 else "LOW") for i in range(400) for r in ("a", "b")]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    sink = intake.PatternTable(f"{tmp_path}/patterns")
+    query = intake.stream_panel_patterns(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), sink, f"{tmp_path}/cp", buckets=8)
+    query.awaitTermination()
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) <= 16
+    assert {(r.domain, r.n, r.h): r["items"] for r in sink.patterns(spark).collect()} == Counter((d, 2, 2 * (label == "HIGH")) for d, _, r, label in rows if r == "a")
+
+
 def test_superset_sums_against_all_subsets():
     rng = np.random.default_rng(2)
     for size in (1, 2, 5, 8):
