@@ -267,3 +267,13 @@ def test_texts_stay_out_of_shuffles_and_rubrics_are_broadcast(spark, tmp_path):
     rubric.write.parquet(str(tmp_path / "rubrics"))
     small = spark.read.parquet(str(tmp_path / "rubrics"))
     assert "BroadcastHashJoin" in tx.render_prompt(items, small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_of_raters_do_not_grow_with_the_square_of_the_calls(spark):
+    from panelmark.jobs import loop
+
+    pending = spark.range(40).select(F.lit("run").alias("run_tag"), F.lit("d").alias("domain"), F.lit("v").alias("rubric_version"), F.col("id").alias("item_id"), F.lit("a").alias("rater_id"), F.lit(0).alias("repeat"), F.lit("t").alias("text"))
+    cores = spark.sparkContext.defaultParallelism
+    found = loop.label_items(pending, loop.rule_rater, calls=500_000)
+    assert found.rdd.getNumPartitions() == 8 * cores and found.count() == 40
+    assert loop.label_items(pending, loop.rule_rater, calls=257).rdd.getNumPartitions() == 2
