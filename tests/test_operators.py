@@ -269,6 +269,19 @@ def test_texts_stay_out_of_shuffles_and_rubrics_are_broadcast(spark, tmp_path):
     assert "BroadcastHashJoin" in tx.render_prompt(items, small)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_texts_are_not_shuffled_for_rubrics_of_unknown_size(spark):
+    """Rubrics that Spark takes for large, as they are counted from the items, are broadcast all the same."""
+    items = spark.createDataFrame([("d", i, "t") for i in range(9)], "domain string, item_id long, text string")
+    rubric = items.groupBy("domain").agg(F.max("text").alias("domain_context")).select("domain", F.lit("1").alias("version"), "domain_context", F.array(F.lit("x")).alias("HIGH"), F.array(F.lit("y")).alias("LOW"), F.lit("r").alias("conflict_rule"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (tx.render_prompt(items, rubric), pairs.attach_rubric(items, rubric)):
+            assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString() and found.count() == 9
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_tasks_of_raters_do_not_grow_with_the_square_of_the_calls(spark):
     from panelmark.jobs import loop
 
