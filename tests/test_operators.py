@@ -290,3 +290,17 @@ def test_tasks_of_raters_do_not_grow_with_the_square_of_the_calls(spark):
     found = loop.label_items(pending, loop.rule_rater, calls=500_000)
     assert found.rdd.getNumPartitions() == 8 * cores and found.count() == 40
     assert loop.label_items(pending, loop.rule_rater, calls=257).rdd.getNumPartitions() == 2
+
+
+def test_plurality_is_dealt_by_the_size_of_its_files(spark, tmp_path, monkeypatch):
+    from panelmark.sources import shared
+
+    rows = [("d" if i % 3 else None, i, r, "HIGH" if (i + r) % 3 else "LOW") for i in range(300) for r in range(3)]
+    df = spark.createDataFrame(rows, "domain string, item_id long, rater_id long, label string")
+    df.write.parquet(str(tmp_path / "r"))
+    monkeypatch.setattr(shared, "TASK_BYTES", 200)
+    read = spark.read.parquet(str(tmp_path / "r"))
+    assert shared.tasks_for(read) > 4
+    got = votes.majority(read, "plurality_first")
+    assert f", {shared.tasks_for(read)})" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, votes.majority(df, "plurality_first").collect()))
