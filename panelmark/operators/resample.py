@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelmark.operators.keys import joined, unused
-from panelmark.operators.metrics import label_patterns, ratio
+from panelmark.operators.metrics import item_patterns, label_patterns, ratio
 from panelmark.operators.votes import ITEM, with_row_index
 from panelmark.sources.shared import written
 
@@ -309,9 +309,13 @@ def panel_values(sums: DataFrame, keys, statistic: str) -> DataFrame:
 def panel_draws(ratings: DataFrame, statistic: str, keys=("domain",), draws: int = 10_000, seed: int = 0, item=ITEM, md5_seed: str | None = None) -> DataFrame:
     """(keys, draw, n_items, value) of a panel statistic over resampled items; draw -1 are the items themselves.  With
     ``md5_seed`` the items drawn are those of ``md5_draws``; all that follows is the same."""
-    patterns = panel_vectors(label_patterns(ratings, keys, item), keys)
-    drawn = None if md5_seed is None else md5_pattern_counts(ratings, draws, md5_seed, keys, item)
-    return panel_values(drawn_sums(patterns, keys, draws, 8, seed, drawn), keys, statistic)
+    if md5_seed is None:
+        patterns, drawn = label_patterns(ratings, keys, item), None
+    else:
+        folded = written(item_patterns(ratings, keys, item), "item-patterns")  # read by both
+        patterns = folded.groupBy(*keys, "pattern").agg(F.count(F.lit(1)).alias("items"))
+        drawn = md5_pattern_counts(folded, draws, md5_seed, keys, item)
+    return panel_values(drawn_sums(panel_vectors(patterns, keys), keys, draws, 8, seed, drawn), keys, statistic)
 
 
 def bootstrap_panel_ci(ratings: DataFrame, statistic: str, keys=("domain",), draws: int = 10_000, seed: int = 0, convention: str = "span", item=ITEM, md5_seed: str | None = None) -> DataFrame:
@@ -376,7 +380,7 @@ def md5_ratio_ci(sums: DataFrame, draws: int, seed: str, keys=("domain",), order
     """n, units, mean, low, high, kept per group of rows (value, size): items with a size of 1, or ``cluster_sums``.  The
     rows drawn are counted by (value, size) and handed to the kernel of ``ratio_draws``."""
     value = F.round(F.col("value").cast("double"), 12).alias("value")
-    rows = sums.select(*keys, *order, value, "size")
+    rows = written(sums.select(*keys, *order, value, "size"), "drawn-rows")  # read by both
     histogram = rows.groupBy(*keys, "value", "size").agg(F.count(F.lit(1)).alias("items"))
     name = F.concat_ws("|", F.col("value").cast("string"), F.col("size").cast("string"))
     drawn = md5_draws(rows, draws, seed, keys, order).groupBy(*keys, "draw", name.alias("pattern")).agg(F.count(F.lit(1)).alias("m"))
@@ -388,13 +392,10 @@ def sized(df: DataFrame) -> DataFrame:
     return df.withColumn("size", F.lit(1).cast("long"))
 
 
-def md5_pattern_counts(ratings: DataFrame, draws: int, seed: str, keys=("domain",), item=ITEM) -> DataFrame:
-    """(keys, draw, pattern, m): how often an item of a pattern is drawn by md5."""
+def md5_pattern_counts(folded: DataFrame, draws: int, seed: str, keys=("domain",), item=ITEM) -> DataFrame:
+    """(keys, draw, pattern, m): how often an item of a pattern is drawn by md5, from ``item_patterns``."""
     own = [c for c in item if c not in keys]
-    names = [*keys, *own]
-    counts = ratings.where(F.col("label").isNotNull()).groupBy(*names, "label").agg(F.count(F.lit(1)).alias("c"))
-    folded = counts.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("pattern"))
-    named = folded.withColumn("pattern", F.to_json(F.struct("pattern")))
+    named = folded.select(*keys, *own, F.to_json(F.struct("pattern")).alias("pattern"))
     return md5_draws(named, draws, seed, keys, own).groupBy(*keys, "draw", "pattern").agg(F.count(F.lit(1)).alias("m"))
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelmark.jobs.fixtures import fixture
 from panelmark.operators import metrics, reference, resample
 
 # How many items of a domain and round have (HIGH, LOW) votes of three people, as published.
@@ -237,3 +238,18 @@ def test_draws_by_md5_are_never_broadcast_nor_numbered_by_group(spark):
         own = [r[1:] for r in rows if r[0] == d]
         want = [(b, i, *own[int(hashlib.md5(f"s|{b}|{i}".encode()).hexdigest()[:8], 16) % len(own)]) for b in range(3) for i in range(len(own))]
         assert sorted((r.draw, r.place, r.item_id, r.pattern) for r in taken if r.domain == d) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["consensus", "nominal"])
+def test_joined_tables_of_a_label_set_are_not_broadcast(spark, name):
+    """Labels and orders grow with the input; what is broadcast must not."""
+    plan = fixture(spark, "/root/testdata/sf0.001", name)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_draws_by_md5_fold_the_ratings_once(spark, monkeypatch):
+    """Patterns and draws read the same written fold: the plan of the draws does not reach back to the ratings."""
+    names, write = [], resample.written
+    monkeypatch.setattr(resample, "written", lambda df, name: names.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or write(df, name))
+    resample.panel_draws(nominal(spark), "weighted", draws=3, md5_seed="s").collect()
+    assert [name for name, plan in names if "LogicalRDD" in plan or "LocalRelation" in plan] == ["item-patterns"]
