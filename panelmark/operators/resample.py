@@ -34,6 +34,8 @@ CHUNK, BLOCK, LABELS = 500, 4096, 256
 SORTED_ROWS = 1_000_000
 #: Rows drawn by md5 that one task makes and joins: at most, and at least where there are fewer than one each core could have.
 DRAWN_ROWS, LEAST_ROWS = 4_000_000, 250_000
+#: Rows that a task holds to look up draws; groups whose places are drawn by the same md5 at once.
+HELD_ROWS, GROUPS = 400_000, 256
 
 
 def percentile_places(n: int, convention: str, low: float = 0.025, high: float = 0.975) -> tuple[int, int]:
@@ -354,25 +356,31 @@ def cohort_shift(ratings: DataFrame, cohort: str, first, second, keys=("domain",
     return out.withColumn("group", F.array_join(names, "|")).drop("a", "b")
 
 
-def md5_draws(df: DataFrame, draws: int, seed: str, keys=("domain",), order=("item_id",)) -> DataFrame:
+def md5_draws(df: DataFrame, draws: int, seed: str, keys=("domain",), order=("item_id",), how: str = "merge") -> DataFrame:
     """(keys, draw, place, row): draw b takes for its i-th place the row md5(seed|b|i) mod n, rows in the given order.
     Any SQL engine repeats it; for small n, to hold the fast helpers against.
 
     Rows are numbered over all groups in order of (keys, ``order``), so that no group has to fit one task, and a draw
-    travels as two numbers: itself and the row's.  Draws are ``draws`` times the rows that Spark counts on their way here,
-    so they must never be broadcast and are dealt to as many tasks as they need."""
-    number, first, size, draw, place, at = (unused(df, c) for c in ("row_number", "first_row", "row_count", "draw", "place", "row_at"))
+    travels as two numbers: itself and the row's.  Groups with a place of the same number share its md5, ``GROUPS`` of them
+    in a row.  Draws are ``draws`` times the rows that Spark counts on their way here, so they must never be broadcast and
+    are dealt to as many tasks as they need.  ``how`` joins them to the rows: "merge" sorts the draws, "shuffle_hash" holds
+    a task's rows instead, ``HELD_ROWS`` at most."""
+    number, first, size, draw, place, at, slot, here, hash_ = (unused(df, c) for c in ("row_number", "first_row", "row_count", "draw", "place", "row_at", "slot", "groups_here", "place_hash"))
     rows = with_row_index(df, order=[*keys, *order], name=number)
     rows = written(rows, "numbered-rows")  # read three times
-    total = rows.count() * draws
-    tasks = max(1, -(-total // DRAWN_ROWS), min(df.sparkSession.sparkContext.defaultParallelism, total // LEAST_ROWS))
     groups = rows.groupBy(*keys).agg(F.min(number).alias(first), F.count(F.lit(1)).alias(size))
-    places = joined(rows.select(*keys, number), F.broadcast(groups), keys).select((F.col(number) - F.col(first)).alias(place), first, size)
-    each = places.repartition(tasks, place).withColumn(draw, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    index = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(draw).cast("string"), F.col(place).cast("string"))), 1, 8), 16, 10).cast("long") % F.col(size)
-    target = F.coalesce(F.col(first) + index, F.lit(-1).cast("long"))  # never null, so that no filter computes it once more
-    asked = each.select(draw, place, target.alias(at)).repartition(tasks, at)
-    found = asked.hint("merge").join(rows.repartition(tasks, number), F.col(at) == F.col(number))
+    n_rows, n_groups = groups.agg(F.coalesce(F.sum(size), F.lit(0)), F.count(F.lit(1))).first()
+    total = n_rows * draws
+    tasks = max(1, -(-total // DRAWN_ROWS), -(-n_rows // HELD_ROWS), min(df.sparkSession.sparkContext.defaultParallelism, total // LEAST_ROWS))
+    by_slot = F.pmod(F.xxhash64(first), F.lit(-(-n_groups // GROUPS) or 1)).alias(slot)
+    places = joined(rows.select(*keys, number), F.broadcast(groups), keys).select((F.col(number) - F.col(first)).alias(place), by_slot, first, size)
+    shared = places.repartition(tasks, place).groupBy(place, slot).agg(F.collect_list(F.struct(first, size)).alias(here))
+    each = shared.select(place, here, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias(draw))
+    index = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(draw).cast("string"), F.col(place).cast("string"))), 1, 8), 16, 10).cast("long")
+    hashed = each.withColumn(hash_, index).select(draw, place, hash_, F.explode(here).alias(here))  # the md5 before the groups
+    target = F.coalesce(F.col(here)[first] + F.col(hash_) % F.col(here)[size], F.lit(-1).cast("long"))  # never null, so that no filter computes it once more
+    asked = hashed.select(draw, place, target.alias(at)).repartition(tasks, at)
+    found = asked.join(rows.repartition(tasks, number).hint(how), F.col(at) == F.col(number))
     return found.select(*keys, F.col(place).alias("place"), F.col(draw).alias("draw"), *(c for c in df.columns if c not in keys))
 
 
@@ -383,7 +391,7 @@ def md5_ratio_ci(sums: DataFrame, draws: int, seed: str, keys=("domain",), order
     rows = written(sums.select(*keys, *order, value, "size"), "drawn-rows")  # read by both
     histogram = rows.groupBy(*keys, "value", "size").agg(F.count(F.lit(1)).alias("items"))
     name = F.concat_ws("|", F.col("value").cast("string"), F.col("size").cast("string"))
-    drawn = md5_draws(rows, draws, seed, keys, order).groupBy(*keys, "draw", name.alias("pattern")).agg(F.count(F.lit(1)).alias("m"))
+    drawn = md5_draws(rows, draws, seed, keys, order, "shuffle_hash").groupBy(*keys, "draw", name.alias("pattern")).agg(F.count(F.lit(1)).alias("m"))
     return _ratio_ci(histogram, keys, draws, 0, convention, drawn)
 
 
@@ -396,7 +404,7 @@ def md5_pattern_counts(folded: DataFrame, draws: int, seed: str, keys=("domain",
     """(keys, draw, pattern, m): how often an item of a pattern is drawn by md5, from ``item_patterns``."""
     own = [c for c in item if c not in keys]
     named = folded.select(*keys, *own, F.to_json(F.struct("pattern")).alias("pattern"))
-    return md5_draws(named, draws, seed, keys, own).groupBy(*keys, "draw", "pattern").agg(F.count(F.lit(1)).alias("m"))
+    return md5_draws(named, draws, seed, keys, own, "shuffle_hash").groupBy(*keys, "draw", "pattern").agg(F.count(F.lit(1)).alias("m"))
 
 
 def value_of(condition: Column) -> Column:

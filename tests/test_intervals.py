@@ -253,3 +253,23 @@ def test_draws_by_md5_fold_the_ratings_once(spark, monkeypatch):
     monkeypatch.setattr(resample, "written", lambda df, name: names.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or write(df, name))
     resample.panel_draws(nominal(spark), "weighted", draws=3, md5_seed="s").collect()
     assert [name for name, plan in names if "LogicalRDD" in plan or "LocalRelation" in plan] == ["item-patterns"]
+
+
+@pytest.mark.parametrize("how", ["merge", "shuffle_hash"])
+def test_groups_share_the_md5_of_a_place(spark, monkeypatch, how):
+    """The md5 is taken before places are dealt to groups, in slots of few groups, and both joins draw the same rows."""
+    monkeypatch.setattr(resample, "GROUPS", 2)
+    rows = [(g, i) for g, n in (("a", 9), ("b", 4), (None, 6), ("c", 1), ("d", 2)) for i in range(n)]
+    found = resample.md5_draws(spark.createDataFrame(rows, "domain string, item_id long"), 3, "s", how=how)
+    taken = sorted((str(r.domain), r.draw, r.place, r.item_id) for r in found.collect())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    explodes = [i for i, line in enumerate(plan.splitlines()) if "Generate explode" in line]
+    assert len(explodes) == 2 and explodes[0] < next(i for i, line in enumerate(plan.splitlines()) if "md5(" in line) < explodes[1]
+    assert ("ShuffledHashJoin" if how == "shuffle_hash" else "SortMergeJoin") in found._jdf.queryExecution().executedPlan().toString()
+    size = {g: sum(h == g for h, _ in rows) for g, _ in rows}
+    want = [(str(g), b, i, int(hashlib.md5(f"s|{b}|{i}".encode()).hexdigest()[:8], 16) % size[g]) for b in range(3) for g, i in rows]
+    assert taken == sorted(want)
+
+
+def test_draws_of_no_rows(spark):
+    assert resample.md5_draws(spark.createDataFrame([], "domain string, item_id long"), 3, "s").count() == 0
